@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+from .bagminhash import op10_bagminhash_near_duplicates
 from .language import op8_hyperdimensional_language
 from .packing import op2_power_of_two_packing
+from .quality import op9_rule_ensemble_quality
+from .simhash import op4_simhash
 from .token_counts import op7_token_counts
+from .toxicity import op1_noisy_channel_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_power_of_two_packing, op7_token_counts, op8_hyperdimensional_language)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_noisy_channel_toxicity,
+        op2_power_of_two_packing,
+        op4_simhash,
+        op7_token_counts,
+        op8_hyperdimensional_language,
+        op9_rule_ensemble_quality,
+        op10_bagminhash_near_duplicates,
+    )
+}
 ORACLES: dict[str, str] = {}
