@@ -39,28 +39,47 @@ class WordIds:
     Texts outside the plain range, or with special strings, go to the library as they are.
     """
 
-    def __init__(self, library, bound: int = 400_000):
+    def __init__(self, library, bound: int = 700_000):
         self.library, self.bound, self.known = library, bound, {}
+        self.ends = np.zeros(library.get_vocab_size(), dtype=bool)
+        self.ends[[i for w, i in library.get_vocab().items() if w.endswith("</w>")]] = True
         letters, digits = _class("L"), _class("N")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}\t-\r \xa0]+")
         self.odd = re.compile(r"[^\x00-˿]|[\x1c-\x1f\x85]|<\||İ")
 
-    def __call__(self, text: str) -> bytes:
-        """The ids as unsigned little-endian 32-bit numbers."""
-        if self.odd.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = self.words.findall(text.lower())
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.bound:
-                known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 1024):
-                part = new[k : k + 1024]
-                for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned little-endian 32-bit numbers."""
+        out: list[bytes] = []
+        for k in range(0, len(texts), 128):
+            part = texts[k : k + 128]
+            words = [None if self.odd.search(t) else self.words.findall(t.lower()) for t in part]
+            new = set().union(*(w for w in words if w)).difference(self.known)
+            if len(self.known) + len(new) > self.bound:
+                self.known.clear()
+                new = set().union(*(w for w in words if w))
+            new = list(new)
+            for i in range(0, len(new), 4096):
+                self.learn(new[i : i + 4096])
+            get = self.known.__getitem__
+            for t, w in zip(part, words, strict=True):
+                if w is None:
+                    out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                else:
+                    out.append(b"".join(map(get, w)))
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words as one text, set apart by spaces, and cut its ids after each one that ends a word."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or len(ids) != cuts[-1]:
+            for w in words:
+                self.known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return
+        raw, at = ids.tobytes(), 0
+        for w, cut in zip(words, (4 * cuts).tolist(), strict=True):
+            self.known[w] = raw[at:cut]
+            at = cut
 
 
 def piece_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
@@ -78,8 +97,8 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", doc_id: str = "doc
 
         def work(rows):
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for i, t in zip(rows["doc_id"], rows["text"], strict=True):
-                raw, at = encode(t) + end, 0
+            for i, ids in zip(rows["doc_id"], encode(rows["text"]), strict=True):
+                raw, at = ids + end, 0
                 for n in piece_lengths(len(raw) // 4, most):
                     out["doc_id"].append(i)
                     out["start"].append(at)
