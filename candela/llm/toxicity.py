@@ -299,7 +299,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, counted: DataFrame | N
     first_n, first_ones = sizes.get(False, (0, 0.0))
     if not first_ones or first_ones == first_n:
         return flat
-    stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(w.substr(F.lit(1), F.lit(n)), F.lit("*"))) for n in STEMS]
+    stem = lambda n: F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(w.substr(F.lit(1), F.lit(n)), F.lit("*")))
+    stems = [stem(n) for n in STEMS]
     lexicon = lambda part, n, one: (
         part.select("y", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
         .groupBy("term")
