@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .bagminhash import op10_bagminhash_near_duplicates
+from .cover_tree import op6_dual_cover_tree
 from .language import op8_hyperdimensional_language
+from .mixing import op5_pfair_mixing
 from .packing import op2_power_of_two_packing
+from .pii import op3_bootstrapped_pii
 from .quality import op9_rule_ensemble_quality
 from .simhash import op4_simhash
 from .token_counts import op7_token_counts
@@ -15,11 +18,31 @@ QUERIES = {
     for f in (
         op1_noisy_channel_toxicity,
         op2_power_of_two_packing,
+        op3_bootstrapped_pii,
         op4_simhash,
+        op5_pfair_mixing,
+        op6_dual_cover_tree,
         op7_token_counts,
         op8_hyperdimensional_language,
         op9_rule_ensemble_quality,
         op10_bagminhash_near_duplicates,
     )
 }
-ORACLES: dict[str, str] = {}
+
+#: Components are those of the vectors that take part; the SQL scores all pairs of a query and a candidate.
+TOP_PRODUCTS = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+    from embeddings
+    where embedding is not null and vec_id is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+    from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op6_dual_cover_tree": TOP_PRODUCTS}
