@@ -25,7 +25,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -103,7 +103,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", components: int = COMPONENTS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, bag_id (a hash of the bag), signature, and the bag as sorted 32-bit hashes with repeats."""
+    """doc_id, text_hash, bag_id (a hash of the bag), signature, and the bag as sorted 32-bit hashes with repeats."""
 
     def make():
         known = WordHashes()
@@ -118,6 +118,7 @@ def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", components
             signatures = sign(bags, components)
             return {
                 "doc_id": rows["doc_id"],
+                "text_hash": rows["text_hash"],
                 "bag_id": bag_ids,
                 "signature": [s.tobytes() if len(e) else None for s, (e, _) in zip(signatures, bags, strict=True)],
                 "bag": [np.sort((s >> np.uint64(32)).astype("<u4")).tobytes() for s in found],
@@ -125,8 +126,8 @@ def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", components
 
         return work
 
-    kept = df.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
-    return common.map_rows(kept, make, "doc_id long, bag_id long, signature binary, bag binary")
+    kept = df.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_of(text).alias("text"), F.xxhash64(common.text_of(text)).alias("text_hash"))
+    return common.map_rows(kept, make, "doc_id long, text_hash long, bag_id long, signature binary, bag binary")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -202,7 +203,7 @@ def residual_pairs(members: DataFrame, least: float, components: int = COMPONENT
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, components: int = COMPONENTS, rows_in_band: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, bag_id and class_id, the smallest id of the class, for each row."""
+    """doc_id, text_hash, bag_id and class_id, the smallest id of the class, for each row."""
     rows = common.checkpointed(signed(df, doc_id, text, components, width))
     nodes = common.checkpointed(rows.groupBy("bag_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bag").alias("bag")))
     keys = F.array(*[F.xxhash64(F.substring("signature", 2 * rows_in_band * k + 1, 2 * rows_in_band), F.lit(k)) for k in range(components // rows_in_band)])
@@ -223,7 +224,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     classed = nodes.select((F.col("bag_id") + 0).alias("bag_id"), "rep").join(final.select((F.col("node") + 0).alias("bag_id"), "component"), "bag_id", "left").withColumn("component", F.coalesce("component", "bag_id"))
     named = classed.groupBy("component").agg(F.coalesce(F.min("rep"), -F.abs(F.col("component")) - 1).alias("class_id"))
     of_bag = classed.select("bag_id", "component").join(named.select((F.col("component") + 0).alias("component"), "class_id"), "component").select("bag_id", "class_id")
-    return rows.select("doc_id", (F.col("bag_id") + 0).alias("bag_id")).join(of_bag, "bag_id").select("doc_id", "bag_id", "class_id")
+    return rows.select("doc_id", "text_hash", (F.col("bag_id") + 0).alias("bag_id")).join(of_bag, "bag_id").select("doc_id", "text_hash", "bag_id", "class_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of df, one of each class: that of the smallest id (null ids last), then of the smallest hash of its text."""
+    lowest = -(1 << 63)
+    classes = near_duplicates(df, doc_id, text, **options)
+    kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
+    kept = kept.select(F.coalesce("k.doc_id", F.lit(lowest)).alias("__id"), F.col("k.text_hash").alias("__hash"))
+    keyed = df.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)), "__hash": F.xxhash64(common.text_of(text))})
+    rest = [F.col(f"`{c}`") for c, t in df.dtypes if c not in (doc_id, text) and not t.startswith("map")]
+    order = Window.partitionBy("__id", "__hash").orderBy(*rest or [F.lit(0)])
+    chosen = keyed.join(kept, ["__id", "__hash"], "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return chosen.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

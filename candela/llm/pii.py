@@ -189,9 +189,10 @@ def bootstrap(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> Data
     return scores
 
 
-def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, base and all: arrays of (kind, start, end); with keep_text also the text."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), common.text_of(text).alias("__text"))
+def find_personal_data(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """keep columns, __base and __all: arrays of (kind, start, end)."""
+    kept = [f"__k{i}" for i in range(len(keep))]
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], common.text_of(text).alias("__text"))
     rows = base_spans(rows.withColumns({"__hash": F.xxhash64("__text"), "__size": F.length("__text")}), "__text")
     found = common.checkpointed(occurrences(rows, "__text"))
     seeded = found.where(F.col("kind").isNotNull()).select(F.explode("patterns").alias("pattern"), "value").distinct().groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("pattern")
@@ -202,14 +203,14 @@ def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     best = scores.groupBy("value").agg(F.max_by("kind", F.struct("score", *[(F.col("kind") == k).alias(k) for k in KINDS])).alias("kind"))
     new = found.where(F.col("kind").isNull()).drop("kind", "patterns").join(best.select(F.concat("value", F.lit("")).alias("value"), "kind"), "value")
     new = new.groupBy("__hash", "__size").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
-    bases = rows.select("doc_id", "__text", "__hash", "__size", F.transform("__base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))).alias("base"))
-    bases = bases if keep_text else bases.drop("__text")
+    slim = lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))
+    bases = rows.select(*kept, "__hash", "__size", F.transform("__base", slim).alias("base"))
     joined = bases.join(new.select(fresh("__hash"), fresh("__size"), "new"), ["__hash", "__size"], "left")
     rank = F.lit(0)
     order = lambda s: sum((F.when(s["kind"] == k, F.lit(i)).otherwise(F.lit(0)) for i, k in enumerate(KINDS)), rank)
     ranked = F.array_sort(F.transform(F.concat("base", F.col("new")), lambda s: F.struct(order(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     whole = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    return joined.select("doc_id", *["__text"] * keep_text, "base", whole.alias("all"))
+    return joined.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], F.col("base").alias("__base"), whole.alias("__all"))
 
 
 def written(spans: Column) -> Column:
@@ -228,8 +229,17 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(sorted_spans, empty, step, lambda a: F.concat(a["out"], F.substr(text, a["at"].cast("int") + 1, F.length(text)))))
 
 
+def redact(df: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """df with its spans of personal data replaced, and the column of the number of characters, if named, set anew."""
+    found = find_personal_data(df, tuple(df.columns), text)
+    found = found.withColumn(text, F.when(F.size("__all") > 0, redacted(F.col(text), F.col("__all"))).otherwise(F.col(text)))
+    if n_chars in df.columns:
+        found = found.withColumn(n_chars, F.when(F.size("__all") > 0, F.length(text).cast(dict(df.dtypes)[n_chars])).otherwise(F.col(n_chars)))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(common.table(spark, sf_dir, "documents"))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("all")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(F.col("__base")), 256).alias("base_sha256"), written(F.col("__all")).alias("spans"))

@@ -373,6 +373,15 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep
     return common.map_rows(kept, make, ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1]) + ", score double, predicted int" + ", restored string" * with_text)
 
 
+def without_toxic(df: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df that the model, fitted to df and the labels, scores below the threshold."""
+    model = fit_toxicity(df, labels, text=text)
+    names = [f"__k{i}" for i in range(len(df.columns))]
+    kept = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(df.columns, names, strict=True)])
+    scored = score_toxicity(kept, model, names[df.columns.index(text)], tuple(names), threshold)
+    return scored.where("predicted = 0").select(*[F.col(k).alias(c) for c, k in zip(df.columns, names, strict=True)])
+
+
 def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
