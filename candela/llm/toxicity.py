@@ -42,6 +42,9 @@ LEET = {
 }
 WILD = "*#"
 GAPS = " .-_~|*'/\t"
+#: Paths take memory by the length of a span and the number of open choices, so both are bounded: longer spans are
+#: decoded in pieces, and a span with more masked letters than this keeps its masks as gaps.
+PIECE, MOST_WILD = 192, 4
 
 # Kinds of characters: letters; signs that stand for letters; those of them that may end a word; signs that may stand
 # inside a word; white space; digits.
@@ -131,6 +134,7 @@ class Decoder:
     def lattice(self, span: str) -> list[list[tuple[tuple[int, ...], float]]]:
         """For each run of equal characters, what it may stand for: symbols and a cost."""
         out, at = [], 0
+        wild = sum(span.count(c) for c in WILD) <= MOST_WILD
         while at < len(span):
             c, end = span[at], at + 1
             while end < len(span) and span[end] == c:
@@ -151,13 +155,15 @@ class Decoder:
                 options += [((k,), COST_LEET)] if n == 1 else [((k, k), COST_LEET), ((k,), COST_LEET + COST_SINGLE)] if n == 2 else [((k,), COST_LEET + COST_SHORTEN)]
             if c in GAPS:
                 options.append(((), COST_JOIN))
-            if c in WILD and n <= 2:
+            if wild and c in WILD and n <= 2:
                 options += [((k,) * n, COST_WILD) for k in range(1, 27)]
             out.append(options)
         return out
 
     def __call__(self, span: str) -> str:
-        """The restored span: words of a to z, one space between them."""
+        """The restored span: words of a to z, one space between them. Long spans are decoded piece by piece."""
+        if len(span) > PIECE:
+            return " ".join(filter(None, (self(span[k : k + PIECE]) for k in range(0, len(span), PIECE))))
         if (found := self.known.get(span)) is not None:
             return found
         costs = self.costs
@@ -184,8 +190,7 @@ class Decoder:
         text = "".join(" abcdefghijklmnopqrstuvwxyz~"[x] for x in reversed(out)).strip()
         if len(self.known) >= self.bound:
             self.known.clear()
-        if len(span) <= 256:
-            self.known[span] = text
+        self.known[span] = text
         return text
 
     def spans(self, text: str) -> list[tuple[int, int]]:
