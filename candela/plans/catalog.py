@@ -141,10 +141,15 @@ on_bars(
     walk_forward=lambda b: _finite(bt.walk_forward(b, strat.rsi_reversion, 100, 50, 50)),
     walk_forward_summary=lambda b: bt.walk_forward_summary(bt.walk_forward(b, strat.rsi_reversion, 100, 50, 50)),
     walk_forward_splits=lambda b: bt.splits(b, 100, 50, 50),
-    return_metrics=lambda b: bt.return_metrics(win.log_returns(b).where("log_return is not null").select("symbol", F.col("ts").alias("i"), F.col("log_return").alias("r"))),
+    return_metrics=lambda b: bt.return_metrics(_returns(b)),
 )
 
 
+def _returns(bars: DataFrame) -> DataFrame:
+    before = F.lag("close").over(win.by_time())
+    return bars.select("symbol", F.col("ts").alias("i"), (F.col("close") / before - 1).alias("r")).where("r is not null")
+
+
 def _flat(df: DataFrame) -> DataFrame:
     return df.withColumn("filters_matched", F.array_join("filters_matched", ","))
 

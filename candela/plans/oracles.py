@@ -1,5 +1,232 @@
-"""SQL for the registered queries."""
+"""SQL for the registered queries: the same rows from the same tables, written apart from the operators."""
 
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+BARS = """bars as (
+    select event_type as symbol, date_trunc('hour', ts) as ts, arg_min(value, (ts, event_id)) as open, max(value) as high,
+           min(value) as low, arg_max(value, (ts, event_id)) as close, cast(count(*) as double) as volume
+    from events group by 1, 2
+), r as (select *, row_number() over w as rn, count(*) over (partition by symbol) as n from bars window w as (partition by symbol order by ts))"""
+
+
+def sql(body: str, more: str = "", recursive: bool = False) -> str:
+    return f"with {'recursive ' if recursive else ''}{BARS}{', ' + more if more else ''}\n{body}"
+
+
+def _window(columns: str, more: str = "", where: str = "true", source: str = "r") -> str:
+    """One select over rows with windows: w is the whole order, wN the last N rows."""
+    return sql(f"select symbol, ts, {columns} from {source} where {where}", more)
+
+
+W = "over (partition by symbol order by ts"
+
+
+def last(n: int) -> str:
+    return f"{W} rows between {n - 1} preceding and current row)"
+
+
+RUN = f"{W} rows between unbounded preceding and current row)"
+
+ORACLES["bars_1h"] = sql("select symbol, ts, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, round(volume, 6) as volume from bars")
+for _name, _seconds in (("bars_4h", 14400), ("bars_1d", 86400)):
+    ORACLES[_name] = sql(
+        f"""select symbol, to_timestamp(floor(epoch(ts) / {_seconds}) * {_seconds})::timestamptz at time zone 'UTC' as ts, round(arg_min(open, ts), 6) as open, round(max(high), 6) as high,
+        round(min(low), 6) as low, round(arg_max(close, ts), 6) as close, round(sum(volume), 6) as volume from bars group by 1, 2"""
+    )
+ORACLES["last_n_bars"] = sql("select symbol, ts, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, round(volume, 6) as volume from r where rn > n - 100")
+ORACLES["bar_columns"] = ORACLES["bars_from_records"] = ORACLES["bars_1h"]
+ORACLES["bar_violations"] = sql(
+    """select symbol, count(*) as bars, count(*) filter (where ts = before) as repeated, count(*) filter (where not (isfinite(open) and isfinite(high) and isfinite(low) and isfinite(close) and isfinite(volume))) as not_finite,
+    count(*) filter (where high < low) as high_below_low, count(*) filter (where volume < 0) as negative_volume from (select *, lag(ts) over (partition by symbol order by ts) as before from bars) group by symbol"""
+)
+TR = f"greatest(high - low, abs(high - lag(close) {W})), abs(low - lag(close) {W})))"
+ORACLES["true_range"] = _window(f"round({TR}, 6) as true_range")
+ORACLES["stochastic"] = sql(
+    f"""select symbol, ts, case when k is not null then round(least(greatest(k, 0), 100), 6) end as k, case when d is not null then round(least(greatest(d, 0), 100), 6) end as d from (
+        select *, case when rn >= 18 then avg(k) {last(3)} end as d from (
+            select symbol, ts, rn, case when rn >= 16 then avg(raw) {last(3)} end as k from (
+                select symbol, ts, rn, case when rn < 14 then null when hh = ll then 50 else 100 * (close - ll) / (hh - ll) end as raw from (
+                    select *, min(low) {last(14)} as ll, max(high) {last(14)} as hh from r where n >= 14))))"""
+)
+ORACLES["cci"] = sql(
+    f"""select symbol, ts, round(case when rn >= 20 then (tp - m) / nullif(0.015 * list_avg(list_transform(l, lambda x: abs(x - m))), 0) end, 6) as cci from (
+        select *, avg(tp) {last(20)} as m, list(tp) {last(20)} as l from (select symbol, ts, rn, (high + low + close) / 3 as tp from r))"""
+)
+ORACLES["williams_r"] = sql(
+    f"select symbol, ts, round(case when rn < 14 then null when hh = ll then -50 else -100 * (hh - close) / (hh - ll) end, 6) as williams_r from (select *, min(low) {last(14)} as ll, max(high) {last(14)} as hh from r)"
+)
+ORACLES["roc"] = _window(f"round(100 * (close - lag(close, 12) {W})) / nullif(lag(close, 12) {W}), 0), 6) as roc")
+ORACLES["bollinger_width"] = sql(
+    f"select symbol, ts, round(4 * s / m, 6) as bollinger_width from (select *, avg(close) {last(20)} as m, stddev_pop(close) {last(20)} as s from r) where rn >= 20 and m <> 0"
+)
+LOGS = f"logs as (select *, case when close > 0 and lag(close) {W}) > 0 then ln(close / lag(close) {W})) end as lr from r)"
+ORACLES["hist_vol"] = sql(
+    f"select symbol, ts, round(v, 6) as volatility from (select *, stddev_pop(lr) {last(24)} * sqrt(252) as v, min(close) over (partition by symbol) as least from logs) where rn > 24 and least > 0", LOGS
+)
+ORACLES["latest_vol"] = sql(
+    f"select symbol, round(hv, 6) as hv, round(hv * 100, 6) as hv_pct, cast(50 as double) as percentile from (select *, stddev_samp(lr) {last(20)} * sqrt(252) as hv from logs) where rn = n", LOGS
+)
+ORACLES["obv"] = sql(
+    f"select symbol, ts, round(sum(s) {RUN}, 6) as obv from (select *, case when rn = 1 then volume else volume * sign(close - lag(close) {W})) end as s from r)"
+)
+ORACLES["mfi"] = sql(
+    f"""select symbol, ts, round(case when u = 0 and d = 0 then 50 when d = 0 then 100 when u = 0 then 0 else 100 - 100 / (1 + u / d) end, 6) as mfi from (
+        select *, sum(up) {last(13)} as u, sum(down) {last(13)} as d from (
+            select *, case when tp > lag(tp) {W}) then tp * volume else 0 end as up, case when tp < lag(tp) {W}) then tp * volume else 0 end as down from (select *, (high + low + close) / 3 as tp from r))) where rn > 14"""
+)
+
+
+def _vwap(zone: str, minutes: int) -> str:
+    local = "ts" if zone == "UTC" else f"timezone('{zone}', timezone('UTC', ts))"
+    return f"""v as (select *, coalesce(sum(tp * volume) over s / nullif(sum(volume) over s, 0), tp) as vwap from (
+        select *, (high + low + close) / 3 as tp, cast({local} - interval {minutes} minutes as date) as session from r)
+        window s as (partition by symbol, session order by ts rows between unbounded preceding and current row))"""
+
+
+for _name, _zone, _minutes in (("ny", "America/New_York", 570), ("asia", "UTC", 0), ("london", "UTC", 480), ("daily", "America/New_York", 0)):
+    ORACLES[f"vwap_{_name}"] = sql("select symbol, ts, round(vwap, 6) as vwap from v", _vwap(_zone, _minutes))
+NY = _vwap("America/New_York", 570)
+ORACLES["vwap_bands"] = sql("select symbol, ts, round(vwap, 6) as vwap, round(vwap + 2 * s, 6) as upper, round(vwap - 2 * s, 6) as lower from (select *, stddev_pop(close - vwap) over (partition by symbol) as s from v)", NY)
+ORACLES["vwap_cross"] = sql(
+    f"select symbol, ts, round(close, 6) as close, round(vwap, 6) as vwap, case when above then 'bullish' else 'bearish' end as direction from (select *, lag(above) {W}) as before from (select *, close >= vwap as above from v)) where above <> before", NY
+)
+ORACLES["volume_ratio"] = sql(
+    f"select symbol, round(case when rn >= 5 and m > 0 then volume / m else 1 end, 6) as volume_ratio from (select *, avg(volume) {W} rows between 19 preceding and 1 preceding) as m from r) where rn = n"
+)
+ORACLES["momentum_pct"] = sql(
+    f"select symbol, round(coalesce((close - b) * 100 / nullif(b, 0), 0), 6) as momentum_pct from (select *, coalesce(lag(close, 14) {W}), first_value(close) {W})) as b from r) where rn = n"
+)
+ORACLES["gap_sessions"] = sql(f"select symbol, ts, cast(sum(f) {RUN} as bigint) as session from (select *, case when rn = 1 or ts - lag(ts) {W}) > interval 4 hours then 1 else 0 end as f from r)")
+ORACLES["fair_value_gaps"] = sql(
+    f"select symbol, ts, up as bullish, down as bearish from (select symbol, ts, coalesce(lead(low) {W}) > lag(high) {W}), false) as up, coalesce(lead(high) {W}) < lag(low) {W}), false) as down from r) where up or down"
+)
+ORACLES["pivot_points"] = sql(
+    "select symbol, round(pp, 6) as pp, round(2 * pp - low, 6) as r1, round(2 * pp - high, 6) as s1, round(pp + (high - low), 6) as r2, round(pp - (high - low), 6) as s2 from (select *, (high + low + close) / 3 as pp from r where rn = n)"
+)
+AROUND = f"{W} rows between 2 preceding and 2 following)"
+CANDIDATES = f"""cand as (select symbol, ts, rn - 1 as i, high, low, close, n, high = mh and high > lh as is_high, low = ml and low < hl as is_low from (
+    select *, max(high) {AROUND} as mh, min(high) {AROUND} as lh, min(low) {AROUND} as ml, max(low) {AROUND} as hl from r) where rn - 1 >= 2 and rn - 1 < n - 2)"""
+ORACLES["swing_candidates"] = sql("select symbol, ts, i, is_high, is_low, round(high, 6) as high, round(low, 6) as low from cand where is_high or is_low", CANDIDATES)
+ORACLES["strict_swings"] = sql("select symbol, ts, i, case when is_high then 'high' else 'low' end as kind, round(case when is_high then high else low end, 6) as price from cand where is_high <> is_low", CANDIDATES)
+ORACLES["local_extremes"] = sql(
+    f"select symbol, ts, round(close, 6) as close, case when close < b then 'low' else 'high' end as kind from (select *, lag(close) {W}) as b, lead(close) {W}) as a from r) where (close < b and close < a) or (close > b and close > a)"
+)
+
+
+def _session(name: str, inside: str, day: str) -> str:
+    return sql(
+        f"""select l.symbol, '{name}' as session_type, session_start, session_end, round(high, 6) as high, round(low, 6) as low, round(high - low, 6) as range, round((high + low) / 2, 6) as midpoint, coalesce(k, 0) as bars from last l left join (
+            select symbol, arg_max(h, d) as high, arg_max(x, d) as low, arg_max(k, d) as k, arg_max(a, d) as session_start, arg_max(z, d) as session_end from (
+                select s.symbol, d, max(high) as h, min(low) as x, count(*) as k, min(ts) as a, max(ts) as z from s join last using (symbol) where inside and d in (today, today - 1) group by 1, 2) group by 1) using (symbol)""",
+        f"s as (select *, {inside} as inside, cast({day} as date) as d from r), last as (select symbol, arg_max(d, ts) as today from s group by 1)",
+    )
+
+
+LOCAL = "timezone('America/New_York', timezone('UTC', ts))"
+ORACLES["session_levels_ny"] = _session("ny", f"hour({LOCAL}) * 60 + minute({LOCAL}) between 570 and 959", LOCAL)
+ORACLES["session_levels_asia"] = _session("asia", "hour(ts) < 9", "ts")
+ORACLES["session_levels_london"] = _session("london", "hour(ts) between 8 and 16", "ts")
+ORACLES["pdh_pdl"] = sql(
+    """select w.symbol, round(h, 6) as pdh, round(x, 6) as pdl, round(c, 6) as pdc, round(h - x, 6) as pd_range, ht as pdh_ts, xt as pdl_ts, round(p, 6) as pivot, round(2 * p - x, 6) as r1, round(2 * p - h, 6) as s1,
+        round(p + (h - x), 6) as r2, round(p - (h - x), 6) as s2, case when h is null then 'insufficient_data' when current > h then 'above_pdh' when current < x then 'below_pdl' else 'inside_range' end as position
+    from whole w left join (select *, (h + x + c) / 3 as p from (
+        select symbol, max(high) as h, min(low) as x, arg_max(close, ts) as c, arg_min(ts, (-high, ts)) as ht, arg_min(ts, (low, ts)) as xt from day group by symbol, first, day_start, day_end, step
+        having first <= day_start and (step <= 0 or date_diff('second', max(ts), day_end) <= step))) using (symbol)""",
+    """whole as (select *, day_end - interval 24 hours as day_start from (select symbol, min(ts) as first, arg_max(close, ts) as current, coalesce(median(date_diff('second', b, ts)), 0) as step,
+        timezone('UTC', timezone('America/New_York', date_trunc('day', timezone('America/New_York', timezone('UTC', max(ts)))))) as day_end from (select *, lag(ts) over (partition by symbol order by ts) as b from bars) group by symbol)),
+    day as (select r.*, first, day_start, day_end, step from r join whole using (symbol) where ts >= day_start and ts < day_end)""",
+)
+RATIOS = "(values (0.0), (0.236), (0.382), (0.5), (0.618), (0.786), (1.0)) as t(q)"
+SPAN = "span as (select symbol, max(high) as h, min(low) as x from bars group by 1)"
+ORACLES["fib_levels"] = sql(
+    f"select symbol, 'retracement' as level_type, round(cast(q as double), 6) as level_ratio, round(x + (h - x) * cast(q as double), 6) as price, round(h, 6) as swing_high, round(x, 6) as swing_low, cast(null as varchar) as trend_direction from span, {RATIOS}", SPAN
+)
+ORACLES["fib_extension"] = sql(
+    """select symbol, 'extension' as level_type, round(cast(q as double), 6) as level_ratio, round(case when d = 'bullish' then x + (h - x) * cast(q as double) else h - (h - x) * cast(q as double) end, 6) as price, round(h, 6) as swing_high,
+    round(x, 6) as swing_low, d as trend_direction from span, (values (1.272), (1.618), (2.0), (2.618)) as t(q), (values ('bullish'), ('bearish')) as u(d)""",
+    SPAN,
+)
+
+
+def recurrence(state: str, first: str, step: str) -> str:
+    """e: symbol, rn and the state's columns; first from r at rn = 1 (as r), step from e (before) and r (this row)."""
+    return f"e as (select symbol, rn, {first} from r where rn = 1 union all select r.symbol, r.rn, {step} from e join r on r.symbol = e.symbol and r.rn = e.rn + 1)"
+
+
+def ema_step(x: str, y: str, n: int) -> str:
+    return f"(1 - 2.0::double / {n + 1}) * {y} + 2.0::double / {n + 1} * {x}"
+
+
+STACK = recurrence("", ", ".join(f"close as y{n}" for n in (7, 25, 50, 200)), ", ".join(f"{ema_step('r.close', f'e.y{n}', n)}" for n in (7, 25, 50, 200)))
+JOIN = "from e join r using (symbol, rn)"
+ORACLES["ema"] = sql(f"select symbol, ts, round(y7, 6) as ema {JOIN} where n >= 7", STACK, True)
+ORACLES["ema_stack"] = sql(f"select symbol, ts, round(y7, 6) as ema7, round(y25, 6) as ema25, round(y50, 6) as ema50, round(y200, 6) as ema200 {JOIN} where n >= 200", STACK, True)
+ORACLES["ema_cross"] = sql(
+    f"select symbol, ts, round(y7, 6) as ema7, round(y25, 6) as ema25, case when above then 'cross_up' else 'cross_down' end as \"cross\" from (select *, lag(above) {W}) as before from (select symbol, ts, y7, y25, y7 > y25 as above {JOIN} where n >= 25)) where above <> before", STACK, True
+)
+ORACLES["ema_order"] = sql(f"select symbol, ts, y7 > y25 and y25 > y50 and y50 > y200 as golden, y7 < y25 and y25 < y50 and y50 < y200 as death {JOIN} where rn = n and n >= 200", STACK, True)
+MACD = recurrence("", "close as a, close as b, cast(0 as double) as s", f"{ema_step('r.close', 'e.a', 12)}, {ema_step('r.close', 'e.b', 26)}, {ema_step('((' + ema_step('r.close', 'e.a', 12) + ') - (' + ema_step('r.close', 'e.b', 26) + '))', 'e.s', 9)}")
+ORACLES["macd"] = sql(f"select symbol, ts, round(a - b, 6) as macd, round(s, 6) as signal, round(a - b - s, 6) as histogram {JOIN} where n >= 26", MACD, True)
+
+# seeds by a mean at row n: the sum grows up to row n, then the smoothing begins
+CHANGES = f"d as (select *, greatest(coalesce(close - lag(close) {W}), 0), 0) as gain, greatest(coalesce(lag(close) {W}) - close, 0), 0) as loss, {TR} as tr from r)"
+
+
+def seeded(columns: list[str], n: int) -> str:
+    first = ", ".join(f"cast({c} as double) / {n} as {c}" for c in columns)
+    step = ", ".join(f"case when d.rn <= {n} then e.{c} + d.{c} / {n} else e.{c} * (1 - 1.0::double / {n}) + d.{c} / {n} end" for c in columns)
+    return f"{CHANGES}, e as (select symbol, rn, {first} from d where rn = 1 union all select d.symbol, d.rn, {step} from e join d on d.symbol = e.symbol and d.rn = e.rn + 1)"
+
+
+RSI_VALUE = "case when rn < 14 then null when e.loss = 0 then (case when e.gain = 0 then 50 else 100 end) else 100 - 100 / (1 + e.gain / e.loss) end"
+RSI = seeded(["gain", "loss"], 14) + f", q as (select symbol, ts, rn, n, close, {RSI_VALUE} as rsi from e join r using (symbol, rn) where n >= 15)"
+ORACLES["rsi_smma"] = sql("select symbol, ts, round(close, 6) as close, round(rsi, 6) as rsi from q", RSI, True)
+ORACLES["rsi_extremes"] = sql(
+    f"""select symbol, ts, round(rsi, 6) as rsi, zone from (select *, lag(zone, 1, 'neutral') {W}) as before from (
+        select *, case when rsi <= 30 then 'oversold' when rsi >= 70 then 'overbought' else 'neutral' end as zone from q where rsi is not null)) where zone <> before""",
+    RSI, True,
+)
+ORACLES["rsi_cross"] = sql(f"select symbol, ts, round(rsi, 6) as rsi, case when above then 'bullish' else 'bearish' end as direction from (select *, lag(above) {W}) as before from (select *, rsi >= 50 as above from q where rsi is not null)) where above <> before", RSI, True)
+PAST = f"{W} rows between 19 preceding and 2 preceding)"
+ORACLES["rsi_divergence"] = sql(
+    f"""select symbol, ts, round(close, 6) as close, round(rsi, 6) as rsi, case when is_low and close < lc and rsi > lr then 'bullish' else 'bearish' end as divergence from (
+        select *, last_value(case when is_low then close end ignore nulls) {PAST} as lc, last_value(case when is_low then rsi end ignore nulls) {PAST} as lr,
+            last_value(case when is_high then close end ignore nulls) {PAST} as hc, last_value(case when is_high then rsi end ignore nulls) {PAST} as hr from (
+            select *, row_number() {W}) - 1 as i, count(*) over (partition by symbol) as m, close < lag(close) {W}) and close < lead(close) {W}) as is_low, close > lag(close) {W}) and close > lead(close) {W}) as is_high from q where rsi is not null))
+    where i >= 10 and i < m - 10 and ((is_low and close < lc and rsi > lr) or (is_high and close > hc and rsi < hr))""",
+    RSI, True,
+)
+ATR = seeded(["tr"], 14) + ", a as (select symbol, rn, ts, case when rn >= 14 then e.tr end as atr from e join r using (symbol, rn) where n >= 14)"
+ORACLES["atr"] = sql("select symbol, ts, round(atr, 6) as atr from a", ATR, True)
+ORACLES["smma"] = sql(
+    "select symbol, ts, case when rn >= 14 then round(y, 6) end as smma from e join r using (symbol, rn) where n >= 14",
+    recurrence("", "close / 14 as y", "case when r.rn <= 14 then e.y + r.close / 14 else e.y * (1 - 1.0::double / 14) + r.close / 14 end"), True,
+)
+ORACLES["rsi_ema"] = sql(
+    "select symbol, ts, round(close, 6) as close, round(case when e.loss = 0 then (case when e.gain = 0 then 50 else 100 end) else 100 - 100 / (1 + e.gain / e.loss) end, 6) as rsi from e join r using (symbol, rn) where n >= 15",
+    CHANGES + ", e as (select symbol, rn, gain, loss from d where rn = 1 union all select d.symbol, d.rn, " + ", ".join(ema_step(f"d.{c}", f"e.{c}", 14) for c in ("gain", "loss")) + " from e join d on d.symbol = e.symbol and d.rn = e.rn + 1)", True,
+)
+_alpha = lambda x, y: f"(1 - 1.0::double / 14) * {y} + {x} / 14"
+MOVES = f"d as (select *, {TR} as tr, case when up > down and up > 0 then up else 0 end as p, case when down > up and down > 0 then down else 0 end as m from (select *, coalesce(high - lag(high) {W}), 0) as up, coalesce(lag(low) {W}) - low, 0) as down from r))"
+ORACLES["adx"] = sql(
+    "select symbol, ts, round(e.adx, 6) as adx, round(e.pd, 6) as plus_di, round(e.md, 6) as minus_di from e join r using (symbol, rn) where n >= 28",
+    MOVES + """, s as (select symbol, rn, tr, cast(p as double) as p, cast(m as double) as m from d where rn = 1 union all select d.symbol, d.rn, """ + ", ".join(_alpha(f"d.{c}", f"s.{c}") for c in ("tr", "p", "m")) + """ from s join d on d.symbol = s.symbol and d.rn = s.rn + 1),
+    di as (select symbol, rn, case when tr = 0 then 0 else 100 * p / tr end as pd, case when tr = 0 then 0 else 100 * m / tr end as md from s), dx as (select *, case when pd + md = 0 then 0 else 100 * abs(pd - md) / (pd + md) end as dx from di),
+    e as (select symbol, rn, cast(dx as double) as adx, pd, md from dx where rn = 1 union all select dx.symbol, dx.rn, """ + _alpha("dx.dx", "e.adx") + ", dx.pd, dx.md from e join dx on dx.symbol = e.symbol and dx.rn = e.rn + 1)", True,
+)
+
+ORACLES["latest_ticker"] = """select symbol, top as ts, round(price, 6) as price, round((price - b) / nullif(b, 0) * 100, 6) as change_pct_24h from (select event_type as symbol, max(ts) as top, arg_max(value, (ts, event_id)) as price from events group by 1)
+left join (select event_type as symbol, arg_max(value, (ts, event_id)) as b from events join (select event_type, max(ts) as top from events group by 1) using (event_type) where ts <= top - interval 24 hours group by 1) using (symbol)"""
+ORACLES["bars_daily_orders"] = """select o_orderpriority as symbol, cast(date_trunc('day', cast(o_orderdate as timestamp)) as timestamp) as ts, round(arg_min(cast(o_totalprice as double), (o_orderdate, o_orderkey)), 6) as open, round(max(cast(o_totalprice as double)), 6) as high,
+round(min(cast(o_totalprice as double)), 6) as low, round(arg_max(cast(o_totalprice as double), (o_orderdate, o_orderkey)), 6) as close, cast(count(*) as double) as volume from orders group by 1, 2"""
+ORACLES["order_book"] = """select symbol, side, price, amount, level from (select *, row_number() over (partition by symbol, side order by case when side = 'bid' then -price else price end) as level from (
+select l_linestatus as symbol, case when l_returnflag = 'A' then 'bid' else 'ask' end as side, round(cast(l_extendedprice as double) / cast(l_quantity as double), 2) as price, sum(cast(l_quantity as double)) as amount from lineitem where l_returnflag in ('A', 'R') group by 1, 2, 3)) where level <= 10"""
+ORACLES["symbol_mentions"] = "select doc_id, regexp_matches(' ' || replace(lower(coalesce(text, '')), ' ', '  ') || ' ', '[^a-z0-9](the|of)[^a-z0-9]') as mentioned from documents"
+ORACLES["walk_forward_splits"] = sql("select symbol, cast(s / 50 as bigint) as split, s as start, s + 100 as test_start, s + 150 as \"end\" from (select symbol, unnest(range(0, n - 149, 50)) as s from (select symbol, count(*) as n from bars group by 1) where n >= 150)")
+ORACLES["initial_balance"] = sql("select symbol, round(arg_min(low, ts), 6) as ib_low, round(arg_min(high, ts), 6) as ib_high, max(high) > arg_min(high, ts) as expanded_up, min(low) < arg_min(low, ts) as expanded_down from bars group by 1")
+ORACLES["return_metrics"] = sql(
+    f"""select symbol, round(case when s > 0 then sqrt(252) * m / s else 0 end, 6) as sharpe, round(case when ds > 0 then sqrt(252) * m / ds else 0 end, 6) as sortino, round(x, 6) as max_drawdown, round(s * sqrt(252), 6) as volatility from (
+        select symbol, avg(q) as m, stddev_pop(q) as s, stddev_pop(q) filter (where q < 0) as ds, min(g / p - 1) as x from (select *, max(g) {RUN} as p from (select *, exp(sum(ln(1 + q)) {RUN}) as g from (select *, close / lag(close) {W}) - 1 as q from r) where q is not null)) group by 1)"""
+)
