@@ -55,7 +55,7 @@ ORACLES["cci"] = sql(
         select *, avg(tp) {last(20)} as m, list(tp) {last(20)} as l from (select symbol, ts, rn, (high + low + close) / 3 as tp from r))"""
 )
 ORACLES["williams_r"] = sql(
-    f"select symbol, ts, round(case when rn < 14 then null when hh = ll then -50 else -100 * (hh - close) / (hh - ll) end, 6) as williams_r from (select *, min(low) {last(14)} as ll, max(high) {last(14)} as hh from r)"
+    f"select symbol, ts, round(case when rn < 14 then null when hh = ll then -50 else 100 * (close - hh) / (hh - ll) end, 6) as williams_r from (select *, min(low) {last(14)} as ll, max(high) {last(14)} as hh from r)"
 )
 ORACLES["roc"] = _window(f"round(100 * (close - lag(close, 12) {W})) / nullif(lag(close, 12) {W}), 0), 6) as roc")
 ORACLES["bollinger_width"] = sql(
@@ -230,3 +230,6 @@ ORACLES["return_metrics"] = sql(
     f"""select symbol, round(case when s > 0 then sqrt(252) * m / s else 0 end, 6) as sharpe, round(case when ds > 0 then sqrt(252) * m / ds else 0 end, 6) as sortino, round(x, 6) as max_drawdown, round(s * sqrt(252), 6) as volatility from (
         select symbol, avg(q) as m, stddev_pop(q) as s, stddev_pop(q) filter (where q < 0) as ds, min(g / p - 1) as x from (select *, max(g) {RUN} as p from (select *, exp(sum(ln(1 + q)) {RUN}) as g from (select *, close / lag(close) {W}) - 1 as q from r) where q is not null)) group by 1)"""
 )
+
+# a small negative number rounds to negative zero here, and to zero in Spark
+ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}
