@@ -231,5 +231,106 @@ ORACLES["return_metrics"] = sql(
         select symbol, avg(q) as m, stddev_pop(q) as s, stddev_pop(q) filter (where q < 0) as ds, min(g / p - 1) as x from (select *, max(g) {RUN} as p from (select *, exp(sum(ln(1 + q)) {RUN}) as g from (select *, close / lag(close) {W}) - 1 as q from r) where q is not null)) group by 1)"""
 )
 
+
+def swing_ctes(least: float) -> str:
+    """sw: symbol, id, kind, i, price, from_i, from_price, with times. The state machine as a recursion over candidates."""
+    rep = "(c.kind = s.kind and case when c.kind = 'high' then c.price >= s.price else c.price <= s.price end)"
+    app = f"(c.kind <> s.kind and abs(c.price - s.price) / case when s.price = 0 then 1 else abs(s.price) end >= {least})"
+    new = f"({rep} or {app})"
+    return f"""{CANDIDATES}, c0 as (select symbol, i, 'low' as kind, low as price from cand where is_low union all select symbol, i, 'high', high from cand where is_high),
+    c as (select *, row_number() over (partition by symbol order by i, kind desc) as k from c0),
+    s as (select c.symbol, c.k, cast(1 as bigint) as id, c.kind, c.price, c.i, greatest(0, c.i - 2) as from_i, r.close as from_price from c join r on r.symbol = c.symbol and r.rn = greatest(0, c.i - 2) + 1 where c.k = 1
+      union all select c.symbol, c.k, case when {app} then s.id + 1 else s.id end, case when {app} then c.kind else s.kind end, case when {new} then c.price else s.price end, case when {new} then c.i else s.i end,
+        case when {app} then s.i else s.from_i end, case when {app} then s.price else s.from_price end from s join c on c.symbol = s.symbol and c.k = s.k + 1),
+    sw as (select f.*, p.ts, q.ts as from_ts from (select symbol, id, arg_max(kind, k) as kind, arg_max(price, k) as price, arg_max(i, k) as i, arg_max(from_i, k) as from_i, arg_max(from_price, k) as from_price from s group by 1, 2) f
+      join r p on p.symbol = f.symbol and p.rn = f.i + 1 join r q on q.symbol = f.symbol and q.rn = f.from_i + 1)"""
+
+
+ORACLES["swings"] = sql(
+    """select symbol, id as swing_id, i as pivot_index, kind as swing_type, ts as pivot_ts, round(price, 6) as pivot_price, from_ts as leg_start_ts, round(from_price, 6) as leg_start_price, ts as leg_end_ts, round(price, 6) as leg_end_price,
+    round(price - from_price, 6) as price_delta, round(abs(price - from_price) / case when from_price = 0 then 1 else abs(from_price) end, 6) as pct_delta from sw""",
+    swing_ctes(0.02), True,
+)
+ORACLES["market_structure"] = sql(
+    """select symbol, row_number() over (partition by symbol order by id) as event_id, ts as event_ts, id as swing_id, kind as swing_type, class as classification, ref_id as reference_swing_id, round(ref, 6) as reference_price, round(price, 6) as current_price,
+    round(price - ref, 6) as price_delta, round(case when ref = 0 then 0 else abs(price - ref) / abs(ref) end, 6) as pct_delta,
+    case when h is null or l is null then 'transition' when h in ('HH', 'EH') and l = 'HL' then 'bullish' when h = 'LH' and l in ('LL', 'EL') then 'bearish' when h = 'LH' and l = 'HL' then 'transition' else 'range' end as trend_state from (
+        select *, last_value(case when kind = 'high' then class end ignore nulls) over o as h, last_value(case when kind = 'low' then class end ignore nulls) over o as l from (
+            select *, case when abs(price - ref) <= 1e-9 then 'E' || upper(kind[1]) when kind = 'high' then case when price > ref then 'HH' else 'LH' end else case when price < ref then 'LL' else 'HL' end end as class from (
+                select *, lag(price) over w as ref, lag(id) over w as ref_id from sw window w as (partition by symbol, kind order by id)) where ref is not null)
+        window o as (partition by symbol order by id rows between unbounded preceding and current row))""",
+    swing_ctes(0.02), True,
+)
+RANGES = swing_ctes(0.02) + """, hi as (select *, row_number() over (partition by symbol order by i) as k from sw where kind = 'high'), lo as (select * from sw where kind = 'low'),
+    pr as (select a.symbol, a.k as ka, b.k as kb, a.i as ia, b.i as ib, a.ts as start_ts, b.ts as end_ts from hi a join hi b on a.symbol = b.symbol and b.k > a.k and b.k < a.k + 20),
+    pl as (select pr.*, min(lo.price) as bottom from pr join lo on lo.symbol = pr.symbol and lo.i between ia and ib group by all having count(*) >= 2),
+    ph as (select pl.*, max(hi.price) as top from pl join hi on hi.symbol = pl.symbol and hi.k between ka and kb group by all),
+    rg as (select *, (top + bottom) / 2 as mid, top - bottom as width, top - (top - bottom) * 0.001 as t, bottom + (top - bottom) * 0.001 as b from ph where (top + bottom) / 2 = 0 or (top - bottom) / ((top + bottom) / 2) <= 2.0),
+    rc as (select rg.symbol, start_ts, end_ts, top, bottom, mid, width, t, b, count(*) as k, avg(case when close between b and t then 1.0::double else 0 end) as share, arg_max(close, r.ts) as final from rg join r on r.symbol = rg.symbol and r.ts between start_ts and end_ts group by 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    ranges as (select *, row_number() over (partition by symbol order by start_ts, end_ts, top, bottom) as id from rc where share + 1e-9 >= 0.8)"""
+ORACLES["price_ranges"] = sql(
+    """select symbol, id as range_id, start_ts, end_ts, round(top, 6) as range_high, round(bottom, 6) as range_low, round(mid, 6) as range_mid, round(width, 6) as range_width, round(case when mid = 0 then 0 else width / mid end, 6) as range_width_pct,
+    k as bars_evaluated, round(round(share, 4), 6) as containment_ratio, case when final > t then 'broken_up' when final < b then 'broken_down' else 'active' end as status from ranges""",
+    RANGES, True,
+)
+ORACLES["range_breakouts"] = sql(
+    """select symbol, row_number() over (partition by symbol order by id) as breakout_id, id as range_id, at_ts as breakout_ts, case when up then 'up' else 'down' end as direction, round(c, 6) as breakout_price, round(case when up then top else bottom end, 6) as boundary_price,
+    round(case when up then c - top else bottom - c end, 6) as distance, round(case when up then (c - top) / nullif(top, 0) else coalesce((bottom - c) / nullif(bottom, 0), 0) end, 6) as distance_pct, cast(1 as bigint) as confirm_bars from (
+        select g.symbol, id, top, bottom, min(r.ts) as at_ts, arg_min(close, r.ts) as c, arg_min(close > top, r.ts) as up from ranges g join r on r.symbol = g.symbol and r.ts >= end_ts and (close > top + width * 0.001 or close < bottom - width * 0.001) group by 1, 2, 3, 4)""",
+    RANGES, True,
+)
+
+
+def area_ctes(cells: str, share: float) -> str:
+    """va: symbol, poc, lo, hi, from cells (symbol, bin, v)."""
+    left = "(lo > 0 and (hi = n - 1 or v[lo] >= v[hi + 2]))"
+    return f"""{cells}, vp as (select symbol, list(v order by bin) as v, sum(v) as total, count(*) as n, arg_min(bin, (-v, bin)) as poc from cells group by 1),
+    g as (select symbol, v, total, n, poc, poc as lo, poc as hi, v[poc + 1] as held from vp where total > 0
+      union all select symbol, v, total, n, poc, case when {left} then lo - 1 else lo end, case when {left} then hi else hi + 1 end, held + case when {left} then v[lo] else v[hi + 2] end from g where held < total * {share} and (lo > 0 or hi < n - 1)),
+    va as (select symbol, any_value(poc) as poc, min(lo) as lo, max(hi) as hi from g group by 1)"""
+
+
+PROFILE = area_ctes(
+    """e as (select symbol, min(low) as a, max(high) as z from bars group by 1), edges as (select symbol, cast(k as bigint) as bin, a + k * ((z - a) / 50) as x, case when k = 49 then z else a + (k + 1) * ((z - a) / 50) end as y from e, range(0, 50) as t(k)),
+    touched as (select d.symbol, bin, b.ts, b.low, b.high, b.volume, x, y, row_number() over (partition by d.symbol, b.ts order by bin) as first from edges d join bars b on b.symbol = d.symbol and case when b.low = b.high then x <= b.low and b.low <= y else x < b.high and y > b.low end),
+    cells as (select edges.*, coalesce(v, 0) as v, coalesce(k, 0) as k from edges left join (select symbol, bin, sum(case when volume <= 0 then 0 when low = high then volume else volume * ((least(high, y) - greatest(low, x)) / (high - low)) end) as v, count(*) as k from touched where low < high or first = 1 group by 1, 2) using (symbol, bin))""",
+    0.7,
+)
+ORACLES["volume_profile"] = sql(
+    """select symbol, bin, round(x, 6) as bin_low, round(y, 6) as bin_high, round((x + y) / 2, 6) as bin_mid, round(v, 6) as volume, k as candles, v >= quantile_cont(v, 0.8) over (partition by symbol) as is_hvn,
+    v <= quantile_cont(v, 0.2) over (partition by symbol) as is_lvn, bin between lo and hi as in_value_area, poc from cells join va using (symbol)""",
+    PROFILE, True,
+)
+TPO = area_ctes(
+    """b as (select *, row_number() over (partition by symbol order by ts) as i from r where rn > n - 48), e as (select symbol, cast(min(low) as decimal(18, 6)) as a, max(high) as z from b group by 1),
+    steps as (select symbol, a, z, cast(floor((cast(z as decimal(18, 6)) - a) / 5) as bigint) as k from e), edges as (select symbol, j as bin, cast(a + 5 * j as double) as x, cast(a + 5 * (j + 1) as double) as y from (select *, unnest(range(0, case when cast(a + 5 * k as double) < z then k + 1 else k end)) as j from steps)),
+    touched as (select d.symbol, bin, b.ts, b.i, b.low, b.high, row_number() over (partition by d.symbol, b.ts order by bin) as first from edges d join b on b.symbol = d.symbol and case when b.low = b.high then x <= b.low and b.low <= y else x < b.high and y > b.low end),
+    cells as (select edges.*, coalesce(v, 0) as v, coalesce(m, '') as m from edges left join (select symbol, bin, count(*) as v, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', i, 1), '' order by i) as m from touched where low < high or first = 1 group by 1, 2) using (symbol, bin))""",
+    0.7,
+)
+ORACLES["tpo"] = sql("select symbol, bin as row, round(x, 6) as row_low, round(y, 6) as row_high, round((x + y) / 2, 6) as row_mid, v as tpo_count, m as markers, bin between lo and hi as in_value_area, poc from cells join va using (symbol)", TPO, True)
+BLOCKS = ATR + f""", z0 as (select r.symbol, r.ts, open, high, low, close, coalesce(atr, 0) as atr, r.rn - 1 as i, n - 1 as last_i from r left join a on a.symbol = r.symbol and a.rn = r.rn),
+    z1 as (select *, lag(ts) {W}) as pts, lag(open) {W}) as po, lag(high) {W}) as ph, lag(low) {W}) as pl, lag(close) {W}) as pc, lead(low) {W}) > lag(high) {W}) as up_gap, lead(high) {W}) < lag(low) {W}) as down_gap from z0),
+    z2 as (select *, close > open and pc < po and close > ph as up, close < open and pc > po and close < pl as down from z1 where i >= 2 and i < last_i and abs(close - open) >= atr),
+    z3 as (select symbol, case when up then 'bullish' else 'bearish' end as direction, pts as block_ts, i - 1 as block_i, i as created_i, case when up then pl else po end as zone_low, case when up then po else ph end as zone_high, atr, case when up then up_gap else down_gap end as has_gap, last_i from z2 where up or down),
+    zn as (select z3.*, coalesce(bool_or(case when direction = 'bullish' then r.close < zone_low else r.close > zone_high end), false) as invalidated from z3 left join r on r.symbol = z3.symbol and r.rn - 1 > block_i group by all)"""
+ORACLES["order_block_candidates"] = sql("select symbol, direction, block_ts, block_i, created_i, round(zone_low, 6) as zone_low, round(zone_high, 6) as zone_high, round(atr, 6) as atr, has_gap, invalidated from zn", BLOCKS, True)
+ORACLES["order_blocks"] = sql("select symbol, direction as type, block_ts as date, round(zone_low, 6) as zone_low, round(zone_high, 6) as zone_high, last_i - created_i as freshness, has_gap from zn where not invalidated and last_i - created_i <= 20", BLOCKS, True)
+
+KEYWORDS = "k0 as (select doc_id, lower(phrase || ' ' || coalesce(text, '')) as t0 from (select *, ['to the moon moon', 'pump and dump', 'bears bear bull', 'rugpull rug crash', 'bullish'][cast(doc_id % 5 + 1 as bigint)] as phrase from documents))"
+ORACLES["keyword_boost"] = f"""with {KEYWORDS}, k1 as (select *, regexp_replace(t0, '\\bto the moon\\b', '###') as t1 from k0) select doc_id, round(greatest(least(cast((
+    regexp_matches(t0, '\\bto the moon\\b')::int + regexp_matches(t1, '\\balts are up\\b')::int + regexp_matches(t1, '\\bbullish\\b')::int + regexp_matches(t1, '\\bmoon\\b')::int + regexp_matches(t1, '\\bpump\\b')::int
+    - regexp_matches(t1, '\\brugpull\\b')::int - regexp_matches(t1, '\\bbearish\\b')::int - regexp_matches(t1, '\\bdump\\b')::int - regexp_matches(t1, '\\bcrash\\b')::int - regexp_matches(t1, '\\brug\\b')::int - regexp_matches(t1, '\\bbear\\b')::int
+    ) as double) * 0.15, 1), -1), 6) as boost from k1"""
+SCORES = """lex(word, valence) as (values ('the', 0.5::double), ('of', -0.4), ('and', 0.3), ('der', 0.2), ('la', -0.6), ('crash', -2.0)),
+    words as (select doc_id, source, coalesce(text, '') as text, unnest(case when len(w) = 0 then [null] else w end) as word from (select *, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}'']+'), lambda w: w <> '') as w from documents)),
+    sums as (select doc_id, sum(coalesce(valence, 0)) as s, coalesce(sum(valence + 1) filter (where valence > 0), 0) as p, coalesce(sum(1 - valence) filter (where valence < 0), 0) as n, count(*) filter (where word is not null and coalesce(valence, 0) = 0) as z from words left join lex using (word) group by 1),
+    base as (select sums.*, source, round(s / sqrt(s * s + 15), 4) as compound, lower(coalesce(text, '')) as t from sums join documents using (doc_id)),
+    boosted as (select *, greatest(least(cast((regexp_matches(t, '\\bto the moon\\b')::int + regexp_matches(t, '\\balts are up\\b')::int + regexp_matches(t, '\\bbullish\\b')::int + regexp_matches(regexp_replace(t, '\\bto the moon\\b', '#'), '\\bmoon\\b')::int + regexp_matches(t, '\\bpump\\b')::int
+      - regexp_matches(t, '\\brugpull\\b')::int - regexp_matches(t, '\\bbearish\\b')::int - regexp_matches(t, '\\bdump\\b')::int - regexp_matches(t, '\\bcrash\\b')::int - regexp_matches(t, '\\brug\\b')::int - regexp_matches(t, '\\bbear\\b')::int) as double) * 0.15, 1), -1) as boost from base),
+    scored as (select *, round(greatest(least(compound + boost, 1), -1), 4) as final from boosted)"""
+ORACLES["sentiment_scores"] = f"with {SCORES} select doc_id, round(coalesce(p / nullif(p + n + z, 0), 0), 4) as pos, round(coalesce(z / nullif(p + n + z, 0), 0), 4) as neu, round(coalesce(n / nullif(p + n + z, 0), 0), 4) as neg, compound, round(boost, 4) as keyword_boost, final as final_score from scored"
+ORACLES["sentiment_summary"] = f"with {SCORES} select source, count(*) as total, cast(round(cast(cast(avg(final) as varchar) as decimal(20, 12)), 4) as double) as avg_sentiment, count(*) filter (where final > 0.05) as positive, count(*) filter (where final < -0.05) as negative, count(*) filter (where final between -0.05 and 0.05) as neutral from scored group by 1"
+
 # a small negative number rounds to negative zero here, and to zero in Spark
 ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}
