@@ -9,9 +9,9 @@ come after the latest of the components. Two signatures agree in a component wit
 Jaccard similarity of the bags.
 
 Candidates share a band of the signature; links are verified by the overlap of the bags. Equal bags are one node from
-the start. In each bucket of a band all members are held against the bucket's smallest member; then, in buckets whose
-members are still in different components, all pairs of different components are compared by signature, in blocks,
-and the likely ones are verified. So a bucket of copies gives one pair a member, and no link is left out because a
+the start. In each bucket of a band all members are held against one member, the hub; then, in buckets whose members
+are still in different components, all pairs of different components are compared by signature, in blocks, and the
+likely ones are verified in place. So a bucket of copies gives one pair a member, and no link is left out because a
 bucket is large.
 
 Cases: null text counts as empty; texts of fewer than five words have one shingle, of all their words; texts without
@@ -91,19 +91,31 @@ def sign(bags: list[tuple[np.ndarray, np.ndarray]], components: int = COMPONENTS
     return (mix(bits) >> np.uint64(48)).astype("<u2").reshape(len(bags), components)
 
 
+def as_set(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bag as a sorted set of 32-bit hashes of (element, number of occurrence): overlaps of bags are those of sets."""
+    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.unique((mix(np.repeat(elements, counts) + number.astype(np.uint64) * _STEP) >> np.uint64(32)).astype("<u4"))
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two bags, each a sorted array with repeated elements."""
+    """Weighted Jaccard similarity of two bags as sets; 0 if one is empty."""
     if not len(a) or not len(b):
         return 0.0
-    x, m = np.unique(a, return_counts=True)
-    y, n = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(m[i], n[j]).sum())
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return shared / (len(a) + len(b) - shared)
 
 
+def overlaps(a: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """The similarity of one bag to each of many, none of them empty."""
+    sizes = np.array([len(b) for b in many])
+    joined = np.concatenate(many)
+    hits = a[np.minimum(np.searchsorted(a, joined), len(a) - 1)] == joined
+    shared = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes)
+    return shared / (len(a) + sizes - shared)
+
+
 def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", components: int = COMPONENTS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, bag_id (a hash of the bag), signature, and the bag as sorted 32-bit hashes with repeats."""
+    """doc_id, text_hash, bag_id (a hash of the bag), signature, and the bag as a set of 32-bit hashes."""
 
     def make():
         known = WordHashes()
@@ -121,7 +133,7 @@ def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", components
                 "text_hash": rows["text_hash"],
                 "bag_id": bag_ids,
                 "signature": [s.tobytes() if len(e) else None for s, (e, _) in zip(signatures, bags, strict=True)],
-                "bag": [np.sort((s >> np.uint64(32)).astype("<u4")).tobytes() for s in found],
+                "bag": [as_set(*b).tobytes() for b in bags],
             }
 
         return work
@@ -150,37 +162,47 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return common.map_rows(joined, make, "a long, b long, similarity double")
 
 
-def residual_pairs(members: DataFrame, least: float, components: int = COMPONENTS, rows_in_band: int = ROWS) -> DataFrame:
-    """Likely pairs of members (bucket, band, bag_id, component, signature) of one bucket in different components.
+def residual_links(members: DataFrame, bags: DataFrame, least: float, components: int = COMPONENTS, rows_in_band: int = ROWS) -> DataFrame:
+    """Links between members (bucket, band, bag_id, component) of one bucket in different components; bags: of each bag_id.
 
     Buckets are cut into blocks by a hash, and each pair of blocks is one unit of work, so no task holds a bucket.
+    Pairs whose signatures are likely are verified by their bags at once, and only links that join two components of
+    the unit are given, so their number is below the number of members.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select((F.col("bucket") + 0).alias("bucket"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_rows = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("bag_id", F.lit(1)), F.col("blocks")).cast("int"))
-    spread = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", "band", "bag_id", "component", "signature", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).select((F.col("bucket") + 0).alias("bucket"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("bag_id", F.lit(1)), F.col("blocks")).cast("int"))
+    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "band", "bag_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # signatures and bags come in last, so that they are dealt once
+    spread = spread.join(bags.select((F.col("bag_id") + 0).alias("bag_id"), "signature", "bag"), "bag_id")
     parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = spread.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "bag_id")
     slack = 4 * (least * (1 - least) / components) ** 0.5
 
     def compare(group: list[tuple], out: dict[str, list]) -> None:
-        if len({g[3] for g in group}) < 2:
-            return
-        band, same = group[0][1], group[0][6] == group[0][7]
-        s = np.frombuffer(b"".join(g[4] for g in group), "<u2").reshape(len(group), components)
-        ids, comp, block = (np.array([g[k] for g in group]) for k in (2, 3, 5))
-        for k in range(len(group) - 1):
-            rest = np.flatnonzero((comp[k + 1 :] != comp[k]) & (True if same else block[k + 1 :] != block[k])) + k + 1
+        kept: list[tuple] = list({g[2]: g for g in group}.values())
+        band = kept[0][1]
+        s = np.frombuffer(b"".join(g[4] for g in kept), "<u2").reshape(len(kept), components)
+        bags = [np.frombuffer(g[5], "<u4") for g in kept]
+        names: dict[int, int] = {}
+        comp = np.array([names.setdefault(g[3], len(names)) for g in kept])
+        for k in range(len(kept) - 1):
+            if len(names) < 2 or (comp == comp[0]).all():
+                return
+            rest = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
             if not len(rest):
                 continue
             equal = s[rest] == s[k]
-            rest, equal = (x[equal.mean(axis=1) >= least - slack] for x in (rest, equal))
-            if len(rest) and band:  # a pair that shares several bands counts in the first
-                before = equal[:, : band * rows_in_band].reshape(len(rest), band, rows_in_band).all(axis=2).any(axis=1)
-                rest = rest[~before]
-            out["a"] += [int(ids[k])] * len(rest)
-            out["b"] += ids[rest].tolist()
+            likely = equal.mean(axis=1) >= least - slack
+            rest, equal = rest[likely], equal[likely]
+            if len(rest) and band:  # a pair that shares several bands is held in the first
+                rest = rest[~equal[:, : band * rows_in_band].reshape(len(rest), band, rows_in_band).all(axis=2).any(axis=1)]
+            if not len(rest):
+                continue
+            for x in rest[overlaps(bags[k], [bags[r] for r in rest]) >= least]:
+                if comp[x] != comp[k]:
+                    out["a"].append(kept[k][2])
+                    out["b"].append(kept[x][2])
+                    comp[comp == comp[x]] = comp[k]
 
     def make():
         held: list[tuple] = []
@@ -190,7 +212,7 @@ def residual_pairs(members: DataFrame, least: float, components: int = COMPONENT
             if rows is None:
                 compare(held, out) if held else None
                 return out
-            for row in zip(*(rows[n] for n in ("bucket", "band", "bag_id", "component", "signature", "block", "i", "j")), strict=True):
+            for row in zip(*(rows[n] for n in ("bucket", "band", "bag_id", "component", "signature", "bag", "i", "j")), strict=True):
                 if held and (held[0][0], held[0][6], held[0][7]) != (row[0], row[6], row[7]):
                     compare(held, out)
                     held.clear()
@@ -202,25 +224,67 @@ def residual_pairs(members: DataFrame, least: float, components: int = COMPONENT
     return common.map_rows(ordered, make, "a long, b long", finish=True)
 
 
+#: Bits of the table of candidates: 4 MB for any input. Beyond about as many candidates it lets more through.
+TABLE_BITS = 1 << 25
+
+
+def likely_in(rows: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """The rows whose column may be among the values: all that are, and few others.
+
+    So the bags of documents without any candidate are not dealt. The joins that follow decide.
+    """
+    place = lambda x: mix(x.view(np.uint64)) & np.uint64(TABLE_BITS - 1)
+
+    def gather():
+        def work(part):
+            at = place(np.array(part[column], dtype=np.int64)).astype(np.int64)
+            words, back = np.unique(at >> 6, return_inverse=True)
+            bits = np.zeros(len(words), dtype=np.int64)
+            np.bitwise_or.at(bits, back, np.left_shift(np.int64(1), at & 63))
+            return {"word": words, "bits": bits}
+
+        return work
+
+    words = common.map_rows(values.select(column), gather, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(TABLE_BITS // 64, dtype=np.int64)
+    table[words["word"].to_numpy(dtype=int)] = words["bits"].to_numpy(dtype=np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def make():
+        known = shared.value
+
+        def work(part):
+            at = place(np.array(part[column], dtype=np.int64)).astype(np.int64)
+            keep = np.flatnonzero((known[at >> 6] >> (at & 63)) & 1).tolist()
+            return {k: [v[i] for i in keep] for k, v in part.items()}
+
+        return work
+
+    return common.map_rows(rows, make, ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, components: int = COMPONENTS, rows_in_band: int = ROWS, width: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, bag_id and class_id, the smallest id of the class, for each row."""
     rows = common.checkpointed(signed(df, doc_id, text, components, width))
-    nodes = common.checkpointed(rows.groupBy("bag_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bag").alias("bag")))
+    nodes = common.checkpointed(rows.groupBy("bag_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
     keys = F.array(*[F.xxhash64(F.substring("signature", 2 * rows_in_band * k + 1, 2 * rows_in_band), F.lit(k)) for k in range(components // rows_in_band)])
     bands = nodes.where(F.col("signature").isNotNull()).select("bag_id", F.posexplode(keys).alias("band", "bucket"))
-    hubs = bands.groupBy("bucket").agg(F.min("bag_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select((F.col("bucket") + 0).alias("bucket"), "hub")
+    # each bucket's hub is its smallest member under a mask of its own, so the buckets of a group of copies have many hubs
+    mask = F.xxhash64("bucket")
+    hubs = bands.groupBy("bucket").agg(F.min(F.col("bag_id").bitwiseXOR(mask)).alias("hub"), F.count("*").alias("n")).where("n > 1").select((F.col("bucket") + 0).alias("bucket"), F.col("hub").bitwiseXOR(mask).alias("hub"))
     shared = common.checkpointed(bands.join(hubs, "bucket").select("bag_id", "band", "bucket", "hub"))
     stars = shared.where("bag_id <> hub").select(F.col("bag_id").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = common.checkpointed(verified(stars, nodes, least))
+    wanted = likely_in(rows.select("bag_id", "signature", "bag"), shared, "bag_id")
+    bags = common.checkpointed(wanted.groupBy("bag_id").agg(F.first("signature").alias("signature"), F.first("bag").alias("bag")))
+    edges = common.checkpointed(verified(stars, bags, least).select("a", "b"))
     found = connected_components(edges)
-    label = lambda c: found.select((F.col("node") + 0).alias(c), "component")
-    members = shared.select((F.col("bag_id") + 0).alias("bag_id"), "band", "bucket").join(label("bag_id"), "bag_id", "left").withColumn("component", F.coalesce("component", "bag_id"))
+    label = found.select((F.col("node") + 0).alias("bag_id"), "component")
+    members = shared.select((F.col("bag_id") + 0).alias("bag_id"), "band", "bucket").join(label, "bag_id", "left").withColumn("component", F.coalesce("component", "bag_id"))
+    members = common.checkpointed(members)
     # only buckets that hold more than one component are looked at again
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select((F.col("bucket") + 0).alias("bucket"))
-    members = members.join(mixed, "bucket").join(nodes.select((F.col("bag_id") + 0).alias("bag_id"), "signature"), "bag_id")
-    likely = residual_pairs(common.checkpointed(members), least, components, rows_in_band)
-    more = common.checkpointed(verified(likely, nodes, least))
-    final = connected_components(edges.select("a", "b").unionByName(more.select("a", "b")))
+    more = common.checkpointed(residual_links(members.join(mixed, "bucket"), bags, least, components, rows_in_band))
+    final = connected_components(edges.unionByName(more))
     classed = nodes.select((F.col("bag_id") + 0).alias("bag_id"), "rep").join(final.select((F.col("node") + 0).alias("bag_id"), "component"), "bag_id", "left").withColumn("component", F.coalesce("component", "bag_id"))
     named = classed.groupBy("component").agg(F.coalesce(F.min("rep"), -F.abs(F.col("component")) - 1).alias("class_id"))
     of_bag = classed.select("bag_id", "component").join(named.select((F.col("component") + 0).alias("component"), "class_id"), "component").select("bag_id", "class_id")
