@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import symbols as sym
@@ -138,6 +138,9 @@ on_bars(
     backtest_equity=lambda b: bt.equity_of(_simulated(b, strat.rsi_reversion)),
     backtest_metrics=lambda b: _finite(bt.metrics(_simulated(b, strat.rsi_reversion))),
     compare_strategies=lambda b: _finite(bt.compare(b, {k: v for k, v in strat.STRATEGIES.items() if k != "order_blocks"})),
+    engine_equity=lambda b: bt.equity_of(_by_hour(b)),
+    engine_trades=lambda b: bt.trades_of(_by_hour(b)),
+    engine_metrics=lambda b: _finite(bt.metrics(_by_hour(b))),
     walk_forward=lambda b: _finite(bt.walk_forward(b, strat.rsi_reversion, 100, 50, 50)),
     walk_forward_summary=lambda b: bt.walk_forward_summary(bt.walk_forward(b, strat.rsi_reversion, 100, 50, 50)),
     walk_forward_splits=lambda b: bt.splits(b, 100, 50, 50),
@@ -162,6 +165,14 @@ def _simulated(bars: DataFrame, strategy: Callable[[DataFrame], DataFrame]) -> D
     return bt.simulate(bt.normalize_signals(bars, strategy(bars)))
 
 
+def _by_hour(bars: DataFrame) -> DataFrame:
+    """The engine on signals told by the hour of the day alone; long on even days, short on odd ones, flat at the end of each."""
+    hour, side = F.hour("ts"), F.when(F.dayofmonth("ts") % 2 == 0, "long").otherwise("short")
+    last = F.max("ts").over(Window.partitionBy("symbol", F.to_date("ts")))
+    action = F.when(F.col("ts") == last, F.concat(side, F.lit("_exit"))).when(hour.isin(2, 10), F.concat(side, F.lit("_entry"))).when(hour.isin(7, 18), F.concat(side, F.lit("_exit"))).otherwise("hold")
+    return bt.simulate(bt.normalize_signals(bars, bars.select("symbol", "ts", action.alias("signal"))))
+
+
 @query
 def latest_ticker(spark, sf_dir):
     return src.latest_ticker(table(spark, sf_dir, "events"))

@@ -332,5 +332,65 @@ SCORES = """lex(word, valence) as (values ('the', 0.5::double), ('of', -0.4), ('
 ORACLES["sentiment_scores"] = f"with {SCORES} select doc_id, round(coalesce(p / nullif(p + n + z, 0), 0), 4) as pos, round(coalesce(z / nullif(p + n + z, 0), 0), 4) as neu, round(coalesce(n / nullif(p + n + z, 0), 0), 4) as neg, compound, round(boost, 4) as keyword_boost, final as final_score from scored"
 ORACLES["sentiment_summary"] = f"with {SCORES} select source, count(*) as total, cast(round(cast(cast(avg(final) as varchar) as decimal(20, 12)), 4) as double) as avg_sentiment, count(*) filter (where final > 0.05) as positive, count(*) filter (where final < -0.05) as negative, count(*) filter (where final between -0.05 and 0.05) as neutral from scored group by 1"
 
+# The engine: one recursion over bars with cash, side (1, -1, 0), entry price, size, fee and what a closed trade was.
+ENGINE = f"""g as (select symbol, rn, ts, open as o, close as c, lag(act) {W}) as act, lag(dir) {W}) as dir from (
+      select *, case when day(ts) % 2 = 0 then 1 else -1 end as dir, case when ts = max(ts) over (partition by symbol, cast(ts as date)) then 'exit' when hour(ts) in (2, 10) then 'entry' when hour(ts) in (7, 18) then 'exit' else 'hold' end as act from r)),
+    e as (select symbol, rn, cast(100000 as double) as cash, 0 as side, cast(0 as double) as entry, cast(0 as double) as size, cast(0 as double) as fee, rn as entry_rn, cast(null as double) as exit, cast(null as double) as gross, cast(null as double) as net, cast(null as double) as fees, cast(null as bigint) as held, cast(null as bigint) as was,
+        cast(null as double) as was_entry, cast(null as double) as was_size from g where rn = 1
+      union all select symbol, rn, cash + coalesce(net, 0) - case when opens then new_size * new_entry * 0.001 else 0 end, case when opens then dir when closes then 0 else side end, case when opens then new_entry else entry end, case when opens then new_size else size end,
+        case when opens then new_size * new_entry * 0.001 else fee end, case when opens then rn else entry_rn end, fill, gross, net, fees, case when closes then rn - entry_rn end, case when closes then entry_rn end, case when closes then entry end, case when closes then size end from (
+          select *, gross - fees - size * 0.0005 * (entry + fill) / 2 as net from (
+            select *, case when closes then side * (fill - entry) * size end as gross, case when closes then fee + fill * size * 0.001 end as fees from (
+              select g.symbol, g.rn, g.dir, e.cash, e.side, e.entry, e.size, e.fee, e.entry_rn, g.act = 'entry' and e.side = 0 and g.o > 0 and round(e.cash / (g.o * (1 + g.dir * 0.0005)), 8) > 0 as opens, g.act = 'exit' and e.side <> 0 as closes,
+                g.o * (1 + g.dir * 0.0005) as new_entry, round(e.cash / nullif(g.o * (1 + g.dir * 0.0005), 0), 8) as new_size, case when g.act = 'exit' and e.side <> 0 then g.o * (1 - e.side * 0.0005) end as fill from e join g on g.symbol = e.symbol and g.rn = e.rn + 1)))),
+    curve as (select e.symbol, e.rn, g.ts, cash + side * (c - entry) * size as equity, e.* exclude (symbol, rn) from e join g using (symbol, rn)),
+    trades as (select t.symbol, row_number() over (partition by t.symbol order by t.rn) as trade_id, a.ts as entry_ts, t.ts as exit_ts, t.was_entry as entry_price, t.exit as exit_price, t.was_size as size, gross, net, fees, held, case when sign(gross) = sign(t.exit - t.was_entry) then 'long' else 'short' end as side
+      from curve t join r a on a.symbol = t.symbol and a.rn = t.was where held is not null)"""
+ORACLES["engine_equity"] = sql("select symbol, rn - 1 as i, ts, round(equity, 6) as equity from curve where rn > 1", ENGINE, True)
+ORACLES["engine_trades"] = sql("select symbol, trade_id, case when gross = 0 then side else side end as side, entry_ts, exit_ts, round(entry_price, 6) as entry_price, round(exit_price, 6) as exit_price, round(size, 6) as size, round(gross, 6) as gross_pnl, round(net, 6) as net_pnl, round(fees, 6) as commission, held as bars_held from trades", ENGINE, True)
+ORACLES["engine_metrics"] = sql(
+    f"""select symbol, round(final, 6) as final_equity, round((final - 100000) / 100000, 6) as total_return, round(down, 6) as max_drawdown, round(case when s > 0 then sqrt(252) * m / s else 0 end, 6) as sharpe_ratio, coalesce(k, 0) as total_trades, round(coalesce(wins / k, 0), 6) as win_rate, coalesce(wins, 0) as wins,
+        coalesce(k - wins, 0) as losses, round(coalesce(aw, 0), 6) as avg_win, round(coalesce(al, 0), 6) as avg_loss, case when k is null then 0 when l > 0 then round(w / l, 6) when w > 0 then null else 0 end as profit_factor, round(coalesce(wins / k * aw - (1 - wins / k) * al, 0), 6) as expectancy from (
+        select symbol, arg_max(equity, rn) as final, abs(min((equity - peak) / peak)) as down, avg(q) as m, stddev_pop(q) as s from (select *, max(equity) {W.replace("ts", "rn")} rows between unbounded preceding and current row) as peak, equity / lag(equity) {W.replace("ts", "rn")}) - 1 as q from curve where rn > 1) group by 1)
+      left join (select symbol, count(*) as k, cast(count(*) filter (where net > 0) as bigint) as wins, coalesce(avg(net) filter (where net > 0), 0) as aw, abs(coalesce(avg(net) filter (where net <= 0), 0)) as al, coalesce(sum(net) filter (where net > 0), 0) as w, abs(coalesce(sum(net) filter (where net <= 0), 0)) as l from trades group by 1) using (symbol)""",
+    ENGINE, True,
+)
+
+TAIL = "t as (select *, row_number() over (partition by symbol order by ts) as i, count(*) over (partition by symbol) as m from (select * from r where rn > n - 100))"
+FACTORS = f"""{TAIL}, d as (select *, greatest(coalesce(close - lag(close) {W}), 0), 0) as gain, greatest(coalesce(lag(close) {W}) - close, 0), 0) as loss from t),
+    e as (select symbol, i, gain / 14 as u, loss / 14 as v, close / 7 as y7, close / 25 as y25, close / 50 as y50 from d where i = 1
+      union all select d.symbol, d.i, case when d.i <= 15 then e.u + d.gain / 14 else (e.u * 13 + d.gain) / 14 end, case when d.i <= 15 then e.v + d.loss / 14 else (e.v * 13 + d.loss) / 14 end,
+        {", ".join(f"case when d.i <= {n} then e.y{n} + d.close / {n} else e.y{n} + 2.0::double / {n + 1} * (d.close - e.y{n}) end" for n in (7, 25, 50))} from e join d on d.symbol = e.symbol and d.i = e.i + 1),
+    f as (select symbol, ts, close as price, case when m < 15 then 50 when u + v = 0 then 0 else 100 * u / (u + v) end as rsi, {", ".join(f"case when m >= {n} then y{n} else 0 end as ema_{n}" for n in (7, 25, 50))} from e join d using (symbol, i) where i = m),
+    w as (select symbol, case when count(*) = 20 and avg(close) <> 0 then 4 * stddev_pop(close) / avg(close) else 0 end as bollinger_width from t where i > m - 20 group by 1),
+    q as (select symbol, case when any_value(m) >= 5 and avg(volume) filter (where i < m) > 0 then arg_max(volume, i) / avg(volume) filter (where i < m) else 1 end as volume_ratio from t where i > m - 20 group by 1),
+    mo as (select symbol, coalesce((arg_max(close, i) - arg_min(close, i)) * 100 / nullif(arg_min(close, i), 0), 0) as momentum_pct from t where i >= m - 14 group by 1),
+    fa as (select * from f join w using (symbol) join q using (symbol) join mo using (symbol))"""
+_names = ("price", "rsi", "ema_7", "ema_25", "ema_50", "bollinger_width", "volume_ratio", "momentum_pct")
+ORACLES["scan_factors"] = sql("select symbol, ts, " + ", ".join(f"round({n}, 6) as {n}" for n in _names) + " from fa", FACTORS, True)
+_flags = {"rsi_oversold": "rsi < 30", "rsi_overbought": "rsi > 70", "trend_bullish": "ema_7 > ema_25 and ema_25 > ema_50", "trend_bearish": "ema_7 < ema_25 and ema_25 < ema_50", "high_volatility": "bollinger_width >= 0.08", "low_volatility": "bollinger_width <= 0.03", "volume_spike": "volume_ratio >= 1.5"}
+ORACLES["screener_scan"] = sql(
+    "select symbol, ts, " + ", ".join(f"round({n}, 6) as {n}" for n in _names) + """, array_to_string(l, ',') as filters_matched, round(len(l) / 7.0::double * 100, 6) as score, row_number() over (order by len(l) desc, symbol) as rank from (
+    select *, list_filter([""" + ", ".join(f"case when {c} then '{n}' end" for n, c in _flags.items()) + "], lambda x: x is not null) as l from fa)",
+    FACTORS, True,
+)
+ORACLES["volume_profile_summary"] = sql(
+    """select symbol, round(poc_price, 6) as poc_price, poc as poc_bin, round(vah, 6) as vah_price, round(val, 6) as val_price, case when top / total > 0.8 then 'single' when spread < 0.05 then 'flat' when peaks >= 2 and far >= 0.3 * k then 'bimodal'
+        when poc / 49 < 0.3 and l > 2 * g then 'directional' when poc / 49 > 0.7 and g > 2 * l then 'directional' else 'bell' end as shape, k as bins, round(total, 6) as total_volume from (
+        select symbol, poc, max((x + y) / 2) filter (where bin = poc) as poc_price, max(y) filter (where bin between lo and hi) as vah, min(x) filter (where bin between lo and hi) as val, count(*) as k, sum(v) as total, max(v) as top, var_samp(v / top_v) as spread,
+            count(*) filter (where v > b and v > a) as peaks, max(bin) filter (where v > b and v > a) - min(bin) filter (where v > b and v > a) as far, coalesce(sum(v) filter (where bin < poc), 0) as l, coalesce(sum(v) filter (where bin > poc), 0) as g from (
+            select *, lag(v) over (partition by symbol order by bin) as b, lead(v) over (partition by symbol order by bin) as a, max(v) over (partition by symbol) as top_v from cells join va using (symbol)) group by 1, 2)""",
+    PROFILE, True,
+)
+_B = "['USDT', 'usd', '/USDT', '-USDT', '-USD', 'BTC', 'USDC', '', '--x'][cast(c_custkey % 9 + 1 as bigint)]"
+ORACLES["symbol_forms"] = f"""with a as (select c_custkey, substr(c_mktsegment, 1, 3) || {_B} as symbol from customer), b as (select *, upper(trim(symbol)) as s from a),
+    c as (select *, case when contains(s, '/') then case when regexp_matches(s, '^[\\p{{L}}\\p{{N}}]+/[\\p{{L}}\\p{{N}}]+$') then s end when contains(s, '-') then case when regexp_matches(s, '^[\\p{{L}}\\p{{N}}]+-[\\p{{L}}\\p{{N}}]+$') and not s like '%-USD' then replace(s, '-', '/') end
+      when s like '%USDT' or s like '%USDC' then s when s like '%USD' then s || 'T' end as p from b)
+    select c_custkey, symbol, p as primary_form, case when contains(p, '/') then p when regexp_matches(p, '.(USDT|USDC|USD|BTC|ETH|BUSD)$') then regexp_replace(p, '^(.+?)(USDT|USDC|USD|BTC|ETH|BUSD)$', '\\1/\\2') end as market_form,
+    case when s like '%USDT' then left(s, -1) when s like '%USD' then s end as legacy_form,
+    case when contains(s, '/') then regexp_extract(s, '^(.*)/', 1) || '-USD' when s like '%-USD' then s when regexp_matches(s, '(USDT|USD)$') then case when not contains(s, '-') then regexp_replace(s, '(USDT|USD)$', '') || '-USD' end else regexp_replace(s, '[^\\p{{L}}\\p{{N}}]', '', 'g') || '-USD' end as secondary_form,
+    regexp_replace(s, '(USDT|USD|BTC|ETH|BUSD)$', '') as base, case when contains(upper(symbol), '/') then split_part(upper(symbol), '/', 1) when contains(upper(symbol), '-') then split_part(upper(symbol), '-', 1) else regexp_replace(upper(symbol), '(USDT|USD|BTC|ETH)$', '') end as token,
+    case when contains(s, '/') then s like '%/USDT' when contains(s, '-') then regexp_matches(s, '^[A-Z]+-USDT?$') else regexp_matches(s, '^.+(USDT|USDC|USD)$') end as valid from c"""
+
 # a small negative number rounds to negative zero here, and to zero in Spark
 ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}
