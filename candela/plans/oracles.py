@@ -392,5 +392,73 @@ ORACLES["symbol_forms"] = f"""with a as (select c_custkey, substr(c_mktsegment,
     regexp_replace(s, '(USDT|USD|BTC|ETH|BUSD)$', '') as base, case when contains(upper(symbol), '/') then split_part(upper(symbol), '/', 1) when contains(upper(symbol), '-') then split_part(upper(symbol), '-', 1) else regexp_replace(upper(symbol), '(USDT|USD|BTC|ETH)$', '') end as token,
     case when contains(s, '/') then s like '%/USDT' when contains(s, '-') then regexp_matches(s, '^[A-Z]+-USDT?$') else regexp_matches(s, '^.+(USDT|USDC|USD)$') end as valid from c"""
 
+
+def _waves() -> str:
+    """Impulses and corrections from sw, judged wave by wave."""
+    lead_columns = ", ".join(f"lead({c}, {k}) over w as {n}{k + 1}" for k in range(5) for n, c in (("kind", "kind"), ("p", "price"), ("s", "from_price"), ("a", "from_ts"), ("z", "ts")))
+    legs = ", ".join(f"abs(p{k} - s{k}) as w{k}" for k in range(1, 6))
+    share = lambda x, of: f"case when {of} > 0 then {x} / {of} else 0 end"
+
+    def degree(k: int) -> str:
+        mean = "(" + " + ".join(f"w{j}" for j in range(1, k)) + f") / {k - 1}" if k > 1 else "0"
+        return f"case when (case when {mean} > 0 then w{k} / ({mean}) else w{k} end) < 0.02 then 'micro' when (case when {mean} > 0 then w{k} / ({mean}) else w{k} end) < 0.08 then 'minor' else 'intermediate' end"
+
+    text = lambda name, x, tail: f"'{name}' || printf('%.3f', {x}) || '{tail}'"
+    parts = []
+    for direction, sign in (("bullish", 1), ("bearish", -1)):
+        up = direction == "bullish"
+        r2, e3, r4, e5 = share("abs(p2 - p1)", "w1"), share(f"({sign} * (p3 - p1))", "w1"), share("abs(p4 - p3)", "w3"), share("abs(p5 - p4)", "w4")
+        over, broken = f"({sign} * (p4 - p1) <= 0)", f"({sign} * (p5 - p4) <= 0)"
+        rb, ec, cover = share("abs(p2 - p1)", "w1"), share("abs(p3 - p2)", "w1"), "(p3 >= s1)" if up else "(p3 <= s1)"
+        five = [
+            ("1", "null", "null", "false", "false", "true", "null"), ("2", r2, "null", "false", "false", f"({r2}) between 0.382 and 0.786", f"case when not (({r2}) between 0.382 and 0.786) then {text('wave2_retrace_', r2, '_not_in_band')} end"),
+            ("3", "null", e3, "false", "false", f"({e3}) >= 1", f"case when ({e3}) < 1 then {text('wave3_extension_', e3, '_below_min')} end"),
+            ("4", r4, "null", over, "false", f"(({r4}) <= 0.618 and not {over})", f"case when {over} then 'wave4_overlap_violation' when ({r4}) > 0.618 then {text('wave4_retrace_', r4, '_exceeds_max')} end"),
+            ("5", "null", e5, "false", broken, f"(not {broken})", f"case when {broken} then 'wave5_invalidation_violation' end"),
+        ]
+        three = [
+            ("A", "null", "null", "false", "false", "true", "null"), ("B", rb, "null", "false", "false", f"({rb}) between 0.382 and 0.886", f"case when not (({rb}) between 0.382 and 0.886) then {text('waveb_retrace_', rb, '_not_in_band')} end"),
+            ("C", "null", ec, cover, "false", f"(({ec}) >= 1 and not {cover})", f"case when {cover} then 'wavec_overlap_violation' when ({ec}) < 1 then {text('wavec_extension_', ec, '_below_min')} end"),
+        ]
+        for kind, waves, kinds in (("impulse", five, "high low high low high" if up else "low high low high low"), ("corrective", three, "low high low" if up else "high low high")):
+            match = " and ".join(f"kind{k} = '{x}'" for k, x in enumerate(kinds.split(), 1))
+            accepted = " and ".join(f"({w[5]})" for w in waves)
+            for k, (label, retrace, extension, violated, invalid, good, why) in enumerate(waves, 1):
+                parts.append(
+                    f"""select symbol, '{kind}_{direction}_' || i as sequence_id, '{kind}' as sequence_type, '{direction}' as direction, '{label}' as wave_label, cast({k} as bigint) as segment_order, {degree(k)} as degree, a{k} as start_ts, z{k} as end_ts, round(s{k}, 6) as start_price, round(p{k}, 6) as end_price,
+                    round(p{k} - s{k}, 6) as price_delta, round(cast({retrace} as double), 6) as retrace_ratio, round(cast({extension} as double), 6) as extension_ratio, {violated} as overlap_violation, {invalid} as invalidation_violation, {good} as is_rule_compliant, cast({why} as varchar) as rejection_reason, {accepted} as is_accepted_sequence from x where {match}"""
+                )
+    return sql("\nunion all ".join(parts), f"{swing_ctes(0.05)}, x as (select *, {legs} from (select symbol, i, {lead_columns} from sw window w as (partition by symbol order by id)))", True)
+
+
+ORACLES["elliott_waves"] = _waves()
+# the last 48 bars of each symbol as `bars`, for the session scan
+_s48 = sql("", "").replace("from events group by 1, 2)", "from events group by 1, 2 qualify row_number() over (partition by event_type order by date_trunc('hour', ts) desc) <= 48)", 1)
+SESSION_SCAN = _s48.rstrip() + f""", s as (select *, hour({LOCAL}) * 60 + minute({LOCAL}) between 570 and 959 as inside, cast({LOCAL} as date) as d from r), today as (select symbol, arg_max(d, ts) as today from s group by 1),
+    sl as (select symbol, arg_max(h, d) as session_high, arg_max(x, d) as session_low, arg_max(k, d) as session_bars from (select s.symbol, d, max(high) as h, min(low) as x, count(*) as k from s join today using (symbol) where inside and d in (today, today - 1) group by 1, 2) group by 1),
+    whole as (select *, day_end - interval 24 hours as day_start from (select symbol, min(ts) as first, coalesce(median(date_diff('second', b, ts)), 0) as step, timezone('UTC', timezone('America/New_York', date_trunc('day', timezone('America/New_York', timezone('UTC', max(ts)))))) as day_end
+      from (select *, lag(ts) over (partition by symbol order by ts) as b from bars) group by symbol)),
+    pd as (select symbol, max(high) as pdh, min(low) as pdl from r join whole using (symbol) where ts >= day_start and ts < day_end group by symbol, first, day_start, day_end, step having first <= day_start and (step <= 0 or date_diff('second', max(ts), day_end) <= step)),
+    la as (select *, avg(volume) {W} rows between 19 preceding and 1 preceding) as mean from r qualify rn = n),
+    j as (select la.symbol, ts, close as price, session_high, session_low, session_bars, pdh, pdl, list_filter([
+        case when session_high > 0 then case when close > session_high then 'session_high_breakout' when close >= session_high * 0.995 then 'session_high_near_breakout' end end,
+        case when session_low > 0 then case when close < session_low then 'session_low_breakout' when close <= session_low * 1.005 then 'session_low_near_breakout' end end,
+        case when pdh > 0 then case when close > pdh then 'pdh_breakout' when close >= pdh * 0.995 then 'pdh_near_breakout' end end,
+        case when pdl > 0 then case when close < pdl then 'pdl_breakout' when close <= pdl * 1.005 then 'pdl_near_breakout' end end,
+        case when rn >= 5 and mean > 0 and volume >= mean * 1.5 then 'volume_confirmation' end], lambda x: x is not null) as l from la left join sl using (symbol) left join pd using (symbol))"""
+ORACLES["session_scan"] = SESSION_SCAN + """
+select symbol, ts, round(price, 6) as price, round(session_high, 6) as session_high, round(session_low, 6) as session_low, session_bars, round(pdh, 6) as pdh, round(pdl, 6) as pdl, array_to_string(l, ',') as filters_matched, score,
+    row_number() over (order by score desc, len(l) desc, symbol) as rank from (select *, least(coalesce(list_sum(list_transform(l, lambda x: case when x like 'session%_near_breakout' then 15 when x like 'session%' then 30 when x like '%near_breakout' then 10 when x = 'volume_confirmation' then 10 else 20 end)), 0), 100)::double as score from j where session_bars > 0 and pdh is not null)"""
+ORACLES["session_scan_failures"] = SESSION_SCAN + "\nselect symbol, case when session_bars is null then 'insufficient_session_data' else 'insufficient_pdh_pdl_data' end as reason from j where session_bars is null or pdh is null"
+ORACLES["supertrend"] = sql(
+    "select symbol, ts, round(st, 6) as supertrend, round(way, 6) as direction from s join r using (symbol, rn)",
+    f"""d as (select *, {TR} as tr, lag(close) {W}) as before from r), a as (select symbol, rn, cast(0 as double) as y from d where rn = 1 union all select d.symbol, d.rn, case when d.rn <= 11 then a.y + d.tr / 10 else (a.y * 9 + d.tr) / 10 end from a join d on d.symbol = a.symbol and d.rn = a.rn + 1),
+    b as (select symbol, rn, close, before, rn >= 11 as ok, (high + low) / 2 + 3 * y as u, (high + low) / 2 - 3 * y as l from d join a using (symbol, rn)),
+    s as (select symbol, rn, close as st, cast(1 as double) as way from b where rn = 1
+      union all select symbol, rn, case when not ok then st when new > 0 then f else c end, case when not ok then way else new end from (select *, case when way > 0 then case when close < f then -1 else 1 end else case when close > c then 1 else -1 end end as new from (
+        select b.symbol, b.rn, ok, b.close, s.st, s.way, case when l > s.st or before < s.st then l else s.st end as f, case when u < s.st or before > s.st then u else s.st end as c from s join b on b.symbol = s.symbol and b.rn = s.rn + 1)))""",
+    True,
+)
+
 # a small negative number rounds to negative zero here, and to zero in Spark
 ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}
