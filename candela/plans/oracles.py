@@ -333,8 +333,9 @@ ORACLES["sentiment_scores"] = f"with {SCORES} select doc_id, round(coalesce(p /
 ORACLES["sentiment_summary"] = f"with {SCORES} select source, count(*) as total, cast(round(cast(cast(avg(final) as varchar) as decimal(20, 12)), 4) as double) as avg_sentiment, count(*) filter (where final > 0.05) as positive, count(*) filter (where final < -0.05) as negative, count(*) filter (where final between -0.05 and 0.05) as neutral from scored group by 1"
 
 # The engine: one recursion over bars with cash, side (1, -1, 0), entry price, size, fee and what a closed trade was.
-ENGINE = f"""g as (select symbol, rn, ts, open as o, close as c, lag(act) {W}) as act, lag(dir) {W}) as dir from (
-      select *, case when day(ts) % 2 = 0 then 1 else -1 end as dir, case when ts = max(ts) over (partition by symbol, cast(ts as date)) then 'exit' when hour(ts) in (2, 10) then 'entry' when hour(ts) in (7, 18) then 'exit' else 'hold' end as act from r)),
+def engine(acts: str) -> str:
+    """acts: r with act (entry, exit, hold) and dir (1, -1) of each row."""
+    return f"""g as (select symbol, rn, ts, open as o, close as c, lag(act) {W}) as act, lag(dir) {W}) as dir from ({acts})),
     e as (select symbol, rn, cast(100000 as double) as cash, 0 as side, cast(0 as double) as entry, cast(0 as double) as size, cast(0 as double) as fee, rn as entry_rn, cast(null as double) as exit, cast(null as double) as gross, cast(null as double) as net, cast(null as double) as fees, cast(null as bigint) as held, cast(null as bigint) as was,
         cast(null as double) as was_entry, cast(null as double) as was_size from g where rn = 1
       union all select symbol, rn, cash + coalesce(net, 0) - case when opens then new_size * new_entry * 0.001 else 0 end, case when opens then dir when closes then 0 else side end, case when opens then new_entry else entry end, case when opens then new_size else size end,
@@ -346,15 +347,25 @@ ENGINE = f"""g as (select symbol, rn, ts, open as o, close as c, lag(act) {W}) a
     curve as (select e.symbol, e.rn, g.ts, cash + side * (c - entry) * size as equity, e.* exclude (symbol, rn) from e join g using (symbol, rn)),
     trades as (select t.symbol, row_number() over (partition by t.symbol order by t.rn) as trade_id, a.ts as entry_ts, t.ts as exit_ts, t.was_entry as entry_price, t.exit as exit_price, t.was_size as size, gross, net, fees, held, case when sign(gross) = sign(t.exit - t.was_entry) then 'long' else 'short' end as side
       from curve t join r a on a.symbol = t.symbol and a.rn = t.was where held is not null)"""
-ORACLES["engine_equity"] = sql("select symbol, rn - 1 as i, ts, round(equity, 6) as equity from curve where rn > 1", ENGINE, True)
-ORACLES["engine_trades"] = sql("select symbol, trade_id, case when gross = 0 then side else side end as side, entry_ts, exit_ts, round(entry_price, 6) as entry_price, round(exit_price, 6) as exit_price, round(size, 6) as size, round(gross, 6) as gross_pnl, round(net, 6) as net_pnl, round(fees, 6) as commission, held as bars_held from trades", ENGINE, True)
-ORACLES["engine_metrics"] = sql(
+
+
+BY_HOUR = """select *, case when day(ts) % 2 = 0 then 1 else -1 end as dir, case when ts = max(ts) over (partition by symbol, cast(ts as date)) then 'exit' when hour(ts) in (2, 10) then 'entry' when hour(ts) in (7, 18) then 'exit' else 'hold' end as act from r"""
+ENGINE = engine(BY_HOUR)
+def _engine_queries(ctes: str) -> tuple[str, str, str]:
+    """SQL for equity, trades and metrics of an engine."""
+    equity = sql("select symbol, rn - 1 as i, ts, round(equity, 6) as equity from curve where rn > 1", ctes, True)
+    trades = sql("select symbol, trade_id, side, entry_ts, exit_ts, round(entry_price, 6) as entry_price, round(exit_price, 6) as exit_price, round(size, 6) as size, round(gross, 6) as gross_pnl, round(net, 6) as net_pnl, round(fees, 6) as commission, held as bars_held from trades", ctes, True)
+    metrics = sql(
     f"""select symbol, round(final, 6) as final_equity, round((final - 100000) / 100000, 6) as total_return, round(down, 6) as max_drawdown, round(case when s > 0 then sqrt(252) * m / s else 0 end, 6) as sharpe_ratio, coalesce(k, 0) as total_trades, round(coalesce(wins / k, 0), 6) as win_rate, coalesce(wins, 0) as wins,
         coalesce(k - wins, 0) as losses, round(coalesce(aw, 0), 6) as avg_win, round(coalesce(al, 0), 6) as avg_loss, case when k is null then 0 when l > 0 then round(w / l, 6) when w > 0 then null else 0 end as profit_factor, round(coalesce(wins / k * aw - (1 - wins / k) * al, 0), 6) as expectancy from (
         select symbol, arg_max(equity, rn) as final, abs(min((equity - peak) / peak)) as down, avg(q) as m, stddev_pop(q) as s from (select *, max(equity) {W.replace("ts", "rn")} rows between unbounded preceding and current row) as peak, equity / lag(equity) {W.replace("ts", "rn")}) - 1 as q from curve where rn > 1) group by 1)
       left join (select symbol, count(*) as k, cast(count(*) filter (where net > 0) as bigint) as wins, coalesce(avg(net) filter (where net > 0), 0) as aw, abs(coalesce(avg(net) filter (where net <= 0), 0)) as al, coalesce(sum(net) filter (where net > 0), 0) as w, abs(coalesce(sum(net) filter (where net <= 0), 0)) as l from trades group by 1) using (symbol)""",
-    ENGINE, True,
+    ctes, True,
 )
+    return equity, trades, metrics
+
+
+ORACLES["engine_equity"], ORACLES["engine_trades"], ORACLES["engine_metrics"] = _engine_queries(ENGINE)
 
 TAIL = "t as (select *, row_number() over (partition by symbol order by ts) as i, count(*) over (partition by symbol) as m from (select * from r where rn > n - 100))"
 FACTORS = f"""{TAIL}, d as (select *, greatest(coalesce(close - lag(close) {W}), 0), 0) as gain, greatest(coalesce(lag(close) {W}) - close, 0), 0) as loss from t),
@@ -460,5 +471,82 @@ ORACLES["supertrend"] = sql(
     True,
 )
 
+def _part(name: str) -> str:
+    """Another query's rows as a subquery."""
+    return f"({ORACLES[name]})"
+
+
+ORACLES["structure_summary"] = sql(
+    f"""select symbol, ts as summary_ts, round(close, 6) as current_price, regime, case when regime like 'breakout%' then case when distance_pct >= 0.003 then 0.85 else 0.75 end when regime = 'ranging' then 0.7 when regime like 'trending%' then case when abs(plus_di - minus_di) >= 5 then 0.8 else 0.7 end else 0.4 end::double as confidence,
+        trend_state, classification, adx, plus_di, minus_di, range_id, range_high, range_low, range_mid, range_width_pct, containment_ratio, status as range_status, direction as breakout_direction, breakout_ts, breakout_price, distance_pct as breakout_distance_pct, recent as breakout_recent from (
+        select *, case when recent and direction = 'up' then 'breakout_up' when recent and direction = 'down' then 'breakout_down' when status = 'active' and adx <= 20 then 'ranging'
+            when trend_state = 'bullish' and adx >= 25 and plus_di - minus_di >= 2 then 'trending_up' when trend_state = 'bearish' and adx >= 25 and minus_di - plus_di >= 2 then 'trending_down' else 'transition' end as regime from (
+            select z.*, m.trend_state, m.classification, adx, plus_di, minus_di, g.* exclude (symbol), direction, k.breakout_ts, k.breakout_price, k.distance_pct, coalesce(z.n - t.rn <= 3, false) as recent from (select * from r where rn = n and n >= 28) z
+            left join (select * from {_part("market_structure")} qualify row_number() over (partition by symbol order by event_ts desc, event_id desc) = 1) m on m.symbol = z.symbol
+            left join (select symbol, range_id, range_high, range_low, range_mid, range_width_pct, containment_ratio, status from {_part("price_ranges")} qualify row_number() over (partition by symbol order by end_ts desc, range_id desc) = 1) g on g.symbol = z.symbol
+            left join {_part("range_breakouts")} k on k.symbol = z.symbol and k.range_id = g.range_id left join r t on t.symbol = k.symbol and t.ts = k.breakout_ts
+            left join (select * from {_part("adx")} qualify row_number() over (partition by symbol order by ts desc) = 1) x on x.symbol = z.symbol))"""
+)
+ORACLES["page_texts"] = r"""select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, cast(length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) as bigint) as text_length from pages"""
+
+
+def bars_of(bucket: str, most: int) -> str:
+    """The head of a query whose bars are the last of another length."""
+    head = BARS.replace("date_trunc('hour', ts)", bucket).replace("from events group by 1, 2)", f"from events group by 1, 2 qualify row_number() over (partition by event_type order by {bucket} desc) <= {most})", 1)
+    return f"with recursive {head}, {BLOCKS}"
+
+
+_found = """, act as (select symbol, arg_min({direction: direction, low: zone_low, high: zone_high, age: last_i - created_i}, (last_i - created_i, -epoch_us(block_ts), direction)) as z from zn where not invalidated and last_i - created_i <= 20 group by 1), la as (select symbol, ts, close as price from r where rn = n)"""
+_horizons = [("1h", 1, bars_of("date_trunc('hour', ts)", 24)), ("4h", 7, bars_of("time_bucket(interval 4 hours, ts)", 42))]
+ORACLES["order_block_scan"] = "select symbol, timeframe, window_days, ts, round(price, 6) as price, zone_type, round(zone_high, 6) as zone_high, round(zone_low, 6) as zone_low, freshness, round(score, 6) as score, row_number() over (order by score desc, case when timeframe = '4h' then 0 else 1 end, symbol) as rank from (" + " union all ".join(
+    f"(select * from ({head}{_found} select symbol, '{t}' as timeframe, cast({d} as bigint) as window_days, ts, price, z.direction as zone_type, z.high as zone_high, z.low as zone_low, z.age as freshness, round(greatest(20 - z.age, 0) / 20.0::double, 6) as score from la join act using (symbol)))" for t, d, head in _horizons
+) + ")"
+ORACLES["order_block_scan_failures"] = " union all ".join(f"(select * from ({head}{_found} select symbol, '{t}' as timeframe, cast({d} as bigint) as window_days, 'no_active_order_blocks' as reason from la where symbol not in (select symbol from act)))" for t, d, head in _horizons)
+
+# Strategies as recursions: position (1, -1, 0), stop and target.
+_hit = "(case when s.side = 1 then x.low <= s.stop or x.open <= s.stop or x.high >= s.target when s.side = -1 then x.high >= s.stop or x.open >= s.stop or x.low <= s.target else false end)"
+ORACLES["signals_vwap"] = sql(
+    "select symbol, ts, act as signal from s join r using (symbol, rn)",
+    NY + ", " + recurrence("", "close as y7, close as y25", ", ".join(ema_step("r.close", f"e.y{n}", n) for n in (7, 25))) + f""",
+    x as (select r.*, vwap, y7, y25, n >= 25 as long_enough, case when r.rn >= 20 then avg(volume) over (partition by r.symbol order by r.ts rows between 19 preceding and current row) end as vm, abs(r.close - vwap) as gap from r join v using (symbol, ts, open, high, low, close, volume, rn, n) join e using (symbol, rn)),
+    s as (select symbol, rn, 0 as side, cast(null as double) as stop, cast(null as double) as target, 'hold' as act from x where rn = 1
+      union all select symbol, rn, case when ex then 0 when lo then 1 when sh then -1 else side end, case when lo then vwap - gap when sh then vwap + gap else stop end, case when lo then close + 4 * gap when sh then close - 4 * gap else target end,
+        case when ex and side = 1 then 'long_exit' when ex then 'short_exit' when lo then 'long_entry' when sh then 'short_entry' else 'hold' end from (
+          select *, side = 0 and ok and low <= vwap and vwap <= close and close > open and y7 > y25 and close > y7 and gap > 0 as lo, side = 0 and ok and high >= vwap and vwap >= close and close < open and y7 < y25 and close < y7 and gap > 0 as sh from (
+            select x.*, s.side, s.stop, s.target, s.side <> 0 and ({_hit} or (s.side = 1 and x.close < vwap) or (s.side = -1 and x.close > vwap)) as ex, long_enough and vm is not null and volume >= 1.2 * vm as ok from s join x on x.symbol = s.symbol and x.rn = s.rn + 1)))""",
+    True,
+)
+ORACLES["signals_ema_stack"] = sql(
+    "select symbol, ts, act as signal from s join r using (symbol, rn)",
+    STACK + f""", x as (select r.*, y7 > y25 and y25 > y50 and y50 > y200 as golden, y7 < y25 and y25 < y50 and y50 < y200 as death from r join e using (symbol, rn) where n >= 200),
+    s as (select symbol, rn, 0 as side, cast(null as double) as stop, cast(null as double) as target, 'hold' as act from x where rn = 1
+      union all select symbol, rn, case when ex then 0 when lo then 1 when sh then -1 else side end, case when lo then low when sh then high else stop end, case when lo then close + 2 * (close - low) when sh then close - 2 * (high - close) else target end,
+        case when ex and side = 1 then 'long_exit' when ex then 'short_exit' when lo then 'long_entry' when sh then 'short_entry' else 'hold' end from (
+          select *, side = 0 and golden and close > low as lo, side = 0 and death and high > close as sh from (
+            select x.*, s.side, s.stop, s.target, s.side <> 0 and ({_hit} or (s.side = 1 and not golden) or (s.side = -1 and not death)) as ex from s join x on x.symbol = s.symbol and x.rn = s.rn + 1)))""",
+    True,
+)
+
+ORACLES["signals_rsi"] = sql(
+    "select symbol, ts, act as signal from s join r using (symbol, rn)",
+    f"""q as (select * from {_part("rsi_smma")}), cr as (select symbol, ts, direction from {_part("rsi_cross")}), tw as (select * from {_part("atr")}),
+    x as (select r.*, q.rsi, cr.direction as crossed, atr, last_value(case when is_low then r.close end ignore nulls) over k as lows, last_value(case when is_high then r.close end ignore nulls) over k as highs from (
+        select *, close < lag(close) over w and close < lead(close) over w as is_low, close > lag(close) over w and close > lead(close) over w as is_high from r window w as (partition by symbol order by ts)) r
+      left join q on q.symbol = r.symbol and q.ts = r.ts left join cr on cr.symbol = r.symbol and cr.ts = r.ts left join tw on tw.symbol = r.symbol and tw.ts = r.ts window k as (partition by r.symbol order by r.ts rows between 9 preceding and 2 preceding)),
+    y as (select *, case when atr is null then close * 0.95 when lows is null then close - 1.5 * atr else lows - 1.5 * atr end as long_stop, case when atr is null then close * 1.05 when highs is null then close + 1.5 * atr else highs + 1.5 * atr end as short_stop from x),
+    s as (select symbol, rn, 0 as side, cast(null as double) as stop, cast(null as double) as target, 'hold' as act from y where rn = 1
+      union all select symbol, rn, case when ex then 0 when lo then 1 when sh then -1 else side end, case when lo then long_stop when sh then short_stop else stop end, case when lo then close + 2 * abs(close - long_stop) when sh then close - 2 * abs(close - short_stop) else target end,
+        case when ex and side = 1 then 'long_exit' when ex then 'short_exit' when lo then 'long_entry' when sh then 'short_entry' else 'hold' end from (
+          select y.*, s.side, s.stop, s.target, coalesce(case when s.side = 1 then y.low <= s.stop or y.high >= s.target or coalesce(crossed = 'bullish', false) when s.side = -1 then y.high >= s.stop or y.low <= s.target or coalesce(crossed = 'bearish', false) end, false) as ex,
+            s.side = 0 and coalesce(rsi < 30, false) as lo, s.side = 0 and coalesce(rsi > 70, false) as sh from s join y on y.symbol = s.symbol and y.rn = s.rn + 1))""",
+    True,
+)
+BY_RSI = f"select r.*, split_part(signal, '_', 1) = 'long' as long, case when signal like '%entry' then 'entry' when signal like '%exit' then 'exit' else 'hold' end as act, case when signal like 'long%' then 1 else -1 end as dir from r join {_part('signals_rsi')} using (symbol, ts)"
+ORACLES["backtest_equity"], ORACLES["backtest_trades"], ORACLES["backtest_metrics"] = _engine_queries(engine(BY_RSI))
+ORACLES["sentiment_dashboard"] = f"""with {SCORES}, one as (select count(*) filter (where doc_id % 2 = 0) as post_count, round(avg(final) filter (where doc_id % 2 = 0), 4) as post_avg, count(*) filter (where doc_id % 2 <> 0) as feed_count, round(avg(final) filter (where doc_id % 2 <> 0), 4) as feed_avg from scored)
+select *, round(post_avg * 0.4 + feed_avg * 0.6, 4) as sentiment_index, 'weighted' as mode, cast(null as varchar) as reason, case when round(post_avg * 0.4 + feed_avg * 0.6, 4) > 0.05 then 'bullish' when round(post_avg * 0.4 + feed_avg * 0.6, 4) < -0.05 then 'bearish' else 'neutral' end as polarity,
+    case when round(post_avg * 0.4 + feed_avg * 0.6, 4) < -0.05 then 'sentiment_bearish_vs_price_bias_bullish' end as cross_signal from one"""
+
 # a small negative number rounds to negative zero here, and to zero in Spark
 ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}
