@@ -105,21 +105,25 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 def near_fingerprints(df: DataFrame, radius: int = 3, blocks: int | None = None, fingerprint: str = "fingerprint", bits: int = BITS) -> DataFrame:
     """All pairs of different fingerprints within the radius: a < b, distance. Equal ones count once.
 
-    A pair that meets in several tables is kept in the first of them. With radius + 3 blocks, a key has more than
-    three blocks' bits, so tables hold few fingerprints that are not near.
+    A pair that meets in several tables is kept in the first of them. With radius + 1 blocks there is a table for each
+    block; more blocks make more tables with longer keys, for when a block's bits are few against the fingerprints.
     """
-    blocks = blocks or radius + 3
+    blocks = blocks or radius + 1
+    if blocks <= radius:
+        raise ValueError("there must be more blocks than the radius")
     digits = bits // 4
     edges = [round(i * digits / blocks) for i in range(blocks + 1)]
     part = lambda c, i: F.substring(c, edges[i] + 1, edges[i + 1] - edges[i])
     choices = list(combinations(range(blocks), blocks - radius))
     distinct = df.select(F.col(fingerprint).alias("f")).where(F.col("f").isNotNull()).distinct()
     keys = F.array(*[F.xxhash64(F.lit(n), *[part(F.col("f"), i) for i in c]) for n, c in enumerate(choices)])
-    tables = distinct.select("f", F.posexplode(keys).alias("n", "key"))
-    a, b = (tables.select(F.col("f").alias(x), "n", "key") for x in "ab")
-    meet = lambda c: F.forall(F.array(*[part(F.col("a"), i) == part(F.col("b"), i) for i in c]), lambda x: x)
-    first = F.coalesce(*[F.when(meet(c), F.lit(n)) for n, c in enumerate(choices)])
-    return a.join(b, ["n", "key"]).where(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("a"), F.col("b"), bits)).where((F.col("distance") <= radius) & (F.col("n") == first)).select("a", "b", "distance")
+    # the number of the table is part of the key's hash, and fingerprints travel as bytes
+    tables = distinct.select(F.unhex("f").alias("f"), F.posexplode(keys).alias("n", "key"))
+    left, right = tables.select(F.col("f").alias("a"), "n", "key"), tables.select(F.col("f").alias("b"), F.col("key").alias("other"))
+    met = left.join(right, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b"))).select("n", F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"))
+    agree = lambda c: F.forall(F.array(*[part(F.col("a"), i) == part(F.col("b"), i) for i in c]), lambda x: x)
+    first = F.coalesce(*[F.when(agree(c), F.lit(n)) for n, c in enumerate(choices)])
+    return met.withColumn("distance", hamming(F.col("a"), F.col("b"), bits)).where((F.col("distance") <= radius) & (F.col("n") == first)).select("a", "b", "distance")
 
 
 def hamming(a: Column, b: Column, bits: int = BITS) -> Column:
@@ -189,5 +193,13 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     return common.map_rows(ordered, make, f"doc_id {ordered.dtypes[0][1]}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def with_near_count(df: DataFrame, radius: int = 3, fingerprint: str = "fingerprint", bits: int = BITS) -> DataFrame:
+    """df with near_count: how many other fingerprints among its rows lie within the radius of the row's own."""
+    pairs = near_fingerprints(df, radius, fingerprint=fingerprint, bits=bits)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("__f")).groupBy("__f").agg(F.count("*").alias("near_count"))
+    joined = df.join(ends.select(F.concat("__f", F.lit("")).alias("__f"), "near_count"), F.col(fingerprint) == F.col("__f"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("near_count", F.lit(0)).alias("near_count"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(common.table(spark, sf_dir, "documents"))
+    return with_near_count(common.checkpointed(edited_fingerprints(common.table(spark, sf_dir, "documents"))))
