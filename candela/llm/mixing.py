@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rows in a block, the power of a source's share that gives its default weight, rows in a part of a source.
-BLOCK_ROWS, POWER, PART_ROWS = 8, 0.7, 20_000
+BLOCK_ROWS, POWER, PART_ROWS = 8, 0.7, 250
+#: Parts whose sizes are summed up in one step.
+RUN_PARTS = 1024
 #: The layout of a period takes memory by the square of the number of sources.
 MOST_SOURCES = 256
 
@@ -118,8 +120,13 @@ def _scheduled(df: DataFrame, weights: dict[str, float] | None, source: str, doc
     parts = max(1, -(max(counts.values(), default=0) // -PART_ROWS))
     rows = rows.withColumn("__part", F.pmod("__hash", F.lit(parts)).cast("int"))
     sizes = rows.groupBy("__source", "__part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__source", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    # sums of the parts before, in two steps, so that no task gets a row for each part of a source
+    sizes = sizes.withColumn("__run", F.floor(F.col("__part") / RUN_PARTS).cast("int"))
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("__part" if len(keys) > 1 else "__run").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda *keys: F.coalesce(F.sum("n").over(before(*keys)), F.lit(0))
+    runs = sizes.groupBy("__source", "__run").agg(F.sum("n").alias("n")).select("__source", "__run", earlier("__source").alias("__runs_before"))
+    starts = sizes.withColumn("__parts_before", earlier("__source", "__run")).join(runs, ["__source", "__run"])
+    starts = starts.select("__source", "__part", (F.col("__runs_before") + F.col("__parts_before")).alias("__before"))
     order = Window.partitionBy("__source", "__part").orderBy("__hash", F.col(doc_id), F.xxhash64(F.col(text)))
     rows = rows.withColumn("__rank", F.row_number().over(order)).join(starts, ["__source", "__part"]).withColumn("__rank", F.col("__before") + F.col("__rank") - 1)
     fields = "phase int, first bigint, start bigint, weight bigint, period bigint, slots array<int>"
