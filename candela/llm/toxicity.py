@@ -51,7 +51,7 @@ PIECE, MOST_WILD = 192, 4
 LETTER, SIGN, LAST, INNER, SPACE, DIGIT = 1, 2, 4, 8, 16, 32
 
 # Costs of the channel, in nats.
-COST_LEET, COST_WILD, COST_JOIN, COST_GAP, COST_SHORTEN, COST_DOUBLE, COST_SINGLE, COST_LITERAL = 0.5, 3.0, 0.5, 0.5, 0.5, 0.5, 3.5, 2.0
+COST_LEET, COST_WILD, COST_JOIN, COST_GAP, COST_SHORTEN, COST_DOUBLE, COST_SINGLE, COST_LITERAL = 0.5, 3.0, 0.5, 0.5, 0.5, 0.5, 3.5, 4.0
 
 #: Three or more single characters, set apart.
 APART = re.compile(r"(?<!\w)[^\W_](?:[ ._\-*~|/]{1,3}[^\W_](?!\w)){2,}")
@@ -203,6 +203,7 @@ class Decoder:
         further = np.concatenate([after[1:], [SPACE]])
         starts = ((after & LETTER) != 0) | (((after & SIGN) != 0) & ((further & LETTER) != 0))  # letters go on
         trace = sign & ((before & (LETTER | SPACE)) != 0) & starts
+        trace |= sign & ((before & SIGN) != 0) & ((after & LETTER) != 0)  # the end of a run of signs
         trace |= ((kind & LAST) != 0) & ((before & LETTER) != 0) & ((after & SPACE) != 0)
         trace |= ((kind & INNER) != 0) & ((before & LETTER) != 0) & ((after & LETTER) != 0)
         if len(points) > 2:
