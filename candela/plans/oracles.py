@@ -548,5 +548,42 @@ ORACLES["sentiment_dashboard"] = f"""with {SCORES}, one as (select count(*) filt
 select *, round(post_avg * 0.4 + feed_avg * 0.6, 4) as sentiment_index, 'weighted' as mode, cast(null as varchar) as reason, case when round(post_avg * 0.4 + feed_avg * 0.6, 4) > 0.05 then 'bullish' when round(post_avg * 0.4 + feed_avg * 0.6, 4) < -0.05 then 'bearish' else 'neutral' end as polarity,
     case when round(post_avg * 0.4 + feed_avg * 0.6, 4) < -0.05 then 'sentiment_bearish_vs_price_bias_bullish' end as cross_signal from one"""
 
+# Walk-forward: each split of each symbol is a symbol of its own; the engine sees the test rows only.
+_bars = BARS[: BARS.index(", r as (")]
+_rows = "b0" + _bars[len("bars") :] + ", b1 as (select *, row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as m from b0), b2 as (select *, unnest(range(0, m - 149, 50)) as start from b1)"
+_split = f"{_rows}, bars as (select symbol || '|' || cast(start / 50 as bigint) as symbol, ts, open, high, low, close, volume from b2 where i >= start and i < start + {{0}} and i >= start + {{1}})"
+_signals = ORACLES["signals_rsi"].replace(_bars, _split.format(150, 0))
+WINDOWS = _engine_queries(engine(f"select r.*, case when signal like '%entry' then 'entry' when signal like '%exit' then 'exit' else 'hold' end as act, case when signal like 'long%' then 1 else -1 end as dir from r join sg using (symbol, ts)"))[2]
+WINDOWS = WINDOWS.replace(_bars, f"sg as ({_signals}), " + _split.format(150, 100), 1)
+ORACLES["walk_forward"] = f"select * replace (split_part(symbol, '|', 1) as symbol), cast(split_part(symbol, '|', 2) as bigint) as split from ({WINDOWS})"
+ORACLES["walk_forward_summary"] = f"select symbol, count(*) as window_count, round(avg(total_return), 6) as mean_return, round(avg(sharpe_ratio), 6) as mean_sharpe, round(max(total_return), 6) as best_return, round(min(total_return), 6) as worst_return from ({ORACLES['walk_forward']}) group by 1"
+
+
+def _stepped(width: str, more: str = "") -> str:
+    """The profile over steps of a width (an expression over `span`: a, z, close), in decimals, with the top as last edge."""
+    exact = lambda x: f"cast(cast({x} as varchar) as decimal(28, 14))"
+    edges = f"""{more}span as (select symbol, min(low) as a, max(high) as z, arg_max(close, ts) as close from bars group by 1), steps as (select *, {exact('a')} as da, {exact(width)} as dw, cast(floor(cast({exact('z')} - {exact('a')} as double) / ({width})) as bigint) as k from span),
+    edges as (select symbol, j as bin, cast(da + dw * j as double) as x, case when j = k then z else cast(da + dw * (j + 1) as double) end as y from (select *, unnest(range(0, case when cast(da + dw * k as double) < z then k + 1 else k end)) as j from steps)),"""
+    tail = PROFILE[PROFILE.index("touched as (select d.symbol") :]
+    return sql(
+        """select symbol, bin, round(x, 6) as bin_low, round(y, 6) as bin_high, round((x + y) / 2, 6) as bin_mid, round(v, 6) as volume, k as candles, v >= quantile_cont(v, 0.8) over (partition by symbol) as is_hvn,
+    v <= quantile_cont(v, 0.2) over (partition by symbol) as is_lvn, bin between lo and hi as in_value_area, poc from cells join va using (symbol)""",
+        edges + "\n    " + tail, True,
+    )
+
+
+ORACLES["volume_profile_pct"] = _stepped("close * 0.05")
+ORACLES["fib_confluence"] = sql(
+    """select symbol, row_number() over (partition by symbol order by c) as cluster_id, round(avg(price), 6) as centre_price, round(min(price), 6) as min_price, round(max(price), 6) as max_price, count(*) as level_count, string_agg(set_id || ':' || kind || ':' || q, ',' order by k) as contributors from g group by symbol, c having count(*) >= 2""",
+    f"""sa as (select symbol, max(high) as h, min(low) as x from bars group by 1), sb as (select symbol, max(high) as h, min(low) as x from r where rn > n - 48 group by 1),
+    lv as (select symbol, x + (h - x) * cast(q as double) as price, 0 as set_id, 'retracement' as kind, cast(q as double) as q from sa, {RATIOS} union all select symbol, x + (h - x) * cast(q as double), 1, 'extension', cast(q as double) from sa, (values (1.272), (1.618), (2.0), (2.618)) as t(q)
+      union all select symbol, x + (h - x) * cast(q as double), 2, 'retracement', cast(q as double) from sb, {RATIOS}),
+    o as (select *, row_number() over (partition by symbol order by price, set_id, kind, q) as k from lv),
+    g as (select symbol, k, price, set_id, kind, q, 1 as c, price as total, 1 as m from o where k = 1
+      union all select o.symbol, o.k, o.price, o.set_id, o.kind, o.q, case when abs(o.price - g.total / g.m) <= abs(g.total / g.m) * 0.05 then g.c else g.c + 1 end, case when abs(o.price - g.total / g.m) <= abs(g.total / g.m) * 0.05 then g.total + o.price else o.price end,
+        case when abs(o.price - g.total / g.m) <= abs(g.total / g.m) * 0.05 then g.m + 1 else 1 end from g join o on o.symbol = g.symbol and o.k = g.k + 1)""",
+    True,
+)
+
 # a small negative number rounds to negative zero here, and to zero in Spark
 ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}
