@@ -66,9 +66,9 @@ def score_texts(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str
 
 
 def summarize(scored: DataFrame, by: list[str], score: str = "final_score") -> DataFrame:
-    """Number, mean score, and how many are above 0.05, below -0.05, and between."""
+    """Number, mean score, and how many are above 0.05, below -0.05, and between. The mean is exact, whatever the order."""
     return scored.groupBy(*by).agg(
-        F.count("*").alias("total"), F.round(F.avg(score), 4).alias("avg_sentiment"), F.count_if(F.col(score) > BOUND).alias("positive"), F.count_if(F.col(score) < -BOUND).alias("negative"), F.count_if(F.col(score).between(-BOUND, BOUND)).alias("neutral")
+        F.count("*").alias("total"), F.round(F.avg(F.col(score).cast("decimal(12, 6)")), 4).cast("double").alias("avg_sentiment"), F.count_if(F.col(score) > BOUND).alias("positive"), F.count_if(F.col(score) < -BOUND).alias("negative"), F.count_if(F.col(score).between(-BOUND, BOUND)).alias("neutral")
     )
 
 

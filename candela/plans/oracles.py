@@ -330,7 +330,7 @@ SCORES = """lex(word, valence) as (values ('the', 0.5::double), ('of', -0.4), ('
       - regexp_matches(t, '\\brugpull\\b')::int - regexp_matches(t, '\\bbearish\\b')::int - regexp_matches(t, '\\bdump\\b')::int - regexp_matches(t, '\\bcrash\\b')::int - regexp_matches(t, '\\brug\\b')::int - regexp_matches(t, '\\bbear\\b')::int) as double) * 0.15, 1), -1) as boost from base),
     scored as (select *, round(greatest(least(compound + boost, 1), -1), 4) as final from boosted)"""
 ORACLES["sentiment_scores"] = f"with {SCORES} select doc_id, round(coalesce(p / nullif(p + n + z, 0), 0), 4) as pos, round(coalesce(z / nullif(p + n + z, 0), 0), 4) as neu, round(coalesce(n / nullif(p + n + z, 0), 0), 4) as neg, compound, round(boost, 4) as keyword_boost, final as final_score from scored"
-ORACLES["sentiment_summary"] = f"with {SCORES} select source, count(*) as total, cast(round(cast(cast(avg(final) as varchar) as decimal(20, 12)), 4) as double) as avg_sentiment, count(*) filter (where final > 0.05) as positive, count(*) filter (where final < -0.05) as negative, count(*) filter (where final between -0.05 and 0.05) as neutral from scored group by 1"
+ORACLES["sentiment_summary"] = f"with {SCORES} select source, count(*) as total, cast(round(cast(cast(cast(sum(cast(final as decimal(18, 4))) as double) / count(*) as varchar) as decimal(20, 12)), 4) as double) as avg_sentiment, count(*) filter (where final > 0.05) as positive, count(*) filter (where final < -0.05) as negative, count(*) filter (where final between -0.05 and 0.05) as neutral from scored group by 1"
 
 # The engine: one recursion over bars with cash, side (1, -1, 0), entry price, size, fee and what a closed trade was.
 def engine(acts: str) -> str:
@@ -544,7 +544,7 @@ ORACLES["signals_rsi"] = sql(
 )
 BY_RSI = f"select r.*, split_part(signal, '_', 1) = 'long' as long, case when signal like '%entry' then 'entry' when signal like '%exit' then 'exit' else 'hold' end as act, case when signal like 'long%' then 1 else -1 end as dir from r join {_part('signals_rsi')} using (symbol, ts)"
 ORACLES["backtest_equity"], ORACLES["backtest_trades"], ORACLES["backtest_metrics"] = _engine_queries(engine(BY_RSI))
-ORACLES["sentiment_dashboard"] = f"""with {SCORES}, one as (select count(*) filter (where doc_id % 2 = 0) as post_count, round(avg(final) filter (where doc_id % 2 = 0), 4) as post_avg, count(*) filter (where doc_id % 2 <> 0) as feed_count, round(avg(final) filter (where doc_id % 2 <> 0), 4) as feed_avg from scored)
+ORACLES["sentiment_dashboard"] = f"""with {SCORES}, one as (select count(*) filter (where doc_id % 2 = 0) as post_count, cast(round(cast(cast(cast(sum(cast(final as decimal(18, 4))) filter (where doc_id % 2 = 0) as double) / count(*) filter (where doc_id % 2 = 0) as varchar) as decimal(20, 12)), 4) as double) as post_avg, count(*) filter (where doc_id % 2 <> 0) as feed_count, cast(round(cast(cast(cast(sum(cast(final as decimal(18, 4))) filter (where doc_id % 2 <> 0) as double) / count(*) filter (where doc_id % 2 <> 0) as varchar) as decimal(20, 12)), 4) as double) as feed_avg from scored)
 select *, round(post_avg * 0.4 + feed_avg * 0.6, 4) as sentiment_index, 'weighted' as mode, cast(null as varchar) as reason, case when round(post_avg * 0.4 + feed_avg * 0.6, 4) > 0.05 then 'bullish' when round(post_avg * 0.4 + feed_avg * 0.6, 4) < -0.05 then 'bearish' else 'neutral' end as polarity,
     case when round(post_avg * 0.4 + feed_avg * 0.6, 4) < -0.05 then 'sentiment_bearish_vs_price_bias_bullish' end as cross_signal from one"""
 
