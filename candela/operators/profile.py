@@ -111,15 +111,18 @@ def profile_edges(bars: DataFrame, bins: int = 100, mode: str = "fixed", atr_per
 
 
 def _summed(bars: DataFrame, edges: DataFrame) -> DataFrame:
-    """symbol, bin, bin_low, bin_high, volume, candles for every bin, touched or not."""
+    """symbol, bin, bin_low, bin_high, volume, candles for every bin, touched or not.
+
+    Volumes are rounded to nine places, so that ties do not turn on the order of addition.
+    """
     part = F.when(F.col("low") == F.col("high"), 1.0).otherwise((F.least("high", "bin_high") - F.greatest("low", "bin_low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
-    cells = _touched(bars, edges).groupBy("symbol", "bin").agg(F.sum(F.when(F.col("volume") > 0, F.col("volume") * part).otherwise(0.0)).alias("volume"), F.count("*").alias("candles"))
+    cells = _touched(bars, edges).groupBy("symbol", "bin").agg(F.round(F.sum(F.when(F.col("volume") > 0, F.col("volume") * part).otherwise(0.0)), 9).alias("volume"), F.count("*").alias("candles"))
     bins = edges.select("symbol", F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("bin", "bin_low"), "edges")
     bins = bins.select("symbol", "bin", "bin_low", F.get("edges", F.col("bin") + 1).alias("bin_high"))
     return bins.join(cells, ["symbol", "bin"], "left").fillna({"volume": 0.0, "candles": 0})
 
 
-def _with_area(cells: DataFrame, weight: str, share: float, tie_rounding: int | None = None) -> DataFrame:
+def _with_area(cells: DataFrame, weight: str, share: float) -> DataFrame:
     """Adds poc, area_low and area_high (bins) and shape, by one group-map over the bins of a symbol."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -129,8 +132,7 @@ def _with_area(cells: DataFrame, weight: str, share: float, tie_rounding: int |
         lo, hi = value_area(v, poc, share)
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "poc": [poc], "area_low": [lo], "area_high": [hi], "shape": [profile_shape(v, poc)], "total": [float(v.sum())]})
 
-    value = F.col(weight).cast("double") if tie_rounding is None else F.round(F.col(weight), tie_rounding)
-    found = cells.select("symbol", "bin", value.alias("weight")).groupBy("symbol").applyInPandas(run, "symbol string, poc long, area_low long, area_high long, shape string, total double")
+    found = cells.select("symbol", "bin", F.col(weight).cast("double").alias("weight")).groupBy("symbol").applyInPandas(run, "symbol string, poc long, area_low long, area_high long, shape string, total double")
     return cells.join(found, "symbol")
 
 

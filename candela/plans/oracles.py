@@ -293,7 +293,7 @@ def area_ctes(cells: str, share: float) -> str:
 PROFILE = area_ctes(
     """e as (select symbol, min(low) as a, max(high) as z from bars group by 1), edges as (select symbol, cast(k as bigint) as bin, a + k * ((z - a) / 50) as x, case when k = 49 then z else a + (k + 1) * ((z - a) / 50) end as y from e, range(0, 50) as t(k)),
     touched as (select d.symbol, bin, b.ts, b.low, b.high, b.volume, x, y, row_number() over (partition by d.symbol, b.ts order by bin) as first from edges d join bars b on b.symbol = d.symbol and case when b.low = b.high then x <= b.low and b.low <= y else x < b.high and y > b.low end),
-    cells as (select edges.*, coalesce(v, 0) as v, coalesce(k, 0) as k from edges left join (select symbol, bin, sum(case when volume <= 0 then 0 when low = high then volume else volume * ((least(high, y) - greatest(low, x)) / (high - low)) end) as v, count(*) as k from touched where low < high or first = 1 group by 1, 2) using (symbol, bin))""",
+    cells as (select edges.*, round(coalesce(v, 0), 9) as v, coalesce(k, 0) as k from edges left join (select symbol, bin, sum(case when volume <= 0 then 0 when low = high then volume else volume * ((least(high, y) - greatest(low, x)) / (high - low)) end) as v, count(*) as k from touched where low < high or first = 1 group by 1, 2) using (symbol, bin))""",
     0.7,
 )
 ORACLES["volume_profile"] = sql(
