@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -42,12 +43,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of an Arrow batch at most, as texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches, so that buffers on both sides of a worker stay small."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}").lower()).groups()
+        now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], schema: str, finish: bool = False) -> DataFrame:
     """Run a function over Arrow batches given as column lists.
 
     make() runs once in each task and returns the function; with finish, the function is called once more
     with None at the end of the task, to give what it has gathered.
     """
+    bound_batches(df.sparkSession)
     struct = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
