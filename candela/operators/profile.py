@@ -55,13 +55,14 @@ def profile_shape(v: np.ndarray, poc: int) -> str:
 
 
 def _decimal(x: Column) -> Column:
-    return x.cast("string").cast("decimal(38,18)")
+    """The decimal that a double is written as; narrow enough that its products with counts lose no digits."""
+    return x.cast("string").cast("decimal(28,18)")
 
 
 def _stepped(low: Column, high: Column, width: Column, to_end: bool) -> Column:
     """Edges low, low + width, ... in decimals; the last is `high` itself, or one more step beyond it."""
     steps = F.floor((_decimal(high) - _decimal(low)) / _decimal(width)).cast("int")
-    edges = F.transform(F.sequence(F.lit(0), steps), lambda k: (_decimal(low) + _decimal(width) * k).cast("double"))
+    edges = F.transform(F.sequence(F.lit(0), steps), lambda k: (_decimal(low) + _decimal(width) * k.cast("decimal(8,0)")).cast("double"))
     last = F.element_at(edges, -1)
     more = F.array(high) if to_end else F.array((_decimal(last) + _decimal(width)).cast("double"))
     return F.when(low == high, F.array(low, high)).when(last < high, F.concat(edges, more)).otherwise(edges)

@@ -559,10 +559,10 @@ ORACLES["walk_forward"] = f"select * replace (split_part(symbol, '|', 1) as symb
 ORACLES["walk_forward_summary"] = f"select symbol, count(*) as window_count, round(avg(total_return), 6) as mean_return, round(avg(sharpe_ratio), 6) as mean_sharpe, round(max(total_return), 6) as best_return, round(min(total_return), 6) as worst_return from ({ORACLES['walk_forward']}) group by 1"
 
 
-def _stepped(width: str, more: str = "") -> str:
+def _stepped(width: str, more: str = "", join: str = "") -> str:
     """The profile over steps of a width (an expression over `span`: a, z, close), in decimals, with the top as last edge."""
-    exact = lambda x: f"cast(cast({x} as varchar) as decimal(28, 14))"
-    edges = f"""{more}span as (select symbol, min(low) as a, max(high) as z, arg_max(close, ts) as close from bars group by 1), steps as (select *, {exact('a')} as da, {exact(width)} as dw, cast(floor(cast({exact('z')} - {exact('a')} as double) / ({width})) as bigint) as k from span),
+    exact = lambda x: f"cast(cast({x} as varchar) as decimal(28, 18))"
+    edges = f"""{more}span as (select symbol, min(low) as a, max(high) as z, arg_max(close, ts) as close, max(close) - min(close) as closes from bars group by 1), steps as (select *, {exact('a')} as da, {exact(width)} as dw, cast(floor(cast({exact('z')} - {exact('a')} as double) / ({width})) as bigint) as k from span{join}),
     edges as (select symbol, j as bin, cast(da + dw * j as double) as x, case when j = k then z else cast(da + dw * (j + 1) as double) end as y from (select *, unnest(range(0, case when cast(da + dw * k as double) < z then k + 1 else k end)) as j from steps)),"""
     tail = PROFILE[PROFILE.index("touched as (select d.symbol") :]
     return sql(
@@ -573,6 +573,7 @@ def _stepped(width: str, more: str = "") -> str:
 
 
 ORACLES["volume_profile_pct"] = _stepped("close * 0.05")
+ORACLES["volume_profile_atr"] = _stepped("coalesce(width, closes)", f"tw as (select symbol, arg_max(atr, ts) as width from a where atr is not null group by 1), ", " left join tw using (symbol)").replace(", tw as (select symbol, arg_max", f", {ATR}, tw as (select symbol, arg_max", 1)
 ORACLES["fib_confluence"] = sql(
     """select symbol, row_number() over (partition by symbol order by c) as cluster_id, round(avg(price), 6) as centre_price, round(min(price), 6) as min_price, round(max(price), 6) as max_price, count(*) as level_count, string_agg(set_id || ':' || kind || ':' || q, ',' order by k) as contributors from g group by symbol, c having count(*) >= 2""",
     f"""sa as (select symbol, max(high) as h, min(low) as x from bars group by 1), sb as (select symbol, max(high) as h, min(low) as x from r where rn > n - 48 group by 1),
@@ -585,5 +586,21 @@ ORACLES["fib_confluence"] = sql(
     True,
 )
 
+ORACLES["signals_pdh"] = sql(
+    "select symbol, ts, act as signal from s join r using (symbol, rn)",
+    f"""tw as (select * from {_part("atr")}), lo as (select *, cast({LOCAL} as date) as ny, cast(ts as date) as utc, quantile_cont(date_diff('second', before, ts), 0.5) over (partition by symbol order by ts rows between unbounded preceding and current row) as step,
+      first_value(ts) over (partition by symbol order by ts) as start from (select *, lag(ts) over (partition by symbol order by ts) as before from r)),
+    fi as (select symbol, utc, arg_min(ny, ts) as ny, arg_min(coalesce(step, 0), ts) as step, arg_min(start, ts) as start from lo group by 1, 2), dy as (select symbol, ny, max(high) as pdh, min(low) as pdl, max(ts) as final from lo group by 1, 2),
+    pv as (select fi.symbol, utc, pdh, pdl from (select *, timezone('UTC', timezone('America/New_York', cast(ny as timestamp))) as day_end from fi) fi join dy on dy.symbol = fi.symbol and dy.ny = fi.ny - 1 where start <= day_end - interval 24 hours and (step <= 0 or date_diff('second', final, day_end) <= step)),
+    x as (select r.*, pdh, pdl, lag(atr) over (partition by r.symbol order by r.ts) as width, hour(r.ts) between 8 and 16 or hour({LOCAL.replace("ts", "r.ts")}) * 60 + minute({LOCAL.replace("ts", "r.ts")}) between 570 and 959 as ins
+      from r left join pv on pv.symbol = r.symbol and pv.utc = cast(r.ts as date) left join tw on tw.symbol = r.symbol and tw.ts = r.ts),
+    s as (select symbol, rn, 0 as side, cast(null as double) as stop, cast(null as double) as target, 'hold' as act, false as was_up, false as was_down from x where rn = 1
+      union all select symbol, rn, case when ex then 0 when lo then 1 when sh then -1 else side end, case when lo then close - 1.5 * width when sh then close + 1.5 * width else stop end, case when lo then close + 3 * width when sh then close - 3 * width else target end,
+        case when ex and side = 1 then 'long_exit' when ex then 'short_exit' when lo then 'long_entry' when sh then 'short_entry' else 'hold' end, up, down from (
+          select *, free and up and not was_up as lo, free and not (up and not was_up) and down and not was_down as sh from (
+            select x.*, s.side, s.stop, s.target, s.was_up, s.was_down, s.side <> 0 and {_hit} as ex, coalesce(x.close > x.pdh, false) as up, coalesce(x.close < x.pdl, false) as down, s.side = 0 and x.pdh is not null and ins and width is not null as free from s join x on x.symbol = s.symbol and x.rn = s.rn + 1)))""",
+    True,
+)
+
 # a small negative number rounds to negative zero here, and to zero in Spark
 ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}
