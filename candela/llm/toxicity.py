@@ -42,9 +42,13 @@ LEET = {
 }
 WILD = "*#"
 GAPS = " .-_~|*'/\t"
-#: Paths take memory by the length of a span and the number of open choices, so both are bounded: longer spans are
-#: decoded in pieces, and a span with more masked letters than this keeps its masks as gaps.
-PIECE, MOST_WILD = 192, 4
+#: In a lattice, any of the 26 letters.
+ANY = SYMBOLS
+LETTERS = np.arange(1, 27)
+#: Spans of up to so many characters are remembered; paths are cut back to their common start after so many positions.
+REMEMBERED, SETTLE = 192, 128
+#: From so many states on, the paths of a masked letter are held against each other in one table.
+WIDE = 1000
 
 # Kinds of characters: letters; signs that stand for letters; those of them that may end a word; signs that may stand
 # inside a word; white space; digits.
@@ -126,18 +130,30 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(np.maximum(lower, 1e-12)).astype(np.float32).reshape(-1)
 
 
+#: Fills up rows of added symbols.
+NOTHING = 255
+
+
+def _best(states: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """The place of the least cost of each state, the first one of equals."""
+    order = np.lexsort((costs, states))
+    return order[np.concatenate([[True], np.diff(states[order]) != 0])] if len(order) else order
+
+
 class Decoder:
     def __init__(self, costs: np.ndarray, bound: int = 50_000):
         self.costs, self.bound, self.known = costs.tolist() if len(costs) < 1 << 20 else costs, bound, {}
+        self.table = np.asarray(costs, dtype=np.float64)
+        # two paths at one position go on at costs that differ by no more, as contexts are equal after three symbols
+        self.slack = 3 * float(self.table.max(initial=0)) + 1e-6
         self.symbols, _, self.kinds = _tables()
 
     def lattice(self, span: str) -> list[list[tuple[tuple[int, ...], float]]]:
-        """For each run of equal characters, what it may stand for: symbols and a cost."""
+        """For each run of equal characters, or of masks, what it may stand for: symbols and a cost."""
         out, at = [], 0
-        wild = sum(span.count(c) for c in WILD) <= MOST_WILD
         while at < len(span):
             c, end = span[at], at + 1
-            while end < len(span) and span[end] == c:
+            while end < len(span) and (span[end] == c or (c in WILD and span[end] in WILD)):
                 end += 1
             n, at = end - at, end
             symbol = int(self.symbols[ord(c)])
@@ -155,20 +171,29 @@ class Decoder:
                 options += [((k,), COST_LEET)] if n == 1 else [((k, k), COST_LEET), ((k,), COST_LEET + COST_SINGLE)] if n == 2 else [((k,), COST_LEET + COST_SHORTEN)]
             if c in GAPS:
                 options.append(((), COST_JOIN))
-            if wild and c in WILD and n <= 2:
-                options += [((k,) * n, COST_WILD) for k in range(1, 27)]
+            if c in WILD:
+                options.append(((ANY,) * n, COST_WILD))
             out.append(options)
         return out
 
     def __call__(self, span: str) -> str:
-        """The restored span: words of a to z, one space between them. Long spans are decoded piece by piece."""
-        if len(span) > PIECE:
-            return " ".join(filter(None, (self(span[k : k + PIECE]) for k in range(0, len(span), PIECE))))
+        """The restored span: words of a to z, one space between them."""
         if (found := self.known.get(span)) is not None:
             return found
+        lattice = [*self.lattice(span), [((0,), 0.0)]]
+        out = self._masked_path(lattice) if any(c in span for c in WILD) else self._path(lattice)
+        text = "".join(" abcdefghijklmnopqrstuvwxyz~"[x] for x in out).strip()
+        if len(span) <= REMEMBERED:
+            if len(self.known) >= self.bound:
+                self.known.clear()
+            self.known[span] = text
+        return text
+
+    def _path(self, lattice: list[list[tuple[tuple[int, ...], float]]]) -> list[int]:
+        """The symbols of the path of least cost, for lattices of few choices at each position."""
         costs = self.costs
         paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last three symbols
-        for options in [*self.lattice(span), [((0,), 0.0)]]:
+        for options in lattice:
             new: dict[int, tuple[float, tuple | None]] = {}
             for state, (cost, back) in paths.items():
                 for emitted, extra in options:
@@ -187,11 +212,71 @@ class Decoder:
         while link:
             out.append(link[0])
             link = link[1]
-        text = "".join(" abcdefghijklmnopqrstuvwxyz~"[x] for x in reversed(out)).strip()
-        if len(self.known) >= self.bound:
-            self.known.clear()
-        self.known[span] = text
-        return text
+        return out[::-1]
+
+    def _advance(self, states: np.ndarray, costs: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Paths with one of the symbols added, the best for each new state: states, costs, places of the paths before."""
+        if len(symbols) > 1 and len(states) > WIDE:
+            full, place = np.full(SYMBOLS**3, np.inf), np.zeros(SYMBOLS**3, dtype=np.int64)
+            full[states], place[states] = costs, np.arange(len(states))
+            sums = full.reshape(SYMBOLS, -1, 1) + self.table.reshape(SYMBOLS, SYMBOLS**2, SYMBOLS)
+            first = sums.argmin(axis=0)
+            best = np.take_along_axis(sums, first[None], 0)[0].reshape(-1)
+            before = (first * SYMBOLS**2 + np.arange(SYMBOLS**2)[:, None]).reshape(-1)
+            new = np.flatnonzero((best < np.inf) & np.isin(np.arange(SYMBOLS**3) % SYMBOLS, symbols))
+            return new, best[new], place[before[new]]
+        codes = (states[:, None] * SYMBOLS + symbols).reshape(-1)
+        totals = np.repeat(costs, len(symbols)) + self.table[codes]
+        new = codes % SYMBOLS**3
+        kept = _best(new, totals)
+        return new[kept], totals[kept], kept // len(symbols)
+
+    def _masked_path(self, lattice: list[list[tuple[tuple[int, ...], float]]]) -> list[int]:
+        """As _path, for lattices with masked letters, where up to SYMBOLS ** 3 states are open at a position."""
+        states, costs = np.zeros(1, dtype=np.int64), np.zeros(1)
+        settled: list[int] = []
+        links: list[tuple[np.ndarray, np.ndarray]] = []  # for each position and path: the path before, what it added
+
+        def settle(at: int, upto: int) -> None:
+            """Put down what a path added in the first `upto` positions."""
+            parts = []
+            for before, added in reversed(links[:upto]):
+                parts.append(added[at])
+                at = before[at]
+            settled.extend(int(x) for part in reversed(parts) for x in part if x != NOTHING)
+            del links[:upto]
+
+        for options in lattice:
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+            for emitted, extra in options:
+                s, v, origin, added = states, costs + extra, np.arange(len(states)), np.zeros((len(states), 0), dtype=np.uint8)
+                if emitted == (0,) and (ended := s % SYMBOLS == 0).any():  # one word end is enough
+                    found.append((s[ended], v[ended], origin[ended], added[ended]))
+                    s, v, origin, added = s[~ended], v[~ended], origin[~ended], added[~ended]
+                for x in emitted:
+                    s, v, back = self._advance(s, v, LETTERS if x == ANY else np.array([x]))
+                    origin, added = origin[back], np.concatenate([added[back], (s % SYMBOLS).astype(np.uint8)[:, None]], axis=1)
+                    if x == ANY and v.min() > min(f[1].min() for f in found if len(f[1])) + self.slack:
+                        s = s[:0]  # costs only grow, so no path through here can be the best
+                        break
+                if len(s):
+                    found.append((s, v, origin, added))
+            wide = max(f[3].shape[1] for f in found)
+            s, v, origin = (np.concatenate([f[i] for f in found]) for i in range(3))
+            added = np.concatenate([np.pad(f[3], ((0, 0), (0, wide - f[3].shape[1])), constant_values=NOTHING) for f in found])
+            kept = _best(s, v)
+            kept = kept[v[kept] <= v.min() + self.slack]
+            states, costs = s[kept], v[kept]
+            links.append((origin[kept].astype(np.int32), added[kept]))
+            if len(links) % SETTLE == 0:
+                at = np.arange(len(states))
+                for k in range(len(links) - 1, -1, -1):
+                    at = np.unique(links[k][0][at])
+                    if len(at) == 1:  # all paths share what comes before
+                        settle(int(at[0]), k)
+                        break
+        settle(int(costs.argmin()), len(links))
+        return settled
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Where disguise may be, in order and apart from each other."""

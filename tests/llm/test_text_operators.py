@@ -1,5 +1,6 @@
 """Token counts, packing, language, quality, toxicity: against the libraries, loops, and odd rows."""
 
+import itertools
 import random
 import zlib
 
@@ -111,6 +112,45 @@ def test_decoder_restores_disguised_words(spark):
         assert decoder.restore(plain) == plain.lower()
 
 
+@pytest.fixture(scope="module")
+def decoder(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, prose(rng, 60) + " you idiot moron and stupid clown " * 2) for i in range(60)], "doc_id long, text string")
+    return toxicity.Decoder(toxicity.language_model(toxicity.count_ngrams(docs)))
+
+
+def test_long_spans_are_decoded_whole(decoder):
+    words = ["stupid", "moron", "idiot", "clown"] * 60
+    assert decoder.restore(" ".join(c for w in words for c in w)).split() == words
+    assert decoder.restore(".".join(c for w in words for c in w)).split() == words
+
+
+def test_masked_letters_at_any_count(decoder):
+    assert [decoder(s) for s in ("st**id", "m***n")] == ["stupid", "moron"]
+    masked = ["st*pid", "mo#on", "idi*t", "c**wn"] * 20
+    assert decoder("/".join(masked)).split() == ["stupid", "moron", "idiot", "clown"] * 20
+
+
+def test_paths_of_masks_are_the_best_of_all(decoder):
+    for span in ("m*r*n", "id**t", "s*.#d", "*1d*", "b**ta"):
+        best, lattice = {}, [*decoder.lattice(span), [((0,), 0.0)]]
+        paths = [((0, 0, 0), 0.0)]
+        for options in lattice:
+            new = {}
+            for path, cost in paths:
+                for emitted, extra in options:
+                    for filled in itertools.product(*[range(1, 27) if x == toxicity.ANY else (x,) for x in emitted]):
+                        p, c = path, cost + extra
+                        for x in filled:
+                            if x or p[-1]:
+                                c += decoder.table[((p[-3] * 28 + p[-2]) * 28 + p[-1]) * 28 + x]
+                                p = (*p, x)
+                        new[p] = min(c, new.get(p, c))
+            paths = list(new.items())
+        best = min(paths, key=lambda p: p[1])[0]
+        assert decoder(span) == "".join(" abcdefghijklmnopqrstuvwxyz"[x] for x in best[3:]).strip()
+
+
 def test_counts_equal_a_loop(odd):
     symbols, _, _ = toxicity._tables()
     total = np.zeros(toxicity.SYMBOLS**toxicity.ORDER)
