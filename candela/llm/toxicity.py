@@ -1,8 +1,8 @@
 """Toxicity scores of texts restored by a noisy-channel decoder.
 
 1. A character language model is counted over all documents: n-grams of folded letters and word ends.
-2. Spans with traces of disguise (digits or signs between letters, letters set apart, letters repeated) become
-   lattices: each position lists what it may stand for, at a cost, and the Viterbi path of least cost under the
+2. Tokens with a letter and a digit or sign that may stand for one, a mask, a sign inside, or a letter repeated, and
+   letters set apart, become lattices: each position lists what it may stand for, at a cost, and the Viterbi path of least cost under the
    language model restores the span. A word without such traces has a lattice of one path, which is the word itself.
 3. Words of the restored text, and their first letters, are held against a lexicon of terms that tell labelled toxic
    texts from others; a logistic model of the evidence gives the score.
@@ -47,12 +47,14 @@ ANY = SYMBOLS
 LETTERS = np.arange(1, 27)
 #: Spans of up to so many characters are remembered; paths are cut back to their common start after so many positions.
 REMEMBERED, SETTLE = 192, 128
+#: Up to so many states of a lattice with masked letters are followed one by one.
+FEW = 100
 #: From so many states on, the paths of a masked letter are held against each other in one table.
 WIDE = 1000
 
-# Kinds of characters: letters; signs that stand for letters; those of them that may end a word; signs that may stand
-# inside a word; white space; digits.
-LETTER, SIGN, LAST, INNER, SPACE, DIGIT = 1, 2, 4, 8, 16, 32
+# Kinds of characters: letters; signs that stand for letters; masks; signs that may stand inside a word; white space;
+# digits.
+LETTER, SIGN, MASK, INNER, SPACE, DIGIT = 1, 2, 4, 8, 16, 32
 
 # Costs of the channel, in nats.
 COST_LEET, COST_WILD, COST_JOIN, COST_GAP, COST_SHORTEN, COST_DOUBLE, COST_SINGLE, COST_LITERAL = 0.5, 3.0, 0.5, 0.5, 0.5, 0.5, 3.5, 4.0
@@ -74,8 +76,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds = np.where(symbols > 0, LETTER, 0).astype(np.uint8)
     for c in LEET:
         kinds[ord(c)] |= SIGN
-    for c in "0134579@$":
-        kinds[ord(c)] |= LAST
+    for c in WILD:
+        kinds[ord(c)] |= MASK
     for c in WILD + "._-~'":
         kinds[ord(c)] |= INNER
     for c in range(0x3001):
@@ -146,6 +148,9 @@ class Decoder:
         self.table = np.asarray(costs, dtype=np.float64)
         # two paths at one position go on at costs that differ by no more, as contexts are equal after three symbols
         self.slack = 3 * float(self.table.max(initial=0)) + 1e-6
+        # what a symbol costs at least; a word end may be free, and any letter costs as the cheapest one
+        least = self.table.reshape(-1, SYMBOLS).min(axis=0).tolist()
+        self.least = [0.0, *least[1:], min(least[1:27])]
         self.symbols, _, self.kinds = _tables()
 
     def lattice(self, span: str) -> list[list[tuple[tuple[int, ...], float]]]:
@@ -165,7 +170,9 @@ class Decoder:
                 else:
                     out.append([((symbol,), 0.0)])
                 continue
-            options = [((0,), COST_LITERAL if c in LEET else COST_GAP)]
+            # an exclamation mark at the end and a bracket at the start are what they are elsewhere
+            plain = (c == "!" and at == len(span)) or (c == "(" and at == n)
+            options = [((0,), COST_LITERAL if c in LEET and not plain else COST_GAP)]
             for x in LEET.get(c, ""):
                 k = ord(x) - 96
                 options += [((k,), COST_LEET)] if n == 1 else [((k, k), COST_LEET), ((k,), COST_LEET + COST_SINGLE)] if n == 2 else [((k,), COST_LEET + COST_SHORTEN)]
@@ -181,7 +188,7 @@ class Decoder:
         if (found := self.known.get(span)) is not None:
             return found
         lattice = [*self.lattice(span), [((0,), 0.0)]]
-        out = self._masked_path(lattice) if any(c in span for c in WILD) else self._path(lattice)
+        out = self._masked_path(lattice) if any(c in span for c in WILD) else self._path(lattice)[0]
         text = "".join(" abcdefghijklmnopqrstuvwxyz~"[x] for x in out).strip()
         if len(span) <= REMEMBERED:
             if len(self.known) >= self.bound:
@@ -189,8 +196,8 @@ class Decoder:
             self.known[span] = text
         return text
 
-    def _path(self, lattice: list[list[tuple[tuple[int, ...], float]]]) -> list[int]:
-        """The symbols of the path of least cost, for lattices of few choices at each position."""
+    def _path(self, lattice: list[list[tuple[tuple[int, ...], float]]]) -> tuple[list[int], float]:
+        """The symbols and the cost of the path of least cost, for lattices of few choices at each position."""
         costs = self.costs
         paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last three symbols
         for options in lattice:
@@ -207,8 +214,44 @@ class Decoder:
                     if s not in new or total < new[s][0]:
                         new[s] = (total, link)
             paths = new
-        _, link = min(paths.values(), key=lambda p: p[0])
+        total, link = min(paths.values(), key=lambda p: p[0])
         out = []
+        while link:
+            out.append(link[0])
+            link = link[1]
+        return out[::-1], total
+
+    def _few_paths(self, lattice: list[list[tuple[tuple[int, ...], float]]], bound: float, ahead: list[float]) -> list[int] | None:
+        """As _path, without what exceeds the bound; none if more than FEW states are open at a position."""
+        costs, any_letter = self.costs, self.least[ANY]
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for options, after in zip(lattice, ahead, strict=True):
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for emitted, extra in options:
+                part = {s: (cost + extra, link) for s, (cost, link) in paths.items()}
+                for k, x in enumerate(emitted, 1):
+                    further: dict[int, tuple[float, tuple | None]] = {}
+                    most = bound - after - (len(emitted) - k) * any_letter * (x == ANY)
+                    for s, (cost, link) in part.items():
+                        if not x and not s % SYMBOLS:
+                            if cost <= most and (s not in further or cost < further[s][0]):
+                                further[s] = (cost, link)
+                            continue
+                        for y in range(1, 27) if x == ANY else (x,):
+                            code = s * SYMBOLS + y
+                            total, state = cost + costs[code], code % SYMBOLS**3
+                            if total <= most and (state not in further or total < further[state][0]):
+                                further[state] = (total, (y, link))
+                    part = further
+                    if len(part) > FEW:
+                        return None
+                for s, path in part.items():
+                    if path[0] <= bound - after and (s not in new or path[0] < new[s][0]):
+                        new[s] = path
+            if len(new) > FEW:
+                return None
+            paths = new
+        out, link = [], min(paths.values(), key=lambda p: p[0], default=(0.0, None))[1]
         while link:
             out.append(link[0])
             link = link[1]
@@ -234,6 +277,15 @@ class Decoder:
     def _masked_path(self, lattice: list[list[tuple[tuple[int, ...], float]]]) -> list[int]:
         """As _path, for lattices with masked letters, where up to SYMBOLS ** 3 states are open at a position."""
         states, costs = np.zeros(1, dtype=np.int64), np.zeros(1)
+        # a path is dropped once its cost and the least it has still to pay exceed the best path without masked letters
+        plain, bound = self._path([[(e, x) for e, x in options if ANY not in e] for options in lattice])
+        bound += 1e-6
+        ahead = [0.0]
+        for options in reversed(lattice):
+            ahead.append(ahead[-1] + min(x + sum(self.least[k] for k in e) for e, x in options))
+        ahead = ahead[-2::-1]  # by position: what is paid after it
+        if (few := self._few_paths(lattice, bound, ahead)) is not None:
+            return few or plain
         settled: list[int] = []
         links: list[tuple[np.ndarray, np.ndarray]] = []  # for each position and path: the path before, what it added
 
@@ -246,26 +298,31 @@ class Decoder:
             settled.extend(int(x) for part in reversed(parts) for x in part if x != NOTHING)
             del links[:upto]
 
-        for options in lattice:
+        for position, options in enumerate(lattice):
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
             for emitted, extra in options:
                 s, v, origin, added = states, costs + extra, np.arange(len(states)), np.zeros((len(states), 0), dtype=np.uint8)
                 if emitted == (0,) and (ended := s % SYMBOLS == 0).any():  # one word end is enough
                     found.append((s[ended], v[ended], origin[ended], added[ended]))
                     s, v, origin, added = s[~ended], v[~ended], origin[~ended], added[~ended]
-                for x in emitted:
+                for k, x in enumerate(emitted, 1):
                     s, v, back = self._advance(s, v, LETTERS if x == ANY else np.array([x]))
                     origin, added = origin[back], np.concatenate([added[back], (s % SYMBOLS).astype(np.uint8)[:, None]], axis=1)
-                    if x == ANY and v.min() > min(f[1].min() for f in found if len(f[1])) + self.slack:
-                        s = s[:0]  # costs only grow, so no path through here can be the best
-                        break
+                    if x == ANY:
+                        most = min(bound - ahead[position] - (len(emitted) - k) * self.least[ANY], min((f[1].min() for f in found), default=np.inf) + self.slack)
+                        kept = v <= most
+                        s, v, origin, added = s[kept], v[kept], origin[kept], added[kept]
+                        if not len(s):
+                            break
                 if len(s):
                     found.append((s, v, origin, added))
             wide = max(f[3].shape[1] for f in found)
             s, v, origin = (np.concatenate([f[i] for f in found]) for i in range(3))
             added = np.concatenate([np.pad(f[3], ((0, 0), (0, wide - f[3].shape[1])), constant_values=NOTHING) for f in found])
             kept = _best(s, v)
-            kept = kept[v[kept] <= v.min() + self.slack]
+            kept = kept[v[kept] <= min(v.min() + self.slack, bound - ahead[position])]
+            if not len(kept):
+                return plain  # by rounding alone
             states, costs = s[kept], v[kept]
             links.append((origin[kept].astype(np.int32), added[kept]))
             if len(links) % SETTLE == 0:
@@ -284,18 +341,21 @@ class Decoder:
         kind = self.kinds[points]
         padded = np.concatenate([[SPACE], kind, [SPACE]])
         before, after = padded[:-2], padded[2:]
-        sign, letter = (kind & SIGN) != 0, kind & LETTER
-        further = np.concatenate([after[1:], [SPACE]])
-        starts = ((after & LETTER) != 0) | (((after & SIGN) != 0) & ((further & LETTER) != 0))  # letters go on
-        trace = sign & ((before & (LETTER | SPACE)) != 0) & starts
-        trace |= sign & ((before & SIGN) != 0) & ((after & LETTER) != 0)  # the end of a run of signs
-        trace |= ((kind & LAST) != 0) & ((before & LETTER) != 0) & ((after & SPACE) != 0)
-        trace |= ((kind & INNER) != 0) & ((before & LETTER) != 0) & ((after & LETTER) != 0)
+        letter = kind & LETTER
+        trace = (kind & (SIGN | INNER)) != 0
         if len(points) > 2:
             same = points[1:] == points[:-1]
             trace[1:-1] |= same[1:] & same[:-1] & (letter[1:-1] != 0)
+        # of these, what lies in a token with a letter, and between the first and last of its characters that can be one
+        spaces, letters, cores = (np.flatnonzero(kind & k) for k in (SPACE, LETTER, LETTER | SIGN | MASK))
+        traces = np.flatnonzero(trace)
+        ends = np.concatenate([[-1], spaces, [len(points)]])
+        token = np.searchsorted(ends, traces)
+        within = lambda places, low, high: np.searchsorted(places, low) < np.searchsorted(places, high)
+        start, end = ends[token - 1] + 1, ends[token]
+        traces = traces[within(letters, start, end) & within(cores, start, traces + 1) & within(cores, traces, end)]
         found, done = [], 0
-        for at in np.flatnonzero(trace).tolist():
+        for at in traces.tolist():
             if at < done:
                 continue
             a, b = at, at + 1
@@ -322,7 +382,10 @@ class Decoder:
         text = text.lower()
         out, at = [], 0
         for a, b in self.spans(text):
-            out += [text[at:a], self(text[a:b].strip(".,;:!?\"'%&#*()[]"))]
+            # signs at the ends that can be no letter stay as they are
+            cores = np.flatnonzero(self.kinds[_points(text[a:b])] & (LETTER | SIGN | MASK))
+            a, b = a + int(cores[0]), a + int(cores[-1]) + 1
+            out += [text[at:a], self(text[a:b])]
             at = b
         return "".join([*out, text[at:]]) if out else text
 

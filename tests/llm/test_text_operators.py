@@ -131,6 +131,17 @@ def test_masked_letters_at_any_count(decoder):
     assert decoder("/".join(masked)).split() == ["stupid", "moron", "idiot", "clown"] * 20
 
 
+def test_signs_are_read_whatever_stands_beside_them(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(rng, 60) + " that hate kill the ass with a stupid quiz clown " * 2) for i in range(60)], "doc_id long, text string")
+    decoder = toxicity.Decoder(toxicity.language_model(toxicity.count_ngrams(docs)))
+    for disguised, plain in {"a55": "ass", "a$$": "ass", "ki11": "kill", "hat3.": "hate", "hat3,": "hate", '"5tupid': "stupid", "(5tupid)": "stupid", "qui2": "quiz", "st**id!": "stupid", "c*#wn": "clown"}.items():
+        word = "".join(c for c in decoder.restore(f"the {disguised} here").split()[1] if c.isalpha())
+        assert word == plain, disguised
+    for plain in ("well!", "(that kill)", "stupid?!", "12 13"):
+        assert toxicity.words_of(decoder.restore(plain)) == toxicity.words_of(plain)
+
+
 def test_paths_of_masks_are_the_best_of_all(decoder):
     for span in ("m*r*n", "id**t", "s*.#d", "*1d*", "b**ta"):
         best, lattice = {}, [*decoder.lattice(span), [((0,), 0.0)]]
