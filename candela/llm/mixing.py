@@ -3,11 +3,12 @@
 Rows of a source are put in order by a hash and cut into blocks. With weights a_i / H (whole numbers that add up to
 the period H), block k of source i may run from slot floor(k H / a_i) on and must run before slot ceil((k + 1) H / a_i).
 Of the blocks that may run, each slot takes the one with the earliest deadline. All windows are kept then, and in
-every prefix the number of a source's blocks differs from its due number by less than one.
+every prefix of a phase the number of a source's blocks differs from its due number by less than one. The whole
+numbers are in exactly the ratios of the weights given, whatever their size.
 
-The order repeats each period, so a period is laid out once, on the driver, with numbers whose size depends on the
-number of sources alone; every row then finds its slot by arithmetic. When a source runs out, a new phase begins, in
-which the others share its weight. All rows are kept.
+Blocks are laid out on the driver, from the count of each source: time and memory there follow the number of blocks,
+not of rows' bytes. Rows find their slot by the block's number. When a source runs out, a new phase begins, in which
+the others share its weight. All rows are kept.
 
 Cases: a null source counts as the empty name; sources without a weight get the rest's least weight; equal ids are put
 in order by their text, so equal rows may change places only with each other; null ids count as the empty text; an
@@ -18,8 +19,12 @@ from __future__ import annotations
 
 import heapq
 import json
-from bisect import bisect_left
+from array import array
+from fractions import Fraction
+from math import gcd, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,62 +34,47 @@ from . import common
 BLOCK_ROWS, POWER, PART_ROWS = 8, 0.7, 250
 #: Parts whose sizes are summed up in one step.
 RUN_PARTS = 1024
-#: The layout of a period takes memory by the square of the number of sources.
+#: Each source may begin a phase and has a part in the plan.
 MOST_SOURCES = 256
+#: Blocks in a row of the plan; later deadlines are told as this.
+CHUNK, FARTHEST = 512, (1 << 63) - 1
 
 
 def whole_weights(weights: dict[str, float]) -> tuple[dict[str, int], int]:
-    """Weights as whole numbers, at least 1, that add up to a period, by largest remainders."""
-    period = max(1000, 10 * len(weights))
-    total = sum(weights.values())
-    exact = {k: w / total * period for k, w in weights.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (out[k] - exact[k], k))
-    while (gap := period - sum(out.values())) != 0:
-        for k in order if gap > 0 else [k for k in reversed(order) if out[k] > 1]:
-            if gap == 0:
-                break
-            out[k] += 1 if gap > 0 else -1
-            gap += -1 if gap > 0 else 1
-    return out, period
-
-
-def period_slots(weights: dict[str, int], period: int) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period: the earliest deadline first among the released."""
-    out: dict[str, list[int]] = {k: [] for k in weights}
-    waiting = [(0, k) for k in weights]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str]] = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-((len(out[k]) + 1) * period // -weights[k]), k))
-        deadline, k = heapq.heappop(ready)
-        if slot >= deadline:
-            raise AssertionError("a deadline was missed")
-        out[k].append(slot)
-        if len(out[k]) < weights[k]:
-            heapq.heappush(waiting, (len(out[k]) * period // weights[k], k))
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
-    """For each phase and source still there: its first block and slot, weight, period and slots in a period."""
-    left, done, start, out = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    number = 0
+    """Weights as whole numbers of any size in exactly the given ratios, and their sum, the period."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    common_multiple = lcm(*[w.denominator for w in exact.values()])
+    out = {k: int(w * common_multiple) for k, w in exact.items()}
+    shared = gcd(*out.values())
+    out = {k: w // shared for k, w in out.items()}
+    return out, sum(out.values())
+
+
+def phases(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, dict[str, array]]:
+    """For each source, by block: slot, release, deadline and phase. The earliest deadline first among the released."""
+    out = {k: {n: array("q") for n in ("slot", "release", "deadline", "phase")} for k in blocks}
+    left, start, number = {k: n for k, n in blocks.items() if n}, 0, 0
     while left:
         whole, period = whole_weights({k: weights[k] for k in left})
-        slots = period_slots(whole, period)
-        length = 1 + min((n - 1) // whole[k] * period + slots[k][(n - 1) % whole[k]] for k, n in left.items())
-        for k in left:
-            out.append({"source": k, "phase": number, "first": done[k], "start": start, "weight": whole[k], "period": period, "slots": slots[k]})
-        for k in list(left):
-            used = length // period * whole[k] + bisect_left(slots[k], length % period)
-            done[k] += used
-            left[k] -= used
-            if not left[k]:
-                del left[k]
-        start, number = start + length, number + 1
+        done, slot = dict.fromkeys(left, 0), 0
+        waiting, ready = [(0, k) for k in left], []
+        heapq.heapify(waiting)
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                release, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (-((done[k] + 1) * period // -whole[k]), k, release))
+            deadline, k, release = heapq.heappop(ready)
+            if slot >= deadline:
+                raise AssertionError("a deadline was missed")
+            for name, x in (("slot", start + slot), ("release", start + release), ("deadline", min(start + deadline, FARTHEST)), ("phase", number)):
+                out[k][name].append(x)
+            done[k] += 1
+            slot += 1
+            if done[k] == left[k]:
+                break
+            heapq.heappush(waiting, (done[k] * period // whole[k], k))
+        left = {k: n - done[k] for k, n in left.items() if n > done[k]}
+        start, number = start + slot, number + 1
     return out
 
 
@@ -93,8 +83,13 @@ def default_weights(counts: dict[str, int], power: float = POWER) -> dict[str, f
     return {k: n**power for k, n in counts.items()}
 
 
-def _literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+def _layout(spark: SparkSession, plan: dict[str, dict[str, array]]) -> DataFrame:
+    """The plan as rows of CHUNK blocks: __source, __chunk, and an array of each of slot, release, deadline, phase."""
+    chunks = [(k, i) for k, p in plan.items() for i in range(0, len(p["slot"]), CHUNK)]
+    columns = {"__source": pa.array([k for k, _ in chunks], pa.string()), "__chunk": pa.array([i // CHUNK for _, i in chunks], pa.int64())}
+    for n in ("slot", "release", "deadline", "phase"):
+        columns[f"__{n}s"] = pa.array([np.frombuffer(plan[k][n][i : i + CHUNK], dtype=np.int64) for k, i in chunks], pa.list_(pa.int64()))
+    return spark.createDataFrame(pa.table(columns))
 
 
 def _scheduled(df: DataFrame, weights: dict[str, float] | None, source: str, doc_id: str, text: str, block_rows: int) -> DataFrame:
@@ -113,10 +108,8 @@ def _scheduled(df: DataFrame, weights: dict[str, float] | None, source: str, doc
     # the last block of a source may be short: the rows it lacks are taken off the positions after it
     short = []
     for k, n in counts.items():
-        p = max((p for p in plan if p["source"] == k), key=lambda p: p["phase"])
-        j = blocks[k] - 1 - p["first"]
         if n % block_rows:
-            short.append({"slot": p["start"] + j // p["weight"] * p["period"] + p["slots"][j % p["weight"]], "lacks": block_rows - n % block_rows})
+            short.append({"slot": plan[k]["slot"][-1], "lacks": block_rows - n % block_rows})
     parts = max(1, -(max(counts.values(), default=0) // -PART_ROWS))
     rows = rows.withColumn("__part", F.pmod("__hash", F.lit(parts)).cast("int"))
     sizes = rows.groupBy("__source", "__part").agg(F.count("*").alias("n"))
@@ -129,15 +122,11 @@ def _scheduled(df: DataFrame, weights: dict[str, float] | None, source: str, doc
     starts = starts.select("__source", "__part", (F.col("__runs_before") + F.col("__parts_before")).alias("__before"))
     order = Window.partitionBy("__source", "__part").orderBy("__hash", F.col(doc_id), F.xxhash64(F.col(text)))
     rows = rows.withColumn("__rank", F.row_number().over(order)).join(starts, ["__source", "__part"]).withColumn("__rank", F.col("__before") + F.col("__rank") - 1)
-    fields = "phase int, first bigint, start bigint, weight bigint, period bigint, slots array<int>"
-    layout = _literal_rows(spark, plan, f"source string, {fields}").groupBy(F.col("source").alias("__source")).agg(F.sort_array(F.collect_list(F.struct("first", "phase", "start", "weight", "period", "slots"))).alias("__phases"))
-    # at most MOST_SOURCES rows, each of a bounded number of slots
-    rows = rows.join(F.broadcast(layout), "__source").withColumn("__block", F.floor(F.col("__rank") / block_rows)).withColumn("__place", F.col("__rank") % block_rows)
-    rows = rows.withColumn("__p", F.element_at(F.filter("__phases", lambda p: p["first"] <= F.col("__block")), -1)).drop("__phases")
-    k, a, h = F.col("__block") - F.col("__p.first"), F.col("__p.weight"), F.col("__p.period")
-    whole = lambda x, y: F.call_function("div", x, y)
-    rows = rows.withColumn("__slot", F.col("__p.start") + whole(k, a) * h + F.get(F.col("__p.slots"), (k % a).cast("int")))
-    rows = rows.withColumns({"__release": F.col("__p.start") + whole(k * h, a), "__deadline": F.col("__p.start") - whole(-(k + 1) * h, a) + F.when((k + 1) * h % a == 0, 0).otherwise(1), "__phase": F.col("__p.phase")}).drop("__p")
+    rows = rows.withColumn("__block", F.floor(F.col("__rank") / block_rows)).withColumn("__place", F.col("__rank") % block_rows).withColumn("__chunk", F.floor(F.col("__block") / CHUNK))
+    # 32 bytes a block, a few hundredths of a row's text
+    rows = rows.join(F.broadcast(_layout(spark, plan)), ["__source", "__chunk"])
+    at = (F.col("__block") % CHUNK).cast("int")
+    rows = rows.withColumns({f"__{n}": F.get(F.col(f"__{n}s"), at) for n in ("slot", "release", "deadline", "phase")}).drop("__slots", "__releases", "__deadlines", "__phases")
     lacking = F.from_json(F.lit(json.dumps(short)), "array<struct<slot bigint, lacks bigint>>")
     lost = F.aggregate(F.filter(lacking, lambda s: s["slot"] < F.col("__slot")), F.lit(0).cast("long"), lambda x, s: x + s["lacks"])
     return rows.withColumn("__position", F.col("__slot") * block_rows + F.col("__place") - lost)

@@ -234,6 +234,19 @@ def test_schedule_keeps_windows_and_deviation(spark, weights):
         assert mixing.deviation(whole, period, taken, n) < 1
 
 
+@pytest.mark.parametrize("weights", [mixing.default_weights({"hot": 95_000, **{f"s{i:02d}": 10_000 for i in range(19)}}), {"a": 0.15, "b": 999.85}])
+def test_deviation_from_given_weights_stays_below_one_block(weights):
+    blocks, total = {k: int(30_000 * w / sum(weights.values())) + 5 for k, w in weights.items()}, sum(weights.values())
+    plan, taken = mixing.phases(blocks, weights), dict.fromkeys(weights, 0)
+    order = sorted((slot, k, phase) for k, p in plan.items() for slot, phase in zip(p["slot"], p["phase"], strict=True))
+    assert [s for s, _, _ in order] == list(range(sum(blocks.values()))) and {k: len(p["slot"]) for k, p in plan.items()} == blocks
+    first = [k for _, k, phase in order if not phase]
+    assert len(first) > 20_000
+    for n, k in enumerate(first, 1):
+        taken[k] += 1
+        assert all(abs(taken[k] - n * w / total) < 1 + 1e-6 for k, w in weights.items())
+
+
 def test_mixing_of_odd_rows(odd, none):
     rows = mixing.schedule(odd).collect()
     assert sorted(r.position for r in rows) == list(range(odd.count()))
