@@ -137,7 +137,7 @@ on_bars(
     backtest_trades=lambda b: bt.trades_of(_simulated(b, strat.rsi_reversion)),
     backtest_equity=lambda b: bt.equity_of(_simulated(b, strat.rsi_reversion)),
     backtest_metrics=lambda b: _finite(bt.metrics(_simulated(b, strat.rsi_reversion))),
-    compare_strategies=lambda b: _finite(bt.compare(b, {k: v for k, v in strat.STRATEGIES.items() if k != "order_blocks"})),
+    compare_strategies=lambda b: _finite(bt.compare(b, strat.STRATEGIES)),
     engine_equity=lambda b: bt.equity_of(_by_hour(b)),
     engine_trades=lambda b: bt.trades_of(_by_hour(b)),
     engine_metrics=lambda b: _finite(bt.metrics(_by_hour(b))),

@@ -150,3 +150,13 @@ def test_feeds(spark):
     post = '{"data": {"children": [{"data": {"title": "t", "selftext": "b", "score": 1}}]}}'
     row = feeds.posts_from_listings(spark.createDataFrame([("b", post)], "board string, json string")).first()
     assert (row.board, row.title, row.body, row.score) == ("b", "t", "b", 1)
+
+
+def test_comparison_takes_all_strategies(spark):
+    from candela.operators import strategies
+    from candela.plans import catalog
+
+    rows = catalog.QUERIES["compare_strategies"](spark, "/root/testdata/sf0.001").collect()
+    symbols = {r.symbol for r in rows}
+    assert {(r.symbol, r.strategy) for r in rows} == {(s, k) for s in symbols for k in strategies.STRATEGIES}
+    assert all(sorted(r["rank"] for r in rows if r.symbol == s) == list(range(1, 7)) for s in symbols)
