@@ -56,14 +56,27 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], schema: str, finish: bool = False) -> DataFrame:
+def place(df: DataFrame, name: str) -> str:
+    """What `numbered` calls a column of df."""
+    names = df.columns
+    if name in names:
+        return f"c{names.index(name)}"
+    return f"c{[n.lower() for n in names].index(name.lower())}"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1 and so on, which clash with no helper column; `.toDF(*df.columns)` turns the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], schema: str | T.StructType, finish: bool = False) -> DataFrame:
     """Run a function over Arrow batches given as column lists.
 
     make() runs once in each task and returns the function; with finish, the function is called once more
     with None at the end of the task, to give what it has gathered.
     """
     bound_batches(df.sparkSession)
-    struct = T.StructType.fromDDL(schema)
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +97,24 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, struct)
 
 
+def map_texts(df: DataFrame, text: str, keep: tuple[str, ...], make: Callable[[], Callable[[list[str]], dict[str, list]]], results: str) -> DataFrame:
+    """keep columns and the results of a function of a list of texts, null as the empty text.
+
+    A kept column that is named like a result gets `_in` at its end.
+    """
+    own = [f"k{i}" for i in range(len(keep))]
+    given = numbered(df).select(*[F.col(place(df, n)).alias(k) for n, k in zip(keep, own, strict=True)], text_of(place(df, text)).alias("__text"))
+    added = T.StructType.fromDDL(results)
+
+    def start():
+        work = make()
+        return lambda rows: work(rows.pop("__text")) | {k: rows[k] for k in own}
+
+    out = map_rows(given, start, T.StructType([*given.schema.fields[:-1], *added.fields]))
+    taken = {n.lower() for n in added.names}
+    return out.toDF(*[n + "_in" if n.lower() in taken else n for n in keep], *added.names)
+
+
 def vocabulary_path(name: str) -> str:
     """A tokenizer file by its path, or by its name in the installed vocabulary package."""
     if os.path.isabs(name):

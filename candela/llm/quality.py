@@ -4,11 +4,12 @@ Statistics of each text are Spark columns. Boosted trees over them, fitted to la
 conditions on the path to each node. A logistic model with an L1 penalty weighs the rules, most with zero; the rest
 are compiled to Spark column expressions, so scoring is a plain projection.
 
-The fit takes at most `most` labelled rows, those with the smallest hashes of their ids; scoring covers all rows.
+The fit takes at most `most` labelled texts, those with the smallest hashes of their ids and texts; scoring covers all rows.
 
-Cases: null text counts as empty, all its statistics are 0; with no labelled rows the score is 0.5, with one label
-only its smoothed share; rows of one id are scored each; an empty table gives an empty result; extra columns are
-ignored.
+Cases: null text counts as empty, all its statistics are 0; very long texts are read whole, in time linear in their
+length; with no labelled rows the score is 0.5, with one label only its smoothed share; rows of one id are scored each,
+and repeated rows are learned from once; an empty table gives an empty result; extra columns are ignored, or kept where
+asked for; a kept column that is named like a result gets `_in` at its end.
 """
 
 from __future__ import annotations
@@ -172,22 +173,31 @@ class RuleEnsemble:
         return 1 / (1 + np.exp(-margin))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int = MOST_LABELLED, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of documents that have one of the `most` labels with the smallest hashes of ids, and that label."""
-    chosen = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isNotNull())
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__label").limit(most)
-    return documents.join(F.broadcast(chosen), documents[doc_id] == F.col("__id")).drop("__id")
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int = MOST_LABELLED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns doc_id, text and __label of `most` different labelled texts at most: those with the smallest hashes of their ids, then of their texts."""
+    keys = ("__id", "__tie", "__label")
+    marks = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isNotNull()).distinct()
+    marks = marks.orderBy(F.xxhash64("__id"), "__id", "__label").limit(most)
+    own = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.xxhash64(common.text_of(text)).alias("__tie"))
+    rows = own.join(F.broadcast(marks), "__id")
+    # ids may repeat, so the bound is set once more, on keys alone
+    chosen = rows.select(*keys).distinct().orderBy(F.xxhash64("__id"), *keys).limit(most)
+    kept = rows.join(F.broadcast(chosen), list(keys), "left_semi")
+    parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return kept.repartition(parts, *keys).dropDuplicates(list(keys)).select(F.col("__id").alias(doc_id), F.col("__text").alias(text), "__label")
 
 
 def fit_rules(documents: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", most: int = MOST_LABELLED) -> RuleEnsemble:
     stats = statistics(text)
-    rows = labelled_sample(documents, labels, label, most).select(*[c.alias(k) for k, c in stats.items()], F.col("__label").alias("y")).limit(2 * most).toPandas()
+    rows = labelled_sample(documents, labels, label, most, text=text).select(*[c.alias(k) for k, c in stats.items()], F.col("__label").alias("y")).toPandas()
     return RuleEnsemble.fit(list(stats), rows[list(stats)].to_numpy(dtype=float).reshape(-1, len(stats)), rows["y"].to_numpy(dtype=float))
 
 
 def score_quality(df: DataFrame, model: RuleEnsemble, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
-    stats = df.select(*keep, *[c.alias(k) for k, c in statistics(text).items()])
-    return stats.withColumn("score", model.column()).select(*keep, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    own = [f"__k{i}" for i in range(len(keep))]
+    given = common.numbered(df).select(*[F.col(common.place(df, n)).alias(k) for n, k in zip(keep, own, strict=True)], *[c.alias(k) for k, c in statistics(common.place(df, text)).items()])
+    scored = given.withColumn("__score", model.column()).select(*own, "__score", (F.col("__score") >= threshold).cast("int"))
+    return scored.toDF(*[n + "_in" if n.lower() in ("score", "predicted") else n for n in keep], "score", "predicted")
 
 
 def op9_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ p, whatever stands to its left; merges never cross pieces, and added tokens hold
 such position (a long run without spaces), the overlap is doubled, up to the rest of the text.
 
 Cases: null text counts as empty (0 bytes, 0 tokens); repeated rows and ids are counted row by row; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; extra columns are ignored, or kept where asked for; a kept column that is named like a result
+gets `_in` at its end.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
@@ -72,8 +72,7 @@ def count_tokens(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str
         library = common.load_tokenizer(tokenizer)
         batch = getattr(library, "encode_batch_fast", library.encode_batch)
 
-        def work(rows):
-            texts = rows.pop("__text")
+        def work(texts):
             ids: list = [None] * len(texts)
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
             for k in range(0, len(short), 64):
@@ -84,18 +83,13 @@ def count_tokens(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str
                 if len(t) > chunk:
                     found = encode_spliced(library, t, chunk, overlap)
                     ids[i] = found if with_ids else len(found)
-            rows["n_bytes"] = [len(t.encode()) for t in texts]
-            rows["n_tokens"] = [len(x) for x in ids] if with_ids else ids
-            rows["over_limit"] = [n > limit for n in rows["n_tokens"]]
-            if with_ids:
-                rows["ids"] = ids
-            return rows
+            counts = [len(x) for x in ids] if with_ids else ids
+            out = {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts]}
+            return out | ({"ids": ids} if with_ids else {})
 
         return work
 
-    kept = df.select(*keep, common.text_of(text).alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1]) + ", n_bytes long, n_tokens long, over_limit boolean" + ", ids array<int>" * with_ids
-    return common.map_rows(kept, make, schema)
+    return common.map_texts(df, text, keep, make, "n_bytes long, n_tokens long, over_limit boolean" + ", ids array<int>" * with_ids)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:

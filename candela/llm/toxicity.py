@@ -7,13 +7,15 @@
 3. Words of the restored text, and their first letters, are held against a lexicon of terms that tell labelled toxic
    texts from others; a logistic model of the evidence gives the score.
 
-The fit takes at most `most` labelled rows, those with the smallest hashes of their ids. The counts of the language
+The fit takes at most `most` labelled texts, those with the smallest hashes of their ids and texts; the lexicon, of their
+terms, and its size follow from that bound. The counts of the language
 model cover all rows; their number is bounded by the alphabet (28 symbols to the power of 4).
 
 Cases: null text counts as empty, and an empty text gets the score of no evidence; with no labelled rows, or one
 label only, the lexicon is empty and the score is the smoothed share of label 1 (0.5 without rows, capped by nothing
 else); rows of one id are scored each; ties between paths go to the first found; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored, or kept where asked for; a kept column that is named like a result gets `_in` at
+its end.
 """
 
 from __future__ import annotations
@@ -426,18 +428,13 @@ def restored_terms(df: DataFrame, costs: np.ndarray, keep: tuple[str, ...], text
     def make():
         decoder = Decoder(shared.value)
 
-        def work(rows):
-            rows["words"] = [sorted(words_of(decoder.restore(t))) for t in rows.pop("__text")]
-            return rows
-
-        return work
+        return lambda texts: {"words": [sorted(words_of(decoder.restore(t))) for t in texts]}
 
-    kept = df.select(*keep, common.text_of(text).alias("__text"))
-    return common.map_rows(kept, make, ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1]) + ", words array<string>")
+    return common.map_texts(df, text, keep, make, "words array<string>")
 
 
 #: A term of the lexicon is in so many labelled texts at least, and its signed root likelihood ratio is this at least.
-LEAST_TEXTS, LEAST_RATIO, MOST_TERMS = 3, 4.0, 20_000
+LEAST_TEXTS, LEAST_RATIO = 3, 4.0
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, counted: DataFrame | None = None, label: str = "toxic", text: str = "text", most: int = MOST_LABELLED) -> ToxicityModel:
@@ -462,8 +459,6 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, counted: DataFrame | N
         .where((F.col("df") >= LEAST_TEXTS) & (F.col("a") / F.col("df") > one / n))
         .withColumn("ratio", F.sqrt(2 * (_xlogx(F.col("a"), F.col("df") * one / n) + _xlogx(F.col("df") - F.col("a"), F.col("df") * (1 - one / n)))))
         .where(F.col("ratio") >= LEAST_RATIO)
-        .orderBy(F.desc("ratio"), "term")
-        .limit(MOST_TERMS)
         .withColumn("weight", F.log((F.col("a") + 0.5) / (F.lit(float(one)) + 1)) - F.log((F.col("df") - F.col("a") + 0.5) / (F.lit(float(n - one)) + 1)))
         .select("term", "weight")
         .collect()
@@ -474,7 +469,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, counted: DataFrame | N
     def make():
         return lambda part: {"y": part["y"], "evidence": [model.evidence(set(w)) for w in part["words"]]}
 
-    seen = common.map_rows(second, make, "y double, evidence array<double>").limit(2 * most).collect()
+    seen = common.map_rows(second, make, "y double, evidence array<double>").collect()  # no more than the sample
     y = np.array([r.y for r in seen])
     if not len(y) or y.min() == y.max():
         return flat
@@ -512,28 +507,24 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep
         model = shared.value
         decoder, (b, *w) = Decoder(model.costs), model.coefficients
 
-        def work(rows):
-            texts = [decoder.restore(t) for t in rows.pop("__text")]
-            margins = [b + sum(c * e for c, e in zip(w, model.evidence(words_of(t)), strict=True)) for t in texts]
-            rows["score"] = [1 / (1 + math.exp(-max(-30.0, min(30.0, m)))) for m in margins]
-            rows["predicted"] = [int(s >= threshold) for s in rows["score"]]
-            if with_text:
-                rows["restored"] = texts
-            return rows
+        def work(texts):
+            restored = [decoder.restore(t) for t in texts]
+            margins = [b + sum(c * e for c, e in zip(w, model.evidence(words_of(t)), strict=True)) for t in restored]
+            scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, m)))) for m in margins]
+            out = {"score": scores, "predicted": [int(s >= threshold) for s in scores]}
+            return out | ({"restored": restored} if with_text else {})
 
         return work
 
-    kept = df.select(*keep, common.text_of(text).alias("__text"))
-    return common.map_rows(kept, make, ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1]) + ", score double, predicted int" + ", restored string" * with_text)
+    return common.map_texts(df, text, keep, make, "score double, predicted int" + ", restored string" * with_text)
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of df that the model, fitted to df and the labels, scores below the threshold."""
     model = fit_toxicity(df, labels, text=text)
-    names = [f"__k{i}" for i in range(len(df.columns))]
-    kept = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(df.columns, names, strict=True)])
-    scored = score_toxicity(kept, model, names[df.columns.index(text)], tuple(names), threshold)
-    return scored.where("predicted = 0").select(*[F.col(k).alias(c) for c, k in zip(df.columns, names, strict=True)])
+    own = common.numbered(df)
+    scored = score_toxicity(own, model, common.place(df, text), tuple(own.columns), threshold)
+    return scored.where("predicted = 0").select(*own.columns).toDF(*df.columns)
 
 
 def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
