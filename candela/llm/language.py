@@ -4,31 +4,37 @@ Each letter has a random vector of +1 and -1, drawn from a generator seeded by i
 by multiplying its letters' vectors, each rotated by its place from the right; a text is the bundle (sum) of its
 n-grams, a language the bundle of its texts scaled to length one. A text gets the language of the largest cosine.
 
+Letters are the characters of the lower-cased text for which `str.isalpha` holds; all else is a word end. Sums are of
+whole numbers and exact, so a text has one vector, whatever rows a task has met before.
+
 Cases: null text, and text without letters, give `und` with score 0; short texts are padded with word ends, so one
-letter suffices; ties go to the first language in alphabetical order; with nothing to learn from, all are `und`;
-repeated rows each count; an empty table gives an empty result; extra columns are ignored.
+letter suffices; very long texts are bundled piece by piece; ties go to the first language in alphabetical order; with
+nothing to learn from, all are `und`; repeated rows each count; an empty table gives an empty result; extra columns are
+ignored, or kept where asked for; a kept column that is named like a result gets `_in` at its end.
 """
 
 from __future__ import annotations
 
 import functools
-import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .simhash import mix
 
 DIMENSIONS = 1024
-WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Bits of a letter within the key of an n-gram; word ends are 0.
+LETTER_BITS = 21
+#: n-grams of a text that are bundled in one piece, and of texts that are bundled together.
+PIECE, TOGETHER = 1 << 20, 1 << 18
 
 
-@functools.lru_cache(maxsize=4096)
-def letter_vector(letter: str, dimensions: int = DIMENSIONS) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([7, ord(letter)])).choice(np.array([-1, 1], dtype=np.int8), dimensions)
+@functools.lru_cache(maxsize=16_384)
+def letter_vector(letter: int, dimensions: int = DIMENSIONS) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([7, letter])).choice(np.array([-1, 1], dtype=np.int8), dimensions)
 
 
 @functools.lru_cache(maxsize=1)
@@ -40,88 +46,102 @@ def _letters() -> np.ndarray:
 class Bundler:
     """Bundles of texts, as rows of a matrix.
 
-    The vectors of the n-grams seen are kept, up to a bound, in one matrix, so a group of texts is a matrix of
-    counts times that matrix. Letters get small numbers as they come, so that an n-gram of the first letters is
-    found by its place in a table; texts with letters beyond those are counted one n-gram at a time.
+    The vectors of the n-grams met are kept, up to a bound, as rows of a matrix, and a group of texts is a matrix of
+    counts times that matrix. Keys of n-grams find their row in a table by their hash; those whose place in the table
+    is another's are looked up one by one.
     """
 
-    SMALL = 128
+    TABLE = 1 << 18
 
-    def __init__(self, n: int = 3, dimensions: int = DIMENSIONS, bound: int = 20_000):
+    def __init__(self, n: int = 3, dimensions: int = DIMENSIONS, bound: int = 16_384):
+        if not 1 <= n <= 63 // LETTER_BITS:
+            raise ValueError(f"n must be from 1 to {63 // LETTER_BITS}")
         self.n, self.dimensions, self.bound = n, dimensions, bound
-        self.small = np.zeros(0x110000, dtype=np.uint8)  # 0: no letter, or none with a small number
-        self.letters = [" "]
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows: dict[int, int] = {}
         self.matrix = np.empty((1024, self.dimensions), dtype=np.float32)
-        self.place = np.full(self.SMALL**3 if self.n == 3 else 0, -1, dtype=np.int32)
+        self.keys, self.places = np.full(self.TABLE, -1, dtype=np.int64), np.zeros(self.TABLE, dtype=np.int64)
 
-    def ngram(self, gram: str) -> np.ndarray:
+    def vector(self, key: int) -> np.ndarray:
         out = np.ones(self.dimensions, dtype=np.int8)
-        for k, letter in enumerate(reversed(gram)):
-            out = out * np.roll(letter_vector(letter, self.dimensions), k)
+        for k in range(self.n):
+            letter = key >> (LETTER_BITS * k) & (1 << LETTER_BITS) - 1
+            out = out * np.roll(letter_vector(letter or ord(" "), self.dimensions), k)
         return out
 
-    def row(self, gram: str) -> int:
-        if (at := self.rows.get(gram)) is None:
-            at = self.rows[gram] = len(self.rows)
-            if at == len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
-            self.matrix[at] = self.ngram(gram)
-        return at
-
-    def places(self, text: str) -> np.ndarray | None:
-        """The matrix rows of the text's n-grams, in order; None where they have to be counted one at a time."""
+    def grams(self, text: str) -> np.ndarray:
+        """The keys of the text's n-grams; none for a text without letters."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-        letter = _letters()[points]
-        if not letter.any():
-            return np.empty(0, dtype=np.int32)
-        code = self.small[points]
-        if self.n == 3 and (letter & (code == 0)).any() and len(self.letters) < self.SMALL:
-            for c in np.unique(points[letter & (code == 0)])[: self.SMALL - len(self.letters)].tolist():
-                self.small[c] = len(self.letters)
-                self.letters.append(chr(c))
-            code = self.small[points]
-        if self.n == 3 and not (letter & (code == 0)).any():
-            code = np.concatenate([[0], code, [0]]).astype(np.int32)
-            code = code[(code != 0) | np.concatenate([[True], code[:-1] != 0])]
-            grams = (code[:-2] * self.SMALL + code[1:-1]) * self.SMALL + code[2:]
-            at = self.place[grams]
-            new = np.unique(grams[at < 0]).tolist()
-            if len(self.rows) + len(new) > 2 * self.bound:
+        code = np.where(_letters()[points], points, 0).astype(np.int64)
+        if not code.any():
+            return np.empty(0, dtype=np.int64)
+        code = np.concatenate([[0], code, [0]])
+        code = code[(code != 0) | np.concatenate([[True], code[:-1] != 0])]
+        size = len(code) - self.n + 1
+        return functools.reduce(lambda out, k: out << LETTER_BITS | code[k : k + size], range(1, self.n), code[:size])
+
+    def find(self, keys: np.ndarray) -> np.ndarray | None:
+        """The matrix rows of keys; none if there is no room for those that are new."""
+        slots = (mix(keys.astype(np.uint64)) & np.uint64(self.TABLE - 1)).astype(np.int64)
+        at, missed = self.places[slots], self.keys[slots] != keys
+        if missed.any():
+            new, back = np.unique(keys[missed], return_inverse=True)
+            found = [self.rows.get(k, -1) for k in new.tolist()]
+            if len(self.rows) + found.count(-1) > 2 * self.bound:
                 return None
-            for g in new:
-                self.place[g] = self.row(self.letters[g // self.SMALL**2] + self.letters[g // self.SMALL % self.SMALL] + self.letters[g % self.SMALL])
-            return self.place[grams]
-        return None
-
-    def one(self, text: str) -> np.ndarray:
-        joined = " " + " ".join(WORDS.findall(text.lower())) + " "
-        grams = list(Counter(joined[k : k + self.n] for k in range(len(joined) - self.n + 1)).items())
-        out = np.zeros(self.dimensions)
-        for k in range(0, len(grams), 1024):
-            part = grams[k : k + 1024]
-            out += np.array([c for _, c in part], dtype=np.float64) @ np.array([self.ngram(g) for g, _ in part], dtype=np.float64)
-        return out
+            for i, row in enumerate(found):
+                if row < 0:
+                    row = found[i] = self.rows[int(new[i])] = len(self.rows)
+                    if row == len(self.matrix):
+                        self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
+                    self.matrix[row] = self.vector(int(new[i]))
+            rows = np.array(found)
+            at[missed] = rows[back]
+            slots = slots[missed]
+            self.keys[slots], self.places[slots] = keys[missed], at[missed]
+        return at
+
+    def add(self, out: np.ndarray, parts: list[tuple[int, np.ndarray]]) -> None:
+        """Add the vectors of keys to rows of out. parts: row of out, keys."""
+        keys = np.concatenate([k for _, k in parts])
+        at = self.find(keys)
+        if at is None:
+            if self.rows:
+                self.clear()
+                self.add(out, parts)
+            elif len(parts) > 1:
+                self.add(out, parts[: len(parts) // 2])
+                self.add(out, parts[len(parts) // 2 :])
+            else:
+                (row, keys), *_ = parts
+                self.add(out, [(row, keys[: len(keys) // 2])])
+                self.add(out, [(row, keys[len(keys) // 2 :])])
+            return
+        width = len(self.rows)
+        owner = np.repeat(np.arange(len(parts)) * width, [len(k) for _, k in parts])
+        counts = np.bincount(owner + at, minlength=len(parts) * width).reshape(len(parts), width).astype(np.float32)
+        used = np.flatnonzero(counts.any(axis=0))
+        sums = counts[:, used] @ self.matrix[used] if 2 * len(used) < width else counts @ self.matrix[:width]
+        for (row, _), s in zip(parts, sums, strict=True):
+            out[row] += s
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """A row for each text; zeros for a text without letters."""
         out = np.zeros((len(texts), self.dimensions))
-        for k in range(0, len(texts), 64):
-            part = texts[k : k + 64]
-            if len(self.rows) > self.bound:
-                self.clear()
-            places = [self.places(t) for t in part]
-            width = len(self.rows)
-            if width:
-                at = np.concatenate([p.astype(np.int64) + i * width for i, p in enumerate(places) if p is not None] or [np.empty(0, dtype=np.int64)])
-                counts = np.bincount(at, minlength=len(part) * width).reshape(len(part), width).astype(np.float32)
-                out[k : k + 64] = counts @ self.matrix[:width]
-            for i, p in enumerate(places):
-                if p is None:
-                    out[k + i] = self.one(part[i])
+        waiting: list[tuple[int, np.ndarray]] = []
+        held = 0
+        for i, text in enumerate(texts):
+            keys = self.grams(text)
+            for k in range(0, len(keys), PIECE):
+                waiting.append((i, keys[k : k + PIECE]))
+                held += len(waiting[-1][1])
+                if held > TOGETHER or len(waiting) == 64:
+                    self.add(out, waiting)
+                    waiting, held = [], 0
+        if waiting:
+            self.add(out, waiting)
         return out
 
 
@@ -161,20 +181,18 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
     def make():
         bundle = Bundler(n, dimensions)
 
-        def work(rows):
-            vectors = bundle(rows.pop("__text"))
+        def work(texts):
+            vectors = bundle(texts)
             sizes = np.linalg.norm(vectors, axis=1)
             known = (sizes > 0) & bool(names)
             cosines = vectors @ matrix.T / np.where(known, sizes, 1)[:, None] if names else np.zeros((len(vectors), 1))
             best = np.argmax(cosines, axis=1)
-            rows["lang_pred"] = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            rows["score"] = np.where(known, np.clip(cosines[np.arange(len(best)), best], 0.0, 1.0), 0.0).tolist()
-            return rows
+            scores = np.where(known, np.clip(cosines[np.arange(len(best)), best], 0.0, 1.0), 0.0)
+            return {"lang_pred": [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], "score": scores.tolist()}
 
         return work
 
-    kept = df.select(*keep, common.text_of(text).alias("__text"))
-    return common.map_rows(kept, make, ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1]) + ", lang_pred string, score double")
+    return common.map_texts(df, text, keep, make, "lang_pred string, score double")
 
 
 def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
