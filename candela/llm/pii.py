@@ -1,11 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 1. Four kinds (email, ip, card, phone) are found by expression and rule; these base spans are the seeds.
-2. The words before a seed are its lexical patterns: the last word, and the last two words. All tokens that look like
-   identifiers (with a digit or an at sign) and are not in a base span are the other instances.
+2. The words around a seed are its lexical patterns: the last word before it, the last two, the next word, the next two.
+   All tokens that look like identifiers (with a digit or an at sign) and are not in a base span are the other instances.
 3. Patterns and instances form a weighted bipartite graph. A pattern's confidence for a kind is the score-weighted
-   share of all its occurrences in the corpus (whatever follows them) that its instances make up; an instance's
-   score is one minus the product of the doubts of its confident patterns. A few rounds pass scores to and fro.
+   share of all occurrences of its words in the corpus (whatever stands beside them) that its instances make up; an
+   instance's score is one minus the product of the doubts of its confident patterns. A few rounds pass scores to and fro.
 4. Instances that score high enough, and are shaped like their kind, are spans of that kind wherever they stand.
 
 The base expressions are written with possessive repeats, and begin at a place where a run begins or the last match
@@ -13,7 +13,8 @@ ended. That changes no match, and keeps the time linear in the text and the stac
 
 Cases: null text counts as empty, without spans; equal rows and rows of one id are each kept; long texts are read
 whole; instances of two kinds take the kind of the higher score, at a tie the first in the list of kinds; spans that
-would overlap a base span are not added; an empty table gives an empty result; extra columns are ignored.
+would overlap a base span are not added; an empty table gives an empty result; extra columns, whatever their names, are
+kept by `redact` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ EXPRESSIONS = {
 LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, ROUNDS = 3, 0.5, 0.5, 3
 #: Bits of the table that tells which words may be patterns.
 BITS = 1 << 18
+#: Parts in which findings are joined to the rows of one text.
+SALTS = 16
 _BLOCK = 256
 
 
@@ -107,35 +110,54 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__base", whole).drop(*[f"__{x}_{k}" for x in "mglbp" for k in KINDS])
 
 
-def _words(context: Column) -> Column:
-    """The last words of a context, in lower case, digits as 0."""
-    return F.filter(F.split(F.regexp_replace(F.lower(context), "[0-9]", "0"), r"\s+"), lambda w: w != "")
+def _plain(piece: Column) -> Column:
+    """A word as it stands in patterns: in lower case, digits as 0, without white space; null for none."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(piece), "[0-9]", "0"), r"\s+$", ""), F.lit(""))
 
 
-def _patterns(words: Column, i: Column) -> Column:
-    """The patterns that end with word i (from 1): the word, and it with the one before."""
-    last, first = F.get(words, i - 1), F.get(words, i - 2)
-    return F.filter(F.array(F.concat(F.lit("1 "), last), F.concat(F.lit("2 "), first, F.lit(" "), last)), lambda p: p.isNotNull())
+def _index(lengths: Column, prefix: Column, position: Column) -> Column:
+    """The number of the piece that holds a position."""
+    k = F.size(F.filter(prefix, lambda p: p <= position)) - 1
+    start = F.struct(F.get(prefix, k).alias("at"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
+    def step(a: Column, x: Column) -> Column:
+        past = a["done"] | (a["at"] + x > position)
+        return F.struct(F.when(past, a["at"]).otherwise(a["at"] + x).alias("at"), F.when(past, a["n"]).otherwise(a["n"] + 1).alias("n"), past.alias("done"))
 
-def occurrences(based: DataFrame, text: str) -> DataFrame:
-    """Seeds and other instances: key (hash and length of the text), start, end, value, kind (null: no seed), patterns."""
+    return k * _BLOCK + F.aggregate(F.slice(lengths, k * _BLOCK + 1, F.lit(_BLOCK)), start, step, lambda a: a["n"])
+
+
+def with_instances(based: DataFrame, text: str) -> DataFrame:
+    """Adds __found, the seeds of __base and the other instances: an array of start, end, value, kind (null: no seed), patterns.
+
+    Pieces are words with the white space after them; a pattern is a side (L, R), the number of its words, and the words.
+    A side where no white space stands next to the span has no patterns.
+    """
     t = F.col(text)
-    rows = based.where(t.rlike("[0-9@]"))
-    pieces = F.split(t, r"(?<=\s)(?=\S)", -1)
-    rows = rows.withColumn("__pieces", pieces).withColumn("__lengths", F.transform("__pieces", F.length))
-    rows = rows.withColumn("__blocks", _blocks(F.col("__lengths"))).withColumn("__prefix", F.transform(F.sequence(F.lit(1), F.size("__blocks")), lambda i: _sum(F.slice("__blocks", F.lit(1), i - 1))))
+    pieces = F.when(t.rlike("[0-9@]"), F.split(t, r"(?<=\s)(?=\S)", -1)).otherwise(F.array().cast("array<string>"))
+    rows = based.withColumn("__pieces", pieces).withColumn("__lengths", F.transform("__pieces", F.length)).withColumn("__blocks", _blocks(F.col("__lengths")))
+    rows = rows.withColumn("__prefix", F.transform(F.sequence(F.lit(1), F.size("__blocks")), lambda i: _sum(F.slice("__blocks", F.lit(1), i - 1))))
+    lengths, prefix = F.col("__lengths"), F.col("__prefix")
     marked = F.filter(F.transform("__pieces", lambda x, i: F.struct(x.alias("piece"), i.alias("i"))), lambda c: c["piece"].rlike("[0-9@]"))
     core = lambda x: F.regexp_extract(x, r"[\p{L}0-9+@](?:\S*[\p{L}0-9@])?", 0)
-    placed = F.transform(marked, lambda c: F.struct((_before(F.col("__lengths"), F.col("__prefix"), c["i"]) + F.position(core(c["piece"]), c["piece"]) - 1).alias("start"), core(c["piece"]).alias("value")))
+    placed = F.transform(marked, lambda c: F.struct((_before(lengths, prefix, c["i"]) + F.position(core(c["piece"]), c["piece"]) - 1).alias("start"), core(c["piece"]).alias("value")))
     free = F.filter(placed, lambda c: ~F.exists("__base", lambda b: (b["start"] < c["start"] + F.length(c["value"])) & (c["start"] < b["end"])) & (F.length(c["value"]) > 0))
-    found = F.concat(
+    spans = F.concat(
         F.transform("__base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), b["kind"].alias("kind"))),
         F.transform(free, lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.length(c["value"])).alias("end"), c["value"].alias("value"), F.lit(None).cast("string").alias("kind"))),
     )
-    one = rows.select("__hash", "__size", t.alias("__text"), F.explode(found).alias("o"))
-    words = F.when(F.substr(F.col("__text"), F.greatest(F.col("o.start"), F.lit(1)).cast("int"), F.lit(1)).rlike(r"\s"), _words(F.substr(F.col("__text"), F.greatest(F.col("o.start") - 79, F.lit(1)).cast("int"), F.least(F.col("o.start"), F.lit(79)).cast("int")))).otherwise(F.array().cast("array<string>"))
-    return one.select("__hash", "__size", "o.*", words.alias("words")).withColumn("patterns", _patterns(F.col("words"), F.size("words"))).drop("words")
+    rows = rows.withColumn("__spans", F.transform(spans, lambda o: F.struct(*[o[n].alias(n) for n in ("start", "end", "value", "kind")], _index(lengths, prefix, o["start"]).alias("i"), _index(lengths, prefix, o["end"] - 1).alias("j"))))
+    piece = lambda i: F.get(F.col("__pieces"), i)
+
+    def patterns(o: Column) -> Column:
+        i, j = o["i"], o["j"]
+        left, right = _before(lengths, prefix, i) == o["start"], _before(lengths, prefix, j) + F.length(F.regexp_replace(piece(j), r"\s+$", "")) == o["end"]
+        b1, b2, a1, a2 = F.when(left, _plain(piece(i - 1))), F.when(left, _plain(piece(i - 2))), F.when(right, _plain(piece(j + 1))), F.when(right, _plain(piece(j + 2)))
+        gap = F.lit(" ")
+        return F.filter(F.array(F.concat(F.lit("L1 "), b1), F.concat(F.lit("L2 "), b2, gap, b1), F.concat(F.lit("R1 "), a1), F.concat(F.lit("R2 "), a1, gap, a2)), lambda p: p.isNotNull())
+
+    found = F.transform("__spans", lambda o: F.struct(*[o[n].alias(n) for n in ("start", "end", "value", "kind")], patterns(o).alias("patterns")))
+    return rows.withColumn("__found", found).drop("__pieces", "__lengths", "__blocks", "__prefix", "__spans")
 
 
 def _bit(pattern: Column) -> Column:
@@ -143,19 +165,24 @@ def _bit(pattern: Column) -> Column:
 
 
 def pattern_totals(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
-    """pattern, total: how often each of the patterns stands in the texts, whatever follows.
+    """pattern, total: how often the words of each pattern stand in the texts, whatever stands beside them.
 
     A table of BITS bits, of one size for any input, lets through the words that may be patterns; the join decides.
     """
-    bits = {r.at: r.value for r in patterns.select(_bit(F.col("pattern")).alias("b")).groupBy((F.col("b") / 32).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 32).cast("int"))).alias("value")).collect()}
+    sought = patterns.select("pattern", F.expr("substr(pattern, 2)").alias("words"))
+    bits = {r.at: r.value for r in sought.select(_bit(F.col("words")).alias("b")).groupBy((F.col("b") / 32).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 32).cast("int"))).alias("value")).collect()}
     if not bits:
         return patterns.select("pattern", F.lit(0).cast("long").alias("total"))
-    table = F.lit([bits.get(i, 0) for i in range(BITS // 32)])
+    table = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(BITS // 32))), ",").cast("array<bigint>")
     may = lambda p: F.call_function("shiftright", F.get(table, (_bit(p) / 32).cast("int")), (_bit(p) % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
-    words = df.select(_words(F.col(text)).alias("w"))
-    each = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.filter(_patterns(F.col("w"), i), may)))
-    counted = words.where(F.size("w") > 0).select(F.explode(each).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    return counted.join(patterns, "pattern", "left_semi")
+    plain = F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"\s+"), lambda w: w != "")
+    # each word with the one before, as rows, so that what follows is compiled
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", F.lit(1), F.size("w") - 1))
+    pairs = df.select(plain.alias("w")).where(F.size("w") > 0).select(F.explode(F.arrays_zip(before.alias("first"), F.col("w").alias("last"))).alias("p"))
+    one, two = F.concat(F.lit("1 "), F.col("p.last")), F.concat(F.lit("2 "), F.col("p.first"), F.lit(" "), F.col("p.last"))
+    grams = pairs.select(F.when(may(one), one).alias("one"), F.when(may(two), two).alias("two")).where(F.col("one").isNotNull() | F.col("two").isNotNull())
+    counted = grams.select(F.explode(F.filter(F.array("one", "two"), lambda p: p.isNotNull())).alias("words")).groupBy("words").agg(F.count("*").alias("total"))
+    return sought.join(counted, "words").select("pattern", "total")
 
 
 def _shaped(kind: Column, value: Column) -> Column:
@@ -192,25 +219,27 @@ def bootstrap(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> Data
 def find_personal_data(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """keep columns, __base and __all: arrays of (kind, start, end)."""
     kept = [f"__k{i}" for i in range(len(keep))]
-    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], common.text_of(text).alias("__text"))
-    rows = base_spans(rows.withColumns({"__hash": F.xxhash64("__text"), "__size": F.length("__text")}), "__text")
-    found = common.checkpointed(occurrences(rows, "__text"))
+    rows = common.numbered(df).select(*[F.col(common.place(df, c)).alias(k) for c, k in zip(keep, kept, strict=True)], common.text_of(common.place(df, text)).alias("__text"))
+    texts = rows.select("__text")
+    # rows of one text may be many, so what is found in a text is joined to them in so many parts
+    salt = F.pmod(F.xxhash64(*[k for k, t in rows.dtypes if "map<" not in t], F.lit(1)), F.lit(SALTS))
+    rows = with_instances(base_spans(rows.withColumns({"__hash": F.xxhash64("__text"), "__size": F.length("__text"), "__salt": salt}), "__text"), "__text")
+    slim = lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))
+    rows = common.checkpointed(rows.select(*kept, "__hash", "__size", "__salt", F.transform("__base", slim).alias("base"), "__found"))
+    found = rows.select("__hash", "__size", F.explode("__found").alias("o")).select("__hash", "__size", "o.*")
     seeded = found.where(F.col("kind").isNotNull()).select(F.explode("patterns").alias("pattern"), "value").distinct().groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("pattern")
     seeded = common.checkpointed(seeded)
-    totals = pattern_totals(rows.select("__text"), "__text", seeded)
-    scores = bootstrap(found, totals, rounds)
-    fresh = lambda c: (F.col(c) + 0).alias(c)
+    scores = bootstrap(found, pattern_totals(texts, "__text", seeded), rounds)
     best = scores.groupBy("value").agg(F.max_by("kind", F.struct("score", *[(F.col("kind") == k).alias(k) for k in KINDS])).alias("kind"))
     new = found.where(F.col("kind").isNull()).drop("kind", "patterns").join(best.select(F.concat("value", F.lit("")).alias("value"), "kind"), "value")
     new = new.groupBy("__hash", "__size").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
-    slim = lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))
-    bases = rows.select(*kept, "__hash", "__size", F.transform("__base", slim).alias("base"))
-    joined = bases.join(new.select(fresh("__hash"), fresh("__size"), "new"), ["__hash", "__size"], "left")
+    new = new.select("__hash", "__size", "new", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+    joined = rows.select(*kept, "__hash", "__size", "__salt", "base").join(new, ["__hash", "__size", "__salt"], "left")
     rank = F.lit(0)
     order = lambda s: sum((F.when(s["kind"] == k, F.lit(i)).otherwise(F.lit(0)) for i, k in enumerate(KINDS)), rank)
     ranked = F.array_sort(F.transform(F.concat("base", F.col("new")), lambda s: F.struct(order(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     whole = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    return joined.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], F.col("base").alias("__base"), whole.alias("__all"))
+    return joined.select(*kept, "base", whole).toDF(*keep, "__base", "__all")
 
 
 def written(spans: Column) -> Column:
@@ -231,11 +260,13 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
     """df with its spans of personal data replaced, and the column of the number of characters, if named, set anew."""
-    found = find_personal_data(df, tuple(df.columns), text)
-    found = found.withColumn(text, F.when(F.size("__all") > 0, redacted(F.col(text), F.col("__all"))).otherwise(F.col(text)))
-    if n_chars in df.columns:
-        found = found.withColumn(n_chars, F.when(F.size("__all") > 0, F.length(text).cast(dict(df.dtypes)[n_chars])).otherwise(F.col(n_chars)))
-    return found.select(*[F.col(f"`{c}`") for c in df.columns])
+    own = common.numbered(df)
+    t, size = common.place(df, text), common.place(df, n_chars) if n_chars in df.columns else None
+    found = find_personal_data(own, tuple(own.columns), t)
+    found = found.withColumn(t, F.when(F.size("__all") > 0, redacted(F.col(t), F.col("__all"))).otherwise(F.col(t)))
+    if size:
+        found = found.withColumn(size, F.when(F.size("__all") > 0, F.length(t).cast(dict(own.dtypes)[size])).otherwise(F.col(size)))
+    return found.select(*own.columns).toDF(*df.columns)
 
 
 def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
