@@ -7,8 +7,10 @@ blocks, so they meet in at least one table.
 
 Cases: null text counts as empty; the fingerprint of a text without any term is all zeros; a text of one word has
 that word as its term, one without words its characters; equal texts have equal fingerprints; an empty table gives
-an empty result; extra columns are ignored. In `edited_fingerprints`, rows come in descending order of the id, null
-ids last, rows of one id by the hash of their text.
+an empty result; extra columns are ignored, or kept where asked for, and a kept column that is named like a result gets
+`_in` at its end; very long texts are read whole. In `edited_fingerprints`, rows come in descending order of the id, null
+ids last, rows of one id by the hash of their text. In the search, null fingerprints have no neighbours, and rows with
+one fingerprint count once.
 """
 
 from __future__ import annotations
@@ -91,15 +93,23 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     def make():
         hasher = SimHasher(bits)
+        return lambda texts: {"fingerprint": [hasher(t).hex() for t in texts]}
 
-        def work(rows):
-            rows["fingerprint"] = [hasher(t).hex() for t in rows.pop("__text")]
-            return rows
+    return common.map_texts(df, text, keep, make, "fingerprint string")
+
+
+def _edges(blocks: int, bits: int) -> list[int]:
+    """The hexadecimal digits at which blocks begin, and the end."""
+    return [round(i * (bits // 4) / blocks) for i in range(blocks + 1)]
 
-        return work
 
-    kept = df.select(*keep, common.text_of(text).alias("__text"))
-    return common.map_rows(kept, make, ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1]) + ", fingerprint string")
+def _tables(radius: int, blocks: int | None, bits: int):
+    """The choices of blocks that make the tables, and a function that cuts block i out of a column."""
+    blocks = blocks or radius + 1
+    if blocks <= radius:
+        raise ValueError("there must be more blocks than the radius")
+    edges = _edges(blocks, bits)
+    return list(combinations(range(blocks), blocks - radius)), lambda c, i: F.substring(c, edges[i] + 1, edges[i + 1] - edges[i])
 
 
 def near_fingerprints(df: DataFrame, radius: int = 3, blocks: int | None = None, fingerprint: str = "fingerprint", bits: int = BITS) -> DataFrame:
@@ -108,13 +118,7 @@ def near_fingerprints(df: DataFrame, radius: int = 3, blocks: int | None = None,
     A pair that meets in several tables is kept in the first of them. With radius + 1 blocks there is a table for each
     block; more blocks make more tables with longer keys, for when a block's bits are few against the fingerprints.
     """
-    blocks = blocks or radius + 1
-    if blocks <= radius:
-        raise ValueError("there must be more blocks than the radius")
-    digits = bits // 4
-    edges = [round(i * digits / blocks) for i in range(blocks + 1)]
-    part = lambda c, i: F.substring(c, edges[i] + 1, edges[i + 1] - edges[i])
-    choices = list(combinations(range(blocks), blocks - radius))
+    choices, part = _tables(radius, blocks, bits)
     distinct = df.select(F.col(fingerprint).alias("f")).where(F.col("f").isNotNull()).distinct()
     keys = F.array(*[F.xxhash64(F.lit(n), *[part(F.col("f"), i) for i in c]) for n, c in enumerate(choices)])
     # the number of the table is part of the key's hash, and fingerprints travel as bytes
@@ -193,12 +197,76 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     return common.map_rows(ordered, make, f"doc_id {ordered.dtypes[0][1]}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+#: Members of a bucket that are held against each other in one block.
+BLOCK = 2048
+
+
+def near_counts(df: DataFrame, radius: int = 3, blocks: int | None = None, fingerprint: str = "fingerprint", bits: int = BITS) -> DataFrame:
+    """fingerprint, near_count (above 0): how many other different fingerprints lie within the radius.
+
+    As `near_fingerprints`, but each pair of blocks of a bucket is one unit of work that gives sums by fingerprint, so a
+    large group of near copies makes no row for each of its pairs, and no task holds a bucket.
+    """
+    choices, part = _tables(radius, blocks, bits)
+    distinct = df.select(F.lower(F.col(fingerprint)).alias("f")).where(F.col("f").isNotNull()).distinct()
+    keys = F.array(*[F.xxhash64(F.lit(n), *[part(F.col("f"), i) for i in c]) for n, c in enumerate(choices)])
+    members = distinct.select(F.unhex("f").alias("f"), F.posexplode(keys).alias("n", "key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select((F.col("key") + 0).alias("key"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("f", F.lit(1)), F.col("blocks")).cast("int"))
+    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "n", "f", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = spread.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
+    digits, edges = bits // 4, _edges(blocks or radius + 1, bits)
+    # for each choice of blocks, the bits that must be equal, as the 32-bit words of a fingerprint
+    masks = np.array([list(bytes.fromhex("".join("f" if any(edges[b] <= d < edges[b + 1] for b in c) else "0" for d in range(digits)))) for c in choices], dtype=np.uint8)
+
+    def make():
+        held: list[tuple] = []
+
+        def compare(out: dict[str, list]) -> None:
+            n = held[0][1]
+            f = np.frombuffer(b"".join(h[2] for h in held), dtype=np.uint8).reshape(len(held), -1)
+            left = np.array([h[3] == h[4] for h in held])
+            same = held[0][4] == held[0][5]
+            a, b = (np.arange(len(f)), np.arange(len(f))) if same else (np.flatnonzero(left), np.flatnonzero(~left))
+            counts = np.zeros(len(f), dtype=np.int64)
+            for x in a.tolist():
+                differ = f[b] ^ f[x]
+                near = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= radius
+                near &= b != x
+                # a pair that meets in several tables counts in the first
+                near[near] = ~((differ[near][:, None, :] & masks[None, :n]) == 0).all(axis=2).any(axis=1) & ((differ[near] & masks[n]) == 0).all(axis=1)
+                counts[x] += int(near.sum())
+                if not same:
+                    counts[b[near]] += 1
+            for x in np.flatnonzero(counts).tolist():
+                out["f"].append(held[x][2])
+                out["near"].append(int(counts[x]))
+            held.clear()
+
+        def work(rows):
+            out = {"f": [], "near": []}
+            if rows is None:
+                compare(out) if held else None
+                return out
+            for row in zip(*(rows[c] for c in ("key", "n", "f", "block", "i", "j")), strict=True):
+                # tables whose keys have one hash are kept apart by their number
+                if held and (held[0][0], held[0][4], held[0][5], held[0][1]) != (row[0], row[4], row[5], row[1]):
+                    compare(out)
+                held.append(row)
+            return out
+
+        return work
+
+    found = common.map_rows(ordered, make, "f binary, near long", finish=True)
+    return found.groupBy("f").agg(F.sum("near").alias("near_count")).select(F.lower(F.hex("f")).alias("fingerprint"), "near_count")
+
+
 def with_near_count(df: DataFrame, radius: int = 3, fingerprint: str = "fingerprint", bits: int = BITS) -> DataFrame:
-    """df with near_count: how many other fingerprints among its rows lie within the radius of the row's own."""
-    pairs = near_fingerprints(df, radius, fingerprint=fingerprint, bits=bits)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("__f")).groupBy("__f").agg(F.count("*").alias("near_count"))
-    joined = df.join(ends.select(F.concat("__f", F.lit("")).alias("__f"), "near_count"), F.col(fingerprint) == F.col("__f"), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("near_count", F.lit(0)).alias("near_count"))
+    """df with near_count: how many other different fingerprints among its rows lie within the radius of the row's own."""
+    counts = near_counts(df, radius, None, fingerprint, bits).select(F.concat("fingerprint", F.lit("")).alias("__f"), F.col("near_count").alias("__n"))
+    joined = df.join(counts, F.lower(F.col(fingerprint)) == F.col("__f"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("__n", F.lit(0)).alias("near_count"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
