@@ -16,7 +16,8 @@ bucket is large.
 
 Cases: null text counts as empty; texts of fewer than five words have one shingle, of all their words; texts without
 words are in one class if they are equal; copies, equal ids and null ids each keep their row; a class is named by
-its smallest id, or by a negative number if it has only null ids; an empty table gives an empty result.
+its smallest id, or by a negative number if it has only null ids; an empty table gives an empty result; very long texts are
+read whole; extra columns, whatever their names, are kept by `one_of_each` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 COMPONENTS, ROWS = 128, 5
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
+#: Parts in which the name of a class is joined to its bags.
+SALTS = 16
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -285,9 +288,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select((F.col("bucket") + 0).alias("bucket"))
     more = common.checkpointed(residual_links(members.join(mixed, "bucket"), bags, least, components, rows_in_band))
     final = connected_components(edges.unionByName(more))
-    classed = nodes.select((F.col("bag_id") + 0).alias("bag_id"), "rep").join(final.select((F.col("node") + 0).alias("bag_id"), "component"), "bag_id", "left").withColumn("component", F.coalesce("component", "bag_id"))
-    named = classed.groupBy("component").agg(F.coalesce(F.min("rep"), -F.abs(F.col("component")) - 1).alias("class_id"))
-    of_bag = classed.select("bag_id", "component").join(named.select((F.col("component") + 0).alias("component"), "class_id"), "component").select("bag_id", "class_id")
+    # classes of several bags; a class may be large, so its name is joined to it in so many parts
+    several = final.select((F.col("node") + 0).alias("bag_id"), "component").join(nodes.select((F.col("bag_id") + 0).alias("bag_id"), "rep"), "bag_id")
+    named = several.groupBy("component").agg(F.coalesce(F.min("rep"), -F.abs(F.col("component")) - 1).alias("name"))
+    named = named.select((F.col("component") + 0).alias("component"), "name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    several = several.withColumn("salt", F.pmod(F.xxhash64("bag_id", F.lit(2)), F.lit(SALTS))).join(named, ["component", "salt"]).select((F.col("bag_id") + 0).alias("bag_id"), "name")
+    of_bag = nodes.select((F.col("bag_id") + 0).alias("bag_id"), "rep").join(several, "bag_id", "left").select("bag_id", F.coalesce("name", "rep", -F.abs(F.col("bag_id")) - 1).alias("class_id"))
     return rows.select("doc_id", "text_hash", (F.col("bag_id") + 0).alias("bag_id")).join(of_bag, "bag_id").select("doc_id", "text_hash", "bag_id", "class_id")
 
 
@@ -297,11 +303,13 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **opt
     classes = near_duplicates(df, doc_id, text, **options)
     kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
     kept = kept.select(F.coalesce("k.doc_id", F.lit(lowest)).alias("__id"), F.col("k.text_hash").alias("__hash"))
-    keyed = df.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)), "__hash": F.xxhash64(common.text_of(text))})
-    rest = [F.col(f"`{c}`") for c, t in df.dtypes if c not in (doc_id, text) and not t.startswith("map")]
+    own = common.numbered(df)
+    i, t = common.place(df, doc_id), common.place(df, text)
+    keyed = own.withColumns({"__id": F.coalesce(F.col(i).cast("long"), F.lit(lowest)), "__hash": F.xxhash64(common.text_of(t))})
+    rest = [F.col(c) for c, kind in own.dtypes if c not in (i, t) and "map<" not in kind]
     order = Window.partitionBy("__id", "__hash").orderBy(*rest or [F.lit(0)])
     chosen = keyed.join(kept, ["__id", "__hash"], "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return chosen.select(*[F.col(f"`{c}`") for c in df.columns])
+    return chosen.select(*own.columns).toDF(*df.columns)
 
 
 def op10_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

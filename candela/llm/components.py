@@ -1,4 +1,8 @@
-"""Connected components of an undirected graph."""
+"""Connected components of an undirected graph.
+
+Cases: an edge with a null end counts as no edge; an edge from a node to itself makes the node a component; repeated
+edges, and edges in both directions, count once; no edges give an empty result; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ UNIT = 1_000_000
 
 def stars(edges: DataFrame, a: str = "a", b: str = "b", unit: int = UNIT) -> tuple[DataFrame, int]:
     """(u, v) with v the smallest node that u is joined to within a unit of edges, and the number of units."""
+    edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     units = max(1, -(edges.count() // -unit))
 
     def make():
