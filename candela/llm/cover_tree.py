@@ -14,7 +14,8 @@ share against rounding.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part; the query's own row, found by
 id, is no candidate; ties go to the smaller id; repeated ids are candidates each; fewer than k candidates give all;
-vectors of different lengths do not meet; null ids take no part; an empty table gives an empty result.
+vectors of different lengths do not meet; null ids take no part; an empty table gives an empty result; extra columns are
+ignored. There are to be few different lengths.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from . import common
 
 #: Pivots, rows of a unit, queries of a group, rows of a leaf.
 PIVOTS, UNIT_ROWS, GROUP, LEAF = 64, 8192, 512, 64
+#: Queries that one task takes to a unit; a unit that is sent more is copied.
+TASK_QUERIES = 8 * GROUP
 
 
 class Node:
@@ -143,11 +146,17 @@ def _cells(df: DataFrame, vec_id: str, vector: str, every: int) -> tuple[DataFra
     return placed.withColumn("is_query", F.col("vec_id") % every == 0), pivots
 
 
-def _searched(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each query in each unit that it is sent to."""
+def _searched(data: DataFrame, queries: DataFrame, k: int, copies: dict[str, int]) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query in each unit that it is sent to.
+
+    copies: of units that are sent many queries, by the unit's cell; each copy takes a share of the queries.
+    """
     spark = data.sparkSession
-    both = data.select("unit", F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("double").alias("floor")).unionByName(
-        queries.select("unit", F.lit(1).alias("kind"), "vec_id", "v", "floor")
+    many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in copies.items() for x in pair]), F.substring_index("unit", ":", 2)), F.lit(1)) if copies else F.lit(1)
+    copied = lambda which: F.concat_ws(":", "unit", which)
+    data = data.select("unit", "vec_id", "v", F.explode(F.sequence(F.lit(0), many - 1)).alias("copy"))
+    both = data.select(copied("copy").alias("unit"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("double").alias("floor")).unionByName(
+        queries.select(copied(F.pmod(F.xxhash64("vec_id", F.lit(6)), many)).alias("unit"), F.lit(1).alias("kind"), "vec_id", "v", "floor")
     )
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = both.repartition(parts, "unit").sortWithinPartitions("unit", "kind", "vec_id")
@@ -198,7 +207,8 @@ def top_inner_products(df: DataFrame, k: int = 5, every: int = 50, vec_id: str =
     rows, pivots = _cells(df, vec_id, vector, every)
     rows = common.checkpointed(rows)
     # no more than PIVOTS cells for each number of dimensions among the pivots
-    cells = {(r.dims, r.cell): (r.n, r.far) for r in rows.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where(F.col("dims").isin([*pivots])).collect()} if pivots else {}
+    # and one for each other number of dimensions
+    cells = {(r.dims, r.cell): (r.n, r.far) for r in rows.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.max("distance").alias("far")).collect()}
     splits = {key: max(1, -(n // -UNIT_ROWS)) for key, (n, _) in cells.items()}
     name = lambda part: F.concat_ws(":", F.col("dims"), F.col("cell"), part)
     split = F.coalesce(_lookup(splits), F.lit(1))
@@ -206,7 +216,10 @@ def top_inner_products(df: DataFrame, k: int = 5, every: int = 50, vec_id: str =
     data = rows.withColumn("unit", name(part))
     asked = rows.where("is_query")
     own = asked.withColumn("unit", name(F.lit("0"))).withColumn("floor", F.lit(None).cast("double"))
-    first = _searched(data.where(part == "0"), own, k)
+    # the number of queries in a cell tells how often the cell's first unit is copied
+    asked_of = {f"{r.dims}:{r.cell}": r.n for r in asked.groupBy("dims", "cell").agg(F.count("*").alias("n")).collect()}
+    copies = {c: -(n // -TASK_QUERIES) for c, n in asked_of.items() if n > TASK_QUERIES}
+    first = _searched(data.where(part == "0"), own, k, copies)
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
     asked = common.checkpointed(asked.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left"))
     shared = df.sparkSession.sparkContext.broadcast((pivots, cells, splits))
@@ -221,7 +234,7 @@ def top_inner_products(df: DataFrame, k: int = 5, every: int = 50, vec_id: str =
                 groups.setdefault(key, []).append(at)
             for (dims, cell), group in groups.items():
                 if dims not in pivots:
-                    targets = [f"{dims}:{cell}:0"]
+                    targets = [f"{dims}:{cell}:{s}" for s in range(splits[dims, cell])]
                 else:
                     centre, radius = pivots[dims][cell], max(rows["distance"][at] for at in group)
                     worst = min(-np.inf if rows["floor"][at] is None else rows["floor"][at] for at in group)
@@ -242,13 +255,18 @@ def top_inner_products(df: DataFrame, k: int = 5, every: int = 50, vec_id: str =
         return work
 
     sent = common.map_rows(asked, make, "vec_id long, v binary, floor double, unit string")
-    found = _searched(data, sent, k)
+    # any cell may be asked by all queries of its number of dimensions
+    by_dims: dict[str, int] = {}
+    for c, n in asked_of.items():
+        by_dims[c.split(":")[0]] = by_dims.get(c.split(":")[0], 0) + n
+    copies = {f"{d}:{c}": -(by_dims.get(str(d), 0) // -TASK_QUERIES) for d, c in cells if by_dims.get(str(d), 0) > TASK_QUERIES}
+    found = _searched(data, sent, k, copies)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _lookup(splits: dict[tuple[int, int], int]):
-    """The number of units of a row's cell, from a map of at most PIVOTS entries for each number of dimensions."""
+    """The number of units of a row's cell, from a map with an entry for each cell: PIVOTS at most, and one for each number of dimensions."""
     entries = [x for (d, c), n in splits.items() for x in (F.lit(f"{d}:{c}"), F.lit(n))]
     return F.element_at(F.create_map(*entries), F.concat_ws(":", "dims", "cell")) if entries else F.lit(1)
 
