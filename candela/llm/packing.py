@@ -25,6 +25,8 @@ MAX_LENGTH = 4096
 END_ID = 2
 #: Below this code point, letters and digits are told apart by a class built from their categories.
 PLAIN = 0x300
+#: Texts on which a vocabulary shows whether it is of the make that `WordIds` puts together.
+PROBES = ("It's A Test,  don't 12.5!", "Été naïve--x\n\tI'LL go_on (7)", "a  b", "ß¼ x²")
 
 
 def _class(kinds: str) -> str:
@@ -46,13 +48,16 @@ class WordIds:
         letters, digits = _class("L"), _class("N")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}\t-\r \xa0]+")
         self.odd = re.compile(r"[^\x00-˿]|[\x1c-\x1f\x85]|<\||İ")
+        # a vocabulary of another make is left to the library
+        ids = lambda t: np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.whole = not self.ends.any() or any(b"".join(ids(w) for w in self.words.findall(t.lower())) != ids(t) for t in PROBES)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned little-endian 32-bit numbers."""
         out: list[bytes] = []
         for k in range(0, len(texts), 128):
             part = texts[k : k + 128]
-            words = [None if self.odd.search(t) else self.words.findall(t.lower()) for t in part]
+            words = [None if self.whole or self.odd.search(t) else self.words.findall(t.lower()) for t in part]
             new = set().union(*(w for w in words if w)).difference(self.known)
             if len(self.known) + len(new) > self.bound:
                 self.known.clear()
@@ -89,7 +94,7 @@ def piece_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
 
 
 def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, most: int = MAX_LENGTH, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, ids (if asked for), sequence_id, offset, bucket."""
 
     def make():
         encode = WordIds(common.load_tokenizer(tokenizer))
@@ -114,8 +119,10 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", doc_id: str = "doc
 
     kept = df.select(F.col(doc_id).alias("doc_id"), common.text_of(text).alias("text"))
     pieces = common.map_rows(kept, make, f"doc_id {kept.dtypes[0][1]}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
-    bucket = F.log2(F.col("length")).cast("int")
-    return pieces.withColumn("sequence_id", F.shiftleft(bucket.cast("long"), 59 if most < 1 << 16 else 55) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    pieces = pieces.withColumn("bucket", F.round(F.log2("length")).cast("int"))
+    shift = 59 if most < 1 << 16 else 55
+    pieces = pieces.withColumn("sequence_id", F.shiftleft(F.col("bucket").cast("long"), shift) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return pieces.sortWithinPartitions("sequence_id").select(*[c for c in pieces.columns if c != "bucket"], "bucket")
 
 
 def op2_power_of_two_packing(spark, sf_dir: str) -> DataFrame:
