@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last the columns of `documents`, the last
 the packed sequences. Between stages, the driver writes and rereads Parquet; `run` cuts the lineage instead.
+
+Cases, in every stage: null text counts as empty, is never toxic by itself, is a near-duplicate of empty texts only, and
+gives the end id alone; null ids, sources, languages and lengths are kept as they are; repeated rows and ids are each
+judged, and near-duplicates leave one of them; texts are read whole, whatever their length; an empty table gives an empty
+result; extra columns keep their names and values up to the last stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from candela.llm import bagminhash, common, mixing, packing, pii, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose restored text scores below 0.5."""
+    """Documents whose restored text scores below 0.5, so that doubtful ones stay."""
     return toxicity.without_toxic(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
@@ -32,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each sequence."""
-    return packing.pack(docs)
+    """One row for each sequence, with its ids; equal lengths lie together, in the order of the schedule."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
