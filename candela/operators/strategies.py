@@ -6,6 +6,8 @@ Spark each symbol is one group of one Arrow group-map. Actions: long_entry, long
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -107,11 +109,12 @@ def last_extremes(close: np.ndarray, look: int = 10) -> tuple[np.ndarray, np.nda
     inner = np.arange(1, n - 1)
     is_low = inner[(close[1:-1] < close[:-2]) & (close[1:-1] < close[2:])] if n > 2 else np.array([], int)
     is_high = inner[(close[1:-1] > close[:-2]) & (close[1:-1] > close[2:])] if n > 2 else np.array([], int)
+    rows = np.arange(n)
     for out, at in ((low, is_low), (high, is_high)):
-        for i in range(n):
-            ok = at[(at - 1 >= max(0, i - look)) & (at + 1 < i)]
-            if len(ok):
-                out[i] = close[ok[-1]]
+        k = np.searchsorted(at, rows - 2, side="right") - 1
+        place = at[np.maximum(k, 0)] if len(at) else rows
+        ok = (k >= 0) & (place - 1 >= np.maximum(0, rows - look)) if len(at) else np.zeros(n, dtype=bool)
+        out[ok] = close[place[ok]]
     return low, high
 
 
@@ -169,21 +172,30 @@ def breakout_machine(pdf: pd.DataFrame, atr_mult: float = 1.5, reward: float = 2
         yield action
 
 
+def running_median(x: np.ndarray) -> np.ndarray:
+    """The median of the values up to each place, by two heaps."""
+    low: list[float] = []  # the lesser half, negated
+    high: list[float] = []
+    out = np.empty(len(x))
+    for i, v in enumerate(x.tolist()):
+        heapq.heappush(high, -heapq.heappushpop(low, -v))
+        if len(high) > len(low):
+            heapq.heappush(low, -heapq.heappop(high))
+        out[i] = -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2
+    return out
+
+
 def previous_levels_by_day(bars: DataFrame) -> DataFrame:
     """pdh and pdl of each bar as known at the first bar of its UTC day: those of the New York day before that bar's.
 
     Days are summed up by New York day, and then joined on the day; null where that day is not whole. Needs no bar
     after the first of the UTC day.
     """
-    from pyspark.sql import Window
-
     local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
-    rows = bars.select("symbol", "ts", "high", "low", F.to_date(local).alias("ny_day"), F.to_date("ts").alias("utc_day"))
-    w = Window.partitionBy("symbol").orderBy("ts")
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(w).cast("timestamp"))
-    rows = rows.withColumn("gap", seconds.cast("double"))
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("interval", F.coalesce(F.percentile("gap", 0.5).over(running), F.lit(0.0))).withColumn("start", F.first("ts").over(running))
+    seconds = bars.withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"))
+    kernel = lambda t: {"interval": np.concatenate([[0.0], running_median(np.diff(t))])[: len(t)], "start": np.full(len(t), t[0])}
+    gaps = rec.by_symbol(seconds, ("t",), kernel, "interval double, start double").withColumn("start", F.timestamp_seconds("start").cast("timestamp_ntz"))
+    rows = bars.select("symbol", "ts", "high", "low", F.to_date(local).alias("ny_day"), F.to_date("ts").alias("utc_day")).join(gaps, ["symbol", "ts"])
     firsts = rows.groupBy("symbol", "utc_day").agg(F.min_by(F.struct("ny_day", "interval", "start"), "ts").alias("f"), F.min("ts").alias("first_ts")).select("symbol", "utc_day", "f.*", "first_ts")
     days = rows.groupBy("symbol", F.col("ny_day").alias("before")).agg(F.max("high").alias("pdh"), F.min("low").alias("pdl"), F.max("ts").alias("day_last"))
     joined = firsts.withColumn("before", F.date_sub("ny_day", 1)).join(days, ["symbol", "before"], "left")
@@ -209,8 +221,10 @@ def block_machine(pdf: pd.DataFrame, impulse: float = 1.0, min_age: int = 2, max
     width = np.nan_to_num(pdf["atr"].to_numpy(dtype=float), nan=0.0)
     zones: list[dict] = []
     held: tuple[Position, dict] | None = None
-    n = len(c)
+    n, rows = len(c), list(pdf.itertuples())
     for i in range(n):
+        # a zone that is broken or too old is never entered again
+        zones = [z for z in zones if z["ok"] and i - z["at"] <= max_age]
         if 2 <= i < n - 1 and abs(c[i] - o[i]) >= impulse * width[i]:
             if c[i] > o[i] and c[i - 1] < o[i - 1] and c[i] > h[i - 1]:
                 zones.append({"side": "long", "low": x[i - 1], "high": o[i - 1], "atr": width[i], "at": i, "ok": True, "tested": False})
@@ -225,8 +239,7 @@ def block_machine(pdf: pd.DataFrame, impulse: float = 1.0, min_age: int = 2, max
             position, z = held
             edge = break_mult * z["atr"]
             gone = (c[i] < z["low"] or c[i] < z["low"] - edge) if position.side == "long" else (c[i] > z["high"] or c[i] > z["high"] + edge)
-            row = pdf.iloc[i]
-            if position.hit(row) or gone:
+            if position.hit(rows[i]) or gone:
                 action, held = position.exit(), None
         if held is None:
             for z in zones:
@@ -248,7 +261,7 @@ def wave_machine(pdf: pd.DataFrame, w: int = 2, wave3: tuple[float, float] = (0.
     """Patterns of three swings and a close beyond a level; entry after some bars. With strict, swings need w bars after."""
     h, x, c = (pdf[k].to_numpy(dtype=float) for k in ("high", "low", "close"))
     width = np.nan_to_num(pdf["atr"].to_numpy(dtype=float), nan=0.0)
-    n, points = len(c), []
+    n, points, rows = len(c), [], list(pdf.itertuples())
     for i in range(w, n - w):
         hs, xs = h[i - w : i + w + 1], x[i - w : i + w + 1]
         top, bottom = h[i] == hs.max() and h[i] > hs.min(), x[i] == xs.min() and x[i] < xs.max()
@@ -276,7 +289,7 @@ def wave_machine(pdf: pd.DataFrame, w: int = 2, wave3: tuple[float, float] = (0.
     for i in range(n):
         action = HOLD
         if w <= i < n - 1:
-            if held is not None and held.hit(pdf.iloc[i]):
+            if held is not None and held.hit(rows[i]):
                 yield held.exit()
                 held = None
                 pending.clear()
@@ -291,7 +304,7 @@ def wave_machine(pdf: pd.DataFrame, w: int = 2, wave3: tuple[float, float] = (0.
                     elif (x[i] <= edge) if side == "long" else (h[i] >= edge):
                         del pending[side]
             if held is None and not pending:
-                near = [p for p in points if i - 4 * w <= p[0] <= (i - w if strict else i)]
+                near = points[bisect.bisect_left(points, (i - 4 * w,)) : bisect.bisect_left(points, ((i - w if strict else i) + 1,))]
                 for (_, ka, a), (_, kb, b), (_, kc, d) in zip(near, near[1:], near[2:], strict=False):
                     if (ka, kb, kc) == ("high", "low", "high") and d < a and b < a:
                         options = []
@@ -316,12 +329,12 @@ def elliott_simplified(bars: DataFrame, atr_period: int = 14, **options) -> Data
     return _run(rows, lambda pdf: wave_machine(pdf, **options))
 
 
-#: Strategies by id: bars -> signals.
+# The ids of the strategies, each bars -> signals.
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "pdh_session": pdh_session,
     "rsi": rsi_reversion,
-    "vwap_anchored": vwap_anchored,
+    "vwap": vwap_anchored,
     "ema_stack": ema_stack,
     "order_blocks": order_blocks,
-    "elliott": elliott_simplified,
+    "elliot_wave": elliott_simplified,
 }

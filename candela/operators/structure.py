@@ -1,7 +1,8 @@
 """Swings, market structure, price ranges, breakouts, their summary, and Elliott waves.
 
-Only the confirmation of swings is a state machine, and runs as one Arrow group-map a symbol. What follows from swings
-is windows, and joins on the symbol with a bound on the distance.
+The confirmation of swings is a state machine, and runs as one Arrow group-map a symbol, as does the search for breakouts.
+What else follows from swings is windows, arrays of a bounded length, and joins on the symbol and a bucket of bars. Names
+of columns, classes, regimes and reasons are fixed values.
 """
 
 from __future__ import annotations
@@ -86,41 +87,53 @@ def market_structure(found: DataFrame, epsilon: float = 1e-9) -> DataFrame:
     )
 
 
+#: Bars in a bucket, in which bars meet the ranges that cover them.
+BUCKET = 256
+
+
+def _between_highs(found: DataFrame, lookback: int) -> DataFrame:
+    """Each swing high with an array of itself and the lookback - 1 highs after it.
+
+    An entry holds the high, and the lows from its bar on to the next high's, and those at its bar alone. No join: lows
+    find their high by the running number of highs.
+    """
+    order = Window.partitionBy("symbol").orderBy("pivot_index", "swing_type").rowsBetween(Window.unboundedPreceding, 0)  # a high comes before a low
+    high = F.col("swing_type") == "high"
+    rows = found.where(F.col("swing_type").isin("high", "low")).withColumn("k", F.count_if(high).over(order)).where("k > 0")
+    steps = rows.groupBy("symbol", "k").agg(
+        F.min(F.when(high, F.struct("pivot_ts", "pivot_price", "pivot_index"))).alias("h"),
+        F.min(F.when(~high, F.struct("pivot_index", "pivot_price"))).alias("first"),
+        F.min(F.when(~high, F.col("pivot_price"))).alias("least"),
+        F.count_if(~high).alias("lows"),
+    )
+    at_once = F.col("first.pivot_index") == F.col("h.pivot_index")  # one low at most stands at a bar
+    entry = F.struct(F.col("h.pivot_ts").alias("at"), F.col("h.pivot_price").alias("price"), "least", "lows", F.when(at_once, F.col("first.pivot_price")).alias("own"), F.coalesce(at_once, F.lit(False)).cast("long").alias("owns"))
+    after = Window.partitionBy("symbol").orderBy("k").rowsBetween(0, lookback - 1)
+    return steps.select("symbol", F.collect_list(entry).over(after).alias("e"))
+
+
 def price_ranges(bars: DataFrame, found: DataFrame, lookback: int = 20, max_pct: float = 0.03, containment: float = 0.8, buffer_pct: float = 0.001) -> DataFrame:
     """Ranges between two swing highs at most `lookback` highs apart, with two lows or more between, that hold the closes.
 
-    The self-join of highs is bounded by the lookback. Lows come in through the running number of lows at each high,
-    and closes through the bars' row numbers, so each join has bounds on both sides.
+    Pairs come from arrays of at most `lookback` highs. Closes meet ranges within buckets of BUCKET bars, so the cost is that
+    of the ranges' own bars. A symbol without swings has no range.
     """
-    order = Window.partitionBy("symbol").orderBy("pivot_index")
-    highs = found.where("swing_type = 'high'").select("symbol", F.row_number().over(order).alias("k"), F.col("pivot_index").alias("i"), F.col("pivot_ts").alias("at"), F.col("pivot_price").alias("price"))
-    lows = found.where("swing_type = 'low'").select("symbol", F.col("pivot_index").alias("low_i"), F.col("pivot_price").alias("low"))
-    # a low between the k-th and the next high belongs to step k; a low at the bar of a high belongs to both sides
-    steps = highs.withColumn("next_i", F.lead("i").over(Window.partitionBy("symbol").orderBy("k")))
-    between = (
-        steps.join(lows, (steps.symbol == lows.symbol) & (lows.low_i >= steps.i) & (lows.low_i <= F.coalesce(steps.next_i, steps.i)))
-        .groupBy(steps.symbol, "k")
-        .agg(F.min("low").alias("least"), F.count("*").alias("n"), F.count_if(F.col("low_i") == F.col("next_i")).alias("twice"))
-    )
-    highs = highs.join(between, ["symbol", "k"], "left")
-    a, b = highs.select("symbol", F.col("k").alias("ka"), F.col("at").alias("start_ts"), F.col("i").alias("ia")), highs.select("symbol", F.col("k").alias("kb"), F.col("at").alias("end_ts"), F.col("i").alias("ib"))
-    pairs = a.join(b, "symbol").where((F.col("kb") > F.col("ka")) & (F.col("kb") < F.col("ka") + lookback))
-    inner = highs.select("symbol", "k", "price", "least", "n", "twice", "i")
-    at_end = lows.select("symbol", F.col("low_i").alias("ib"), F.lit(1).alias("end_low"), F.col("low").alias("end_price"))
-    held = (
-        pairs.join(inner, "symbol").where((F.col("k") >= F.col("ka")) & (F.col("k") <= F.col("kb")))
-        .groupBy("symbol", "ka", "kb", "start_ts", "end_ts", "ia", "ib")
-        .agg(
-            F.max("price").alias("range_high"),
-            F.min(F.when(F.col("k") < F.col("kb"), F.col("least"))).alias("least"),
-            F.sum(F.when(F.col("k") < F.col("kb"), F.coalesce("n", F.lit(0)) - F.when(F.col("k") < F.col("kb") - 1, F.coalesce("twice", F.lit(0))).otherwise(0))).alias("lows"),
-        )
-    )
-    held = held.where("lows >= 2").withColumn("range_low", F.col("least")).withColumn("range_mid", (F.col("range_high") + F.col("range_low")) / 2).withColumn("range_width", F.col("range_high") - F.col("range_low"))
+    pairs = _between_highs(found, lookback).where(F.size("e") > 1).select("symbol", "e", F.explode(F.sequence(F.lit(2), F.size("e"))).alias("n"))
+    part = F.slice("e", F.lit(1), F.col("n") - 1)
+    end = F.get("e", F.col("n") - 1)
+    least = F.array_min(F.concat(F.transform(part, lambda x: x["least"]), F.array(end["own"])))
+    lows = F.aggregate(part, end["owns"], lambda a, x: a + x["lows"])
+    held = pairs.select("symbol", F.get("e", F.lit(0))["at"].alias("start_ts"), end["at"].alias("end_ts"), F.array_max(F.transform(F.slice("e", F.lit(1), F.col("n")), lambda x: x["price"])).alias("range_high"), least.alias("range_low"), lows.alias("lows"))
+    held = held.where("lows >= 2").withColumn("range_mid", (F.col("range_high") + F.col("range_low")) / 2).withColumn("range_width", F.col("range_high") - F.col("range_low"))
     held = held.withColumn("range_width_pct", F.when(F.col("range_mid") == 0, 0.0).otherwise(F.col("range_width") / F.nullif("range_mid", F.lit(0.0)))).where(F.col("range_width_pct") <= max_pct)
     held = held.withColumns({"top": F.col("range_high") - F.col("range_width") * buffer_pct, "bottom": F.col("range_low") + F.col("range_width") * buffer_pct})
-    closes = bars.select("symbol", "ts", "close")
-    inside = held.join(closes, "symbol").where((F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts")))
+    numbered = bars.select("symbol", "ts", "close", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).alias("i"))
+    # swings stand at bars, whose numbers are found by their times
+    at = lambda name, i: numbered.select("symbol", F.col("ts").alias(name), F.col("i").alias(i))
+    held = held.join(at("start_ts", "start_i"), ["symbol", "start_ts"]).join(at("end_ts", "end_i"), ["symbol", "end_ts"])
+    bucket = lambda c: F.floor(F.col(c) / BUCKET)
+    spread = held.withColumn("bucket", F.explode(F.sequence(bucket("start_i"), bucket("end_i"))))
+    inside = spread.join(numbered.withColumn("bucket", bucket("i")), ["symbol", "bucket"]).where(F.col("i").between(F.col("start_i"), F.col("end_i")))
     keys = ["symbol", "start_ts", "end_ts", "range_high", "range_low", "range_mid", "range_width", "range_width_pct", "top", "bottom"]
     summed = inside.groupBy(*keys).agg(F.count("*").alias("bars_evaluated"), F.avg(F.when(F.col("close").between(F.col("bottom"), F.col("top")), 1.0).otherwise(0.0)).alias("contained"), F.max_by("close", "ts").alias("last_close"))
     kept = summed.where(F.col("contained") + 1e-9 >= containment)
@@ -129,25 +142,52 @@ def price_ranges(bars: DataFrame, found: DataFrame, lookback: int = 20, max_pct:
     return kept.select("symbol", number.alias("range_id"), "start_ts", "end_ts", "range_high", "range_low", "range_mid", "range_width", "range_width_pct", "bars_evaluated", F.round("contained", 4).alias("containment_ratio"), status.alias("status"))
 
 
+def first_above(values: np.ndarray, start: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each start, the first place from there on whose value exceeds the bound; the number of values if none does.
+
+    Maxima of stretches of doubling lengths let each search skip forward, so it takes logarithmic time.
+    """
+    levels = [values]
+    while 2 << (len(levels) - 1) <= len(values):
+        half = 1 << (len(levels) - 1)
+        levels.append(np.maximum(levels[-1][:-half], levels[-1][half:]))
+    at = np.minimum(start, len(values)).astype(np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        fits = np.flatnonzero(at + (1 << k) <= len(values))
+        skip = fits[levels[k][at[fits]] <= bound[fits]]
+        at[skip] += 1 << k
+    return at
+
+
 def range_breakouts(bars: DataFrame, ranges: DataFrame, confirm_bars: int = 1, buffer_pct: float = 0.001) -> DataFrame:
     """The first run of closes beyond a boundary from the range's end on; the earlier side, up at a tie.
 
-    A run's least (largest) close tells whether all of it is beyond, so a bar is held against a range once.
+    Bars and ranges of a symbol meet in one group, in which each range takes two searches of logarithmic time.
     """
-    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(0, confirm_bars - 1)
-    runs = bars.select("symbol", "ts", "close", F.min("close").over(w).alias("low"), F.max("close").over(w).alias("high"), F.count("*").over(w).alias("n")).where(F.col("n") == confirm_bars)
-    buffer = (F.col("range_high") - F.col("range_low")) * buffer_pct
-    up, down = F.col("low") > F.col("range_high") + buffer, F.col("high") < F.col("range_low") - buffer
-    edge = ranges.select("symbol", "range_id", "range_high", "range_low", "end_ts")
-    hits = edge.join(runs, "symbol").where((F.col("ts") >= F.col("end_ts")) & (up | down))
-    first = hits.groupBy("symbol", "range_id", "range_high", "range_low").agg(F.min_by(F.struct("ts", "close", up.alias("up")), "ts").alias("b"))
-    boundary = F.when(F.col("b.up"), F.col("range_high")).otherwise(F.col("range_low"))
-    distance = F.when(F.col("b.up"), F.col("b.close") - F.col("range_high")).otherwise(F.col("range_low") - F.col("b.close"))
-    number = F.row_number().over(Window.partitionBy("symbol").orderBy("range_id")).cast("long")
-    return first.select(
-        "symbol", number.alias("breakout_id"), "range_id", F.col("b.ts").alias("breakout_ts"), F.when(F.col("b.up"), "up").otherwise("down").alias("direction"), F.col("b.close").alias("breakout_price"), boundary.alias("boundary_price"), distance.alias("distance"),
-        F.when(boundary == 0, 0.0).otherwise(distance / F.nullif(boundary, F.lit(0.0))).alias("distance_pct"), F.lit(confirm_bars).cast("long").alias("confirm_bars"),
-    )
+
+    def run(bars_of: pd.DataFrame, ranges_of: pd.DataFrame) -> pd.DataFrame:
+        bars_of, ranges_of = bars_of.sort_values("ts", kind="stable"), ranges_of.sort_values("range_id", kind="stable")
+        close, ts = bars_of["close"].to_numpy(dtype=float), bars_of["ts"].to_numpy()
+        n = max(0, len(close) - confirm_bars + 1)
+        runs = np.lib.stride_tricks.sliding_window_view(close, confirm_bars) if n else np.empty((0, confirm_bars))
+        low, high = runs.min(axis=1), runs.max(axis=1)
+        top, bottom = (ranges_of[c].to_numpy(dtype=float) for c in ("range_high", "range_low"))
+        start, buffer = np.searchsorted(ts, ranges_of["end_ts"].to_numpy()), (top - bottom) * buffer_pct
+        up, down = first_above(low, start, top + buffer), first_above(-high, start, buffer - bottom)
+        at, kept = np.minimum(up, down), np.flatnonzero(np.minimum(up, down) < n)
+        rose, at = up[kept] <= down[kept], at[kept]
+        edge = np.where(rose, top[kept], bottom[kept])
+        distance = np.where(rose, close[at] - edge, edge - close[at])
+        return pd.DataFrame(
+            {
+                "symbol": ranges_of["symbol"].to_numpy()[kept], "breakout_id": np.arange(1, len(kept) + 1), "range_id": ranges_of["range_id"].to_numpy()[kept], "breakout_ts": ts[at], "direction": np.where(rose, "up", "down"),
+                "breakout_price": close[at], "boundary_price": edge, "distance": distance, "distance_pct": np.divide(distance, edge, out=np.zeros(len(edge)), where=edge != 0), "confirm_bars": np.full(len(kept), confirm_bars),
+            }
+        )
+
+    schema = "symbol string, breakout_id long, range_id long, breakout_ts timestamp_ntz, direction string, breakout_price double, boundary_price double, distance double, distance_pct double, confirm_bars long"
+    given = ranges.select("symbol", "range_id", "range_high", "range_low", "end_ts")
+    return bars.select("symbol", "ts", "close").groupBy("symbol").cogroup(given.groupBy("symbol")).applyInPandas(run, schema)
 
 
 def structure_summary(
@@ -162,12 +202,13 @@ def structure_summary(
     found = swings(rows.drop("_n", "_i"), w, min_pct)
     shape = market_structure(found)
     ranges = price_ranges(rows.select("symbol", "ts", "close"), found, lookback, max_pct, containment, buffer_pct)
-    breaks = range_breakouts(rows.select("symbol", "ts", "close"), ranges, confirm_bars, breakout_buffer_pct)
     trend = by_symbol(rows, ("high", "low", "close"), lambda h, x, c: adx_kernel(h, x, c, adx_period), "adx double, plus_di double, minus_di double", 2 * adx_period)
     trend = trend.groupBy("symbol").agg(F.max_by(F.struct("adx", "plus_di", "minus_di"), "ts").alias("t")).select("symbol", "t.*")
     shape = shape.groupBy("symbol").agg(F.max_by(F.struct("classification", "trend_state", "event_ts"), F.struct("event_ts", "event_id")).alias("s")).select("symbol", "s.*")
-    latest = ranges.groupBy("symbol").agg(F.max_by(F.struct("range_id", "range_high", "range_low", "range_mid", "range_width_pct", "containment_ratio", "status"), F.struct("end_ts", "range_id")).alias("r")).select("symbol", "r.*")
-    broken = latest.select("symbol", "range_id").join(breaks, ["symbol", "range_id"]).join(rows.select("symbol", F.col("ts").alias("breakout_ts"), F.col("_i").alias("breakout_i")), ["symbol", "breakout_ts"])
+    latest = ranges.groupBy("symbol").agg(F.max_by(F.struct("range_id", "range_high", "range_low", "range_mid", "range_width_pct", "containment_ratio", "status", "end_ts"), F.struct("end_ts", "range_id")).alias("r")).select("symbol", "r.*")
+    # only the latest range's breakout is looked for
+    breaks = range_breakouts(rows.select("symbol", "ts", "close"), latest, confirm_bars, breakout_buffer_pct)
+    broken = breaks.join(rows.select("symbol", F.col("ts").alias("breakout_ts"), F.col("_i").alias("breakout_i")), ["symbol", "breakout_ts"])
     broken = broken.select("symbol", "direction", "breakout_ts", "breakout_price", F.col("distance_pct").alias("breakout_distance_pct"), "breakout_i")
     all_ = last.join(shape, "symbol", "left").join(latest, "symbol", "left").join(broken, "symbol", "left").join(trend, "symbol", "left")
     recent = F.coalesce((F.col("n") - F.col("breakout_i")) <= recent_bars, F.lit(False))
