@@ -1,7 +1,8 @@
 """The 21 tools as calls that give envelopes: {success, data} or {success, error: {code, message}}.
 
 Each call builds one DataFrame query; a query over all symbols is the same call without a symbol. Rows reach the driver
-as JSON, at most MOST_ROWS of them: envelopes are for display, pipelines take the DataFrames.
+as JSON; an answer of more than MOST_ROWS rows is refused, never cut: envelopes are for display, pipelines take the
+DataFrames.
 """
 
 from __future__ import annotations
@@ -59,7 +60,10 @@ def tool(f: Callable) -> Callable:
 def records(df: DataFrame, most: int = MOST_ROWS) -> list[dict]:
     """Rows as JSON values; numbers that are not finite become null."""
     finite = [F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
-    return [json.loads(r.j) for r in df.select(*finite).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).limit(most).collect()]
+    rows = df.select(*finite).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise Refused("parameter", f"more than {most} rows; name a symbol, or take the DataFrame")
+    return [json.loads(r.j) for r in rows]
 
 
 class Market:
@@ -80,7 +84,7 @@ class Market:
             if not 1 <= limit <= MAX_LIMIT:
                 raise Refused("parameter", f"limit must be 1 to {MAX_LIMIT}")
             rows = src.last_bars(rows, limit)
-        if symbol is not None and (n := rows.count()) < least:
+        if symbol is not None and (n := rows.limit(least).count()) < least:  # reads no more than it needs to know
             raise Refused("insufficient_data" if n else "data_not_found", f"{n} bars, {least} needed")
         return rows
 
@@ -127,7 +131,7 @@ class Market:
 
     @tool
     def backtest_vwap(self, symbol: str | None = None, initial_capital: float = bt.CAPITAL, **options) -> dict:
-        return self._backtest("vwap_anchored", symbol, initial_capital, **options)
+        return self._backtest("vwap", symbol, initial_capital, **options)
 
     @tool
     def backtest_ema_stack(self, symbol: str | None = None, initial_capital: float = bt.CAPITAL, **options) -> dict:
@@ -139,7 +143,7 @@ class Market:
 
     @tool
     def backtest_elliot_wave(self, symbol: str | None = None, initial_capital: float = bt.CAPITAL, **options) -> dict:
-        return self._backtest("elliott", symbol, initial_capital, **options)
+        return self._backtest("elliot_wave", symbol, initial_capital, **options)
 
     @tool
     def compare_strategies(self, ids: list[str], symbol: str | None = None, initial_capital: float = bt.CAPITAL) -> list[dict]:
@@ -147,29 +151,42 @@ class Market:
             raise Refused("parameter", f"two or more different ids of {sorted(strategies.STRATEGIES)} are needed; unknown: {sorted(unknown) if len(ids) > 1 and len(set(ids)) == len(ids) else []}")
         return records(bt.compare(self._of(symbol, least=2), {k: strategies.STRATEGIES[k] for k in ids}, initial_capital).orderBy("symbol", "rank"))
 
-    def _many(self, symbols: list[str] | None) -> DataFrame:
+    def _many(self, symbols: list[str] | None) -> tuple[DataFrame, list[dict]]:
+        """Bars of the symbols, and a failure for each symbol without any."""
         if symbols is None:
-            return self._of(None)
+            return self._of(None), []
         wanted = list(dict.fromkeys(s.strip().upper() for s in symbols))
         if not wanted or len(wanted) > SCAN_SYMBOLS:
             raise Refused("parameter", f"1 to {SCAN_SYMBOLS} symbols are needed")
-        return self.bars.where(F.upper("symbol").isin(*wanted))
+        rows = self.bars.where(F.upper("symbol").isin(*wanted))
+        return rows, records(screener.missing(rows, wanted))
+
+    @staticmethod
+    def _outcome(found: list[dict], failed: list[dict]) -> dict:
+        if not screener.succeeded(len(found), len(failed)):
+            reasons = sorted({f["reason"] for f in failed})
+            raise Refused("data_source", f"all symbols failed: {', '.join(reasons)}")
+        return {"results": found, "failures": failed}
 
     @tool
     def screener_scan(self, symbols: list[str] | None = None, filters: list[str] | None = None, min_score: float = 0.0) -> dict:
         if not 0 <= min_score <= 100:
             raise Refused("parameter", "min_score must be 0 to 100")
-        return {"results": records(screener.scan(self._many(symbols), tuple(filters or screener.DEFAULT_FILTERS), min_score).orderBy("rank")), "failures": []}
+        rows, lacking = self._many(symbols)
+        return self._outcome(records(screener.scan(rows, tuple(filters or screener.DEFAULT_FILTERS), min_score)), lacking)
 
     @tool
     def session_breakout_scan(self, session: str = "ny", symbols: list[str] | None = None, proximity_pct: float = 0.5, volume_multiplier: float = 1.5) -> dict:
-        found, failed = screener.session_scan(self._many(symbols), session, proximity_pct, volume_multiplier)
-        return {"results": records(found.orderBy("rank")), "failures": records(failed.orderBy("reason", "symbol"))}
+        rows, lacking = self._many(symbols)
+        found, failed = screener.session_scan(rows, session, proximity_pct, volume_multiplier)
+        return self._outcome(records(found), sorted(lacking + records(failed), key=lambda f: f["symbol"]))
 
     @tool
     def order_block_screener_scan(self, symbols: list[str] | None = None, atr_period: int = 14, impulse_atr_mult: float = 1.0, max_zone_age_bars: int = 20) -> dict:
-        found, failed = screener.order_block_scan(self._many(symbols), atr_period, impulse_atr_mult, max_zone_age_bars)
-        return {"results": records(found.orderBy("rank")), "failures": records(failed.orderBy("symbol", "timeframe"))}
+        rows, lacking = self._many(symbols)
+        found, failed = screener.order_block_scan(rows, atr_period, impulse_atr_mult, max_zone_age_bars)
+        horizons = [{**f, "timeframe": t, "window_days": d} for f in lacking for t, d, _ in screener.HORIZONS]
+        return self._outcome(records(found), sorted(horizons + records(failed), key=lambda f: (f["symbol"], f["timeframe"], f["window_days"], f["reason"])))
 
     @tool
     def calculate_volume_profile(self, symbol: str, limit: int = 100, bins: int = 100, value_area_pct: float = 0.7) -> dict:

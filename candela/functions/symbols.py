@@ -69,13 +69,6 @@ def to_secondary(symbol: Column) -> Column:
     )
 
 
-def to_secondary_or_same(symbol: Column) -> Column:
-    """Pairs in the secondary form; plain tickers as they are; pairs in other currencies null."""
-    s = upper(symbol)
-    pair = F.contains(s, F.lit("/"))
-    return F.when(s == "", None).when(pair, F.when(F.element_at(F.split(s, "/"), -1).isin(*DOLLARS), to_secondary(s))).when(s.rlike("(USDT|USD|USDC)$"), to_secondary(s)).otherwise(s)
-
-
 def base_currency(symbol: Column) -> Column:
     """The name without the first quote currency that ends it."""
     s, out = upper(symbol), None

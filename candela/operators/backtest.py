@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ def normalize_signals(bars: DataFrame, signals: DataFrame) -> DataFrame:
         raise ValueError("signals must not be boolean")
     value = F.col("signal")
     if kind != "string":
-        value = F.when(value == 1, "long_entry").when(value == -1, "long_exit").when(value == 0, "hold")
+        value = reduce(lambda out, known: out.when(F.col("signal") == known[0], known[1]), NUMBERED.items(), F.when(F.lit(False), "hold"))
     given = signals.select("symbol", "ts", value.alias("signal"))
     return bars.join(given, ["symbol", "ts"], "left").withColumn("signal", F.coalesce("signal", F.lit("hold")))
 
@@ -83,11 +84,12 @@ class Engine:
         return self.cash + (1 if self.side == "long" else -1) * (close - self.entry) * self.size
 
     def run(self, signals: Sequence[str], open_: Sequence[float], close: Sequence[float], ts: Sequence) -> list[float]:
-        """Equity from the second bar on."""
-        out = []
+        """Equity from the second bar on; sides holds the side of the position at each of these bars."""
+        out, self.sides = [], []
         for i in range(1, len(signals)):
             self.act(signals[i - 1], open_[i], i, ts[i])
             out.append(self.equity(close[i]))
+            self.sides.append(self.side)
         return out
 
 
@@ -103,7 +105,7 @@ def simulate(signalled: DataFrame, keys: tuple[str, ...] = ("symbol",), capital:
         engine, ts = Engine(capital, rate, bps), list(pdf["ts"])
         try:
             curve = engine.run(list(pdf["signal"]), list(pdf["open"]), list(pdf["close"]), ts)
-            rows = [{"kind": "equity", "i": i, "ts": t, "equity": e} for i, (t, e) in enumerate(zip(ts[1:], curve, strict=True), 1)]
+            rows = [{"kind": "equity", "i": i, "ts": t, "equity": e, "side": side} for i, (t, e, side) in enumerate(zip(ts[1:], curve, engine.sides, strict=True), 1)]
             rows += [{"kind": "trade", "i": i, **t} for i, t in enumerate(engine.trades, 1)]
         except ValueError as e:
             rows = [{"kind": "error", "error": str(e)}]
@@ -125,35 +127,61 @@ def equity_of(simulated: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> Data
     return simulated.where("kind = 'equity'").select(*keys, "i", "ts", "equity")
 
 
+def _trade_sums(count: Column) -> list[Column]:
+    """Sums over trades, of which rows without net_pnl are none."""
+    win, sum_of = F.col("net_pnl") > 0, lambda x: F.coalesce(x, F.lit(0.0))
+    return [
+        count.alias("total_trades"), F.count_if(win).alias("wins"), F.count_if(~win).alias("losses"), sum_of(F.avg(F.when(win, F.col("net_pnl")))).alias("avg_win"), F.abs(sum_of(F.avg(F.when(~win, F.col("net_pnl"))))).alias("avg_loss"),
+        sum_of(F.sum(F.when(win, F.col("net_pnl")))).alias("gain"), F.abs(sum_of(F.sum(F.when(~win, F.col("net_pnl"))))).alias("loss"),
+    ]
+
+
+def _trade_figures() -> list[Column]:
+    rate = F.coalesce(F.col("wins") / F.nullif(F.col("total_trades"), F.lit(0)), F.lit(0.0))
+    factor = F.when(F.col("loss") > 0, F.col("gain") / F.nullif("loss", F.lit(0.0))).when(F.col("gain") > 0, F.lit(float("inf"))).otherwise(0.0)
+    return ["total_trades", rate.alias("win_rate"), "wins", "losses", "avg_win", "avg_loss", factor.alias("profit_factor"), (rate * F.col("avg_win") - (1 - rate) * F.col("avg_loss")).alias("expectancy")]
+
+
+def _with_moves(equity: DataFrame, w: Window) -> DataFrame:
+    """Adds down, the distance to the highest equity so far, and r, the move since the row before."""
+    peak, before = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lag("equity").over(w)
+    return equity.withColumns({"down": (F.col("equity") - peak) / peak, "r": (F.col("equity") - before) / F.nullif(before, F.lit(0.0))})
+
+
+def _equity_sums() -> list[Column]:
+    return [F.max_by("equity", F.when(F.col("equity").isNotNull(), F.col("i"))).alias("final_equity"), F.abs(F.min("down")).alias("max_drawdown"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("std")]
+
+
+def _equity_figures(capital: float) -> list[Column]:
+    sharpe = F.when(F.col("std") > 0, math.sqrt(252) * F.col("mean") / F.nullif("std", F.lit(0.0))).otherwise(0.0)
+    return ["final_equity", ((F.col("final_equity") - capital) / capital).alias("total_return"), "max_drawdown", sharpe.alias("sharpe_ratio")]
+
+
 def trade_stats(trades: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Counts, mean win and loss, profit factor (infinite without losses) and expectancy."""
-    win = F.col("net_pnl") > 0
-    out = trades.groupBy(*keys).agg(
-        F.count("*").alias("total_trades"), F.count_if(win).alias("wins"), F.count_if(~win).alias("losses"), F.coalesce(F.avg(F.when(win, F.col("net_pnl"))), F.lit(0.0)).alias("avg_win"), F.abs(F.coalesce(F.avg(F.when(~win, F.col("net_pnl"))), F.lit(0.0))).alias("avg_loss"),
-        F.coalesce(F.sum(F.when(win, F.col("net_pnl"))), F.lit(0.0)).alias("gain"), F.abs(F.coalesce(F.sum(F.when(~win, F.col("net_pnl"))), F.lit(0.0))).alias("loss"),
-    )
-    rate = F.col("wins") / F.col("total_trades")
-    factor = F.when(F.col("loss") > 0, F.col("gain") / F.nullif("loss", F.lit(0.0))).when(F.col("gain") > 0, F.lit(float("inf"))).otherwise(0.0)
-    return out.select(*keys, "total_trades", rate.alias("win_rate"), "wins", "losses", "avg_win", "avg_loss", factor.alias("profit_factor"), (rate * F.col("avg_win") - (1 - rate) * F.col("avg_loss")).alias("expectancy"))
+    return trades.groupBy(*keys).agg(*_trade_sums(F.count("*"))).select(*keys, *_trade_figures())
 
 
 def equity_stats(equity: DataFrame, keys: tuple[str, ...] = ("symbol",), capital: float = CAPITAL) -> DataFrame:
     """Total return, largest drawdown (the capital at the start is no peak) and Sharpe ratio over 252 bars a year."""
-    w = Window.partitionBy(*keys).orderBy("i")
-    peak = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.lag("equity").over(w)
-    rows = equity.select(*keys, "i", "equity", ((F.col("equity") - peak) / peak).alias("down"), ((F.col("equity") - before) / F.nullif(before, F.lit(0.0))).alias("r"))
-    out = rows.groupBy(*keys).agg(F.max_by("equity", "i").alias("final_equity"), F.abs(F.min("down")).alias("max_drawdown"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"))
-    sharpe = F.when(F.col("std") > 0, math.sqrt(252) * F.col("mean") / F.nullif("std", F.lit(0.0))).otherwise(0.0)
-    return out.select(*keys, "final_equity", ((F.col("final_equity") - capital) / capital).alias("total_return"), "max_drawdown", sharpe.alias("sharpe_ratio"))
+    rows = _with_moves(equity.select(*keys, "i", "equity"), Window.partitionBy(*keys).orderBy("i"))
+    return rows.groupBy(*keys).agg(*_equity_sums()).select(*keys, *_equity_figures(capital))
+
+
+def outcomes(simulated: DataFrame, keys: tuple[str, ...] = ("symbol",), capital: float = CAPITAL) -> DataFrame:
+    """One row a key: all figures of its trades and equity, whether a position is open at the end, and the error of a key that failed.
+
+    Trades, equity and errors are summed up in one pass over what the engine gave.
+    """
+    rows = _with_moves(simulated, Window.partitionBy(*keys, "kind").orderBy("i"))
+    open_ = F.max_by(F.col("side").isNotNull(), F.when(F.col("kind") == "equity", F.col("i"))).alias("open_position")
+    found = rows.groupBy(*keys).agg(*_equity_sums(), *_trade_sums(F.count_if(F.col("kind") == "trade")), open_, F.max("error").alias("error"))
+    return found.select(*keys, *_equity_figures(capital), *_trade_figures(), "open_position", "error")
 
 
 def metrics(simulated: DataFrame, keys: tuple[str, ...] = ("symbol",), capital: float = CAPITAL) -> DataFrame:
-    """One row a key: all figures of its trades and equity; zeros where it never traded."""
-    stats = trade_stats(trades_of(simulated, keys), keys)
-    counts = ["total_trades", "wins", "losses"]
-    out = equity_stats(equity_of(simulated, keys), keys, capital).join(stats, list(keys), "left")
-    return out.fillna(0, subset=counts).fillna(0.0, subset=["win_rate", "avg_win", "avg_loss", "profit_factor", "expectancy"])
+    """One row a key: all figures of its trades and equity; zeros where it never traded. Keys that failed have none."""
+    return outcomes(simulated, keys, capital).where("final_equity is not null").drop("open_position", "error")
 
 
 def return_metrics(returns: DataFrame, keys: tuple[str, ...] = ("symbol",), value: str = "r", order: str = "i") -> DataFrame:
@@ -209,13 +237,15 @@ def walk_forward_summary(windows: DataFrame) -> DataFrame:
 
 
 def compare(bars: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]], capital: float = CAPITAL) -> DataFrame:
-    """Metrics of each symbol and strategy, ranked within the symbol."""
+    """Figures of each symbol and strategy, ranked within the symbol; a strategy that failed has its error alone and comes last."""
     signals = None
     for name, strategy in strategies.items():
         part = normalize_signals(bars, strategy(bars)).withColumn("strategy", F.lit(name))
         signals = part if signals is None else signals.unionByName(part)
     keys = ("symbol", "strategy")
-    return rank_strategies(metrics(simulate(signals, keys, capital), keys, capital))
+    found = outcomes(simulate(signals, keys, capital), keys, capital)
+    known = set(keys) | {"error"}
+    return rank_strategies(found.select(*[c if c in known else F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in found.columns]))
 
 
 def rank_strategies(rows: DataFrame) -> DataFrame:

@@ -159,21 +159,36 @@ def volume_profile_summary(bars: DataFrame, share: float = 0.7, **edges) -> Data
     )
 
 
+def _charts(bars: DataFrame, row_size: float, markers: int) -> DataFrame:
+    """symbol, edges, first, width of its chart, and the reason why it is refused."""
+    width = F.lit(float(row_size))
+    spans = bars.groupBy("symbol").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count("*").alias("n"))
+    rows = spans.withColumn("rows", F.ceil((F.col("last") - F.col("first")) / width))  # an estimate, so that no huge array is made
+    too_many = F.when(F.col("n") > MOST_PERIODS, "too_many_periods").when(F.col("n") > markers, "more_periods_than_markers").when(F.col("rows") > MOST_ROWS + 1, "too_many_rows")
+    rows = rows.withColumn("reason", too_many).withColumn("edges", F.when(F.col("reason").isNull(), _stepped(F.col("first"), F.col("last"), width, False)))
+    size = F.size("edges") - 1
+    late = F.when(F.col("edges").isNotNull() & (size > MOST_ROWS), "too_many_rows").when(F.col("edges").isNotNull() & (F.col("n") * size > MOST_CELLS), "too_many_cells")
+    return rows.withColumn("width", width).withColumn("reason", F.coalesce("reason", late))
+
+
+def tpo_refused(bars: DataFrame, row_size: float, markers: str | list[str] = MARKERS) -> DataFrame:
+    """symbol and reason, for the symbols that are beyond the limits of a chart."""
+    return _charts(bars, row_size, len(markers)).where("reason is not null").select("symbol", "reason")
+
+
 def tpo_chart(bars: DataFrame, row_size: float, share: float = 0.7, markers: str | list[str] = MARKERS) -> DataFrame:
     """Rows of a time-price chart: which periods touch each row, and whether it is in the value area.
 
-    Symbols with more periods than markers, or beyond the limits of a chart, give no rows.
+    Symbols with more periods than markers, or beyond the limits of a chart, give no rows; `tpo_refused` names them.
     """
     if row_size <= 0:
         raise ValueError("row_size must be above 0")
     marks = [str(m) for m in markers]
     if len(set(marks)) != len(marks) or "" in marks:
         raise ValueError("markers must be unique and not empty")
-    w = Window.partitionBy("symbol")
-    numbered = bars.withColumns({"i": F.row_number().over(w.orderBy("ts")), "n": F.count(F.lit(1)).over(w)}).where(F.col("n") <= min(len(marks), MOST_PERIODS))
-    edges = _spans(numbered).select("symbol", _stepped(F.col("first"), F.col("last"), F.lit(float(row_size)), False).alias("edges"), "first", F.lit(float(row_size)).alias("width"))
-    edges = edges.where(F.size("edges") - 1 <= MOST_ROWS)
-    edges = edges.join(numbered.groupBy("symbol").agg(F.count("*").alias("n")), "symbol").where(F.col("n") * (F.size("edges") - 1) <= MOST_CELLS).drop("n")
+    judged = _charts(bars, row_size, len(marks))
+    edges = judged.where("reason is null").select("symbol", "edges", "first", "width")
+    numbered = bars.withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")))
     cells = _touched(numbered.select("symbol", "ts", "low", "high", F.col("i").cast("double").alias("volume")), edges)
     marked = cells.groupBy("symbol", "bin").agg(F.countDistinct("ts").alias("tpo_count"), F.sort_array(F.collect_list(F.col("volume").cast("int"))).alias("periods"))
     rows = edges.select("symbol", F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("bin", "bin_low"), "edges").select("symbol", "bin", "bin_low", F.get("edges", F.col("bin") + 1).alias("bin_high"))

@@ -161,24 +161,44 @@ def macd_sma_seed(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int
     return {"macd": np.where(np.isnan(sig), np.nan, line), "signal": sig, "histogram": line - sig}
 
 
-def adx_sma_seed(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> np.ndarray:
-    """Running sums of n - 1 rows as seeds, and the mean of the first n directional indexes."""
-    out = np.full(len(close), np.nan)
-    if len(close) < 2 * n:
+def directional_sma_seed(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> dict[str, np.ndarray]:
+    """Running sums of n - 1 rows as seeds of the directional indicators, and the mean of the first n directional indexes."""
+    out = {k: np.full(len(close), np.nan) for k in ("adx", "plus_di", "minus_di")}
+    if len(close) <= n:
         return out
     up, down = np.diff(high), -np.diff(low)
     plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
     tr = true_range(high, low, close)[1:]
     p, m, t = plus[: n - 1].sum(), minus[: n - 1].sum(), tr[: n - 1].sum()
-    dx = []
+    dx: list[float] = []
     for i in range(n - 1, len(tr)):
         p, m, t = p - p / n + plus[i], m - m / n + minus[i], t - t / n + tr[i]
         a, b = (100 * p / t, 100 * m / t) if t else (0.0, 0.0)
+        out["plus_di"][i + 1], out["minus_di"][i + 1] = a, b
         dx.append(100 * abs(a - b) / (a + b) if a + b else (dx[-1] if dx else 0.0))
-    out[n:] = wilder(np.array(dx), n)
+    out["adx"][n:] = wilder(np.array(dx), n)
     return out
 
 
+def adx_sma_seed(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> np.ndarray:
+    return directional_sma_seed(high, low, close, n)["adx"]
+
+
+def on_balance(close: np.ndarray, volume: np.ndarray) -> np.ndarray:
+    """Volumes added where the close rises and taken off where it falls, from the first volume on."""
+    return np.cumsum(np.concatenate([volume[:1], np.sign(np.diff(close)) * volume[1:]]))
+
+
+def _flow(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray, n: int) -> float:
+    """The money flow index of the last n changes; 0 where hardly anything flowed, 50 for fewer rows."""
+    if len(close) <= n:
+        return 50.0
+    typical = (high + low + close) / 3
+    change, flow = np.diff(typical)[-n:], (typical * volume)[-n:]
+    up, down = flow[change > 0].sum(), flow[change < 0].sum()
+    return float(100 * up / (up + down)) if up + down >= 1 else 0.0
+
+
 def ema_frame(bars: DataFrame, n: int = 7) -> DataFrame:
     return by_symbol(bars, ("close",), lambda c: {"ema": ema(c, n)}, "ema double", n)
 
@@ -221,21 +241,55 @@ def _last_valid(x: np.ndarray, default: float) -> float:
     return float(good[-1]) if len(good) else default
 
 
-# What the summaries hold where nothing is valid.
-DEFAULTS = {"rsi": 50.0, "ema": 0.0, "atr": 0.0, "macd": 0.0, "adx": 0.0}
+# What the summaries hold where nothing is valid, and the number that stands for a percentile.
+DEFAULTS = {"rsi": 50.0, "macd": 0.0, "signal": 0.0, "histogram": 0.0, "stoch_k": 50.0, "stoch_d": 50.0, "adx": 0.0, "plus_di": 0.0, "minus_di": 0.0, "atr": 0.0, "bb_upper": 0.0, "bb_middle": 0.0, "bb_lower": 0.0, "hv": 0.0, "obv": 0.0, "obv_ema": 0.0, "mfi": 50.0}
+HV_PERCENTILE = 50.0
+
+
+def summary_of(h: np.ndarray, x: np.ndarray, c: np.ndarray, v: np.ndarray, n: int = 14, periods: tuple[int, ...] = (7, 25, 50), band: int = 20, width: float = 2.0) -> dict[str, float]:
+    """Last values of the mean-seeded indicators of one symbol."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        moves = np.log(c[1:] / c[:-1])
+    series = {"rsi": rsi_sma_seed(c, n), "atr": atr_sma_seed(h, x, c, n), "obv": on_balance(c, v), "obv_ema": ema_sma_seed(on_balance(c, v), band)} | macd_sma_seed(c) | directional_sma_seed(h, x, c, n)
+    out = {k: _last_valid(s, DEFAULTS[k]) for k, s in series.items()} | {f"ema_{p}": _last_valid(ema_sma_seed(c, p), 0.0) for p in periods}
+    if len(c) >= n + 4:  # two means of three raw values each
+        raw = []
+        for i in range(len(c) - 5, len(c)):
+            top, bottom = h[i - n + 1 : i + 1].max(), x[i - n + 1 : i + 1].min()
+            raw.append(100 * (c[i] - bottom) / (top - bottom) if top > bottom else 0.0)
+        k = [float(np.mean(raw[i : i + 3])) for i in range(3)]
+        out |= {"stoch_k": k[-1], "stoch_d": float(np.mean(k))}
+    if len(c) >= band:
+        middle, s = float(c[-band:].mean()), float(c[-band:].std())
+        out |= {"bb_upper": middle + width * s, "bb_middle": middle, "bb_lower": middle - width * s}
+    if len(moves) >= band:
+        out["hv"] = float(moves[-band:].std()) * 252**0.5
+    return DEFAULTS | out | {"mfi": _flow(h, x, c, v, n)}
 
 
 def summaries(bars: DataFrame, n: int = 14, periods: tuple[int, ...] = (7, 25, 50)) -> DataFrame:
-    """One row a symbol: last values of the mean-seeded indicators and their flags."""
-    names = ["rsi", "macd", "signal", "histogram", "adx", "atr", *[f"ema_{p}" for p in periods]]
+    """One row a symbol: last values of the mean-seeded indicators, and what they tell."""
+    names = [*DEFAULTS, *[f"ema_{p}" for p in periods]]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
-        h, x, c = (pdf[k].to_numpy(dtype=float) for k in ("high", "low", "close"))
-        m = macd_sma_seed(c)
-        row = {"symbol": pdf["symbol"].iloc[0], "rsi": _last_valid(rsi_sma_seed(c, n), 50.0), "adx": _last_valid(adx_sma_seed(h, x, c, n), 0.0), "atr": _last_valid(atr_sma_seed(h, x, c, n), 0.0)}
-        row |= {k: _last_valid(v, 0.0) for k, v in m.items()} | {f"ema_{p}": _last_valid(ema_sma_seed(c, p), 0.0) for p in periods}
-        return pd.DataFrame([row])[["symbol", *names]]
-
-    found = bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(run, "symbol string, " + ", ".join(f"{n} double" for n in names))
-    return found.withColumns({"oversold": F.col("rsi") < 30, "overbought": F.col("rsi") > 70, "macd_bullish": F.col("macd") > F.col("signal"), "strong_trend": F.col("adx") > 25})
+        found = summary_of(*(pdf[k].to_numpy(dtype=float) for k in ("high", "low", "close", "volume")), n, periods)
+        return pd.DataFrame([{"symbol": pdf["symbol"].iloc[0], "last": float(pdf["close"].iloc[-1])} | found])[["symbol", "last", *names]]
+
+    rows = bars.select("symbol", "ts", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(run, "symbol string, last double, " + ", ".join(f"{k} double" for k in names))
+    c = F.col
+    percent = lambda x, of: F.when(of > 0, x / F.nullif(of, F.lit(0.0)) * 100).otherwise(0.0)
+    return rows.withColumns(
+        {
+            "oversold": c("rsi") < 30, "overbought": c("rsi") > 70, "macd_bullish": c("macd") > c("signal"), "stoch_overbought": c("stoch_k") > 80, "stoch_oversold": c("stoch_k") < 20,
+            "strong_trend": c("adx") > 25, "trend_up": c("plus_di") > c("minus_di"), "atr_percent": percent(c("atr"), c("last")), "bb_width": c("bb_upper") - c("bb_lower"), "bb_width_percent": percent(c("bb_upper") - c("bb_lower"), c("bb_middle")),
+            "hv_percent": c("hv") * 100, "hv_percentile": F.lit(HV_PERCENTILE), "obv_bullish": c("obv") > c("obv_ema"), "mfi_overbought": c("mfi") > 80, "mfi_oversold": c("mfi") < 20,
+        }
+    ).drop("last")
+
+
+def sma_frame(bars: DataFrame, n: int = 20) -> DataFrame:
+    """The simple mean of the last n closes; null before."""
+    from .windows import frame, full
+
+    return bars.select("symbol", "ts", full(n, F.avg("close").over(frame(1 - n))).alias("sma"))

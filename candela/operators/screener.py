@@ -52,7 +52,7 @@ def matches() -> dict[str, Column]:
 
 
 def scan(bars: DataFrame, filters: tuple[str, ...] = DEFAULT_FILTERS, min_score: float = 0.0, depth: int = SCAN_DEPTH) -> DataFrame:
-    """Symbols with the filters they match and the share matched times 100, best first by number."""
+    """Symbols with the filters they match and the share matched times 100, best first."""
     wanted = [f for f in dict.fromkeys(filters or DEFAULT_FILTERS)]
     if unknown := [f for f in wanted if f not in FILTERS]:
         raise ValueError(f"unknown filters: {unknown}")
@@ -64,16 +64,8 @@ def scan(bars: DataFrame, filters: tuple[str, ...] = DEFAULT_FILTERS, min_score:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Numbers rows by score, number of filters, and symbol."""
-    w = Window.orderBy(F.desc("score"), F.desc(F.size("filters_matched")), F.asc("symbol"))
-    return rows.withColumn("rank", F.row_number().over(w).cast("long"))
-
-
-def plain_score() -> Column:
-    """Score of factors where no filter is named."""
-    m = matches()
-    points = 50 + F.when(m["rsi_oversold"], 20).when(m["rsi_overbought"], -20).otherwise(0) + F.when(m["trend_bullish"], 15).when(m["trend_bearish"], -10).otherwise(0) + F.when(m["volume_spike"], 10).otherwise(0)
-    return F.least(F.greatest(points, F.lit(0)), F.lit(100)).cast("double")
+    """Rows in the order of score, number of filters, and symbol: a sort over ranges, so no task gets all of them."""
+    return rows.orderBy(F.desc("score"), F.desc(F.size("filters_matched")), F.asc("symbol"))
 
 
 def session_scan(bars: DataFrame, session: str = "ny", proximity_pct: float = 0.5, volume_multiplier: float = 1.5, depth: int = SESSION_DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -114,5 +106,15 @@ def order_block_scan(bars: DataFrame, atr_period: int = 14, impulse: float = 1.0
         bad = all_.where("z is null").select("symbol", "timeframe", "window_days", F.lit("no_active_order_blocks").alias("reason"))
         found = good if found is None else found.unionByName(good)
         failed = bad if failed is None else failed.unionByName(bad)
-    order = Window.orderBy(F.desc("score"), F.when(F.col("timeframe") == "4h", 0).otherwise(1), "symbol")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")), failed
+    return found.orderBy(F.desc("score"), F.when(F.col("timeframe") == "4h", 0).otherwise(1), "symbol"), failed.orderBy("symbol", "timeframe", "window_days", "reason")
+
+
+def missing(bars: DataFrame, symbols: list[str]) -> DataFrame:
+    """symbol, reason: of the symbols asked for, those without bars."""
+    asked = bars.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
+    return asked.join(bars.select(F.upper("symbol").alias("symbol")).distinct(), "symbol", "left_anti").withColumn("reason", F.lit("no_data"))
+
+
+def succeeded(found: int, failed: int) -> bool:
+    """A scan fails only if it finds nothing and something failed."""
+    return found > 0 or failed == 0

@@ -111,14 +111,16 @@ on_bars(
     swings=lambda b: struc.swings(b, 2, 0.02),
     market_structure=lambda b: struc.market_structure(struc.swings(b)),
     price_ranges=lambda b: struc.price_ranges(b, struc.swings(b), max_pct=2.0),
+    price_ranges_default=lambda b: struc.price_ranges(b, struc.swings(b)),
     range_breakouts=lambda b: struc.range_breakouts(b, struc.price_ranges(b, struc.swings(b), max_pct=2.0)),
     structure_summary=lambda b: struc.structure_summary(b, max_pct=2.0),
     elliott_waves=lambda b: struc.elliott_waves(struc.swings(b, 2, 0.05)),
-    volume_profile=lambda b: prof.volume_profile(b, bins=50).drop("shape"),
-    volume_profile_atr=lambda b: prof.volume_profile(b, mode="atr").drop("shape"),
-    volume_profile_pct=lambda b: prof.volume_profile(b, mode="pct", range_pct=0.05).drop("shape"),
+    volume_profile=lambda b: prof.volume_profile(b, bins=50),
+    volume_profile_atr=lambda b: prof.volume_profile(b, mode="atr"),
+    volume_profile_pct=lambda b: prof.volume_profile(b, mode="pct", range_pct=0.05),
     volume_profile_summary=lambda b: prof.volume_profile_summary(b, bins=50),
-    tpo=lambda b: prof.tpo_chart(src.last_bars(b, 48), 5.0),
+    tpo=lambda b: prof.tpo_chart(b.withColumn("symbol", F.concat_ws("|", "symbol", F.to_date("ts"))), 5.0),
+    tpo_refused=lambda b: prof.tpo_refused(b, 5.0),
     initial_balance=prof.initial_balance,
     order_block_candidates=lambda b: zones.with_invalidation(b, zones.zone_candidates(b)).drop("last_i"),
     order_blocks=zones.active_zones,
@@ -136,12 +138,12 @@ on_bars(
     signals_elliott=strat.elliott_simplified,
     backtest_trades=lambda b: bt.trades_of(_simulated(b, strat.rsi_reversion)),
     backtest_equity=lambda b: bt.equity_of(_simulated(b, strat.rsi_reversion)),
-    backtest_metrics=lambda b: _finite(bt.metrics(_simulated(b, strat.rsi_reversion))),
-    compare_strategies=lambda b: _finite(bt.compare(b, strat.STRATEGIES)),
+    backtest_metrics=lambda b: bt.metrics(_simulated(b, strat.rsi_reversion)),
+    compare_strategies=lambda b: bt.compare(b, strat.STRATEGIES),
     engine_equity=lambda b: bt.equity_of(_by_hour(b)),
     engine_trades=lambda b: bt.trades_of(_by_hour(b)),
-    engine_metrics=lambda b: _finite(bt.metrics(_by_hour(b))),
-    walk_forward=lambda b: _finite(bt.walk_forward(b, strat.rsi_reversion, 100, 50, 50)),
+    engine_metrics=lambda b: bt.metrics(_by_hour(b)),
+    walk_forward=lambda b: bt.walk_forward(b, strat.rsi_reversion, 100, 50, 50),
     walk_forward_summary=lambda b: bt.walk_forward_summary(bt.walk_forward(b, strat.rsi_reversion, 100, 50, 50)),
     walk_forward_splits=lambda b: bt.splits(b, 100, 50, 50),
     return_metrics=lambda b: bt.return_metrics(_returns(b)),
@@ -157,10 +159,6 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumn("filters_matched", F.array_join("filters_matched", ","))
 
 
-def _finite(df: DataFrame) -> DataFrame:
-    return df.withColumn("profit_factor", F.when(F.col("profit_factor") < float("inf"), F.col("profit_factor")))
-
-
 def _simulated(bars: DataFrame, strategy: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return bt.simulate(bt.normalize_signals(bars, strategy(bars)))
 
@@ -186,7 +184,7 @@ def bars_daily_orders(spark, sf_dir):
 
 @query
 def order_book(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'R')")
+    lines = table(spark, sf_dir, "lineitem")
     price = F.round(F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double"), 2)
     levels = lines.select(F.col("l_linestatus").alias("symbol"), F.when(F.col("l_returnflag") == "A", "bid").otherwise("ask").alias("side"), price.alias("price"), F.col("l_quantity").cast("double").alias("amount"))
     return src.order_book(levels, 10)
@@ -222,7 +220,7 @@ def symbol_forms(spark, sf_dir):
 @query
 def page_texts(spark, sf_dir):
     pages = feeds.text_of_html(table(spark, sf_dir, "pages"))
-    return pages.select("page_id", "title", F.length("text").alias("text_length"))
+    return pages.select("page_id", "title", "text")
 
 
 def _lexicon(spark: SparkSession) -> DataFrame:

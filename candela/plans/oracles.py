@@ -221,8 +221,9 @@ ORACLES["latest_ticker"] = """select symbol, top as ts, round(price, 6) as price
 left join (select event_type as symbol, arg_max(value, (ts, event_id)) as b from events join (select event_type, max(ts) as top from events group by 1) using (event_type) where ts <= top - interval 24 hours group by 1) using (symbol)"""
 ORACLES["bars_daily_orders"] = """select o_orderpriority as symbol, cast(date_trunc('day', cast(o_orderdate as timestamp)) as timestamp) as ts, round(arg_min(cast(o_totalprice as double), (o_orderdate, o_orderkey)), 6) as open, round(max(cast(o_totalprice as double)), 6) as high,
 round(min(cast(o_totalprice as double)), 6) as low, round(arg_max(cast(o_totalprice as double), (o_orderdate, o_orderkey)), 6) as close, cast(count(*) as double) as volume from orders group by 1, 2"""
+ORACLES["tpo_refused"] = sql("select symbol, 'more_periods_than_markers' as reason from bars group by 1 having count(*) > 62")
 ORACLES["order_book"] = """select symbol, side, price, amount, level from (select *, row_number() over (partition by symbol, side order by case when side = 'bid' then -price else price end) as level from (
-select l_linestatus as symbol, case when l_returnflag = 'A' then 'bid' else 'ask' end as side, round(cast(l_extendedprice as double) / cast(l_quantity as double), 2) as price, sum(cast(l_quantity as double)) as amount from lineitem where l_returnflag in ('A', 'R') group by 1, 2, 3)) where level <= 10"""
+select l_linestatus as symbol, case when l_returnflag = 'A' then 'bid' else 'ask' end as side, round(cast(l_extendedprice as double) / cast(l_quantity as double), 2) as price, sum(cast(l_quantity as double)) as amount from lineitem group by 1, 2, 3)) where level <= 10"""
 ORACLES["symbol_mentions"] = "select doc_id, regexp_matches(' ' || replace(lower(coalesce(text, '')), ' ', '  ') || ' ', '[^a-z0-9](the|of)[^a-z0-9]') as mentioned from documents"
 ORACLES["walk_forward_splits"] = sql("select symbol, cast(s / 50 as bigint) as split, s as start, s + 100 as test_start, s + 150 as \"end\" from (select symbol, unnest(range(0, n - 149, 50)) as s from (select symbol, count(*) as n from bars group by 1) where n >= 150)")
 ORACLES["initial_balance"] = sql("select symbol, round(arg_min(low, ts), 6) as ib_low, round(arg_min(high, ts), 6) as ib_high, max(high) > arg_min(high, ts) as expanded_up, min(low) < arg_min(low, ts) as expanded_down from bars group by 1")
@@ -296,13 +297,16 @@ PROFILE = area_ctes(
     cells as (select edges.*, round(coalesce(v, 0), 9) as v, coalesce(k, 0) as k from edges left join (select symbol, bin, sum(case when volume <= 0 then 0 when low = high then volume else volume * ((least(high, y) - greatest(low, x)) / (high - low)) end) as v, count(*) as k from touched where low < high or first = 1 group by 1, 2) using (symbol, bin))""",
     0.7,
 )
-ORACLES["volume_profile"] = sql(
-    """select symbol, bin, round(x, 6) as bin_low, round(y, 6) as bin_high, round((x + y) / 2, 6) as bin_mid, round(v, 6) as volume, k as candles, v >= quantile_cont(v, 0.8) over (partition by symbol) as is_hvn,
-    v <= quantile_cont(v, 0.2) over (partition by symbol) as is_lvn, bin between lo and hi as in_value_area, poc from cells join va using (symbol)""",
-    PROFILE, True,
-)
+SHAPES = """(select *, case when k = 1 or top / total > 0.8 then 'single' when spread < 0.05 then 'flat' when k >= 4 and peaks >= 2 and far >= 0.3 * k then 'bimodal'
+        when poc / (k - 1) < 0.3 and l > 2 * g then 'directional' when poc / (k - 1) > 0.7 and g > 2 * l then 'directional' else 'bell' end as shape from (
+        select symbol, poc, max((x + y) / 2) filter (where bin = poc) as poc_price, max(y) filter (where bin between lo and hi) as vah, min(x) filter (where bin between lo and hi) as val, count(*) as k, sum(v) as total, max(v) as top, var_samp(v / top_v) as spread,
+            count(*) filter (where v > b and v > a) as peaks, max(bin) filter (where v > b and v > a) - min(bin) filter (where v > b and v > a) as far, coalesce(sum(v) filter (where bin < poc), 0) as l, coalesce(sum(v) filter (where bin > poc), 0) as g from (
+            select *, lag(v) over (partition by symbol order by bin) as b, lead(v) over (partition by symbol order by bin) as a, max(v) over (partition by symbol) as top_v from cells join va using (symbol)) group by 1, 2))"""
+PROFILE_ROWS = f"""select cells.symbol, bin, round(x, 6) as bin_low, round(y, 6) as bin_high, round((x + y) / 2, 6) as bin_mid, round(v, 6) as volume, cells.k as candles, v >= quantile_cont(v, 0.8) over (partition by cells.symbol) as is_hvn,
+    v <= quantile_cont(v, 0.2) over (partition by cells.symbol) as is_lvn, bin between lo and hi as in_value_area, va.poc, shape from cells join va on va.symbol = cells.symbol join {SHAPES} sh on sh.symbol = cells.symbol"""
+ORACLES["volume_profile"] = sql(PROFILE_ROWS, PROFILE, True)
 TPO = area_ctes(
-    """b as (select *, row_number() over (partition by symbol order by ts) as i from r where rn > n - 48), e as (select symbol, cast(min(low) as decimal(18, 6)) as a, max(high) as z from b group by 1),
+    """b as (select * replace (symbol || '|' || cast(ts as date) as symbol), row_number() over (partition by symbol, cast(ts as date) order by ts) as i from r), e as (select symbol, cast(min(low) as decimal(18, 6)) as a, max(high) as z from b group by 1),
     steps as (select symbol, a, z, cast(floor((cast(z as decimal(18, 6)) - a) / 5) as bigint) as k from e), edges as (select symbol, j as bin, cast(a + 5 * j as double) as x, cast(a + 5 * (j + 1) as double) as y from (select *, unnest(range(0, case when cast(a + 5 * k as double) < z then k + 1 else k end)) as j from steps)),
     touched as (select d.symbol, bin, b.ts, b.i, b.low, b.high, row_number() over (partition by d.symbol, b.ts order by bin) as first from edges d join b on b.symbol = d.symbol and case when b.low = b.high then x <= b.low and b.low <= y else x < b.high and y > b.low end),
     cells as (select edges.*, coalesce(v, 0) as v, coalesce(m, '') as m from edges left join (select symbol, bin, count(*) as v, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', i, 1), '' order by i) as m from touched where low < high or first = 1 group by 1, 2) using (symbol, bin))""",
@@ -357,7 +361,7 @@ def _engine_queries(ctes: str) -> tuple[str, str, str]:
     trades = sql("select symbol, trade_id, side, entry_ts, exit_ts, round(entry_price, 6) as entry_price, round(exit_price, 6) as exit_price, round(size, 6) as size, round(gross, 6) as gross_pnl, round(net, 6) as net_pnl, round(fees, 6) as commission, held as bars_held from trades", ctes, True)
     metrics = sql(
     f"""select symbol, round(final, 6) as final_equity, round((final - 100000) / 100000, 6) as total_return, round(down, 6) as max_drawdown, round(case when s > 0 then sqrt(252) * m / s else 0 end, 6) as sharpe_ratio, coalesce(k, 0) as total_trades, round(coalesce(wins / k, 0), 6) as win_rate, coalesce(wins, 0) as wins,
-        coalesce(k - wins, 0) as losses, round(coalesce(aw, 0), 6) as avg_win, round(coalesce(al, 0), 6) as avg_loss, case when k is null then 0 when l > 0 then round(w / l, 6) when w > 0 then null else 0 end as profit_factor, round(coalesce(wins / k * aw - (1 - wins / k) * al, 0), 6) as expectancy from (
+        coalesce(k - wins, 0) as losses, round(coalesce(aw, 0), 6) as avg_win, round(coalesce(al, 0), 6) as avg_loss, case when k is null then 0 when l > 0 then round(w / l, 6) when w > 0 then 'infinity'::double else 0 end as profit_factor, round(coalesce(wins / k * aw - (1 - wins / k) * al, 0), 6) as expectancy from (
         select symbol, arg_max(equity, rn) as final, abs(min((equity - peak) / peak)) as down, avg(q) as m, stddev_pop(q) as s from (select *, max(equity) {W.replace("ts", "rn")} rows between unbounded preceding and current row) as peak, equity / lag(equity) {W.replace("ts", "rn")}) - 1 as q from curve where rn > 1) group by 1)
       left join (select symbol, count(*) as k, cast(count(*) filter (where net > 0) as bigint) as wins, coalesce(avg(net) filter (where net > 0), 0) as aw, abs(coalesce(avg(net) filter (where net <= 0), 0)) as al, coalesce(sum(net) filter (where net > 0), 0) as w, abs(coalesce(sum(net) filter (where net <= 0), 0)) as l from trades group by 1) using (symbol)""",
     ctes, True,
@@ -381,18 +385,11 @@ _names = ("price", "rsi", "ema_7", "ema_25", "ema_50", "bollinger_width", "volum
 ORACLES["scan_factors"] = sql("select symbol, ts, " + ", ".join(f"round({n}, 6) as {n}" for n in _names) + " from fa", FACTORS, True)
 _flags = {"rsi_oversold": "rsi < 30", "rsi_overbought": "rsi > 70", "trend_bullish": "ema_7 > ema_25 and ema_25 > ema_50", "trend_bearish": "ema_7 < ema_25 and ema_25 < ema_50", "high_volatility": "bollinger_width >= 0.08", "low_volatility": "bollinger_width <= 0.03", "volume_spike": "volume_ratio >= 1.5"}
 ORACLES["screener_scan"] = sql(
-    "select symbol, ts, " + ", ".join(f"round({n}, 6) as {n}" for n in _names) + """, array_to_string(l, ',') as filters_matched, round(len(l) / 7.0::double * 100, 6) as score, row_number() over (order by len(l) desc, symbol) as rank from (
+    "select symbol, ts, " + ", ".join(f"round({n}, 6) as {n}" for n in _names) + """, array_to_string(l, ',') as filters_matched, round(len(l) / 7.0::double * 100, 6) as score from (
     select *, list_filter([""" + ", ".join(f"case when {c} then '{n}' end" for n, c in _flags.items()) + "], lambda x: x is not null) as l from fa)",
     FACTORS, True,
 )
-ORACLES["volume_profile_summary"] = sql(
-    """select symbol, round(poc_price, 6) as poc_price, poc as poc_bin, round(vah, 6) as vah_price, round(val, 6) as val_price, case when top / total > 0.8 then 'single' when spread < 0.05 then 'flat' when peaks >= 2 and far >= 0.3 * k then 'bimodal'
-        when poc / 49 < 0.3 and l > 2 * g then 'directional' when poc / 49 > 0.7 and g > 2 * l then 'directional' else 'bell' end as shape, k as bins, round(total, 6) as total_volume from (
-        select symbol, poc, max((x + y) / 2) filter (where bin = poc) as poc_price, max(y) filter (where bin between lo and hi) as vah, min(x) filter (where bin between lo and hi) as val, count(*) as k, sum(v) as total, max(v) as top, var_samp(v / top_v) as spread,
-            count(*) filter (where v > b and v > a) as peaks, max(bin) filter (where v > b and v > a) - min(bin) filter (where v > b and v > a) as far, coalesce(sum(v) filter (where bin < poc), 0) as l, coalesce(sum(v) filter (where bin > poc), 0) as g from (
-            select *, lag(v) over (partition by symbol order by bin) as b, lead(v) over (partition by symbol order by bin) as a, max(v) over (partition by symbol) as top_v from cells join va using (symbol)) group by 1, 2)""",
-    PROFILE, True,
-)
+ORACLES["volume_profile_summary"] = sql(f"select symbol, round(poc_price, 6) as poc_price, poc as poc_bin, round(vah, 6) as vah_price, round(val, 6) as val_price, shape, k as bins, round(total, 6) as total_volume from {SHAPES}", PROFILE, True)
 _B = "['USDT', 'usd', '/USDT', '-USDT', '-USD', 'BTC', 'USDC', '', '--x'][cast(c_custkey % 9 + 1 as bigint)]"
 ORACLES["symbol_forms"] = f"""with a as (select c_custkey, substr(c_mktsegment, 1, 3) || {_B} as symbol from customer), b as (select *, upper(trim(symbol)) as s from a),
     c as (select *, case when contains(s, '/') then case when regexp_matches(s, '^[\\p{{L}}\\p{{N}}]+/[\\p{{L}}\\p{{N}}]+$') then s end when contains(s, '-') then case when regexp_matches(s, '^[\\p{{L}}\\p{{N}}]+-[\\p{{L}}\\p{{N}}]+$') and not s like '%-USD' then replace(s, '-', '/') end
@@ -458,8 +455,8 @@ SESSION_SCAN = _s48.rstrip() + f""", s as (select *, hour({LOCAL}) * 60 + minute
         case when pdl > 0 then case when close < pdl then 'pdl_breakout' when close <= pdl * 1.005 then 'pdl_near_breakout' end end,
         case when rn >= 5 and mean > 0 and volume >= mean * 1.5 then 'volume_confirmation' end], lambda x: x is not null) as l from la left join sl using (symbol) left join pd using (symbol))"""
 ORACLES["session_scan"] = SESSION_SCAN + """
-select symbol, ts, round(price, 6) as price, round(session_high, 6) as session_high, round(session_low, 6) as session_low, session_bars, round(pdh, 6) as pdh, round(pdl, 6) as pdl, array_to_string(l, ',') as filters_matched, score,
-    row_number() over (order by score desc, len(l) desc, symbol) as rank from (select *, least(coalesce(list_sum(list_transform(l, lambda x: case when x like 'session%_near_breakout' then 15 when x like 'session%' then 30 when x like '%near_breakout' then 10 when x = 'volume_confirmation' then 10 else 20 end)), 0), 100)::double as score from j where session_bars > 0 and pdh is not null)"""
+select symbol, ts, round(price, 6) as price, round(session_high, 6) as session_high, round(session_low, 6) as session_low, session_bars, round(pdh, 6) as pdh, round(pdl, 6) as pdl, array_to_string(l, ',') as filters_matched, score
+    from (select *, least(coalesce(list_sum(list_transform(l, lambda x: case when x like 'session%_near_breakout' then 15 when x like 'session%' then 30 when x like '%near_breakout' then 10 when x = 'volume_confirmation' then 10 else 20 end)), 0), 100)::double as score from j where session_bars > 0 and pdh is not null)"""
 ORACLES["session_scan_failures"] = SESSION_SCAN + "\nselect symbol, case when session_bars is null then 'insufficient_session_data' else 'insufficient_pdh_pdl_data' end as reason from j where session_bars is null or pdh is null"
 ORACLES["supertrend"] = sql(
     "select symbol, ts, round(st, 6) as supertrend, round(way, 6) as direction from s join r using (symbol, rn)",
@@ -487,8 +484,8 @@ ORACLES["structure_summary"] = sql(
             left join {_part("range_breakouts")} k on k.symbol = z.symbol and k.range_id = g.range_id left join r t on t.symbol = k.symbol and t.ts = k.breakout_ts
             left join (select * from {_part("adx")} qualify row_number() over (partition by symbol order by ts desc) = 1) x on x.symbol = z.symbol))"""
 )
-ORACLES["page_texts"] = r"""select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, cast(length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(
-    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) as bigint) as text_length from pages"""
+ORACLES["page_texts"] = r"""select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as text from pages"""
 
 
 def bars_of(bucket: str, most: int) -> str:
@@ -499,7 +496,7 @@ def bars_of(bucket: str, most: int) -> str:
 
 _found = """, act as (select symbol, arg_min({direction: direction, low: zone_low, high: zone_high, age: last_i - created_i}, (last_i - created_i, -epoch_us(block_ts), direction)) as z from zn where not invalidated and last_i - created_i <= 20 group by 1), la as (select symbol, ts, close as price from r where rn = n)"""
 _horizons = [("1h", 1, bars_of("date_trunc('hour', ts)", 24)), ("4h", 7, bars_of("time_bucket(interval 4 hours, ts)", 42))]
-ORACLES["order_block_scan"] = "select symbol, timeframe, window_days, ts, round(price, 6) as price, zone_type, round(zone_high, 6) as zone_high, round(zone_low, 6) as zone_low, freshness, round(score, 6) as score, row_number() over (order by score desc, case when timeframe = '4h' then 0 else 1 end, symbol) as rank from (" + " union all ".join(
+ORACLES["order_block_scan"] = "select symbol, timeframe, window_days, ts, round(price, 6) as price, zone_type, round(zone_high, 6) as zone_high, round(zone_low, 6) as zone_low, freshness, round(score, 6) as score from (" + " union all ".join(
     f"(select * from ({head}{_found} select symbol, '{t}' as timeframe, cast({d} as bigint) as window_days, ts, price, z.direction as zone_type, z.high as zone_high, z.low as zone_low, z.age as freshness, round(greatest(20 - z.age, 0) / 20.0::double, 6) as score from la join act using (symbol)))" for t, d, head in _horizons
 ) + ")"
 ORACLES["order_block_scan_failures"] = " union all ".join(f"(select * from ({head}{_found} select symbol, '{t}' as timeframe, cast({d} as bigint) as window_days, 'no_active_order_blocks' as reason from la where symbol not in (select symbol from act)))" for t, d, head in _horizons)
@@ -565,11 +562,7 @@ def _stepped(width: str, more: str = "", join: str = "") -> str:
     edges = f"""{more}span as (select symbol, min(low) as a, max(high) as z, arg_max(close, ts) as close, max(close) - min(close) as closes from bars group by 1), steps as (select *, {exact('a')} as da, {exact(width)} as dw, cast(floor(cast({exact('z')} - {exact('a')} as double) / ({width})) as bigint) as k from span{join}),
     edges as (select symbol, j as bin, cast(da + dw * j as double) as x, case when j = k then z else cast(da + dw * (j + 1) as double) end as y from (select *, unnest(range(0, case when cast(da + dw * k as double) < z then k + 1 else k end)) as j from steps)),"""
     tail = PROFILE[PROFILE.index("touched as (select d.symbol") :]
-    return sql(
-        """select symbol, bin, round(x, 6) as bin_low, round(y, 6) as bin_high, round((x + y) / 2, 6) as bin_mid, round(v, 6) as volume, k as candles, v >= quantile_cont(v, 0.8) over (partition by symbol) as is_hvn,
-    v <= quantile_cont(v, 0.2) over (partition by symbol) as is_lvn, bin between lo and hi as in_value_area, poc from cells join va using (symbol)""",
-        edges + "\n    " + tail, True,
-    )
+    return sql(PROFILE_ROWS, edges + "\n    " + tail, True)
 
 
 ORACLES["volume_profile_pct"] = _stepped("close * 0.05")
@@ -602,5 +595,97 @@ ORACLES["signals_pdh"] = sql(
     True,
 )
 
+# Mean-seeded indicators: running sums up to the seed, then the recurrence, all in one pass over the rows.
+def _mean_seed(y: str, x: str, n: int, first: int = 1) -> str:
+    """The mean of n values from row `first` on, then Wilder's step; before, the sum."""
+    at = first + n - 1
+    return f"case when rn < {first} then 0 when rn < {at} then {y} + {x} when rn = {at} then ({y} + {x}) / {n} else ({y} * {n - 1} + {x}) / {n} end"
+
+
+def _mean_ema(y: str, x: str, n: int, first: int = 1) -> str:
+    at = first + n - 1
+    return f"case when rn < {first} then 0 when rn < {at} then {y} + {x} when rn = {at} then ({y} + {x}) / {n} else {y} + (2.0::double / {n + 1}) * ({x} - {y}) end"
+
+
+_state = ("e7", "e25", "e50", "f12", "f26", "sig", "g", "l", "atr", "p", "m", "t", "dx", "adx", "oe")
+_zero = ", ".join(f"cast({'close' if k in ('e7', 'e25', 'e50', 'f26') else 'obv' if k == 'oe' else '0'} as double) as {k}" for k in _state)
+ORACLES["indicator_summaries"] = sql(
+    """select symbol, round(rsi, 6) as rsi, round(macd, 6) as macd, round(sig, 6) as signal, round(macd - sig, 6) as histogram, round(k, 6) as stoch_k, round(d, 6) as stoch_d, round(adx, 6) as adx, round(pdi, 6) as plus_di, round(mdi, 6) as minus_di, round(atr, 6) as atr,
+      round(mid + 2 * sd, 6) as bb_upper, round(mid, 6) as bb_middle, round(mid - 2 * sd, 6) as bb_lower, round(hv, 6) as hv, round(obv, 6) as obv, round(oe, 6) as obv_ema, round(mfi, 6) as mfi, round(e7, 6) as ema_7, round(e25, 6) as ema_25, round(e50, 6) as ema_50,
+      rsi < 30 as oversold, rsi > 70 as overbought, macd > sig as macd_bullish, k > 80 as stoch_overbought, k < 20 as stoch_oversold, adx > 25 as strong_trend, pdi > mdi as trend_up, round(case when close > 0 then atr / close * 100 else 0 end, 6) as atr_percent, round(4 * sd, 6) as bb_width,
+      round(case when mid > 0 then 4 * sd / mid * 100 else 0 end, 6) as bb_width_percent, round(hv * 100, 6) as hv_percent, 50.0::double as hv_percentile, obv > oe as obv_bullish, mfi > 80 as mfi_overbought, mfi < 20 as mfi_oversold from (
+      select symbol, close, obv, case when n >= 15 then case when g + l = 0 then 0 else 100 * g / (g + l) end else 50 end as rsi, case when n >= 34 then f12 - f26 else 0 end as macd, case when n >= 34 then s.sig else 0 end as sig, case when n >= 18 then k else 50 end as k, case when n >= 18 then d else 50 end as d,
+        case when n >= 28 then s.adx else 0 end as adx, case when n >= 15 and t <> 0 then 100 * p / t else 0 end as pdi, case when n >= 15 and t <> 0 then 100 * m / t else 0 end as mdi, case when n >= 15 then s.atr else 0 end as atr, case when n >= 20 then mid else 0 end as mid, case when n >= 20 then sd else 0 end as sd,
+        case when n >= 21 then hv else 0 end as hv, case when n >= 20 then oe else 0 end as oe, case when n >= 15 then case when up + down >= 1 then 100 * up / (up + down) else 0 end else 50 end as mfi, case when n >= 7 then e7 else 0 end as e7, case when n >= 25 then e25 else 0 end as e25, case when n >= 50 then e50 else 0 end as e50
+      from s join x using (symbol, rn) where rn = n)""",
+    f"""c as (select *, (high + low + close) / 3 as tp, lag(close) {W}) as before, lag(high) {W}) as hb, lag(low) {W}) as lb, lag((high + low + close) / 3) {W}) as tb, max(high) {last(14)} as top, min(low) {last(14)} as bottom from r),
+    c1 as (select *, case when top > bottom then 100 * (close - bottom) / (top - bottom) else 0 end as raw, case when rn = 1 then volume else sign(close - before) * volume end as ov, ln(close / before) as lr, greatest(high - low, abs(high - before), abs(low - before)) as tr,
+      case when high - hb > lb - low and high > hb then high - hb else 0 end as dp, case when lb - low > high - hb and low < lb then lb - low else 0 end as dm, greatest(coalesce(close - before, 0), 0) as gain, greatest(coalesce(before - close, 0), 0) as loss from c),
+    c2 as (select *, avg(raw) {last(3)} as k, sum(ov) {RUN} as obv, avg(close) {last(20)} as mid, stddev_pop(close) {last(20)} as sd, stddev_pop(lr) {last(20)} * sqrt(252) as hv, coalesce(sum(case when tp > tb then tp * volume end) {last(14)}, 0) as up, coalesce(sum(case when tp < tb then tp * volume end) {last(14)}, 0) as down from c1),
+    x as (select *, avg(k) {last(3)} as d from c2),
+    s as (select symbol, rn, {_zero} from x where rn = 1
+      union all select symbol, rn, e7, e25, e50, f12, f26, {_mean_ema("sig", "(f12 - f26)", 9, 26)}, g, l, atr, p, m, t, dx, {_mean_seed("adx", "dx", 14, 15)}, oe from (
+        select *, case when t <> 0 and p + m > 0 then 100 * abs(p - m) / (p + m) else old_dx end as dx from (
+          select x.symbol, x.rn, {", ".join(f"{_mean_ema(f's.e{n}', 'x.close', n).replace('rn', 'x.rn')} as e{n}" for n in (7, 25, 50))}, {_mean_ema("s.f12", "x.close", 12, 15).replace("rn", "x.rn")} as f12, {_mean_ema("s.f26", "x.close", 26).replace("rn", "x.rn")} as f26, s.sig,
+            {_mean_seed("s.g", "x.gain", 14, 2).replace("rn", "x.rn")} as g, {_mean_seed("s.l", "x.loss", 14, 2).replace("rn", "x.rn")} as l, {_mean_seed("s.atr", "x.tr", 14, 2).replace("rn", "x.rn")} as atr,
+            {", ".join(f"case when x.rn <= 14 then s.{k} + x.{v} else s.{k} - s.{k} / 14 + x.{v} end as {k}" for k, v in (("p", "dp"), ("m", "dm"), ("t", "tr")))}, s.dx as old_dx, s.adx, {_mean_ema("s.oe", "x.obv", 20).replace("rn", "x.rn")} as oe from s join x on x.symbol = s.symbol and x.rn = s.rn + 1)))""",
+    True,
+)
+
+# Order blocks: at each bar, the first zone that is whole, retested, of the right age and closed beyond; then the position.
+ORACLES["signals_order_blocks"] = sql(
+    "select symbol, ts, act as signal from s join r using (symbol, rn)",
+    BLOCKS + f""", zb as (select zn.symbol, created_i, direction = 'bullish' as up, zone_low, zone_high, zn.atr, r.rn - 1 as i, close,
+        bool_or(case when direction = 'bullish' then close < zone_low else close > zone_high end) over q as gone, bool_or(low <= zone_high + 0.5 * zn.atr and high >= zone_low - 0.5 * zn.atr) over q as tested
+      from zn join r on r.symbol = zn.symbol and r.rn - 1 between created_i and created_i + 20 window q as (partition by zn.symbol, created_i order by r.rn rows between unbounded preceding and current row)),
+    best as (select symbol, i, arg_min({{up: up, lo: zone_low, hi: zone_high, w: atr}}, created_i) as z from zb where not gone and tested and i >= created_i + 2 and case when up then close > zone_high else close < zone_low end group by 1, 2),
+    x as (select r.*, z.up as up, z.lo as lo, z.hi as hi, z.w as w, case when z.up then z.lo - 1.5 * z.w else z.hi + 1.5 * z.w end as new_stop from r left join best on best.symbol = r.symbol and best.i = r.rn - 1),
+    s as (select symbol, rn, case when up is null then 0 when up then 1 else -1 end as side, new_stop as stop, close + 2 * (close - new_stop) as target, lo, hi, case when up is null then 'hold' when up then 'long_entry' else 'short_entry' end as act from x where rn = 1
+      union all select symbol, rn, case when enters then case when up then 1 else -1 end when ex then 0 else side end, case when enters then new_stop else stop end, case when enters then close + 2 * (close - new_stop) else target end, case when enters then lo else old_lo end, case when enters then hi else old_hi end,
+        case when enters then case when up then 'long_entry' else 'short_entry' end when ex then case when side = 1 then 'long_exit' else 'short_exit' end else 'hold' end from (
+          select *, up is not null and (side = 0 or ex) as enters from (
+            select x.*, s.side, s.stop, s.target, s.lo as old_lo, s.hi as old_hi, case when s.side = 1 then x.low <= s.stop or x.high >= s.target or x.close < s.lo when s.side = -1 then x.high >= s.stop or x.low <= s.target or x.close > s.hi else false end as ex from s join x on x.symbol = s.symbol and x.rn = s.rn + 1)))""",
+    True,
+)
+
+# Waves of three swings: at each bar, the last pattern of each side; it is entered at the next bar, if the stop allows.
+_band = lambda lo, hi: f"(a <> b and ((b > a and d >= a) or (b < a and d <= a)) and abs(b - d) / abs(b - a) between {lo} and {hi})"
+ORACLES["signals_elliott"] = sql(
+    "select symbol, ts, act as signal from s join r using (symbol, rn)",
+    f"""{CANDIDATES}, pt as (select symbol, i, case when is_high then 'high' else 'low' end as kind, case when is_high then high else low end as price from cand where is_high <> is_low),
+    tri as (select symbol, i as i1, lead(i, 2) over q as i3, kind || lead(kind) over q || lead(kind, 2) over q as kinds, price as a, lead(price) over q as b, lead(price, 2) over q as d from pt window q as (partition by symbol order by i)),
+    hit as (select tri.symbol, r.rn - 1 as i, i1, case when kinds = 'highlowhigh' and {_band(0.382, 0.886)} and close > a * 1.0005 then b end as long_origin,
+        case when kinds = 'highlowhigh' and {_band(0.382, 0.786)} and close < b * 0.9995 then a when kinds = 'lowhighlow' and {_band(0.382, 0.886)} and close < a * 0.9995 then b end as short_origin
+      from tri join r on r.symbol = tri.symbol and r.rn - 1 between i3 and i1 + 8 where (kinds = 'highlowhigh' and d < a and b < a) or (kinds = 'lowhighlow' and d > a and b > a)),
+    seen as (select symbol, i, arg_max(long_origin, i1) filter (where long_origin is not null) as lo, arg_max(short_origin, i1) filter (where short_origin is not null) as so from hit group by 1, 2),
+    tw as (select * from {_part("atr")}),
+    x as (select r.*, r.rn - 1 >= 2 and r.rn < r.n as inner_bar, coalesce(tw.atr, 0) as w, seen.lo, seen.so from r left join seen on seen.symbol = r.symbol and seen.i = r.rn - 1 left join tw on tw.symbol = r.symbol and tw.ts = r.ts),
+    s as (select symbol, rn, 0 as side, cast(null as double) as stop, cast(null as double) as target, cast(null as double) as pl, cast(null as double) as ps, 'hold' as act from x where rn = 1
+      union all select symbol, rn, case when not inner_bar then side when ex then 0 when lin then 1 when sin then -1 else side end, case when not inner_bar then stop when lin then lstop when sin then sstop else stop end,
+        case when not inner_bar then target when lin then close + 2 * (close - lstop) when sin then close - 2 * (sstop - close) else target end,
+        case when not inner_bar then pl when ex then null when searches then lo end, case when not inner_bar then ps when ex then null when searches then so when side <> 0 or lin then ps end,
+        case when not inner_bar then 'hold' when ex and side = 1 then 'long_exit' when ex then 'short_exit' when lin then 'long_entry' when sin then 'short_entry' else 'hold' end from (
+          select *, side = 0 and not lin and not sin as searches from (
+            select *, not lin and side = 0 and coalesce(sstop > close, false) as sin from (
+              select *, side = 0 and coalesce(close > lstop, false) as lin from (
+                select x.*, s.side, s.stop, s.target, s.pl, s.ps, greatest(s.pl * 0.9995, x.close - x.w) + case when s.pl is null then null else 0 end as lstop, least(s.ps * 1.0005, x.close + x.w) + case when s.ps is null then null else 0 end as sstop,
+                  case when s.side = 1 then x.low <= s.stop or x.high >= s.target when s.side = -1 then x.high >= s.stop or x.low <= s.target else false end as ex from s join x on x.symbol = s.symbol and x.rn = s.rn + 1)))))""",
+    True,
+)
+
+# All strategies through the engine: each strategy of each symbol is a symbol of its own.
+_ids = {"pdh_session": "signals_pdh", "rsi": "signals_rsi", "vwap": "signals_vwap", "ema_stack": "signals_ema_stack", "order_blocks": "signals_order_blocks", "elliot_wave": "signals_elliott"}
+_all = " union all ".join(f"select symbol || '|{k}' as symbol, ts, signal from {_part(v)}" for k, v in _ids.items())
+_each = f"b0{_bars[len('bars'):]}, bars as (select symbol || '|' || id as symbol, ts, open, high, low, close, volume from b0, (values {', '.join(f'({k!r})' for k in _ids)}) as t(id))"
+_compared = _engine_queries(engine("select r.*, case when signal like '%entry' then 'entry' when signal like '%exit' then 'exit' else 'hold' end as act, case when signal like 'long%' then 1 else -1 end as dir from r left join sg using (symbol, ts)"))[2].replace(_bars, f"sg as ({_all}), " + _each, 1)
+# an order against the open position is an error: the strategy keeps its row, without figures, and comes last
+_compared = _compared.replace(", 6) as expectancy from (", ", 6) as expectancy, open_position, error, final as whole, case when s > 0 then m / s else 0 end as steady from (", 1).replace("where rn > 1) group by 1)\n", """where rn > 1) group by 1)
+      join (select symbol, arg_max(side <> 0, rn) as open_position from curve group by 1) using (symbol) left join (select g.symbol, arg_min(case when dir = 1 then 'long_' else 'short_' end || act || ' while ' || case when side = 1 then 'long' else 'short' end || ' at row ' || (g.rn - 1), g.rn) as error
+        from g join e on e.symbol = g.symbol and e.rn = g.rn - 1 where act <> 'hold' and side <> 0 and side <> dir group by 1) using (symbol)\n""", 1)
+_figures = ("final_equity", "total_return", "max_drawdown", "sharpe_ratio", "total_trades", "win_rate", "wins", "losses", "avg_win", "avg_loss", "profit_factor", "expectancy", "open_position")
+ORACLES["compare_strategies"] = f"""select * exclude (whole, steady), row_number() over (partition by symbol order by case when error is null then whole end desc nulls last, case when error is null then steady end desc nulls last, strategy) as rank from (
+    select whole, steady, split_part(symbol, '|', 1) as symbol, split_part(symbol, '|', 2) as strategy, error, {", ".join(f"case when error is null then {c} end as {c}" for c in _figures)} from ({_compared}))"""
+
+ORACLES["price_ranges_default"] = ORACLES["price_ranges"].replace("<= 2.0", "<= 0.03")
 # a small negative number rounds to negative zero here, and to zero in Spark
 ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}

@@ -17,10 +17,4 @@ BARS = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampNTZType()), *[T.StructField(c, T.DoubleType()) for c in OHLCV]]
 )
 
-PRICE_LEVEL = T.StructType([T.StructField("price", T.DoubleType()), T.StructField("amount", T.DoubleType())])
-ORDER_BOOK = T.StructType([T.StructField("bids", T.ArrayType(PRICE_LEVEL)), T.StructField("asks", T.ArrayType(PRICE_LEVEL)), T.StructField("ts", T.TimestampNTZType())])
-
 SWINGS = "symbol string, swing_id long, pivot_index long, swing_type string, pivot_ts timestamp_ntz, pivot_price double, leg_start_ts timestamp_ntz, leg_start_price double, leg_end_ts timestamp_ntz, leg_end_price double, price_delta double, pct_delta double"
-
-TRADES = "symbol string, trade_id long, side string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, entry_price double, exit_price double, size double, gross_pnl double, net_pnl double, commission double, bars_held long"
-EQUITY = "symbol string, i long, ts timestamp_ntz, equity double"

@@ -25,7 +25,7 @@ def test_there_are_21_tools():
 
 CALLS = {
     "fetch_ticker": {}, "fetch_klines": {"symbol": "click", "timeframe": "4h"}, "fetch_orderbook": {"symbol": "click"}, "indicator_rsi": {"symbol": "click"}, "backtest_pdh_session": {"symbol": "click"}, "backtest_rsi": {},
-    "backtest_vwap": {"symbol": "click"}, "backtest_ema_stack": {}, "backtest_order_blocks": {}, "backtest_elliot_wave": {}, "compare_strategies": {"ids": ["rsi", "elliott"]}, "screener_scan": {"symbols": ["CLICK", "view"]},
+    "backtest_vwap": {"symbol": "click"}, "backtest_ema_stack": {}, "backtest_order_blocks": {}, "backtest_elliot_wave": {}, "compare_strategies": {"ids": ["rsi", "elliot_wave"]}, "screener_scan": {"symbols": ["CLICK", "view"]},
     "session_breakout_scan": {}, "order_block_screener_scan": {}, "calculate_volume_profile": {"symbol": "click"}, "detect_order_blocks": {"symbol": "click"}, "calculate_fibonacci": {"symbol": "click"},
     "calculate_tpo": {"symbol": "click", "row_size": 5.0}, "detect_elliot_wave": {"symbol": "click"}, "get_market_structure": {}, "get_combined_sentiment_dashboard": {"symbol": "BTCUSDT"},
 }
@@ -34,10 +34,27 @@ CALLS = {
 @pytest.mark.parametrize("name", api.TOOLS)
 def test_each_tool_gives_data(market, name):
     answer = getattr(market, name)(**CALLS[name])
+    if name == "order_block_screener_scan":  # these bars hold no active block, so all symbols fail
+        assert answer["error"]["code"] == api.ERRORS["data_source"]
+        return
     assert answer["success"], answer
     assert answer["data"] is not None
 
 
+def test_scans_name_symbols_without_bars(market):
+    answer = market.screener_scan(symbols=["click", "nosuch", " click"])
+    assert answer["success"] and [r["symbol"] for r in answer["data"]["results"]] == ["click"]
+    assert answer["data"]["failures"] == [{"symbol": "NOSUCH", "reason": "no_data"}]
+    assert market.screener_scan(symbols=["nosuch"])["error"]["code"] == api.ERRORS["data_source"]
+    assert market.screener_scan(symbols=["click"], min_score=100.0)["success"]
+
+
+def test_long_answers_are_refused_not_cut(market, monkeypatch):
+    monkeypatch.setattr(api, "records", lambda df, most=3, f=api.records: f(df, most))
+    assert market.fetch_klines(symbol="click", limit=3)["success"]
+    assert market.fetch_klines(symbol="click", limit=4)["error"]["code"] == api.ERRORS["parameter"]
+
+
 @pytest.mark.parametrize(("name", "options", "kind"), [("fetch_klines", {"symbol": "?"}, "symbol"), ("fetch_klines", {"symbol": "nothing"}, "data_not_found"), ("fetch_klines", {"symbol": "click", "timeframe": "2h"}, "timeframe"), ("fetch_klines", {"symbol": "click", "exchange": "x"}, "exchange"), ("compare_strategies", {"ids": ["rsi"]}, "parameter"), ("screener_scan", {"min_score": 101}, "parameter"), ("calculate_tpo", {"symbol": "click", "row_size": -1}, "validation")])
 def test_refusals_have_codes(market, name, options, kind):
     answer = getattr(market, name)(**options)
