@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import valence
 from ..functions.symbols import FEED_QUOTES, POST_QUOTES, base_token
 
 # Boosts of keywords in the order in which they claim their place; names of tokens; weights and bounds.
@@ -43,23 +45,56 @@ def mentions(text: Column, symbol: str, token: str) -> Column:
     return reduce(lambda a, b: a | b, [lower.rlike(f"(?<![a-z0-9]){quote(t)}(?![a-z0-9])") for t in terms])
 
 
-def lexicon_scores(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, pos, neg, neu (shares) and compound: the sum s of the words' valences as s / sqrt(s * s + 15).
+#: A lexicon of up to so many words goes to each task; a larger one is joined.
+MOST_WORDS = 200_000
+RULES = {"rules": valence.ruled, "plain": valence.plain}
 
-    lexicon: word, valence. It is joined on the word, so it may be of any size.
+
+def joined_scores(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, pos, neu, neg and compound by the plain sum, for a lexicon of any size.
+
+    Words are counted within each text before they are dealt, so a frequent word makes one row a text, and words of the
+    lexicon are counted apart from the number of all words, so that texts without any keep their row.
     """
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}']+"), lambda w: w != "")
-    rows = texts.select(*keys, F.explode_outer(words).alias("word"))
+    counted = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("word"), F.size(F.filter("w", lambda y: y == x)).alias("n")))
+    rows = texts.select(*keys, words.alias("w")).select(*keys, F.explode_outer(counted).alias("c")).select(*keys, "c.word", F.coalesce("c.n", F.lit(0)).alias("n"))
     joined = rows.join(lexicon, "word", "left").withColumn("v", F.coalesce(F.col("valence").cast("double"), F.lit(0.0)))
-    summed = joined.groupBy(*keys).agg(F.sum("v").alias("s"), F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("v") + 1)), F.lit(0.0)).alias("p"), F.coalesce(F.sum(F.when(F.col("v") < 0, 1 - F.col("v"))), F.lit(0.0)).alias("n"), F.count_if((F.col("v") == 0) & F.col("word").isNotNull()).alias("z"))
-    whole = F.nullif(F.col("p") + F.col("n") + F.col("z"), F.lit(0.0))
-    share = lambda c: F.round(F.coalesce(F.col(c) / whole, F.lit(0.0)), 4)
-    return summed.select(*keys, share("p").alias("pos"), share("z").alias("neu"), share("n").alias("neg"), F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), 4).alias("compound"))
+    v, n = F.col("v"), F.col("n")
+    summed = joined.groupBy(*keys).agg(F.sum(v * n).alias("s"), F.coalesce(F.sum(F.when(v > 0, (v + 1) * n)), F.lit(0.0)).alias("p"), F.coalesce(F.sum(F.when(v < 0, (1 - v) * n)), F.lit(0.0)).alias("m"), F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("z"))
+    whole = F.nullif(F.col("p") + F.col("m") + F.col("z"), F.lit(0.0))
+    share = lambda c: F.coalesce(F.col(c) / whole, F.lit(0.0))
+    return summed.select(*keys, share("p").alias("pos"), share("z").alias("neu"), share("m").alias("neg"), (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("compound"))
 
 
-def score_texts(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def lexicon_scores(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", method: str = "rules") -> DataFrame:
+    """texts with pos, neu, neg (shares) and compound (-1 to 1), rounded to four places. lexicon: word, valence.
+
+    method: `rules` follows negations, boosters, capitals, idioms, contrasts and emphasis; `plain` sums words. A lexicon
+    within the bound is sent to the tasks, and no text is shuffled; beyond it, `plain` joins on the word, by keys.
+    """
+    if method not in RULES:
+        raise ValueError(f"method is one of {sorted(RULES)}")
+    names = ("pos", "neu", "neg", "compound")
+    given = lexicon.select(F.lower("word").alias("word"), F.col("valence").cast("double").alias("valence")).where("word is not null and valence is not null")
+    known = {r.word: r.valence for r in given.limit(MOST_WORDS + 1).collect()}
+    if len(known) > MOST_WORDS:
+        if method == "rules":
+            raise ValueError(f"rules need a lexicon of at most {MOST_WORDS} words")
+        return texts.join(joined_scores(texts, given, keys, text), keys).withColumns({n: F.round(n, 4) for n in names})
+    shared, judge = texts.sparkSession.sparkContext.broadcast(known), RULES[method]
+
+    @F.pandas_udf("struct<pos: double, neu: double, neg: double, compound: double>")
+    def score(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([judge(t, shared.value) for t in batch], columns=list(names), dtype=float)
+
+    found = texts.withColumn("_scores", score(F.coalesce(F.col(text), F.lit(""))))
+    return found.withColumns({n: F.round(F.col("_scores")[n], 4) for n in names}).drop("_scores")
+
+
+def score_texts(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", method: str = "rules") -> DataFrame:
     """Lexicon scores, keyword boost, and their sum within -1 and 1."""
-    found = texts.join(lexicon_scores(texts, lexicon, keys, text), keys)
+    found = lexicon_scores(texts, lexicon, keys, text, method)
     boost = keyword_boost(F.col(text))
     final = F.greatest(F.least(F.col("compound") + boost, F.lit(1.0)), F.lit(-1.0))
     return found.withColumns({"keyword_boost": F.round(boost, 4), "final_score": F.round(final, 4)})

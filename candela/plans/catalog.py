@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions import symbols as sym
 from ..operators import backtest as bt
 from ..operators import levels as lev
@@ -93,6 +94,7 @@ on_bars(
     fib_levels=lambda b: lev.retracements(lev.swing_range(b)),
     fib_extension=lambda b: lev.extensions(lev.swing_range(b), "bullish").unionByName(lev.extensions(lev.swing_range(b), "bearish")),
     fib_confluence=lambda b: lev.confluence([lev.retracements(lev.swing_range(b)), lev.extensions(lev.swing_range(b), "bullish"), lev.retracements(lev.swing_range(src.last_bars(b, 48)))], 0.05),
+    sma=rec.sma_frame,
     ema=lambda b: rec.ema_frame(b, 7),
     smma=lambda b: rec.smma_frame(b, 14),
     ema_stack=rec.ema_stack_frame,
@@ -140,6 +142,7 @@ on_bars(
     backtest_equity=lambda b: bt.equity_of(_simulated(b, strat.rsi_reversion)),
     backtest_metrics=lambda b: bt.metrics(_simulated(b, strat.rsi_reversion)),
     compare_strategies=lambda b: bt.compare(b, strat.STRATEGIES),
+    comparison_lines=lambda b: display.comparison_lines(rounded(bt.compare(b, strat.STRATEGIES)), 4),
     engine_equity=lambda b: bt.equity_of(_by_hour(b)),
     engine_trades=lambda b: bt.trades_of(_by_hour(b)),
     engine_metrics=lambda b: bt.metrics(_by_hour(b)),
@@ -230,7 +233,7 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    return sent.score_texts(docs, _lexicon(spark), ["doc_id"])
+    return sent.score_texts(docs, _lexicon(spark), ["doc_id"], method="plain")
 
 
 @query
@@ -238,6 +241,13 @@ def sentiment_scores(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", "pos", "neu", "neg", "compound", "keyword_boost", "final_score")
 
 
+@query
+def sentiment_rules(spark, sf_dir):
+    """By rules; without SQL, tests hold the rules against sentences of known scores."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sent.score_texts(docs, _lexicon(spark), ["doc_id"]).drop("text")
+
+
 @query
 def sentiment_summary(spark, sf_dir):
     return sent.summarize(_scored(spark, sf_dir), ["source"])

@@ -217,8 +217,8 @@ ORACLES["adx"] = sql(
     e as (select symbol, rn, cast(dx as double) as adx, pd, md from dx where rn = 1 union all select dx.symbol, dx.rn, """ + _alpha("dx.dx", "e.adx") + ", dx.pd, dx.md from e join dx on dx.symbol = e.symbol and dx.rn = e.rn + 1)", True,
 )
 
-ORACLES["latest_ticker"] = """select symbol, top as ts, round(price, 6) as price, round((price - b) / nullif(b, 0) * 100, 6) as change_pct_24h from (select event_type as symbol, max(ts) as top, arg_max(value, (ts, event_id)) as price from events group by 1)
-left join (select event_type as symbol, arg_max(value, (ts, event_id)) as b from events join (select event_type, max(ts) as top from events group by 1) using (event_type) where ts <= top - interval 24 hours group by 1) using (symbol)"""
+ORACLES["latest_ticker"] = """select symbol, top as ts, round(price, 6) as price, cast(null as double) as bid, cast(null as double) as ask, round((price - b) / nullif(b, 0) * 100, 6) as change_pct_24h, v as volume_24h from (select event_type as symbol, max(ts) as top, arg_max(value, (ts, event_id)) as price from events group by 1)
+left join (select event_type as symbol, arg_max(value, (ts, event_id)) filter (where ts <= top - interval 24 hours) as b, cast(count(*) filter (where ts > top - interval 24 hours) as double) as v from events join (select event_type, max(ts) as top from events group by 1) using (event_type) group by 1) using (symbol)"""
 ORACLES["bars_daily_orders"] = """select o_orderpriority as symbol, cast(date_trunc('day', cast(o_orderdate as timestamp)) as timestamp) as ts, round(arg_min(cast(o_totalprice as double), (o_orderdate, o_orderkey)), 6) as open, round(max(cast(o_totalprice as double)), 6) as high,
 round(min(cast(o_totalprice as double)), 6) as low, round(arg_max(cast(o_totalprice as double), (o_orderdate, o_orderkey)), 6) as close, cast(count(*) as double) as volume from orders group by 1, 2"""
 ORACLES["tpo_refused"] = sql("select symbol, 'more_periods_than_markers' as reason from bars group by 1 having count(*) > 62")
@@ -686,6 +686,10 @@ _figures = ("final_equity", "total_return", "max_drawdown", "sharpe_ratio", "tot
 ORACLES["compare_strategies"] = f"""select * exclude (whole, steady), row_number() over (partition by symbol order by case when error is null then whole end desc nulls last, case when error is null then steady end desc nulls last, strategy) as rank from (
     select whole, steady, split_part(symbol, '|', 1) as symbol, split_part(symbol, '|', 2) as strategy, error, {", ".join(f"case when error is null then {c} end as {c}" for c in _figures)} from ({_compared}))"""
 
+_shown = "case when {0} is null then 'N/A' else printf('%.2f', {0}) || '{1}' end"
+ORACLES["comparison_lines"] = f"""select symbol, rank, '#' || rank || ' ' || strategy as title, 'Return: ' || {_shown.format("total_return", "%")} || ' | Sharpe: ' || {_shown.format("sharpe_ratio", "")} || ' | Trades: ' || coalesce(total_trades::varchar, 'N/A') || ' | Open: ' || coalesce(open_position::varchar, 'N/A') as line,
+    'Showing top 4 of 6 strategies' as footer from {_part("compare_strategies")} where rank <= 4"""
+ORACLES["sma"] = sql(f"select symbol, ts, round(case when rn >= 20 then avg(close) {last(20)} end, 6) as sma from r")
 ORACLES["price_ranges_default"] = ORACLES["price_ranges"].replace("<= 2.0", "<= 0.03")
 # a small negative number rounds to negative zero here, and to zero in Spark
 ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}

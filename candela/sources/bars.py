@@ -132,42 +132,85 @@ def check_request(exchange: str, timeframe: str, limit: int, warmup: int = 0, sy
         raise ValueError("warm-up must not be negative")
 
 
+# What ends a name of the secondary provider's own form, the timeframes that it knows, and its default span.
+NATIVE_END = "-USD"
+SECONDARY_TIMEFRAMES = tuple(t for t in TIMEFRAME_SECONDS if t != "4h")
+SECONDARY_DAYS = 30
+
+
+def is_native(symbol: str) -> bool:
+    """Whether a name has the form of the secondary provider."""
+    return symbol.strip().upper().endswith(NATIVE_END)
+
+
+def canonical_name(symbol: str) -> str:
+    """BASE-USD as BASE/USDT; other names in capitals."""
+    name = symbol.strip().upper()
+    base = name[: -len(NATIVE_END)]
+    return f"{base}/USDT" if is_native(name) and base.isalnum() else name
+
+
+def without_empty(bars: DataFrame) -> DataFrame:
+    """bars without those whose prices are all missing; such bars alone make an answer empty."""
+    return bars.where(~F.forall(F.array("open", "high", "low", "close"), lambda x: x.isNull() | F.isnan(x)))
+
+
 class Sources:
-    """Named providers of bars, tried in order: each takes a session and returns bars; the first with rows is used."""
+    """Named providers of bars, tried in order: each takes a session and returns bars; the first with rows is used.
+
+    Names of the secondary provider's own form pass over the others; bars whose prices are all missing are none.
+    """
 
     def __init__(self) -> None:
         self.providers: dict[str, Callable[[SparkSession], DataFrame]] = {}
+        self.secondary: str | None = None
 
-    def register(self, name: str, read: Callable[[SparkSession], DataFrame]) -> None:
+    def register(self, name: str, read: Callable[[SparkSession], DataFrame], secondary: bool = False) -> None:
         self.providers[name] = read
+        if secondary:
+            self.secondary = name
 
-    def fetch(self, spark: SparkSession, symbol: str, timeframe: str, start: datetime, end: datetime, limit: int = MAX_LIMIT, warmup: int = 0, exchange: str = "binance") -> tuple[DataFrame, dict]:
-        """The last limit + warm-up bars in the range, and which provider gave them, warnings, and why there are none."""
+    def fetch(self, spark: SparkSession, symbol: str, timeframe: str, start: datetime | None, end: datetime, limit: int = MAX_LIMIT, warmup: int = 0, exchange: str = "binance") -> tuple[DataFrame, dict]:
+        """The last limit + warm-up bars in the range, and which provider gave them, warnings, and why there are none.
+
+        Without a start, the range is that of the last SECONDARY_DAYS days before its end.
+        """
         check_request(exchange, timeframe, limit, warmup, symbol)
+        start = start or end - timedelta(days=SECONDARY_DAYS)
         begin, warnings = fetch_start(start, end, timeframe, limit, warmup), []
+        native = is_native(symbol) and self.secondary is not None
+        told = {"canonical_symbol": canonical_name(symbol), "provider_symbol": symbol.strip().upper() if native else symbol}
         for name, read in self.providers.items():
+            if native and name != self.secondary:
+                continue
+            if name == self.secondary and timeframe not in SECONDARY_TIMEFRAMES:
+                warnings.append(f"{name}: unsupported timeframe")
+                continue
             try:
-                found = last_bars(in_range(canonical(read(spark)).where(F.col("symbol") == symbol), begin, end), limit + warmup)
+                rows = without_empty(canonical(read(spark)).where(F.col("symbol") == told["provider_symbol"]))
+                found = last_bars(in_range(rows, begin, end), limit + warmup)
                 if not found.isEmpty():
-                    return found, {"source_used": name, "warnings": warnings, "failure_reason": None}
+                    return found, {"source_used": name, "warnings": warnings, "failure_reason": None, **told}
                 warnings.append(f"{name}: no rows")
             except Exception as e:  # a provider that fails is passed over, and said so
                 warnings.append(f"{name}: {type(e).__name__}")
-        return empty_bars(spark), {"source_used": None, "warnings": warnings, "failure_reason": "no provider has rows"}
+        return empty_bars(spark), {"source_used": None, "warnings": warnings, "failure_reason": "no provider has rows", **told}
 
 
-def latest_ticker(ticks: DataFrame, symbol: str = "event_type", ts: str = "ts", price: str = "value", tie: str = "event_id") -> DataFrame:
-    """The latest price of each symbol, its time, and its change against the price 24 hours earlier, in percent."""
-    key = F.struct(F.col(ts), F.col(tie))
-    last = ticks.groupBy(F.col(symbol).alias("symbol")).agg(F.max_by(price, key).alias("price"), F.max(ts).alias("ts"))
-    earlier = (
-        ticks.select(F.col(symbol).alias("symbol"), F.col(ts).alias("at"), F.col(tie).alias("tie"), F.col(price).alias("p"))
-        .join(last.select("symbol", "ts"), "symbol")
-        .where(F.col("at") <= F.col("ts") - F.expr("interval 24 hours"))
-        .groupBy("symbol")
-        .agg(F.max_by("p", F.struct("at", "tie")).alias("before"))
-    )
-    return last.join(earlier, "symbol", "left").select("symbol", "ts", "price", ((F.col("price") - F.col("before")) / F.nullif(F.col("before"), F.lit(0.0)) * 100).alias("change_pct_24h"))
+def latest_ticker(ticks: DataFrame, symbol: str = "event_type", ts: str = "ts", price: str = "value", tie: str = "event_id", bid: str | None = None, ask: str | None = None, volume: str | None = None) -> DataFrame:
+    """The latest price, bid and ask of each symbol, their time, and change (in percent) and volume of the last 24 hours.
+
+    bid, ask and volume name columns of the ticks, if there are such; without volume, ticks are counted.
+    """
+    key, none = F.struct(F.col(ts), F.col(tie)), F.lit(None).cast("double")
+    named = ticks.select(F.col(symbol).alias("symbol"), F.col(ts).alias("at"), key.alias("key"), F.col(price).alias("price"), *[(F.col(c).cast("double") if c else none).alias(n) for n, c in (("bid", bid), ("ask", ask))], (F.col(volume).cast("double") if volume else F.lit(1.0)).alias("volume"))
+    last = named.groupBy("symbol").agg(F.max_by(F.struct("price", "bid", "ask"), "key").alias("l"), F.max("at").alias("ts"))
+    # one row a symbol, so it goes to the ticks
+    day = named.select("symbol", "at", "key", "price", "volume").join(last.select("symbol", "ts"), "symbol")
+    early = F.col("at") <= F.col("ts") - F.expr("interval 24 hours")
+    summed = day.groupBy("symbol").agg(F.max_by("price", F.when(early, F.col("key"))).alias("before"), F.sum(F.when(~early, F.col("volume"))).alias("volume_24h"))
+    change = (F.col("l.price") - F.col("before")) / F.nullif(F.col("before"), F.lit(0.0)) * 100
+    return last.join(summed, "symbol").select("symbol", "ts", "l.price", "l.bid", "l.ask", change.alias("change_pct_24h"), "volume_24h")
 
 
 def order_book(levels: DataFrame, depth: int, symbol: str = "symbol", side: str = "side", price: str = "price", amount: str = "amount") -> DataFrame:

@@ -18,9 +18,7 @@ def posts_from_listings(listings: DataFrame, column: str = "json", board: str =
 def items_from_feeds(feeds: DataFrame, column: str = "xml", feed: str = "feed") -> DataFrame:
     """title, link, description, published of the items of RSS 2.0 and the entries of Atom; malformed texts give none."""
     x = F.try_validate_utf8(F.col(column)) if hasattr(F, "try_validate_utf8") else F.col(column)
-    # default name spaces hide names from the expressions, so they are dropped
-    plain = F.regexp_replace(x, r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", "")
-    plain = F.when(plain.rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<(rss|feed|rdf:RDF)[\s>].*</(rss|feed|rdf:RDF)>\s*$"), plain)
+    plain = _well_formed(x)
     element = r"(?s)<(item|entry)(\s[^>]*)?>(.*?)</\1>"
     rows = feeds.select(feed, F.explode(F.regexp_extract_all(plain, F.lit(element), F.lit(3))).alias("x"))
     body = lambda names: F.coalesce(*[F.nullif(F.regexp_extract("x", rf"(?s)<{n}(?:\s[^>]*)?>(.*?)</{n}>", 1), F.lit("")) for n in names], F.lit(""))
@@ -29,6 +27,27 @@ def items_from_feeds(feeds: DataFrame, column: str = "xml", feed: str = "feed")
     return rows.select(feed, clean(body(["title"])).alias("title"), clean(link).alias("link"), clean(body(["description", "summary", "content"])).alias("description"), clean(body(["pubDate", "published", "updated"])).alias("published"))
 
 
+def feed_failures(feeds: DataFrame, column: str = "xml", feed: str = "feed") -> DataFrame:
+    """feed and reason, of the feeds whose text is missing or is no feed. Their loss matters only if no feed is left."""
+    text = F.col(column)
+    reason = F.when(text.isNull(), "not_fetched").when(_well_formed(text).isNull(), "malformed")
+    return feeds.select(feed, reason.alias("reason")).where("reason is not null")
+
+
+def items_or_error(feeds: DataFrame, column: str = "xml", feed: str = "feed") -> DataFrame:
+    """The items of the feeds that can be read; raises ValueError only if none of them can."""
+    total, failed = feeds.count(), feed_failures(feeds, column, feed).count()
+    if total and failed == total:
+        raise ValueError(f"all {total} feeds failed")
+    return items_from_feeds(feeds, column, feed)
+
+
+def _well_formed(x):
+    """The text of a feed without name spaces; null if it is none. Default name spaces hide names from expressions."""
+    plain = F.regexp_replace(x, r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", "")
+    return F.when(plain.rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<(rss|feed|rdf:RDF)[\s>].*</(rss|feed|rdf:RDF)>\s*$"), plain)
+
+
 def _unescaped(c):
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(a), F.lit(b))

@@ -28,18 +28,26 @@ def streamed_sessions(bars: DataFrame, gap: str = "4 hours", late: str = "1 hour
     return bars.withWatermark("ts", late).groupBy("symbol", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("bars")).select("symbol", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "bars")
 
 
-def streamed_ema(bars: DataFrame, n: int = 7) -> DataFrame:
-    """EMA of the bars of each symbol as they come; the last value is the state. Bars of one batch are put in order."""
+def streamed_ema(bars: DataFrame, n: int = 7, late: str = "1 hour") -> DataFrame:
+    """EMA of the bars of each symbol as they come; the last value and its time are the state.
+
+    Bars of one batch are put in order. A bar that is not after the last one of its symbol is late and passed over, as
+    later values have been given already.
+    """
     alpha = 2 / (n + 1)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("ts")
-        y = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values("ts").drop_duplicates("ts")
+        y, last = state.get if state.exists else (None, None)
+        if last is not None:
+            rows = rows[rows["ts"] > pd.Timestamp(last)]
         out = []
         for x in rows["close"]:
             y = float(x) if y is None else (1 - alpha) * y + alpha * float(x)
             out.append(y)
-        state.update((y,))
+        if out:
+            state.update((y, rows["ts"].iloc[-1].to_pydatetime()))
         yield pd.DataFrame({"symbol": [key[0]] * len(out), "ts": rows["ts"].to_numpy(), "ema": out})
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, ema double", "y double", "append", "NoTimeout")
+    given = bars.select("symbol", "ts", "close").withWatermark("ts", late)
+    return given.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, ema double", "y double, last timestamp", "append", "NoTimeout")

@@ -1,9 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from candela import api
 from candela.sources import bars as src
-from candela.streaming.bars import streamed_bars, streamed_ema
+from candela.streaming.bars import streamed_bars, streamed_ema, streamed_sessions
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,19 +78,38 @@ def test_streamed_bars_equal_bars(spark, tmp_path):
     assert got and all(want[k] == v for k, v in got.items())
 
 
+def _streamed(spark, tmp_path, rows, made, name):
+    """What a stream gives for files that come one after the other."""
+    for part in rows:
+        part.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    done = made(stream).writeStream.format("memory").queryName(name).outputMode("append").start()
+    done.processAllAvailable()
+    done.stop()
+    return spark.table(name).collect()
+
+
 def test_streamed_ema_equals_the_batch(spark, tmp_path):
     from candela.operators.recurrence import ema_frame
 
     bars = src.bars_from_ticks(spark.read.parquet(f"{SF}/events.parquet"))
-    cut = "2024-01-15"
-    bars.where(F.col("ts") < cut).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in")
-    bars.where(F.col("ts") >= cut).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    schema = spark.read.parquet(f"{tmp_path}/in").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    done = streamed_ema(stream).writeStream.format("memory").queryName("ema").outputMode("append").start()
-    done.processAllAvailable()
-    done.stop()
-    got = {(r.symbol, r.ts): r.ema for r in spark.table("ema").collect()}
-    want = {(r.symbol, r.ts): r.ema for r in ema_frame(bars, 7).collect()}
-    assert len(got) == len(want)
-    assert sum(abs(got[k] - want[k]) < 1e-9 for k in want) >= 0.99 * len(want)
+    late = bars.where("ts < '2024-01-02'").withColumn("close", F.lit(1e9))
+    got = _streamed(spark, tmp_path, [bars.where("ts < '2024-01-15'"), bars.where("ts >= '2024-01-15'"), late], streamed_ema, "ema")
+    want = {(r.symbol, r.ts): r.ema for r in ema_frame(bars).collect()}
+    assert {(r.symbol, r.ts): r.ema for r in got} == want and len(got) == len(want)  # late bars change nothing
+
+
+def test_streamed_sessions_end_by_a_gap(spark, tmp_path):
+    rows = spark.sql("select 'a' as symbol, timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, h) as ts from values (0), (1), (2), (8), (9), (40) as t(h)")
+    got = _streamed(spark, tmp_path, [rows, rows.select("symbol", (F.col("ts") + F.expr("interval 20 days")).alias("ts"))], streamed_sessions, "sessions")
+    assert [r.bars for r in sorted(got, key=lambda r: r.start)][:3] == [3, 2, 1]
+
+
+def test_written_bars_are_read_again(spark, tmp_path):
+    bars = src.bars_from_ticks(spark.read.parquet(f"{SF}/events.parquet"))
+    src.write_bars(bars, f"{tmp_path}/bars")
+    again = src.read_bars(spark, f"{tmp_path}/bars")
+    assert sorted(map(tuple, again.select(*bars.columns).collect())) == sorted(map(tuple, bars.collect()))
+    plan = again.where("symbol = 'click'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(symbol" in plan

@@ -98,3 +98,33 @@ def test_machine_actions_alternate():
         elif action.endswith("exit"):
             assert action.startswith(state)
             state = None
+
+
+def test_running_median_and_first_above_equal_loops():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 7, 100):
+        x = rng.integers(0, 9, n).astype(float)
+        assert strategies.running_median(x).tolist() == [float(np.median(x[: i + 1])) for i in range(n)]
+        start, bound = rng.integers(0, n + 2, 50), rng.integers(0, 10, 50).astype(float)
+        want = [next((i for i in range(s, n) if x[i] > b), n) for s, b in zip(start, bound, strict=True)]
+        assert structure.first_above(x, start, bound).tolist() == want
+
+
+def _walk(n: int) -> pd.DataFrame:
+    rng = np.random.default_rng(n)
+    close = 1000 + rng.normal(0, 1, n).cumsum()
+    open_ = np.concatenate([close[:1], close[:-1]]) + rng.normal(0, 0.2, n)
+    return pd.DataFrame({"open": open_, "high": np.maximum(open_, close) + 0.5, "low": np.minimum(open_, close) - 0.5, "close": close, "atr": 1.0, "rsi": recurrence.rsi(close), "cross": None, "divergence": None})
+
+
+@pytest.mark.parametrize("machine", [strategies.block_machine, strategies.wave_machine, strategies.rsi_machine])
+def test_machines_take_time_in_proportion_to_the_bars(machine):
+    import time
+
+    took = {}
+    for n in (5_000, 50_000):
+        pdf = _walk(n)
+        began = time.process_time()
+        assert sum(1 for _ in machine(pdf)) == n
+        took[n] = time.process_time() - began
+    assert took[50_000] < 30 * max(took[5_000], 0.05)

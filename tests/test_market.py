@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candela.functions import symbols, times
-from candela.operators import levels, sentiment, structure, windows, zones
+from candela.operators import levels, recurrence, screener, sentiment, strategies, structure, windows, zones
 from candela.operators import profile as prof
 from candela.schema import BARS
 from candela.sources import bars as src
@@ -160,3 +160,90 @@ def test_comparison_takes_all_strategies(spark):
     symbols = {r.symbol for r in rows}
     assert {(r.symbol, r.strategy) for r in rows} == {(s, k) for s in symbols for k in strategies.STRATEGIES}
     assert all(sorted(r["rank"] for r in rows if r.symbol == s) == list(range(1, 7)) for s in symbols)
+
+
+LEXICON = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "horrible": -2.5, "great": 3.1, "sux": -1.5, "uncompelling": -0.9}
+
+
+@pytest.mark.parametrize(
+    ("text", "compound"),
+    [
+        ("VADER is smart, handsome, and funny.", 0.8316), ("VADER is smart, handsome, and funny!", 0.8439), ("VADER is very smart, handsome, and funny.", 0.8545), ("VADER is VERY SMART, handsome, and FUNNY.", 0.9227), ("VADER is VERY SMART, handsome, and FUNNY!!!", 0.9342),
+        ("VADER is VERY SMART, uber handsome, and FRIGGIN FUNNY!!!", 0.9469), ("VADER is not smart, handsome, nor funny.", -0.7424), ("The book was good.", 0.4404), ("At least it isn't a horrible book.", 0.431), ("The book was only kind of good.", 0.3832),
+        ("The plot was good, but the characters are uncompelling and the dialog is not great.", -0.7042), ("Today SUX!", -0.5461), ("", 0.0), (None, 0.0), ("nothing known", 0.0),
+    ],
+)
+def test_rules_give_the_published_scores(spark, text, compound):
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "word string, valence double")
+    row = sentiment.score_texts(spark.createDataFrame([(1, text)], "id long, text string"), lexicon, ["id"]).first()
+    assert row.compound == compound and row.final_score == compound
+    if text == "VADER is smart, handsome, and funny.":
+        assert (round(row.pos, 3), round(row.neu, 3), row.neg) == (0.746, 0.254, 0.0)
+
+
+def test_joined_scores_equal_those_in_place(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("the", 0.5), ("of", -0.4), ("a", -2.0)], "word string, valence double")
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["the the of a cat", "", None, "dog's day", "A of the THE"])], "id long, text string")
+    here = {r.id: tuple(r)[2:] for r in sentiment.lexicon_scores(texts, lexicon, ["id"], method="plain").collect()}
+    monkeypatch.setattr(sentiment, "MOST_WORDS", 2)
+    joined = {r.id: tuple(r)[2:] for r in sentiment.lexicon_scores(texts, lexicon, ["id"], method="plain").collect()}
+    assert here == joined and len(here) == 5 and here[0][3] != 0
+    with pytest.raises(ValueError):
+        sentiment.lexicon_scores(texts, lexicon, ["id"])
+
+
+def test_native_names_go_to_the_secondary_provider(spark):
+    rows = [("BTC-USD", datetime(2024, 1, 1), 1.0, 2.0, 0.5, 1.5, 3.0), ("BTC-USD", datetime(2024, 1, 2), None, None, None, None, 0.0), ("ETH", datetime(2024, 1, 1), 1.0, 2.0, 0.5, 1.5, 3.0)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    found, asked = src.Sources(), []
+    found.register("first", lambda s: asked.append("first") or bars)
+    found.register("second", lambda s: asked.append("second") or bars, secondary=True)
+    got, told = found.fetch(spark, " btc-usd", "1d", None, datetime(2024, 1, 10))
+    assert asked == ["second"] and got.count() == 1 and told["source_used"] == "second" and (told["canonical_symbol"], told["provider_symbol"]) == ("BTC/USDT", "BTC-USD")
+    got, told = found.fetch(spark, "BTC-USD", "4h", None, datetime(2024, 1, 10))
+    assert got.isEmpty() and told["warnings"] == ["second: unsupported timeframe"]
+    assert found.fetch(spark, "ETH", "4h", None, datetime(2024, 1, 10))[1]["source_used"] == "first"
+    assert found.fetch(spark, "ETH", "1d", None, datetime(2024, 3, 10))[0].isEmpty()  # 30 days back by default
+
+
+def test_feeds_fail_only_together(spark):
+    good = "<rss><channel><item><title>t</title></item></channel></rss>"
+    df = spark.createDataFrame([("a", good), ("b", "<html/>"), ("c", None)], "feed string, xml string")
+    assert {(r.feed, r.reason) for r in feeds.feed_failures(df).collect()} == {("b", "malformed"), ("c", "not_fetched")}
+    assert [r.title for r in feeds.items_or_error(df).collect()] == ["t"]
+    with pytest.raises(ValueError):
+        feeds.items_or_error(df.where("feed <> 'a'"))
+
+
+def test_ticker_with_quotes(spark):
+    rows = [("a", 1, "2024-01-01 00:00:00", 10.0, 9.0, 11.0, 2.0), ("a", 2, "2024-01-02 12:00:00", 15.0, 14.0, 16.0, 3.0), ("a", 3, "2024-01-02 13:00:00", 20.0, 19.0, 21.0, 4.0)]
+    df = spark.createDataFrame(rows, "s string, id long, t string, p double, b double, a double, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    row = src.latest_ticker(df, "s", "t", "p", "id", "b", "a", "v").first()
+    assert (row.price, row.bid, row.ask, row.change_pct_24h, row.volume_24h) == (20.0, 19.0, 21.0, 100.0, 7.0)
+
+
+def test_rsi_confirmed_by_divergence_enters_less(spark):
+    bars = src.bars_from_ticks(spark.read.parquet("/root/testdata/sf0.01/events.parquet"))
+    entries = lambda **o: {(r.symbol, r.ts) for r in strategies.rsi_reversion(bars, oversold=45.0, overbought=55.0, **o).where("signal like '%entry'").collect()}
+    shown = {(r.symbol, r.ts) for r in windows.rsi_divergence(recurrence.rsi_frame(bars)).collect()}
+    confirmed = entries(confirm=True)
+    assert confirmed and confirmed <= shown and len(confirmed) < len(entries())
+
+
+def test_min_score_drops_low_scores_without_failure(spark):
+    bars = src.bars_from_ticks(spark.read.parquet("/root/testdata/sf0.01/events.parquet"))
+    rows = screener.scan(bars, screener.FILTERS).collect()
+    least = max(r.score for r in rows)
+    assert {r.symbol for r in screener.scan(bars, screener.FILTERS, least).collect()} == {r.symbol for r in rows if r.score >= least}
+
+
+def test_texts_for_display(spark):
+    from candela.functions import display
+
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(1.23456, "a@b long text", "BUY"), (None, None, None), (nan, "x", "sell"), (inf, "abc", "odd")], "x double, t string, p string")
+    c = F.col
+    got = [tuple(r) for r in rows.select(display.price_text(c("x")), display.percent_text(c("x")), display.number_text(c("x"), 1), display.clipped(display.unpinged(c("t")), 8), display.mood(c("p"))).collect()]
+    assert got == [("1.2346", "1.23%", "1.2", "a@\u200bb ...", "bullish"), ("N/A", "N/A", "N/A", None, "neutral"), ("N/A", "N/A", "N/A", "x", "bearish"), ("N/A", "N/A", "N/A", "abc", "neutral")]
+    scores = spark.createDataFrame([(0.75,), (55.0,), (0.1,), (140.0,), (None,)], "s double").select(display.hundredths(c("s")).alias("h")).select("h", display.score_mark(c("h"))).collect()
+    assert [tuple(r) for r in scores] == [(75.0, "good"), (55.0, "fair"), (10.0, "poor"), (100.0, "good"), (None, "")]
