@@ -151,15 +151,21 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 def in_descending_order(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows dealt to partitions in runs of descending ids; each run ends with a copy of the row that follows it.
 
-    Columns doc_id, text, run, copy. One shuffle of the texts; only the bounds of the runs reach the driver.
+    Columns doc_id, text, run, copy. One shuffle of the texts; only the bounds and heads of the runs reach the driver.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lowest = -(1 << 63)
     rows = df.select(F.col(doc_id).alias("doc_id"), common.text_of(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)).alias("key"))
-    ids = rows.select("key").where(F.col("key") != lowest)
-    bounds = sorted({int(x) for x in ids.approxQuantile("key", [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (16 * parts))}) if parts > 1 else []
-    rows = rows.withColumn("run", _bucket(F.col("key"), bounds)).withColumn("tie", F.xxhash64("text"))
+    values = [int(x) for x in rows.approxQuantile("key", [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (16 * parts))] if parts > 1 else []
+    # an id that stands at several quantiles has many rows: it gets runs of its own, cut by the order of the texts' hashes
+    heavy = {k: values.count(k) + 1 for k in sorted(set(values)) if values.count(k) > 1}
+    bounds = sorted(set(values) | set(heavy) | {min(k + 1, (1 << 63) - 1) for k in heavy})
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    at = F.array_position(F.lit([*heavy] or [lowest]).cast("array<bigint>"), F.col("key")).cast("int")
+    cuts = F.coalesce(F.get(F.lit([*heavy.values()] or [1]), at - 1), F.lit(1))
+    within = F.least(F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * cuts), cuts - 1)
+    rows = rows.withColumn("run", (_bucket(F.col("key"), bounds) * (4 * parts + 1) + within).cast("int"))
     heads = sorted((r.run, r.head.key, -r.head.turned - 1) for r in rows.groupBy("run").agg(F.max(F.struct("key", F.expr("~tie").alias("turned"))).alias("head")).collect())
     # the first row of each run is copied to the run before it, that of the first run to the last
     follows = [(heads[i - 1][0], run, key, tie) for i, (run, key, tie) in enumerate(heads)]

@@ -30,6 +30,20 @@ def test_edited_texts_follow_descending_ids(odd, none):
     assert simhash.edited_fingerprints(odd).count() == odd.count() and simhash.edited_fingerprints(none).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_to_many_runs(spark):
+    rng = random.Random(3)
+    rows = [(None, f"n{i} {prose(rng, 3)}") for i in range(300)] + [(7, f"s{i} {prose(rng, 3)}") for i in range(300)] + [(i, prose(rng, 4)) for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ordered = simhash.in_descending_order(df).where("not copy").groupBy("run").count().collect()
+    assert max(r["count"] for r in ordered) < 150
+    order = sorted(df.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    want = set()
+    for r, following in zip(order, [*order[1:], order[0]], strict=True):
+        cut = len(r.text) // 3
+        want.add((r.doc_id, hashlib.sha256((r.text[: len(r.text) - cut] + following.text[:cut]).encode()).hexdigest()))
+    assert {(r.doc_id, r.edited_sha256) for r in simhash.edited_fingerprints(df).collect()} == want
+
+
 def test_one_row_is_its_own_next(spark):
     row = simhash.edited_fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert row.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and row.near_next == 1
