@@ -233,3 +233,49 @@ def test_decoding_takes_bounded_time_and_memory():
     decoder = toxicity.Decoder(np.ones(toxicity.SYMBOLS**toxicity.ORDER, dtype=np.float32))
     for t in ("a*b" * 30_000, "1d10t" * 20_000, "a " * 40_000, "aaa" * 30_000):
         assert isinstance(decoder.restore(t), str)
+
+
+def test_a_split_is_the_best_of_all():
+    rng = np.random.default_rng(7)
+    x, target = rng.random((80, 3)).round(2), rng.normal(0, 1, 80)
+    edges = [np.unique(x[:, f])[:-1] for f in range(3)]
+    bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    tree = quality.Tree(1, 5)
+    tree.fit(bins, edges, target, np.arange(80))
+    feature, cut, left, right, _ = tree.nodes[0]
+    error = lambda low: sum(((target[part] - target[part].mean()) ** 2).sum() for part in (low, ~low))
+    best = min(error(x[:, f] <= c) for f in range(3) for c in edges[f] if 5 <= (x[:, f] <= c).sum() <= 75)
+    low = x[:, feature] <= cut
+    assert error(low) == pytest.approx(best)
+    assert (tree.nodes[left][4], tree.nodes[right][4]) == (pytest.approx(target[low].mean()), pytest.approx(target[~low].mean()))
+    assert {r for r in tree.rules()} == {((feature, False, cut),), ((feature, True, cut),)}
+
+
+def test_lasso_meets_the_conditions_of_its_optimum():
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (300, 8))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 3])))).astype(float)
+    penalty = 0.05
+    b, w = quality.lasso_logistic(x, y, penalty, 5000)
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+    used = np.abs(w) > 1e-9
+    assert 0 < used.sum() < 8 and used[0]
+    assert np.allclose(slope[used], -penalty * np.sign(w[used]), atol=1e-4) and (np.abs(slope[~used]) <= penalty + 1e-4).all()
+    assert abs((1 / (1 + np.exp(-(x @ w + b))) - y).mean()) < 1e-4
+
+
+def test_plain_spans_are_the_best_of_all_paths(decoder):
+    for span in ("1d10t", "m.o.r", "mooron", "$tup1d", "a55!", "s-t-u"):
+        paths = [((0, 0, 0), 0.0)]
+        for options in [*decoder.lattice(span), [((0,), 0.0)]]:
+            paths = [(_walked(decoder, path, cost + extra, emitted)) for path, cost in paths for emitted, extra in options]
+        least = min(c for _, c in paths)
+        assert decoder(span) in {"".join(" abcdefghijklmnopqrstuvwxyz"[k] for k in p[3:]).strip() for p, c in paths if c <= least + 1e-4}
+
+
+def _walked(decoder, path, cost, emitted):
+    for k in emitted:
+        if k or path[-1]:
+            cost += decoder.table[((path[-3] * 28 + path[-2]) * 28 + path[-1]) * 28 + k]
+            path = (*path, k)
+    return path, cost
