@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 from math import gcd, lcm
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -146,10 +146,15 @@ def _tables(spark: SparkSession, plan: list[Phase]) -> tuple[DataFrame, DataFram
     return by_source, spark.createDataFrame(layout, "__source string, __phase long, __chunk long, __slots array<long>, __releases array<long>, __deadlines array<long>"), entries
 
 
+def order_key(doc_id: Column) -> Column:
+    """Where a row stands in its source: the first 60 bits of the md5 sum of its id's decimal form, which SQL knows too."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _scheduled(rows: DataFrame, weights: dict[str, float] | None, source: str, doc_id: str, text: str, block_rows: int) -> DataFrame:
     """rows with columns __source, __block, __slot, __place, __release, __deadline, __phase, __position."""
     spark = rows.sparkSession
-    rows = rows.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__hash", F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(11)))
+    rows = rows.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__hash", order_key(F.col(doc_id)))
     counts = {r["__source"]: r["n"] for r in rows.groupBy("__source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; group them first")

@@ -45,4 +45,72 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 where rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op6_dual_cover_tree": TOP_PRODUCTS}
+#: All pairs that share a shingle, by the overlap of their bags; classes by reachability.
+NEAR_CLASSES = r"""
+with recursive w as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as ws from documents
+), shingles as (
+    select doc_id, s, count(*) as n from (
+        select doc_id, unnest(case when len(ws) = 0 then ['no words: ' || t] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as s from w
+    ) group by all
+), sizes as (
+    select doc_id, sum(n) as size from shingles group by 1
+), pairs as (
+    select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as shared from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as (
+    select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where shared >= 0.8 * (x.size + y.size - shared)
+), both_ways as (
+    select a, b from links union all select b, a from links
+), reached as (
+    select a, b from both_ways union select r.a, e.b from reached r join both_ways e on e.a = r.b
+)
+select doc_id, least(doc_id, coalesce(min(b), doc_id)) as class_id from documents left join reached on a = doc_id group by doc_id
+"""
+
+#: Earliest deadline first, slot by slot; sources are held in lists in the order of their names.
+SCHEDULE = """
+with recursive d as (
+    select doc_id, coalesce(source, '') as source, ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15))::bigint as h from documents
+), counts as (
+    select source, count(*) as n from d group by 1
+), ranked as (
+    select doc_id, source, row_number() over (partition by source order by h % parts, h, doc_id) - 1 as r from d, (select greatest(1, cast(ceil(max(n) / 250) as bigint)) as parts from counts)
+), plan as (
+    select list(source order by source) as names, list(cast(ceil(n / 8) as bigint) order by source) as blocks, list(greatest(1, cast(round(10000 * pow(n, 0.7) / total) as bigint)) order by source) as w from counts, (select sum(pow(n, 0.7)) as total from counts)
+), steps as (
+    select cast(-1 as bigint) as slot, cast(-1 as bigint) as phase, cast(0 as bigint) as start, true as over_, blocks as left_, list_transform(blocks, lambda x: cast(0 as bigint)) as done, 0 as pick, cast(0 as bigint) as block, cast(0 as bigint) as release, cast(0 as bigint) as deadline from plan
+    union all
+    select slot, phase, start, left_[pick] = 1, list_transform(left_, lambda x, i: x - (i = pick)::bigint), list_transform(done, lambda x, i: x + (i = pick)::bigint), pick, blocks[pick] - left_[pick], start + done[pick] * period // w[pick], start + (done[pick] + 1) * period // w[pick] + ((done[pick] + 1) * period % w[pick] > 0)::bigint from (
+        select *, list_sort(list_filter(list_transform(w, lambda a, i: case when left_[i] > 0 and done[i] * period // a <= slot - start then [(done[i] + 1) * period // a + ((done[i] + 1) * period % a > 0)::bigint, i] end), lambda k: k is not null))[1][2] as pick from (
+            select slot + 1 as slot, phase + over_::bigint as phase, case when over_ then slot + 1 else start end as start, left_, case when over_ then list_transform(done, lambda x: cast(0 as bigint)) else done end as done, names, blocks, w,
+                list_sum(list_transform(w, lambda a, i: case when left_[i] > 0 then a else 0 end))::bigint as period from steps, plan where list_sum(left_) > 0))
+)
+select doc_id, source, phase, block, release, deadline, slot, r % 8 as place, row_number() over (order by slot, r % 8) - 1 as position
+from ranked join (select *, names[pick] as source from steps, plan where slot >= 0) using (source) where block = r // 8
+"""
+
+_EXPRESSIONS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_found = "\n    union all ".join(f"select doc_id, {k} as rank, '{kind}' as kind, regexp_extract_all(x, '{e}') as ms, regexp_split_to_array(x, '{e}') as gaps from t" for k, (kind, e) in enumerate(_EXPRESSIONS.items()))
+#: The base spans, and as all spans the base spans alone: around them the words of the given tables are random, so the
+#: method finds no pattern to trust there; tests hold what it adds to planted tables.
+BASE_SPANS = f"""
+with t as (
+    select doc_id, coalesce(text, '') as x from documents
+), found as (
+    {_found}
+), placed as (
+    select doc_id, rank, kind, ms[i] as v, regexp_replace(ms[i], '[^0-9]', '', 'g') as digits, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) as start
+    from (select *, unnest(range(1, len(ms) + 1)) as i from found)
+), held as (
+    select *, kind || ':' || start || ':' || (start + length(v)) as span from placed where case kind when 'email' then true when 'phone' then length(digits) between 8 and 15
+        when 'ip' then list_bool_and(list_transform(string_split(v, '.'), lambda p: coalesce(try_cast(p as hugeint) <= 255, false)))
+        else length(digits) between 16 and 19 and list_sum(list_transform(range(0, length(digits)), lambda i: case when i % 2 = 0 then substr(reverse(digits), i + 1, 1)::int when substr(reverse(digits), i + 1, 1)::int > 4 then 2 * substr(reverse(digits), i + 1, 1)::int - 9 else 2 * substr(reverse(digits), i + 1, 1)::int end)) % 10 = 0 end
+), whole as (
+    select doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone, string_agg(span, ',' order by rank, start) as spans from held group by 1
+)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from documents left join whole using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_bootstrapped_pii": BASE_SPANS, "op5_pfair_mixing": SCHEDULE, "op6_dual_cover_tree": TOP_PRODUCTS, "op10_bagminhash_near_duplicates": NEAR_CLASSES}
