@@ -11,6 +11,7 @@ table gives an empty result; extra columns are ignored; a text of any length is
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -87,6 +88,12 @@ class WordIds:
             at = cut
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(tokenizer: str) -> WordIds:
+    """Kept for the life of the worker process, so that words are learned once in it and not once in each task."""
+    return WordIds(common.load_tokenizer(tokenizer))
+
+
 def piece_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
     """Powers of two that add up to n, longest first."""
     full, rest = divmod(n, most)
@@ -97,7 +104,7 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", doc_id: str = "doc
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, ids (if asked for), sequence_id, offset, bucket."""
 
     def make():
-        encode = WordIds(common.load_tokenizer(tokenizer))
+        encode = word_ids(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def work(rows):
