@@ -38,7 +38,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 COMPONENTS, ROWS = 128, 5
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
-#: Parts in which the name of a class is joined to its bags.
+#: Parts in which names are joined to the bags of a class and to the rows of a bag.
 SALTS = 16
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -269,7 +269,7 @@ def likely_in(rows: DataFrame, values: DataFrame, column: str) -> DataFrame:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, components: int = COMPONENTS, rows_in_band: int = ROWS, width: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, bag_id and class_id, the smallest id of the class, for each row."""
     rows = common.checkpointed(signed(df, doc_id, text, components, width))
-    nodes = common.checkpointed(rows.groupBy("bag_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    nodes = common.checkpointed(rows.groupBy("bag_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
     keys = F.array(*[F.xxhash64(F.substring("signature", 2 * rows_in_band * k + 1, 2 * rows_in_band), F.lit(k)) for k in range(components // rows_in_band)])
     bands = nodes.where(F.col("signature").isNotNull()).select("bag_id", F.posexplode(keys).alias("band", "bucket"))
     # each bucket's hub is its smallest member under a mask of its own, so the buckets of a group of copies have many hubs
@@ -288,13 +288,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select((F.col("bucket") + 0).alias("bucket"))
     more = common.checkpointed(residual_links(members.join(mixed, "bucket"), bags, least, components, rows_in_band))
     final = connected_components(edges.unionByName(more))
-    # classes of several bags; a class may be large, so its name is joined to it in so many parts
-    several = final.select((F.col("node") + 0).alias("bag_id"), "component").join(nodes.select((F.col("bag_id") + 0).alias("bag_id"), "rep"), "bag_id")
-    named = several.groupBy("component").agg(F.coalesce(F.min("rep"), -F.abs(F.col("component")) - 1).alias("name"))
-    named = named.select((F.col("component") + 0).alias("component"), "name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    several = several.withColumn("salt", F.pmod(F.xxhash64("bag_id", F.lit(2)), F.lit(SALTS))).join(named, ["component", "salt"]).select((F.col("bag_id") + 0).alias("bag_id"), "name")
-    of_bag = nodes.select((F.col("bag_id") + 0).alias("bag_id"), "rep").join(several, "bag_id", "left").select("bag_id", F.coalesce("name", "rep", -F.abs(F.col("bag_id")) - 1).alias("class_id"))
-    return rows.select("doc_id", "text_hash", (F.col("bag_id") + 0).alias("bag_id")).join(of_bag, "bag_id").select("doc_id", "text_hash", "bag_id", "class_id")
+    # classes of several bags, and bags of several rows; as either may be large, names are joined in so many parts
+    parted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")
+    several = final.select((F.col("node") + 0).alias("bag_id"), "component").join(nodes.select((F.col("bag_id") + 0).alias("bag_id"), "rep").hint("merge"), "bag_id")
+    named = several.groupBy("component").agg(F.coalesce(F.min("rep"), -F.abs(F.col("component")) - 1).alias("name")).select((F.col("component") + 0).alias("component"), "name")
+    several = several.withColumn("salt", F.pmod(F.xxhash64("bag_id", F.lit(2)), F.lit(SALTS))).join(parted(named), ["component", "salt"]).select((F.col("bag_id") + 0).alias("bag_id"), "name")
+    of_bag = nodes.select((F.col("bag_id") + 0).alias("bag_id"), "rep", "copies").join(several.hint("merge"), "bag_id", "left").where("name is not null or copies > 1")
+    of_bag = parted(of_bag.select((F.col("bag_id") + 0).alias("bag_id"), F.coalesce("name", "rep", -F.abs(F.col("bag_id")) - 1).alias("class_id")))
+    slim = rows.select("doc_id", "text_hash", "bag_id", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).alias("salt"))
+    # the other rows are classes of their own
+    return slim.join(of_bag, ["bag_id", "salt"], "left").select("doc_id", "text_hash", "bag_id", F.coalesce("class_id", "doc_id", -F.abs(F.col("bag_id")) - 1).alias("class_id"))
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
