@@ -107,8 +107,8 @@ def count_ngrams(df: DataFrame, text: str = "text") -> np.ndarray:
                 return {"code": at, "n": total[at]}
             for t in rows["text"]:
                 s = symbols[_points(t)]
-                s = np.concatenate([[0], s[(s != 0) | np.concatenate([[False], s[:-1] != 0])] if len(s) else s, [0]])
-                s = np.concatenate([[0, 0], s]).astype(np.int32)
+                s = s[(s != 0) | np.concatenate([[False], s[:-1] != 0])] if len(s) else s  # one word end is enough
+                s = np.concatenate([[0, 0, 0], s, [0] if not len(s) or s[-1] else []]).astype(np.int32)
                 if len(s) > 4:
                     np.add(total, np.bincount(((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:], minlength=size), out=total) if len(s) > 50_000 else np.add.at(total, ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:], 1)
             return None
