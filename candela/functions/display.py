@@ -34,7 +34,7 @@ def plain_text(x: Column) -> Column:
 def hundredths(score: Column) -> Column:
     """A score of 0 to 1, or of 0 to 100, as one of 0 to 100."""
     value = score.cast("double")
-    return F.least(F.greatest(F.when(value > 1, value).otherwise(value * 100), F.lit(0.0)), F.lit(100.0))
+    return F.when(value.isNotNull(), F.least(F.greatest(F.when(value > 1, value).otherwise(value * 100), F.lit(0.0)), F.lit(100.0)))
 
 
 def score_mark(score: Column) -> Column:
@@ -54,8 +54,8 @@ def clipped(text: Column, most: int) -> Column:
 
 
 def unpinged(text: Column) -> Column:
-    """The text with at signs that call nobody."""
-    return F.regexp_replace(text, "@(?!​)", "@​")
+    """The text with at signs that call nobody, as a space of no width follows them."""
+    return F.regexp_replace(text, r"@(?!\u200b)", "@\u200b")
 
 
 def comparison_lines(compared: DataFrame, most: int = SHOWN) -> DataFrame:
