@@ -47,8 +47,9 @@ class WordIds:
         self.ends = np.zeros(library.get_vocab_size(), dtype=bool)
         self.ends[[i for w, i in library.get_vocab().items() if w.endswith("</w>")]] = True
         letters, digits = _class("L"), _class("N")
-        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}\t-\r \xa0]+")
-        self.odd = re.compile(r"[^\x00-˿]|[\x1c-\x1f\x85]|<\||İ")
+        self.words = re.compile(rf"[{letters}]+|[{digits}]|'s|'t|'re|'ve|'m|'ll|'d|[^{letters}{digits}\t-\r \xa0]+")
+        # beyond the plain range, signs of other kinds of white space, and a letter whose lower form is two
+        self.odd = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u02ff]")
         # a vocabulary of another make is left to the library
         ids = lambda t: np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self.whole = not self.ends.any() or any(b"".join(ids(w) for w in self.words.findall(t.lower())) != ids(t) for t in PROBES)
@@ -56,22 +57,30 @@ class WordIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned little-endian 32-bit numbers."""
         out: list[bytes] = []
+        get = self.known.__getitem__
         for k in range(0, len(texts), 128):
-            part = texts[k : k + 128]
-            words = [None if self.whole or self.odd.search(t) else self.words.findall(t.lower()) for t in part]
-            new = set().union(*(w for w in words if w)).difference(self.known)
-            if len(self.known) + len(new) > self.bound:
-                self.known.clear()
-                new = set().union(*(w for w in words if w))
-            new = list(new)
-            for i in range(0, len(new), 4096):
-                self.learn(new[i : i + 4096])
-            get = self.known.__getitem__
-            for t, w in zip(part, words, strict=True):
-                if w is None:
+            new: dict[int, list[str]] = {}  # texts with words that are not known yet
+            for t in texts[k : k + 128]:
+                if self.whole or "<|" in t or self.odd.search(t):
                     out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
-                else:
-                    out.append(b"".join(map(get, w)))
+                    continue
+                words = self.words.findall(t.lower())
+                try:
+                    out.append(b"".join(map(get, words)))
+                except KeyError:
+                    new[len(out)] = words
+                    out.append(b"")
+            if not new:
+                continue
+            unknown = set().union(*new.values()).difference(self.known)
+            if len(self.known) + len(unknown) > self.bound:
+                self.known.clear()
+                unknown = set().union(*new.values())
+            words = list(unknown)
+            for i in range(0, len(words), 4096):
+                self.learn(words[i : i + 4096])
+            for at, words in new.items():
+                out[at] = b"".join(map(get, words))
         return out
 
     def learn(self, words: list[str]) -> None:
@@ -89,7 +98,7 @@ class WordIds:
 
 
 @functools.lru_cache(maxsize=1)
-def word_ids(tokenizer: str) -> WordIds:
+def kept_word_ids(tokenizer: str) -> WordIds:
     """Kept for the life of the worker process, so that words are learned once in it and not once in each task."""
     return WordIds(common.load_tokenizer(tokenizer))
 
@@ -100,11 +109,15 @@ def piece_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
     return [most] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, most: int = MAX_LENGTH, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, ids (if asked for), sequence_id, offset, bucket."""
+def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, most: int = MAX_LENGTH, with_ids: bool = False, keep_words: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, ids (if asked for), sequence_id, offset, bucket.
+
+    With keep_words, a worker keeps the words it has learned from task to task: less time, for about 60 MB of a worker's
+    memory until it ends. Results are the same.
+    """
 
     def make():
-        encode = word_ids(tokenizer)
+        encode = kept_word_ids(tokenizer) if keep_words else WordIds(common.load_tokenizer(tokenizer))
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def work(rows):
@@ -133,4 +146,4 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", doc_id: str = "doc
 
 
 def op2_power_of_two_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents"))
+    return pack(common.table(spark, sf_dir, "documents"), keep_words=True)
