@@ -134,16 +134,25 @@ def _tables(spark: SparkSession, plan: list[Phase]) -> tuple[DataFrame, DataFram
     By source (at most MOST_SOURCES rows): an array of its phases. By source, phase and chunk of CHUNK blocks: arrays of
     slots, releases and deadlines within the period.
     """
-    ranges: dict[str, list[tuple]] = {}
+    ranges: dict[str, list[dict]] = {}
     layout, entries = [], 0
     for number, p in enumerate(plan):
         for k, s in p.slots.items():
             if s:  # a source may wait for its first block when a short phase ends
-                ranges.setdefault(k, []).append((number, p.first[k], p.start, len(s), p.period))
+                ranges.setdefault(k, []).append({"phase": number, "first": p.first[k], "start": p.start, "size": len(s), "period": p.period})
             entries += len(s)
             layout += [(k, number, i // CHUNK, *(x[k][i : i + CHUNK].tolist() for x in (p.slots, p.releases, p.deadlines))) for i in range(0, len(s), CHUNK)]
-    by_source = spark.createDataFrame(list(ranges.items()), "__source string, __phases array<struct<phase long, first long, start long, size long, period long>>")
-    return by_source, spark.createDataFrame(layout, "__source string, __phase long, __chunk long, __slots array<long>, __releases array<long>, __deadlines array<long>"), entries
+    phase = "phase bigint, first bigint, start bigint, size bigint, period bigint"
+    by_source = _relation(spark, list(ranges.items()), f"__source string, __phases array<struct<{phase}>>")
+    return by_source, _relation(spark, layout, "__source string, __phase bigint, __chunk bigint, __slots array<bigint>, __releases array<bigint>, __deadlines array<bigint>"), entries
+
+
+def _relation(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A table of rows of the driver, as a literal that the JVM reads: no worker takes part."""
+    names = [c.split()[0] for c in columns.split(", __")]
+    names = [names[0], *[f"__{n}" for n in names[1:]]]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{columns}>>")).alias("r")).select("r.*")
 
 
 def order_key(doc_id: Column) -> Column:
