@@ -172,7 +172,10 @@ def in_descending_order(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     links = spark.createDataFrame(follows or [(0, 0, 0, 0)], "to int, run int, key long, tie long")
     copies = rows.join(F.broadcast(links), ["run", "key", "tie"]).select("doc_id", "text", "key", F.col("to").alias("run"), "tie", F.lit(True).alias("copy"))
     both = rows.select("doc_id", "text", "key", "run", "tie", F.lit(False).alias("copy")).unionByName(copies)
-    return both.repartition(parts, "run").sortWithinPartitions("run", "copy", F.desc("key"), "tie").select("doc_id", "text", "run", "copy")
+    # runs are dealt in turn, so that each partition gets as many
+    span = 4 * parts + 1
+    turn = F.pmod(F.floor(F.col("run") / span) + F.col("run") % span, F.lit(parts)).cast("int")
+    return both.repartitionById(parts, turn).sortWithinPartitions("run", "copy", F.desc("key"), "tie").select("doc_id", "text", "run", "copy")
 
 
 def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
