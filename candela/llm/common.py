@@ -43,6 +43,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpointed_by(df: DataFrame, parts: int, *columns: str) -> DataFrame:
+    """The same, dealt by columns; what groups or joins by them later needs no exchange of these rows again.
+
+    Spark keeps the partitioning of a checkpoint only if its plan is not adaptive, so for this one it is not.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df.repartition(parts, *columns))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 #: Rows and bytes of an Arrow batch at most, as texts may be long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
