@@ -10,6 +10,7 @@ from .packing import op2_power_of_two_packing
 from .pii import op3_bootstrapped_pii
 from .quality import op9_rule_ensemble_quality
 from .simhash import op4_simhash
+from .substrings import op13_de_bruijn_substrings
 from .token_counts import op7_token_counts
 from .toxicity import op1_noisy_channel_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
         op8_hyperdimensional_language,
         op9_rule_ensemble_quality,
         op10_bagminhash_near_duplicates,
+        op13_de_bruijn_substrings,
     )
 }
 
