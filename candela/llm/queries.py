@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bagminhash import op10_bagminhash_near_duplicates
+from .collocations import op12_perfect_hash_collocations
 from .cover_tree import op6_dual_cover_tree
 from .language import op8_hyperdimensional_language
+from .lexical_search import op11_threshold_search
 from .mixing import op5_pfair_mixing
 from .packing import op2_power_of_two_packing
 from .pii import op3_bootstrapped_pii
@@ -27,6 +29,8 @@ QUERIES = {
         op8_hyperdimensional_language,
         op9_rule_ensemble_quality,
         op10_bagminhash_near_duplicates,
+        op11_threshold_search,
+        op12_perfect_hash_collocations,
         op13_de_bruijn_substrings,
     )
 }
