@@ -119,4 +119,81 @@ with t as (
 select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from documents left join whole using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_bootstrapped_pii": BASE_SPANS, "op5_pfair_mixing": SCHEDULE, "op6_dual_cover_tree": TOP_PRODUCTS, "op10_bagminhash_near_duplicates": NEAR_CLASSES}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All documents that share a term with an item, scored whole.
+RANKED = rf"""
+with d as (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+), postings as (
+    select doc_id, term, count(*) as tf from d group by all
+), lengths as (
+    select doc_id, count(*) as n from d group by 1
+), totals as (
+    select count(*) as docs, cast(sum(n) as bigint) as all_ from lengths
+), weights as (
+    select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::double)) as bigint) as w from postings, totals group by term, docs
+), items as (
+    select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+), scored as (
+    select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // all_)))) as bigint) as score
+    from items join postings using (term) join weights using (term) join lengths using (doc_id), totals group by 1, 2
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 50
+"""
+
+#: All phrases of one to three words counted, cuts in 128 bits.
+COLLOCATIONS = rf"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws from documents
+), numbered as (
+    select lang, row_number() over () as piece, ws from pieces
+), words as (
+    select lang, piece, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as w1 from numbered
+), rows_ as (
+    select lang, w1, lead(w1, 1) over (partition by piece order by i) as w2, lead(w1, 2) over (partition by piece order by i) as w3 from words
+), f1 as (
+    select lang, w1, count(*) as f from rows_ group by all
+), f2 as (
+    select lang, w1, w2, count(*) as f from rows_ where w2 is not null group by all
+), f3 as (
+    select lang, w1, w2, w3, count(*) as f from rows_ where w3 is not null group by all having count(*) >= 10
+), n as (
+    select lang, count(*) as n from words group by 1
+), cuts as (
+    select c.lang, c.w1, c.w2, null as w3, c.f as a, 1 as cut, x.f as l, y.f as r from f2 c join f1 x on x.lang = c.lang and x.w1 = c.w1 join f1 y on y.lang = c.lang and y.w1 = c.w2 where c.f >= 10
+    union all select c.lang, c.w1, c.w2, c.w3, c.f, 1, x.f, y.f from f3 c join f1 x on x.lang = c.lang and x.w1 = c.w1 join f2 y on y.lang = c.lang and y.w1 = c.w2 and y.w2 = c.w3
+    union all select c.lang, c.w1, c.w2, c.w3, c.f, 2, x.f, y.f from f3 c join f2 x on x.lang = c.lang and x.w1 = c.w1 and x.w2 = c.w2 join f1 y on y.lang = c.lang and y.w1 = c.w3
+), scored as (
+    select *, concat_ws(' ', w1, w2, w3) as phrase, cast((1000000::hugeint * a * a) // (l::hugeint * r) as bigint) as score from cuts
+), lowest as (
+    select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as best from scored) where best = 1
+), outer_ as (
+    select lang, w1, w2, max(f) as most from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by all
+), kept as (
+    select lowest.* from lowest left join outer_ o on lowest.w3 is null and o.lang = lowest.lang and o.w1 = lowest.w1 and o.w2 = lowest.w2 where most is null or 100 * most < 50 * a
+)
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join n using (lang) where rank <= 2000
+"""
+
+#: Windows by their words, with the smallest document of each.
+SUBSTRINGS = r"""
+with w as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), windows as (
+    select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from (select *, unnest(range(1, len(ws) - 11)) as i from w)
+), firsts as (
+    select k, min(doc_id) as first from windows group by 1
+), gone as (
+    select distinct doc_id, unnest(range(i, i + 13)) as pos from windows join firsts using (k) where first < doc_id
+), words as (
+    select doc_id, unnest(range(1, len(ws) + 1)) as pos, unnest(ws) as word from w
+), kept as (
+    select doc_id, count(*) as n_kept, string_agg(word, ' ' order by pos) as text from words anti join gone using (doc_id, pos) group by 1
+)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n_kept, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_bootstrapped_pii": BASE_SPANS, "op5_pfair_mixing": SCHEDULE, "op6_dual_cover_tree": TOP_PRODUCTS, "op10_bagminhash_near_duplicates": NEAR_CLASSES,
+    "op11_threshold_search": RANKED, "op12_perfect_hash_collocations": COLLOCATIONS, "op13_de_bruijn_substrings": SUBSTRINGS,
+}

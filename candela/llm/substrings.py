@@ -278,10 +278,17 @@ def repeated_paths(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 
 def repeated_spans(found: DataFrame) -> DataFrame:
-    """The paths that also occur in a smaller document, with that document (`source`)."""
-    least = found.groupBy("p1", "p2").agg(F.min("first").alias("source"), F.max("first").alias("last")).where("source < last")
-    least = least.select((F.col("p1") + 0).alias("p1"), "p2", "source")  # dealt anew, so that Spark can split a path that very many texts hold
-    return found.join(least, ["p1", "p2"]).where("source < first")
+    """The paths that also occur in a smaller document, with that document (`source`).
+
+    A path is summed up within each cell first, and learns its source once for each cell, so a path that very many texts hold is
+    dealt as one row of each cell.
+    """
+    name = ["cell", "p1", "p2"]
+    in_cell = found.groupBy(*name).agg(F.min("first").alias("low"), F.max("first").alias("high"))
+    least = in_cell.groupBy("p1", "p2").agg(F.min("low").alias("source"), F.max("high").alias("last")).where("source < last")
+    least = least.select((F.col("p1") + 0).alias("p1"), "p2", "source")
+    told = in_cell.join(least, ["p1", "p2"]).where("source < high").select((F.col("cell") + 0).alias("cell"), "p1", "p2", "source")
+    return found.join(told, name).where("source < first")
 
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, **options) -> DataFrame:
