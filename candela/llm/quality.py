@@ -177,7 +177,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: i
     """Columns doc_id, text and __label of `most` different labelled texts at most: those with the smallest hashes of their ids, then of their texts."""
     keys = ("__id", "__tie", "__label")
     marks = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isNotNull()).distinct()
-    marks = marks.orderBy(F.xxhash64("__id"), "__id", "__label").limit(most)
+    # labels without a document take no place in the sample
+    marks = marks.join(documents.select(F.col(doc_id).alias("__id")), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id", "__label").limit(most)
     own = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.xxhash64(common.text_of(text)).alias("__tie"))
     rows = own.join(F.broadcast(marks), "__id")
     # ids may repeat, so the bound is set once more, on keys alone

@@ -38,16 +38,18 @@ QUERIES = {
 #: Components are those of the vectors that take part; the SQL scores all pairs of a query and a candidate.
 TOP_PRODUCTS = """
 with v as (
-    select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
     from embeddings
     where embedding is not null and vec_id is not null and len(embedding) > 0
       and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), q as (
+    select min(r) as r, vec_id, e from v where vec_id % 50 = 0 group by vec_id, e
 ), scored as (
-    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
-    from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+    select q.r, q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+    from q join v c on q.r <> c.r and len(q.e) = len(c.e)
 )
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from scored)
 where rank <= 5
 """
 

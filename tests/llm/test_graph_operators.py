@@ -170,6 +170,26 @@ def test_top_products_equal_brute_force(spark, monkeypatch):
     assert cover_tree.top_inner_products(df.limit(0)).count() == 0
 
 
+def test_top_products_of_repeated_ids(spark, monkeypatch):
+    """Rows of one id with different vectors are queries each; equal rows are one query, and candidates as often as they stand."""
+    monkeypatch.setattr(cover_tree, "UNIT_ROWS", 20)
+    rng = np.random.default_rng(5)
+    rows = [(i // 3, (rng.integers(-3, 4, 4) / 4).tolist()) for i in range(240)]
+    rows += [(50, [1.0, 0.0, 0.0, 0.0]), (50, [0.0, 1.0, 0.0, 0.0])] + [(10, [1.0, 1.0, 1.0, 1.0])] * 9 + [(77, [2.0, 1.0, 0.0, 1.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted((r.query_id, r.query_row, r["rank"], r.vec_id, r.score) for r in cover_tree.top_inner_products(df, 5, 10).collect())
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for at, (i, q) in enumerate(whole):
+        if i % 10 == 0 and not any(j == i and (v == q).all() for j, v in whole[:at]):
+            best = sorted((-int(q @ v), j) for n, (j, v) in enumerate(whole) if n != at)[:5]
+            want.append((i, [(j, -s) for s, j in best]))
+    asked: dict = {}
+    for i, row, _, j, s in got:
+        asked.setdefault((i, row), []).append((j, s))
+    assert sorted((i, found) for (i, _), found in asked.items()) == sorted(want)
+
+
 def test_cover_tree_covers_and_prunes():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.05, (200, 6)) for c in (-5, 0, 5)])

@@ -50,6 +50,12 @@ def test_other_vocabularies_are_left_to_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(100 * i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i // 100 % 2) for i in range(2000)], "doc_id long, toxic int")
+    assert {tuple(r) for r in quality.labelled_sample(docs, marks, "toxic", 20).collect()} == {(100 * i, f"text {i}", i % 2) for i in range(20)}
+
+
 def test_labelled_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i % 5, f"t{i % 8}") for i in range(400)] + [(7, None)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(1, 0), (1, 1), (None, 1)], "doc_id long, toxic int")
