@@ -1,13 +1,11 @@
-"""Valences of the words of one text, and what they add up to, by the rules of the public valence-aware scorer.
+"""Valences of the words of one text, and what they add up to, by the rules of the public valence-aware scorer (its rules and word lists are under the MIT licence).
 
-A small helper for Arrow batches: `plain` sums words as they stand, `ruled` follows negations, boosters, capitals,
-idioms, contrasts and signs of emphasis. Both take a text and a dictionary of lower-case words and valences, and give
-pos, neu, neg (shares) and compound, not rounded.
+A small helper for Arrow batches: `ruled` follows negations, boosters, capitals, idioms, contrasts and signs of emphasis. It
+takes a text and a dictionary of lower-case words and valences, and gives pos, neu, neg (shares) and compound, not rounded.
 """
 
 from __future__ import annotations
 
-import re
 import string
 from collections.abc import Mapping
 
@@ -28,7 +26,6 @@ FADING = (1.0, 0.95, 0.9)
 EXCLAMATION, MOST_EXCLAMATIONS, QUESTION, MANY_QUESTIONS = 0.292, 4, 0.18, 0.96
 BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 
-WORDS = re.compile(r"[^\W_](?:[^\W_]|')*|'(?:[^\W_]|')*")
 
 
 def shares(valences: list[float], emphasis: float = 0.0) -> dict[str, float]:
@@ -41,10 +38,6 @@ def shares(valences: list[float], emphasis: float = 0.0) -> dict[str, float]:
     return {"pos": pos / whole, "neu": sum(not v for v in valences) / whole, "neg": neg / whole, "compound": compound} if whole else dict.fromkeys(("pos", "neu", "neg", "compound"), 0.0)
 
 
-def plain(text: str, lexicon: Mapping[str, float]) -> dict[str, float]:
-    return shares([lexicon.get(w, 0.0) for w in WORDS.findall(text.lower())])
-
-
 def tokens(text: str) -> list[str]:
     """Pieces between white space without the signs around them, unless little is left."""
     bare = [(w, w.strip(string.punctuation)) for w in text.split()]

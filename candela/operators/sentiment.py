@@ -47,46 +47,97 @@ def mentions(text: Column, symbol: str, token: str) -> Column:
 
 #: A lexicon of up to so many words goes to each task; a larger one is joined.
 MOST_WORDS = 200_000
-RULES = {"rules": valence.ruled, "plain": valence.plain}
+#: Words of a bucket of the lexicon, in which a word is looked for.
+IN_BUCKET = 8
+METHODS = ("plain", "rules")
 
 
-def joined_scores(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, pos, neu, neg and compound by the plain sum, for a lexicon of any size.
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case: runs of letters, digits and apostrophes."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}']+"), lambda w: w != "")
 
-    Words are counted within each text before they are dealt, so a frequent word makes one row a text, and words of the
-    lexicon are counted apart from the number of all words, so that texts without any keep their row.
+
+def distinct_words(lexicon: DataFrame) -> DataFrame:
+    """word in lower case and valence, once each; of several valences of a word the largest. Null words and valences are left out."""
+    given = lexicon.select(F.lower("word").alias("word"), F.col("valence").cast("double").alias("valence")).where("word is not null and valence is not null")
+    return given.groupBy("word").agg(F.max("valence").alias("valence"))
+
+
+def plain_scores(sums: Column) -> dict[str, Column]:
+    """Shares and compound from the sums s (valences), p and m (weights of words above and below 0) and z (other words)."""
+    s, p, m, z = (sums[k] for k in ("s", "p", "m", "z"))
+    whole = F.nullif(p + m + z, F.lit(0.0))
+    share = lambda x: F.round(F.coalesce(x / whole, F.lit(0.0)), 4)
+    return {"pos": share(p), "neu": share(z), "neg": share(m), "compound": F.round(s / F.sqrt(s * s + 15), 4)}
+
+
+def with_valences(texts: DataFrame, text: str, lexicon: DataFrame, n: int) -> DataFrame:
+    """texts with `_v`: the valences of the words of a text, 0 for those that are not in a lexicon of n words.
+
+    The lexicon is one value of a scalar subquery: buckets by a hash of the word, so that few words are compared.
+    """
+    buckets = max(1, -(n // -IN_BUCKET))
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(buckets))
+    held = lexicon.select(bucket(F.col("word")).alias("id"), "word", "valence").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("word", "valence"))).alias("e"))
+    every = lexicon.sparkSession.range(buckets).join(held, "id", "left").select("id", F.col("e.word").alias("words"), F.col("e.valence").alias("values"))
+    table = every.agg(F.sort_array(F.collect_list(F.struct("id", "words", "values")))).scalar()
+
+    def valence(w: Column) -> Column:
+        row = F.get(F.col("_table"), bucket(w).cast("int"))
+        return F.coalesce(F.get(row["values"], F.array_position(row["words"], w).cast("int") - 1), F.lit(0.0))
+
+    return texts.withColumn("_table", table).withColumn("_v", F.transform(words_of(F.col(text)), valence)).drop("_table")
+
+
+def joined_scores(texts: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
+    """h1, h2 (hashes of the text), pos, neu, neg and compound by the plain sum for each different text, for a lexicon of any size.
+
+    Words are counted within each text before they are dealt, so a frequent word makes one row a text.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+    value = F.coalesce(F.col(text), F.lit(""))
+    rows = texts.select(*text_key(value), words_of(value).alias("w")).dropDuplicates(["h1", "h2"])
     counted = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("word"), F.size(F.filter("w", lambda y: y == x)).alias("n")))
-    rows = texts.select(*keys, words.alias("w")).select(*keys, F.explode_outer(counted).alias("c")).select(*keys, "c.word", F.coalesce("c.n", F.lit(0)).alias("n"))
-    joined = rows.join(lexicon, "word", "left").withColumn("v", F.coalesce(F.col("valence").cast("double"), F.lit(0.0)))
+    rows = rows.select("h1", "h2", F.explode_outer(counted).alias("c")).select("h1", "h2", "c.word", F.coalesce("c.n", F.lit(0)).alias("n"))
+    joined = rows.join(lexicon, "word", "left").withColumn("v", F.coalesce("valence", F.lit(0.0)))
     v, n = F.col("v"), F.col("n")
-    summed = joined.groupBy(*keys).agg(F.sum(v * n).alias("s"), F.coalesce(F.sum(F.when(v > 0, (v + 1) * n)), F.lit(0.0)).alias("p"), F.coalesce(F.sum(F.when(v < 0, (1 - v) * n)), F.lit(0.0)).alias("m"), F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("z"))
-    whole = F.nullif(F.col("p") + F.col("m") + F.col("z"), F.lit(0.0))
-    share = lambda c: F.coalesce(F.col(c) / whole, F.lit(0.0))
-    return summed.select(*keys, share("p").alias("pos"), share("z").alias("neu"), share("m").alias("neg"), (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("compound"))
+    summed = joined.groupBy("h1", "h2").agg(F.struct(F.sum(v * n).alias("s"), F.sum(F.when(v > 0, (v + 1) * n).otherwise(0.0)).alias("p"), F.sum(F.when(v < 0, (1 - v) * n).otherwise(0.0)).alias("m"), F.sum(F.when(v == 0, n).otherwise(0)).alias("z")).alias("sums"))
+    return summed.select("h1", "h2", *[c.alias(k) for k, c in plain_scores(F.col("sums")).items()])
+
 
+def text_key(value: Column) -> list[Column]:
+    return [F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2")]
 
-def lexicon_scores(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", method: str = "rules") -> DataFrame:
+
+def lexicon_scores(texts: DataFrame, lexicon: DataFrame, keys: list[str] | None = None, text: str = "text", method: str = "rules") -> DataFrame:
     """texts with pos, neu, neg (shares) and compound (-1 to 1), rounded to four places. lexicon: word, valence.
 
-    method: `rules` follows negations, boosters, capitals, idioms, contrasts and emphasis; `plain` sums words. A lexicon
-    within the bound is sent to the tasks, and no text is shuffled; beyond it, `plain` joins on the word, by keys.
+    method: `rules` follows negations, boosters, capitals, idioms, contrasts and emphasis, in Arrow batches; `plain` sums words
+    in column functions. A lexicon within the bound is sent to the tasks, and no text is shuffled; beyond it, `plain` joins on the
+    words, and joins the scores back by the text itself, so null and repeated keys are of no account. Each row keeps all its
+    columns; `keys` is not needed any more.
     """
-    if method not in RULES:
-        raise ValueError(f"method is one of {sorted(RULES)}")
+    if method not in METHODS:
+        raise ValueError(f"method is one of {sorted(METHODS)}")
     names = ("pos", "neu", "neg", "compound")
-    given = lexicon.select(F.lower("word").alias("word"), F.col("valence").cast("double").alias("valence")).where("word is not null and valence is not null")
-    known = {r.word: r.valence for r in given.limit(MOST_WORDS + 1).collect()}
-    if len(known) > MOST_WORDS:
+    given = distinct_words(lexicon)
+    n = given.limit(MOST_WORDS + 1).count()
+    if method == "plain" and n <= MOST_WORDS:
+        v = F.col("_v")
+        of = lambda value, rule: F.aggregate(F.filter(v, rule), F.lit(0.0), lambda a, x: a + value(x))
+        sums = F.struct(of(lambda x: x, lambda x: x != 0).alias("s"), of(lambda x: x + 1, lambda x: x > 0).alias("p"), of(lambda x: 1 - x, lambda x: x < 0).alias("m"), F.size(F.filter(v, lambda x: x == 0)).cast("double").alias("z"))
+        found = with_valences(texts, text, given, n).withColumn("_sums", sums)
+        return found.withColumns(plain_scores(F.col("_sums"))).drop("_v", "_sums")
+    if n > MOST_WORDS:
         if method == "rules":
             raise ValueError(f"rules need a lexicon of at most {MOST_WORDS} words")
-        return texts.join(joined_scores(texts, given, keys, text), keys).withColumns({n: F.round(n, 4) for n in names})
-    shared, judge = texts.sparkSession.sparkContext.broadcast(known), RULES[method]
+        h1, h2 = text_key(F.coalesce(F.col(text), F.lit("")))
+        scores = joined_scores(texts, given, text).select((F.col("h1") + 0).alias("_h1"), F.col("h2").alias("_h2"), *names)
+        return texts.withColumns({"_a": h1, "_b": h2}).join(scores, (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2"))).drop("_a", "_b", "_h1", "_h2")
+    shared = texts.sparkSession.sparkContext.broadcast({r.word: r.valence for r in given.collect()})
 
     @F.pandas_udf("struct<pos: double, neu: double, neg: double, compound: double>")
     def score(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(t, shared.value) for t in batch], columns=list(names), dtype=float)
+        return pd.DataFrame([valence.ruled(t, shared.value) for t in batch], columns=list(names), dtype=float)
 
     found = texts.withColumn("_scores", score(F.coalesce(F.col(text), F.lit(""))))
     return found.withColumns({n: F.round(F.col("_scores")[n], 4) for n in names}).drop("_scores")

@@ -6,13 +6,16 @@ Doubles are rounded to six places on both sides. Bars come from `events`: one sy
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import display
 from ..functions import symbols as sym
 from ..operators import backtest as bt
+from ..operators import isolation, joins, quantiles, scan, zones
 from ..operators import levels as lev
 from ..operators import profile as prof
 from ..operators import recurrence as rec
@@ -21,9 +24,8 @@ from ..operators import sentiment as sent
 from ..operators import strategies as strat
 from ..operators import structure as struc
 from ..operators import windows as win
-from ..operators import zones
 from ..sources import bars as src
-from ..sources import feeds
+from ..sources import feeds, partials, provider
 from . import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +110,14 @@ on_bars(
     rsi_divergence=lambda b: win.rsi_divergence(rec.rsi_frame(b)),
     atr=rec.atr_frame,
     adx=rec.adx_frame,
+    ema_scan=scan.ema,
+    ema_stack_scan=scan.ema_stack,
+    smma_scan=scan.smma,
+    rsi_scan=scan.rsi,
+    rsi_ema_scan=lambda b: scan.rsi(b, 14, "ema"),
+    macd_scan=scan.macd,
+    atr_scan=scan.atr,
+    adx_scan=scan.adx,
     supertrend=rec.supertrend_frame,
     indicator_summaries=rec.summaries,
     swings=lambda b: struc.swings(b, 2, 0.02),
@@ -153,6 +163,20 @@ on_bars(
 )
 
 
+def _rising(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A job that refuses symbols whose last close is below the first: the number of bars, and the largest rise from bar to bar."""
+    if pdf["close"].iloc[-1] < pdf["close"].iloc[0]:
+        raise ValueError("the last close is below the first")
+    return pd.DataFrame([{"bars": len(pdf), "largest_rise": pdf["close"].diff().max()}])
+
+
+def _jobs(bars: DataFrame) -> DataFrame:
+    return isolation.run_jobs(bars, _rising, "bars long, largest_rise double")
+
+
+on_bars(symbol_jobs=lambda b: isolation.results(_jobs(b)), symbol_job_failures=lambda b: isolation.failures(_jobs(b)))
+
+
 def _returns(bars: DataFrame) -> DataFrame:
     before = F.lag("close").over(win.by_time())
     return bars.select("symbol", F.col("ts").alias("i"), (F.col("close") / before - 1).alias("r")).where("r is not null")
@@ -174,6 +198,47 @@ def _by_hour(bars: DataFrame) -> DataFrame:
     return bt.simulate(bt.normalize_signals(bars, bars.select("symbol", "ts", action.alias("signal"))))
 
 
+@query
+def bars_merged(spark, sf_dir):
+    """Bars of three parts of the ticks, each summed up apart, merged."""
+    ticks = table(spark, sf_dir, "events")
+    return partials.finished(partials.merged(*[partials.partial_bars(ticks.where(F.col("event_id") % 3 == k)) for k in range(3)]))
+
+
+@query
+def provider_bars(spark, sf_dir):
+    """All hourly bars by way of the data source, in pages of 200 bars."""
+    provider.register(spark)
+    ticks = table(spark, sf_dir, "events")
+    names = ",".join(sorted(r.event_type for r in ticks.select("event_type").distinct().collect()))
+    first, last = ticks.agg(F.min("ts"), F.max("ts")).first()
+    options = {"provider": "candela.sources.provider:bars_of_ticks", "path": f"{sf_dir}/events.parquet", "symbols": names, "start": first.replace(minute=0, second=0, microsecond=0).isoformat(), "end": (last + timedelta(hours=1)).isoformat(), "page": "200"}
+    return spark.read.format(provider.NAME).options(**options).load()
+
+
+@query
+def asof_quotes(spark, sf_dir):
+    """Each purchase with the user's last view at or before it."""
+    events = table(spark, sf_dir, "events")
+    trades = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts", F.col("value").alias("price"))
+    quotes = events.where("event_type = 'view'").select("event_id", "user_id", "ts", F.col("value").alias("quote"))
+    return joins.asof_join(trades, quotes, ("user_id",), "ts", "ts", ("quote", "ts"), tie=("event_id",))
+
+
+@query
+def interval_clicks(spark, sf_dir):
+    """Each click within an hour to a day after a signup of the same user; the more the user id, the longer."""
+    events = table(spark, sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    spans = events.where("event_type = 'signup'").select(F.col("event_id").alias("signup_id"), "user_id", F.col("ts").alias("begin"), (F.col("ts") + F.make_dt_interval(hours=F.col("user_id") % 24 + 1)).alias("end"))
+    return joins.interval_join(clicks, spans, ("user_id",), "ts", "begin", "end", ("signup_id",))
+
+
+@query
+def price_quantiles(spark, sf_dir):
+    return quantiles.exact_quantiles(table(spark, sf_dir, "events"), ("event_type",), "value", (0.0, 0.05, 0.5, 0.95, 1.0), held=200)
+
+
 @query
 def latest_ticker(spark, sf_dir):
     return src.latest_ticker(table(spark, sf_dir, "events"))

@@ -692,4 +692,18 @@ ORACLES["comparison_lines"] = f"""select symbol, rank, '#' || rank || ' ' || str
 ORACLES["sma"] = sql(f"select symbol, ts, round(case when rn >= 20 then avg(close) {last(20)} end, 6) as sma from r")
 ORACLES["price_ranges_default"] = ORACLES["price_ranges"].replace("<= 2.0", "<= 0.03")
 # a small negative number rounds to negative zero here, and to zero in Spark
+for _name, _same in (("ema", "ema"), ("ema_stack", "ema_stack"), ("smma", "smma"), ("rsi", "rsi_smma"), ("rsi_ema", "rsi_ema"), ("macd", "macd"), ("atr", "atr"), ("adx", "adx")):
+    ORACLES[f"{_name}_scan"] = ORACLES[_same]
+ORACLES["bars_merged"] = ORACLES["provider_bars"] = ORACLES["bars_1h"]
+_ENDS = "e as (select symbol, count(*) as bars, arg_min(close, ts) as a, arg_max(close, ts) as b, max(rise) as rise from (select *, close - lag(close) over (partition by symbol order by ts) as rise from bars) group by 1)"
+ORACLES["symbol_jobs"] = sql("select symbol, bars, round(rise, 6) as largest_rise from e where b >= a", _ENDS)
+ORACLES["symbol_job_failures"] = sql("select symbol, 'ValueError: the last close is below the first' as reason from e where b < a", _ENDS)
+ORACLES["asof_quotes"] = """select t.event_id, t.user_id, t.ts, round(t.value, 6) as price, round(q.value, 6) as quote, q.ts as ts_right
+    from (select * from events where event_type = 'purchase') t asof left join (select * from events where event_type = 'view') q on t.user_id = q.user_id and t.ts >= q.ts"""
+ORACLES["interval_clicks"] = """select c.event_id, c.user_id, c.ts, s.event_id as signup_id from events c join events s on c.event_type = 'click' and s.event_type = 'signup' and c.user_id = s.user_id
+    and c.ts >= s.ts and c.ts <= s.ts + to_hours(cast(s.user_id % 24 + 1 as integer))"""
+for _q in ("0.0", "0.05", "0.5", "0.95", "1.0"):
+    _one = f"select event_type, {_q}::double as share, round(quantile_cont(value, {_q}), 6) as quantile from events group by 1"
+    ORACLES["price_quantiles"] = _one if _q == "0.0" else ORACLES["price_quantiles"] + " union all " + _one
+
 ORACLES = {k: v.replace(", 6) as ", ", 6) + 0.0 as ") for k, v in ORACLES.items()}

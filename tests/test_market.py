@@ -182,16 +182,28 @@ def test_rules_give_the_published_scores(spark, text, compound):
 
 
 def test_joined_scores_equal_those_in_place(spark, monkeypatch):
-    lexicon = spark.createDataFrame([("the", 0.5), ("of", -0.4), ("a", -2.0)], "word string, valence double")
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["the the of a cat", "", None, "dog's day", "A of the THE"])], "id long, text string")
-    here = {r.id: tuple(r)[2:] for r in sentiment.lexicon_scores(texts, lexicon, ["id"], method="plain").collect()}
-    monkeypatch.setattr(sentiment, "MOST_WORDS", 2)
-    joined = {r.id: tuple(r)[2:] for r in sentiment.lexicon_scores(texts, lexicon, ["id"], method="plain").collect()}
-    assert here == joined and len(here) == 5 and here[0][3] != 0
+    lexicon = spark.createDataFrame([("the", 0.5), ("The", 0.5), ("the", 0.1), ("of", -0.4), ("a", -2.0), (None, 1.0), ("x", None), ("été", 1.0), ("don't", -1.0)], "word string, valence double")
+    rows = [(0, "the the of a cat"), (1, ""), (2, None), (3, "dog's day don't"), (4, "A of the THE"), (None, "the été"), (None, "of"), (7, "the"), (7, "a, a"), (7, "a, a"), (8, "_the_ ÉTÉ")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    found = sentiment.lexicon_scores(texts, lexicon, ["id"], method="plain")
+    assert "Python" not in found._jdf.queryExecution().toString()
+    here = sorted(map(str, found.collect()))
+    monkeypatch.setattr(sentiment, "MOST_WORDS", 3)
+    assert here == sorted(map(str, sentiment.lexicon_scores(texts, lexicon, ["id"], method="plain").collect()))
+    by_id = {r.id: r for r in found.where("id in (0, 2, 4)").collect()}
+    assert len(here) == len(rows) and by_id[0].compound == round((0.5 + 0.5 - 0.4 - 2) / ((0.5 + 0.5 - 0.4 - 2) ** 2 + 15) ** 0.5, 4) and by_id[2].pos == 0
     with pytest.raises(ValueError):
         sentiment.lexicon_scores(texts, lexicon, ["id"])
 
 
+def test_repeated_words_take_no_place_in_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(sentiment, "MOST_WORDS", 3)
+    lexicon = spark.createDataFrame([("same", 1.0)] * 20 + [("good", 2.0), ("bad", -2.0)], "word string, valence double")
+    texts = spark.createDataFrame([("good",), ("bad",)], "text string")
+    for method in ("plain", "rules"):
+        assert [r.compound != 0 for r in sentiment.lexicon_scores(texts, lexicon, method=method).collect()] == [True, True]
+
+
 def test_native_names_go_to_the_secondary_provider(spark):
     rows = [("BTC-USD", datetime(2024, 1, 1), 1.0, 2.0, 0.5, 1.5, 3.0), ("BTC-USD", datetime(2024, 1, 2), None, None, None, None, 0.0), ("ETH", datetime(2024, 1, 1), 1.0, 2.0, 0.5, 1.5, 3.0)]
     bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
