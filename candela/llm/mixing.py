@@ -8,10 +8,11 @@ numbers are in exactly the ratios of the weights given, as they are written in d
 phase begins, in which the others share its weight. All rows are kept.
 
 After H slots every source has had exactly its due number of blocks, so the schedule of a phase repeats with the
-period. The driver lays out one period of each phase, or the whole phase where that is shorter: at most MOST_SLOTS slots,
-whatever the number of rows. A block finds its phase by its number, and its slot by the number within the period. Only
-weights whose period is longer, for more blocks than that, are refused with an error; such weights are to be rounded to
-parts of a million by the caller, who then knows the targets. Without given weights they are whole parts of PARTS.
+period. The driver lays out one period of each phase, or the whole phase where that is shorter: at most MOST_SLOTS slots in
+all phases together, whatever the number of rows (24 bytes each, and about two seconds for a million). A block finds its
+phase by its number, and its slot by the number within the period. Weights that need more are refused with an error, and
+nothing is rounded in silence; the caller rounds them to fewer parts, and then knows the targets. Without given weights they are
+whole parts of PARTS, which MOST_SOURCES sources keep within the bound.
 
 Cases: a null source counts as the empty name; sources without a weight get the rest's least weight; equal ids are put
 in order by their text, so equal rows may change places only with each other; null ids count as the empty text, and
@@ -38,8 +39,8 @@ from . import common
 BLOCK_ROWS, POWER, PART_ROWS = 8, 0.7, 250
 #: Default weights are whole parts of about so many, one at least.
 PARTS = 10_000
-#: Slots that are laid out for a phase at most.
-MOST_SLOTS = 1 << 20
+#: Slots that are laid out for all phases at most.
+MOST_SLOTS = 1 << 21
 #: Parts whose sizes are summed up in one step.
 RUN_PARTS = 1024
 #: Each source may begin a phase and has a part in the plan.
@@ -74,14 +75,15 @@ class Phase:
     deadlines: dict[str, array]
 
 
-def lay_out(whole: dict[str, int], period: int, left: dict[str, int]) -> tuple[dict[str, array], dict[str, array], dict[str, array], int]:
+def lay_out(whole: dict[str, int], period: int, left: dict[str, int], most: int | None = None) -> tuple[dict[str, array], dict[str, array], dict[str, array], int]:
     """Slots, releases and deadlines of the blocks up to the end of the period, or until a source runs out, and that end."""
+    most = MOST_SLOTS if most is None else most
     slots, releases, deadlines = ({k: array("q") for k in whole} for _ in range(3))
     waiting, ready, slot = [(0, k) for k in whole], [], 0
     heapq.heapify(waiting)
     while slot < period:
-        if slot == MOST_SLOTS:
-            raise ValueError(f"the weights repeat only after {period} slots; round them to whole parts of at most {MOST_SLOTS}")
+        if slot == most:
+            raise ValueError(f"the schedule needs more than {MOST_SLOTS} slots before it repeats (a period here is {period}); round the weights to fewer parts")
         while waiting and waiting[0][0] <= slot:
             release, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-((len(slots[k]) + 1) * period // -whole[k]), k, release))
@@ -101,10 +103,12 @@ def lay_out(whole: dict[str, int], period: int, left: dict[str, int]) -> tuple[d
 def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[Phase]:
     """The phases of the schedule: in each, the earliest deadline first among the released blocks."""
     out: list[Phase] = []
+    room = MOST_SLOTS
     left, start = {k: n for k, n in blocks.items() if n}, 0
     while left:
         whole, period = whole_weights({k: weights[k] for k in left})
-        slots, releases, deadlines, end = lay_out(whole, period, left)
+        slots, releases, deadlines, end = lay_out(whole, period, left, room)
+        room -= end
         out.append(Phase(start, period, {k: blocks[k] - n for k, n in left.items()}, slots, releases, deadlines))
         if end < period or any(left[k] == len(s) for k, s in slots.items()):
             done, out[-1].period = {k: len(s) for k, s in slots.items()}, 0

@@ -157,9 +157,17 @@ def in_descending_order(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lowest = -(1 << 63)
     rows = df.select(F.col(doc_id).alias("doc_id"), common.text_of(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)).alias("key"))
-    values = [int(x) for x in rows.approxQuantile("key", [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (16 * parts))] if parts > 1 else []
+    # quantiles are doubles; as bounds they only deal rows out, and need not be ids
+    found = rows.approxQuantile("key", [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (16 * parts)) if parts > 1 else []
+    values = [max(lowest, min(int(x), (1 << 63) - 1)) for x in found]
     # an id that stands at several quantiles has many rows: it gets runs of its own, cut by the order of the texts' hashes
-    heavy = {k: values.count(k) + 1 for k in sorted(set(values)) if values.count(k) > 1}
+    repeated = sorted({x for x in found if found.count(x) > 1})
+    heavy: dict[int, int] = {}
+    if repeated:
+        total = rows.count()
+        near = rows.where(F.col("key").cast("double").isin(repeated)).groupBy("key").agg(F.count("*").alias("n"))
+        # of ids with more than an eighth of a partition there are 8 * parts at most
+        heavy = {r["key"]: -(-4 * parts * r["n"] // total) + 1 for r in near.where(F.col("n") * 8 * parts > total).collect()}
     bounds = sorted(set(values) | set(heavy) | {min(k + 1, (1 << 63) - 1) for k in heavy})
     rows = rows.withColumn("tie", F.xxhash64("text"))
     at = F.array_position(F.lit([*heavy] or [lowest]).cast("array<bigint>"), F.col("key")).cast("int")

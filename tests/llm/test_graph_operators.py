@@ -44,6 +44,24 @@ def test_rows_of_one_id_are_dealt_to_many_runs(spark):
     assert {(r.doc_id, r.edited_sha256) for r in simhash.edited_fingerprints(df).collect()} == want
 
 
+def test_ids_at_both_ends_of_64_bits(spark):
+    rng = random.Random(4)
+    ends = [*range((1 << 63) - 40, 1 << 63), *range(-(1 << 63), -(1 << 63) + 40)]
+    texts = {i: prose(rng, 5) for i in ends}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [((1 << 53) + 1, f"heavy {i}") for i in range(60)], "doc_id long, text string").repartition(3)
+    rows = simhash.edited_fingerprints(df).collect()
+    order = sorted(texts, reverse=True)
+    got = {r.doc_id: r.edited_sha256 for r in rows if r.doc_id in texts}
+    for i, j in zip(order, [*order[1:], order[0]], strict=True):
+        if i > 0 > j:
+            continue  # the rows of the id between them stand here
+        cut = len(texts[i]) // 3
+        assert got[i] == hashlib.sha256((texts[i][: len(texts[i]) - cut] + texts[j][:cut]).encode()).hexdigest()
+    assert len(rows) == len(df.collect())
+    runs = simhash.in_descending_order(df).where("not copy and doc_id = 9007199254740993").groupBy("run").count().collect()
+    assert len(runs) > 1
+
+
 def test_one_row_is_its_own_next(spark):
     row = simhash.edited_fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert row.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and row.near_next == 1
