@@ -70,30 +70,40 @@ def vwap_anchored(bars: DataFrame, anchor: str = "ny", reward: float = 2.0, surg
     return _run(rows, lambda pdf: vwap_machine(pdf, reward, surge))
 
 
-def stack_machine(pdf: pd.DataFrame, bars_needed: int = 1, buffer_pct: float = 0.0, reward: float = 2.0) -> Iterator[str]:
-    held: Position | None = None
-    up = down = 0
-    for i, r in enumerate(pdf.itertuples()):
+class StackMachine:
+    """Entries after so many bars with the averages in order, one row after the other; what it holds is all its state."""
+
+    def __init__(self, bars_needed: int = 1, buffer_pct: float = 0.0, reward: float = 2.0):
+        self.bars_needed, self.buffer_pct, self.reward = bars_needed, buffer_pct, reward
+        self.held: Position | None = None
+        self.up = self.down = 0
+        self.begun = False
+
+    def step(self, r) -> str:
         golden, death = r.ema7 > r.ema25 > r.ema50 > r.ema200, r.ema7 < r.ema25 < r.ema50 < r.ema200
-        if not i:
-            yield HOLD
-            continue
-        if held is not None:
+        if not self.begun:
+            self.begun = True
+            return HOLD
+        if self.held is not None:
             action = HOLD
-            if held.hit(r, gap=True) or not (golden if held.side == "long" else death):
-                action, held, up, down = held.exit(), None, 0, 0
-            yield action
-            continue
-        up, down = (up + 1 if golden else 0), (down + 1 if death else 0)
+            if self.held.hit(r, gap=True) or not (golden if self.held.side == "long" else death):
+                action, self.held, self.up, self.down = self.held.exit(), None, 0, 0
+            return action
+        self.up, self.down = (self.up + 1 if golden else 0), (self.down + 1 if death else 0)
         action = HOLD
-        for count, side, stop in ((up, "long", r.low * (1 - buffer_pct)), (down, "short", r.high * (1 + buffer_pct))):
-            if action == HOLD and count >= bars_needed:
+        for count, side, stop in ((self.up, "long", r.low * (1 - self.buffer_pct)), (self.down, "short", r.high * (1 + self.buffer_pct))):
+            if action == HOLD and count >= self.bars_needed:
                 risk = r.close - stop if side == "long" else stop - r.close
-                up = down = 0
+                self.up = self.down = 0
                 if risk > 0:
                     sign = 1 if side == "long" else -1
-                    action, held = f"{side}_entry", Position(side, stop, r.close + sign * reward * risk)
-        yield action
+                    action, self.held = f"{side}_entry", Position(side, stop, r.close + sign * self.reward * risk)
+        return action
+
+
+def stack_machine(pdf: pd.DataFrame, bars_needed: int = 1, buffer_pct: float = 0.0, reward: float = 2.0) -> Iterator[str]:
+    machine = StackMachine(bars_needed, buffer_pct, reward)
+    return (machine.step(r) for r in pdf.itertuples())
 
 
 def ema_stack(bars: DataFrame, bars_needed: int = 1, buffer_pct: float = 0.0, reward: float = 2.0) -> DataFrame:
