@@ -46,16 +46,26 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.bars_from_ticks(table(spark, sf_dir, "events"), "1h")
 
 
+def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of each user: many symbols with few bars each."""
+    return src.bars_from_ticks(table(spark, sf_dir, "events").withColumn("user", F.col("user_id").cast("string")), "1h", "user")
+
+
+def calm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of prices that move by a few hundredths: 100 and a hundredth of the value."""
+    return src.bars_from_ticks(table(spark, sf_dir, "events").withColumn("value", 100 + F.col("value") / 100), "1h")
+
+
 def query(f: Callable) -> Callable:
     """Register a query of (spark, sf_dir)."""
     QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
     return f
 
 
-def on_bars(**queries: Callable[[DataFrame], DataFrame]) -> None:
+def on_bars(bars: Callable[[SparkSession, str], DataFrame] = hourly, **queries: Callable[[DataFrame], DataFrame]) -> None:
     """Register queries of hourly bars."""
     for name, f in queries.items():
-        QUERIES[name] = lambda spark, sf_dir, f=f: rounded(f(hourly(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir, f=f: rounded(f(bars(spark, sf_dir)))
 
 
 on_bars(
@@ -174,6 +184,18 @@ def _jobs(bars: DataFrame) -> DataFrame:
     return isolation.run_jobs(bars, _rising, "bars long, largest_rise double")
 
 
+on_bars(
+    by_user,
+    session_scan_failures_by_user=lambda b: scr.session_scan(b, "ny")[1],
+    order_block_scan_by_user=lambda b: scr.order_block_scan(b)[0],
+    backtest_trades_by_user=lambda b: bt.trades_of(_simulated(b, strat.rsi_reversion)),
+    rsi_extremes_by_user=lambda b: win.rsi_extremes(rec.rsi_frame(b)),
+)
+on_bars(
+    calm,
+    price_ranges_calm=lambda b: struc.price_ranges(b, struc.swings(b)),
+    range_breakouts_calm=lambda b: struc.range_breakouts(b, struc.price_ranges(b, struc.swings(b))),
+)
 on_bars(symbol_jobs=lambda b: isolation.results(_jobs(b)), symbol_job_failures=lambda b: isolation.failures(_jobs(b)))
 
 

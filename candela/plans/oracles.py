@@ -692,6 +692,15 @@ ORACLES["comparison_lines"] = f"""select symbol, rank, '#' || rank || ' ' || str
 ORACLES["sma"] = sql(f"select symbol, ts, round(case when rn >= 20 then avg(close) {last(20)} end, 6) as sma from r")
 ORACLES["price_ranges_default"] = ORACLES["price_ranges"].replace("<= 2.0", "<= 0.03")
 # a small negative number rounds to negative zero here, and to zero in Spark
+_CALM = "from (select event_id, ts, event_type, 100 + value / 100 as value from events) group by 1, 2"
+for _name in ("session_scan_failures", "order_block_scan", "backtest_trades", "rsi_extremes"):
+    ORACLES[f"{_name}_by_user"] = ORACLES[_name].replace("event_type as symbol", "cast(user_id as varchar) as symbol")
+# with gaps between bars it matters that a scan sees the last 48 alone
+ORACLES["session_scan_failures_by_user"] = ORACLES["session_scan_failures_by_user"].replace("as b from bars)", "as b from r)").replace(
+    "r as (select *, row_number() over w as rn, count(*) over (partition by symbol) as n from bars window", "tail as (select * from bars qualify row_number() over (partition by symbol order by ts desc) <= 48), r as (select *, row_number() over w as rn, count(*) over (partition by symbol) as n from tail window"
+)
+ORACLES["price_ranges_calm"] = ORACLES["price_ranges_default"].replace("from events group by 1, 2", _CALM)
+ORACLES["range_breakouts_calm"] = ORACLES["range_breakouts"].replace("<= 2.0", "<= 0.03").replace("from events group by 1, 2", _CALM)
 for _name, _same in (("ema", "ema"), ("ema_stack", "ema_stack"), ("smma", "smma"), ("rsi", "rsi_smma"), ("rsi_ema", "rsi_ema"), ("macd", "macd"), ("atr", "atr"), ("adx", "adx")):
     ORACLES[f"{_name}_scan"] = ORACLES[_same]
 ORACLES["bars_merged"] = ORACLES["provider_bars"] = ORACLES["bars_1h"]
