@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import COMMISSION, SLIPPAGE_BPS, commission, slipped
+from ..session import checkpointed
 
 CAPITAL = 100_000.0
 
@@ -237,8 +238,12 @@ def walk_forward_summary(windows: DataFrame) -> DataFrame:
 
 
 def compare(bars: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]], capital: float = CAPITAL) -> DataFrame:
-    """Figures of each symbol and strategy, ranked within the symbol; a strategy that failed has its error alone and comes last."""
-    signals = None
+    """Figures of each symbol and strategy, ranked within the symbol; a strategy that failed has its error alone and comes last.
+
+    Strategies and their indicators refer to the bars many times, so the bars are made once and put down; they are few beside
+    the ticks they come from.
+    """
+    bars, signals = checkpointed(bars), None
     for name, strategy in strategies.items():
         part = normalize_signals(bars, strategy(bars)).withColumn("strategy", F.lit(name))
         signals = part if signals is None else signals.unionByName(part)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SWINGS
+from ..session import checkpointed
 from .recurrence import adx as adx_kernel
 from .recurrence import by_symbol
 
@@ -196,6 +197,7 @@ def structure_summary(
 ) -> DataFrame:
     """One row a symbol: latest structure, range and breakout, trend strength, and the regime they tell, with confidence."""
     least = max(2 * adx_period, lookback, 2 * w + 3)
+    bars = checkpointed(bars)  # swings, ranges, breakouts and trend each read them
     order = Window.partitionBy("symbol").orderBy("ts")
     rows = bars.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy("symbol")), "_i": F.row_number().over(order)}).where(F.col("_n") >= least)
     last = rows.groupBy("symbol").agg(F.max("ts").alias("summary_ts"), F.max_by("close", "ts").alias("current_price"), F.max("_i").alias("n"))

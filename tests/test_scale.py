@@ -146,6 +146,16 @@ def test_interval_join_equals_comparing_all_pairs(spark, seed, part):
     assert joins.interval_join(a, b.where("false"), ("k",), "t", "low", "high", ("id",)).count() == 0
 
 
+def test_comparisons_read_the_ticks_once(spark, tmp_path):
+    from candela.operators import backtest, strategies, structure
+
+    some_ticks(spark).write.parquet(f"{tmp_path}/ticks")
+    bars = src.bars_from_ticks(spark.read.parquet(f"{tmp_path}/ticks"))
+    for made in (backtest.compare(bars, strategies.STRATEGIES), structure.structure_summary(bars)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan and "ExistingRDD" in plan
+
+
 def some_ticks(spark, n=600):
     rng = random.Random(6)
     rows = [(i, rng.choice("AAAB"), START + timedelta(minutes=rng.randint(0, 60 * 24 * 4)), rng.choice([None, float("nan"), *[float(rng.randint(1, 99)) for _ in range(30)]])) for i in range(n)]
