@@ -274,3 +274,23 @@ def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(written(F.col("__base")), 256).alias("base_sha256"), written(F.col("__all")).alias("spans"))
+
+
+def planted(documents: DataFrame) -> DataFrame:
+    """Each document after a sentence with a number of 16 digits made of its id: of every fourth with a wrong check digit.
+
+    No expression finds those, but the words around them tell what they are.
+    """
+    payload = F.lpad((F.col("doc_id") * 104729 + 400000000000).cast("string"), 15, "4")
+    digit = lambda k: F.substring(payload, 15 - k, 1).cast("int")
+    twice = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+    check = (10 - sum((twice(digit(k)) if k % 2 == 0 else digit(k) for k in range(15)), F.lit(0)) % 10) % 10
+    wrong = F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)
+    number = F.concat(payload, ((check + wrong) % 10).cast("string"))
+    return documents.select("doc_id", F.concat(F.lit("charge card "), number, F.lit(" expires soon. "), common.text_of("text")).alias("text"))
+
+
+def planted_card_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of documents with planted numbers: the bootstrap alone finds those with a wrong check digit."""
+    found = find_personal_data(planted(common.table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.size("__base").cast("long").alias("n_base"), written(F.col("__all")).alias("spans"))

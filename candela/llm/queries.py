@@ -9,7 +9,7 @@ from .language import op8_hyperdimensional_language
 from .lexical_search import op11_threshold_search
 from .mixing import op5_pfair_mixing
 from .packing import op2_power_of_two_packing
-from .pii import op3_bootstrapped_pii
+from .pii import op3_bootstrapped_pii, planted_card_findings
 from .quality import op9_rule_ensemble_quality
 from .simhash import op4_simhash
 from .substrings import op13_de_bruijn_substrings
@@ -32,6 +32,7 @@ QUERIES = {
         op11_threshold_search,
         op12_perfect_hash_collocations,
         op13_de_bruijn_substrings,
+        planted_card_findings,
     )
 }
 
@@ -121,6 +122,19 @@ with t as (
 select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from documents left join whole using (doc_id)
 """
 
+_digit = lambda k: f"cast(substr(p, {15 - k}, 1) as integer)"
+_luhn = " + ".join(f"(case when {_digit(k)} > 4 then 2 * {_digit(k)} - 9 else 2 * {_digit(k)} end)" if k % 2 == 0 else _digit(k) for k in range(15))
+#: The base spans of the planted texts, and the numbers that no expression finds, which stand where they were planted.
+PLANTED_SPANS = BASE_SPANS[: BASE_SPANS.index("), whole as (")].replace(
+    "select doc_id, coalesce(text, '') as x from documents",
+    f"""select doc_id, 'charge card ' || p || cast(((10 - ({_luhn}) % 10) % 10 + case when doc_id % 4 = 0 then 1 else 0 end) % 10 as varchar) || ' expires soon. ' || coalesce(text, '') as x
+    from (select *, lpad(cast(doc_id * 104729 + 400000000000 as varchar), 15, '4') as p from documents)""",
+) + """), whole as (
+    select doc_id, rank, start, span, 1 as base from held union all select doc_id, 2, 12, 'card:12:28', 0 from documents where doc_id % 4 = 0
+)
+select doc_id, cast(sum(base) as bigint) as n_base, string_agg(span, ',' order by rank, start) as spans from whole group by doc_id
+"""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All documents that share a term with an item, scored whole.
 RANKED = rf"""
@@ -198,4 +212,5 @@ select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n_kep
 ORACLES: dict[str, str] = {
     "op3_bootstrapped_pii": BASE_SPANS, "op5_pfair_mixing": SCHEDULE, "op6_dual_cover_tree": TOP_PRODUCTS, "op10_bagminhash_near_duplicates": NEAR_CLASSES,
     "op11_threshold_search": RANKED, "op12_perfect_hash_collocations": COLLOCATIONS, "op13_de_bruijn_substrings": SUBSTRINGS,
+    "planted_card_findings": PLANTED_SPANS,
 }
