@@ -130,7 +130,7 @@ def smoothed(value: Callable[[Column], Column], n: int) -> Map:
     return lambda r: ((F.least(r["i"], F.lit(float(n))) - 1) / F.least(r["i"], F.lit(float(n))), value(r) / F.least(r["i"], F.lit(float(n))))
 
 
-def _enough(chunks: Chunks, least: int, columns: dict[str, Callable[[Column], Column]], total: str = "i") -> DataFrame:
+def _enough(chunks: Chunks, least: int, columns: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Rows of symbols with `least` rows or more."""
     found = chunks.add(**{f"out_{n}": f for n, f in columns.items()})
     sizes = chunks.frame.groupBy("symbol").agg(F.sum(F.size("rows")).alias("_n")).where(F.col("_n") >= least).select(F.col("symbol").alias("_s"))

@@ -25,7 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..schema import BARS, MAX_LIMIT, TIMEFRAME_SECONDS
 
 NAME = "candela_bars"
-_ARROW = pa.schema([("symbol", pa.string()), ("ts", pa.timestamp("us")), *[(c, pa.float64()) for c in ("open", "high", "low", "close", "volume")]])
+_PRICES = pa.schema([("ts", pa.timestamp("us")), *[(c, pa.float64()) for c in ("open", "high", "low", "close", "volume")]])
+_ARROW = pa.schema([("symbol", pa.string()), *_PRICES])
 
 
 @dataclass
@@ -81,8 +82,8 @@ class BarsReader(DataSourceReader):
         found = getattr(importlib.import_module(module), name)(partition.symbol, self.timeframe, partition.start, partition.end, self.options)
         if not isinstance(found, pa.Table):
             columns = list(zip(*found, strict=True)) or [[]] * 6
-            found = pa.table({f.name: pa.array(c, f.type) for f, c in zip(list(_ARROW)[1:], columns, strict=True)})
-        found = found.select(_ARROW.names[1:]).cast(pa.schema(list(_ARROW)[1:]))
+            found = pa.table({f.name: pa.array(c, f.type) for f, c in zip(_PRICES, columns, strict=True)})
+        found = found.select(_PRICES.names).cast(_PRICES)
         inside = pc.and_(pc.greater_equal(found["ts"], pa.scalar(partition.start, pa.timestamp("us"))), pc.less(found["ts"], pa.scalar(partition.end, pa.timestamp("us"))))
         found = found.filter(inside)
         yield from pa.table([pa.array([partition.symbol] * found.num_rows, pa.string()), *found.columns], schema=_ARROW).to_batches()
