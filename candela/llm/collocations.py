@@ -21,7 +21,7 @@ repeated rows count each; an empty table, or one without frequent phrases, gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,11 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 from .simhash import mix
-from .words import among, group_starts, inside, runs, words_of
+from .words import group_starts, inside, runs, words_of
 
 LEAST, LONGEST, FIRST, INSIDE = 10, 3, 2000, 50
 #: Bytes as they count: A-Z lower-cased, ends of pieces as line ends.
@@ -43,8 +42,10 @@ _KEPT = inside(b" \t\n")
 _SPACES = bytes(97 if _KEPT[_BYTES[b]] else 32 for b in range(256))
 #: Bits of a table of heavy slots at most, and for each of them; candidates of a slice.
 TABLE_BITS, BITS_EACH, SLICE = 1 << 30, 16, 2_000_000
-#: Bytes of text whose phrases share a bucket; hashes that a task gathers before it tells them; slots of a block of counts.
-SHARE, GATHER, BLOCK = 8 << 20, 4_000_000, 1 << 16
+#: Bytes of text whose phrases share a bucket; hashes and candidates that a task gathers before it tells them; slots of a block of counts.
+SHARE, GATHER, TUPLES, BLOCK = 8 << 20, 3_000_000, 1_000_000, 1 << 16
+#: Bytes of texts that are taken apart at a time.
+PART = 2 << 20
 #: Slices whose counts are read at a time.
 TOGETHER = 4
 _LOW = np.uint64(0xFFFFFFFF)
@@ -75,11 +76,42 @@ def part_of(rows: dict[str, list]) -> Part:
     return Part(data, starts, ends, hashes, piece, text)
 
 
+def parts_of(rows: dict[str, list]) -> Iterator[tuple[Part, list[str]]]:
+    """The words of the texts, about PART bytes at a time, and the languages of those texts."""
+    at, size = 0, 0
+    for i, t in enumerate(rows["text"]):
+        size += len(t)
+        if size >= PART or i + 1 == len(rows["text"]):
+            own = {n: rows[n][at : i + 1] for n in ("text", "lang")}
+            yield part_of(own), own["lang"]
+            at, size = i + 1, 0
+
+
 def slots(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each key, and its counter there."""
     return (keys >> np.uint64(32)) % np.uint64(buckets), keys & _LOW
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes of equal rank together, compressed; with `opened` as the way back."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def opened(packed: bytes, kind: type) -> np.ndarray:
+    planes = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
+
+
+def squeezed_steps(ordered: np.ndarray) -> bytes:
+    """Ascending numbers by their steps, which are small."""
+    return squeezed(np.diff(ordered, prepend=ordered.dtype.type(0)))
+
+
+def opened_steps(packed: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(opened(packed, kind), dtype=kind)
+
+
 class BitTable:
     """Heavy slots; it may hold others, and lacks none."""
 
@@ -156,20 +188,21 @@ def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: BitTable | None,
             out: dict[str, list] = {n: [] for n in ("bucket", "single", "slots", "counts")}
             for s, c, b in zip(np.split(slot, group_starts(bucket)[1:]), np.split(counts, group_starts(bucket)[1:]), bucket[group_starts(bucket)].tolist(), strict=True):
                 several = c > 1
-                for n, v in zip(out, (b, s[~several].tobytes(), s[several].tobytes(), c[several].tobytes()), strict=True):
+                for n, v in zip(out, (b, squeezed_steps(s[~several]), squeezed_steps(s[several]), squeezed(c[several])), strict=True):
                     out[n].append(v)
             return out
 
         def work(rows):
             if rows is None:
                 return tell() if held else None
-            held.extend(keys for width, _, keys in frequent_runs(part_of(rows), known, None, max(widths)) if width in widths and len(keys))
+            for part, _ in parts_of(rows):
+                held.extend(keys for width, _, keys in frequent_runs(part, known, None, max(widths)) if width in widths and len(keys))
             return tell() if sum(map(len, held)) >= GATHER else None
 
         return work
 
     def total(rows: pa.Table) -> pa.Table:
-        arrays = {n: np.frombuffer(b"".join(rows[n].to_pylist()), np.uint32) for n in ("single", "slots", "counts")}
+        arrays = {n: np.concatenate([back(x, np.uint32) for x in rows[n].to_pylist()]) for n, back in (("single", opened_steps), ("slots", opened_steps), ("counts", opened))}
         slot, count = np.concatenate([arrays["single"], arrays["slots"]]), np.concatenate([np.ones(len(arrays["single"]), np.int64), arrays["counts"].astype(np.int64)])
         order = np.argsort(slot, kind="stable")
         at = group_starts(slot[order])
@@ -198,51 +231,73 @@ def keys_of(tuples: np.ndarray, which: int) -> np.ndarray:
 
 def once(tuples: np.ndarray) -> np.ndarray:
     """The different rows."""
-    tuples = tuples[np.lexsort(tuples.T)]
+    tuples = tuples[np.lexsort(tuples.T[::-1])]
     change = np.ones(len(tuples), dtype=bool)
     change[1:] = (tuples[1:] != tuples[:-1]).any(axis=1)
     return tuples[change]
 
 
+def fewer(keys: np.ndarray, tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without most repeats, in the order of their keys; no row is lost, and rows of one key may stay twice."""
+    order = np.argsort(keys, kind="stable")
+    keys, tuples = keys[order], tuples[order]
+    change = np.ones(len(keys), dtype=bool)
+    change[1:] = (keys[1:] != keys[:-1]) | (tuples[1:] != tuples[:-1]).any(axis=1)
+    return keys[change], tuples[change]
+
+
+def packed_rows(tuples: np.ndarray) -> bytes:
+    """Rows by columns, as neighbours in a column are more alike."""
+    return squeezed(np.ascontiguousarray(tuples[np.lexsort(tuples.T[::-1])].T).reshape(-1))
+
+
+def opened_rows(packed: list[bytes], longest: int) -> np.ndarray:
+    return np.concatenate([opened(p, np.uint64).reshape(longest, -1).T for p in packed] or [np.empty((0, longest), np.uint64)])
+
+
 def candidates(df: DataFrame, words: BitTable, phrases: BitTable, longest: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, n, packed): the different candidates; (word, lang, text): the words that may be frequent."""
+    """(bucket, lang, n, packed): the different candidates; (word, lang, text): the words that may be frequent."""
     shared = df.sparkSession.sparkContext.broadcast((words, phrases))
 
     def make():
         tables = shared.value
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         told: set[int] = set()
+        codes: dict[str, int] = {}  # languages of the task
         empty = {n: [] for n in ("bucket", "packed", "word", "lang", "text")}
 
         def tell() -> dict[str, list]:
-            rows = once(np.concatenate(held))
+            _, rows = fewer(*map(np.concatenate, zip(*held, strict=True)))
             held.clear()
-            bucket = (keys_of(rows, 0) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at = group_starts(bucket[order])
-            n = len(at)
-            return {"bucket": bucket[order][at].tolist(), "packed": [x.tobytes() for x in np.split(rows[order], at[1:])], "word": [None] * n, "lang": [None] * n, "text": [None] * n}
+            rows, code = rows[:, :longest], rows[:, longest].astype(np.int64)
+            place = (keys_of(rows, 0) % np.uint64(buckets)).astype(np.int64) + code * buckets
+            order = np.argsort(place, kind="stable")
+            at = group_starts(place[order])
+            n, names = len(at), list(codes)
+            bucket, lang = (place[order][at] % buckets).tolist(), [names[c] for c in (place[order][at] // buckets).tolist()]
+            return {"bucket": bucket, "packed": [packed_rows(x) for x in np.split(rows[order], at[1:])], "word": [None] * n, "lang": lang, "text": [None] * n}
 
         def work(rows):
             if rows is None:
                 return tell() if held else None
-            part = part_of(rows)
             out = {n: list(v) for n, v in empty.items()}
-            for width, at, _ in frequent_runs(part, *tables, longest):
-                if not len(at):
-                    continue
-                held.append(once(tuples_of(part, width, at, longest)))
-                if width == 1:
-                    values, first = np.unique(part.hashes[at], return_index=True)
-                    for v, i in zip(values.view(np.int64).tolist(), at[first].tolist(), strict=True):
-                        if v not in told:
-                            told.add(v)
-                            for n, x in zip(out, (None, None, v, rows["lang"][part.text[i]], part.data[part.starts[i] : part.ends[i]]), strict=True):
-                                out[n].append(x)
-            if sum(map(len, held)) >= GATHER:
-                held[:] = [once(np.concatenate(held))]
-                if len(held[0]) >= GATHER // 2:
-                    out = {n: out[n] + v for n, v in tell().items()}
+            for part, langs in parts_of(rows):
+                code_of = np.array([codes.setdefault(x, len(codes)) for x in langs], dtype=np.uint64)
+                for width, at, keys in frequent_runs(part, *tables, longest):
+                    if not len(at):
+                        continue
+                    held.append(fewer(keys, np.column_stack([tuples_of(part, width, at, longest), code_of[part.text[at]]])))
+                    if width == 1:
+                        values, first = np.unique(part.hashes[at], return_index=True)
+                        for v, i in zip(values.view(np.int64).tolist(), at[first].tolist(), strict=True):
+                            if v not in told:
+                                told.add(v)
+                                for n, x in zip(out, (None, None, v, langs[part.text[i]], part.data[part.starts[i] : part.ends[i]]), strict=True):
+                                    out[n].append(x)
+                if sum(len(k) for k, _ in held) >= TUPLES:
+                    held[:] = [fewer(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) >= TUPLES // 2:
+                        out = {n: out[n] + v for n, v in tell().items()}
             return out
 
         return work
@@ -250,10 +305,10 @@ def candidates(df: DataFrame, words: BitTable, phrases: BitTable, longest: int,
     found = common.checkpointed(common.map_rows(df, make, "bucket long, packed binary, word long, lang string, text binary", finish=True))
 
     def differing(rows: pa.Table) -> pa.Table:
-        tuples = once(np.frombuffer(b"".join(rows["packed"].to_pylist()), np.uint64).reshape(-1, longest))
-        return pa.table({"bucket": rows["bucket"][:1], "n": pa.array([len(tuples)], pa.int64()), "packed": pa.array([tuples.tobytes()], pa.binary())})
+        tuples = once(opened_rows(rows["packed"].to_pylist(), longest))
+        return pa.table({"bucket": rows["bucket"][:1], "lang": rows["lang"][:1], "n": pa.array([len(tuples)], pa.int64()), "packed": pa.array([packed_rows(tuples)], pa.binary())})
 
-    packed = found.where("bucket is not null").groupBy("bucket").applyInArrow(differing, "bucket long, n long, packed binary")
+    packed = found.where("bucket is not null").select("bucket", "lang", "packed").groupBy("bucket", "lang").applyInArrow(differing, "bucket long, lang string, n long, packed binary")
     return common.checkpointed(packed), found.where("word is not null").select("word", "lang", "text").distinct()
 
 
@@ -310,7 +365,7 @@ class PerfectHash:
 def perfect_hash(packed: DataFrame, which: int, slices: int, longest: int) -> PerfectHash:
     """The hash of a slice, of a bounded number of candidates."""
     own = packed.where(F.col("bucket") % slices == which).select("packed").toArrow()
-    return PerfectHash(np.frombuffer(b"".join(own["packed"].to_pylist()), np.uint64).reshape(-1, longest))
+    return PerfectHash(opened_rows(own["packed"].to_pylist(), longest))
 
 
 def smallest(counts: np.ndarray) -> np.ndarray:
@@ -330,11 +385,10 @@ def counted(df: DataFrame, table: PerfectHash, words: BitTable, phrases: BitTabl
         def work(rows):
             if rows is None:
                 blocks = [(b, smallest(part)) for b in range(-(-size // BLOCK)) if (part := counts[b * BLOCK : (b + 1) * BLOCK]).any()]
-                return {"block": [b for b, _ in blocks], "width": [c.itemsize for _, c in blocks], "counts": [c.tobytes() for _, c in blocks]}
-            part = part_of(rows)
-            for width, at, _ in frequent_runs(part, *tables, longest):
-                _, found = own.find(tuples_of(part, width, at, longest))
-                np.add(counts, np.bincount(found, minlength=size), out=counts)
+                return {"block": [b for b, _ in blocks], "width": [c.itemsize for _, c in blocks], "counts": [squeezed(c) for _, c in blocks]}
+            for part, _ in parts_of(rows):
+                found = [own.find(tuples_of(part, width, at, longest))[1] for width, at, _ in frequent_runs(part, *tables, longest)]
+                np.add(counts, np.bincount(np.concatenate(found), minlength=size), out=counts)
             return None
 
         return work
@@ -344,111 +398,126 @@ def counted(df: DataFrame, table: PerfectHash, words: BitTable, phrases: BitTabl
     def add(rows: pa.Table) -> pa.Table:
         total: np.ndarray | int = 0
         for w, c in zip(rows["width"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-            total = total + np.frombuffer(c, kinds[w]).astype(np.int64)
-        return pa.table({"block": rows["block"][:1], "width": pa.array([8], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+            total = total + opened(c, kinds[w]).astype(np.int64)
+        return pa.table({"block": rows["block"][:1], "width": pa.array([8], pa.int32()), "counts": pa.array([squeezed(total)], pa.binary())})
 
     schema = "block long, width int, counts binary"
     told = common.map_rows(df, make, schema, finish=True).withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(16)))
     summed = told.groupBy("block", "branch").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
     out = np.zeros(size, dtype=np.int64)
     for row in summed.toArrow().to_pylist():
-        part = np.frombuffer(row["counts"], np.int64)
+        part = opened(row["counts"], np.int64)
         out[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
     return out
 
 
+def read_parts(tuples: np.ndarray, parts: np.ndarray, tables: list[tuple[PerfectHash, np.ndarray]]) -> None:
+    """Fill in the counts of the two parts of each cut, by slot, where the tables hold them."""
+    longest = tuples.shape[1]
+    width = (tuples > 0).sum(axis=1)
+    for k in range(1, longest):
+        here = np.flatnonzero(width > k)
+        for side in (0, 1):
+            asked = np.zeros((len(here), longest), dtype=np.uint64)
+            if side == 0:
+                asked[:, :k] = tuples[here, :k]
+            else:
+                asked[:, : longest - k] = tuples[here, k:]
+            for table, counts in tables:
+                real, at = table.find(asked)
+                parts[here[real], 2 * (k - 1) + side] = counts[at]
+
+
+def lowest_cuts(a: list[int], parts: np.ndarray) -> dict[str, list]:
+    """The lowest-scoring cut of each phrase, the first of equal ones: l, r, score in Python's integers."""
+    out: dict[str, list] = {n: [] for n in ("l", "r", "score")}
+    for x, cuts in zip(a, parts.tolist(), strict=True):
+        score, _, left, right = min((1_000_000 * x * x // (cuts[i] * cuts[i + 1]), i, cuts[i], cuts[i + 1]) for i in range(0, len(cuts), 2) if cuts[i] and cuts[i + 1])
+        for n, v in zip(out, (left, right, score), strict=True):
+            out[n].append(v)
+    return out
+
+
 def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phrases: BitTable, least: int, longest: int) -> DataFrame:
-    """w1, w2 and so on, width, a, and the counts of the parts of each cut, for phrases of two words or more."""
+    """lang, w1, w2 and so on, a, l, r, score: phrases of two words or more with their lowest-scoring cuts.
+
+    The counts of a phrase's parts may stand in any slice, so slices are read in groups of TOGETHER, in one stage for each group.
+    """
     spark = df.sparkSession
     total = packed.agg(F.sum("n")).first()[0] or 0
     slices = max(1, -(-total // SLICE))
     names = [f"w{k + 1}" for k in range(longest)]
-    cuts = 2 * (longest - 1)
-    found, tables = None, []
+    plain = "lang string, " + ", ".join(f"{n} long" for n in names) + ", a long"
+    tables = []
     for s in range(slices):
         table = perfect_hash(packed, s, slices, longest)
-        counts = counted(df, table, words, phrases, longest)
-        shared = spark.sparkContext.broadcast((table, counts))
-        tables.append(shared)
+        tables.append(spark.sparkContext.broadcast((table, counted(df, table, words, phrases, longest))))
+    groups = [tables[i : i + TOGETHER] for i in range(0, slices, TOGETHER)]
 
-        def give(shared=shared):
-            table, counts = shared.value
+    def finish(out: dict[str, list], parts: np.ndarray, last: bool) -> dict[str, list]:
+        return out | (lowest_cuts(out["a"], parts) if last else {"parts": [p.tobytes() for p in parts]})
+
+    def first(own) -> Callable:
+        def make():
+            held = [t.value for t in groups[0]]
+            table, counts = own.value
 
             def work(rows):
-                tuples = np.frombuffer(b"".join(rows["packed"]), np.uint64).reshape(-1, longest)
-                real, at = table.find(tuples)
-                tuples, a = tuples[real], counts[at]
-                use = (a >= least) & (tuples[:, 1] > 0)
-                tuples, a = tuples[use], a[use]
-                return {n: tuples[:, k].view(np.int64) if len(tuples) else [] for k, n in enumerate(names)} | {"a": a, "parts": [bytes(8 * cuts)] * len(a)}
+                out: dict[str, list] = {n: [] for n in ("lang", *names, "a")}
+                every = []
+                for lang, p in zip(rows["lang"], rows["packed"], strict=True):
+                    tuples = opened_rows([p], longest)
+                    a = counts[table.find(tuples)[1]]  # all of them are keys
+                    use = (a >= least) & (tuples[:, 1] > 0)
+                    every.append(tuples[use])
+                    for k, n in enumerate(names):
+                        out[n] += tuples[use, k].copy().view(np.int64).tolist()
+                    out["a"] += a[use].tolist()
+                    out["lang"] += [lang] * int(use.sum())
+                parts = np.zeros((len(out["a"]), 2 * (longest - 1)), dtype=np.int64)
+                read_parts(np.concatenate(every), parts, held)
+                return finish(out, parts, len(groups) == 1)
 
             return work
 
-        own = packed.where(F.col("bucket") % slices == s).select("packed")
-        rows = common.map_rows(own, give, ", ".join(f"{n} long" for n in names) + ", a long, parts binary")
-        found = rows if found is None else found.unionByName(rows)
-    found = common.checkpointed(found)
+        return make
 
-    def reader(group: list):
+    def further(group: list, last: bool) -> Callable:
         def make():
-            held = [s.value for s in group]
+            held = [t.value for t in group]
 
             def work(rows):
-                tuples = np.array([rows[n] for n in names], dtype=np.int64).view(np.uint64).T.reshape(-1, longest)
-                width = (tuples > 0).sum(axis=1)
-                parts = np.frombuffer(b"".join(rows["parts"]), np.int64).reshape(-1, cuts).copy()
-                for k in range(1, longest):
-                    for side in (0, 1):
-                        asked = np.zeros_like(tuples)
-                        if side == 0:
-                            asked[:, :k] = tuples[:, :k]
-                        else:
-                            asked[:, : longest - k] = tuples[:, k:]
-                        here = np.flatnonzero(width > k)
-                        for table, counts in held:
-                            real, at = table.find(asked[here])
-                            parts[here[real], 2 * (k - 1) + side] = counts[at]
-                return {n: rows[n] for n in (*names, "a")} | {"parts": [p.tobytes() for p in parts]}
+                tuples = np.array([rows[n] for n in names], dtype=np.int64).view(np.uint64).T
+                parts = np.frombuffer(b"".join(rows.pop("parts")), np.int64).reshape(len(tuples), -1).copy()
+                read_parts(tuples, parts, held)
+                return finish(rows, parts, last)
 
             return work
 
         return make
 
-    for i in range(0, slices, TOGETHER):
-        found = common.map_rows(found, reader(tables[i : i + TOGETHER]), ", ".join(f"{n} long" for n in names) + ", a long, parts binary")
-        found = common.checkpointed(found)
-    return found
-
-
-def scored(found: DataFrame, longest: int) -> DataFrame:
-    """The lowest-scoring cut of each phrase: k, l, r, score; parts hold the counts (l, r) of each cut."""
-    names = [f"w{k + 1}" for k in range(longest)]
-
-    def make():
-        def work(rows):
-            out: dict[str, list] = {n: [] for n in ("l", "r", "score")}
-            for a, p in zip(rows["a"], rows["parts"], strict=True):
-                cuts = np.frombuffer(p, np.int64).tolist()
-                score, _, left, right = min((1_000_000 * a * a // (cuts[i] * cuts[i + 1]), i, cuts[i], cuts[i + 1]) for i in range(0, len(cuts), 2) if cuts[i] and cuts[i + 1])
-                for n, v in zip(out, (left, right, score), strict=True):
-                    out[n].append(v)
-            return {n: rows[n] for n in (*names, "a")} | out
-
-        return work
-
-    return common.map_rows(found, make, ", ".join(f"{n} long" for n in names) + ", a long, l long, r long, score long")
+    schema = lambda last: plain + (", l long, r long, score long" if last else ", parts binary")
+    found = None
+    for s, own in enumerate(tables):
+        rows = common.map_rows(packed.where(F.col("bucket") % slices == s).select("lang", "packed"), first(own), schema(len(groups) == 1))
+        found = rows if found is None else found.unionByName(rows)
+    for g, group in enumerate(groups[1:], 2):
+        found = common.map_rows(common.checkpointed(found), further(group, g == len(groups)), schema(g == len(groups)))
+    return common.checkpointed(found)
 
 
 def without_inner(rows: DataFrame, longest: int, inside_of: int) -> DataFrame:
     """Rows that lie in no longer phrase with inside_of hundredths of their count or more."""
     names = [f"w{k + 1}" for k in range(longest)]
+    out = rows.where(F.col(names[-1]) != 0)
     for width in range(2, longest):
-        runs_of = [F.array(*[F.col(n) for n in names[i : i + width]]) for i in range(longest - width + 1)]
-        longer = rows.where(F.col(names[width]) != 0).select("a", F.explode(F.array(*runs_of)).alias("run"))
-        longer = longer.where(F.element_at("run", width) != 0).groupBy("run").agg(F.max("a").alias("most"))
-        longer = longer.select(*[(F.element_at("run", k + 1) + 0).alias(n) for k, n in enumerate(names[:width])], *[F.lit(0).cast("long").alias(n) for n in names[width:]], "most")
-        rows = rows.join(longer, names, "left").where(F.col("most").isNull() | (100 * F.col("most") < inside_of * F.col("a"))).drop("most")
-    return rows
+        within = [F.struct(*[F.col(n).alias(f"x{k}") for k, n in enumerate(names[i : i + width])]) for i in range(longest - width + 1)]
+        longer = rows.where(F.col(names[width]) != 0).select("a", F.explode(F.array(*within)).alias("run"))
+        longer = longer.where(F.col(f"run.x{width - 1}") != 0).groupBy("run").agg(F.max("a").alias("most"))
+        longer = longer.select(*[(F.col(f"run.x{k}") + 0).alias(n) for k, n in enumerate(names[:width])], "most")
+        own = rows.where((F.col(names[width - 1]) != 0) & (F.col(names[width]) == 0)).join(longer, names[:width], "left")
+        out = out.unionByName(own.where(F.col("most").isNull() | (100 * F.col("most") < inside_of * F.col("a"))).drop("most"))
+    return out
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, first: int = FIRST, inside_of: int = INSIDE) -> DataFrame:
@@ -462,11 +531,11 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     names = common.checkpointed(names)
     if names.groupBy("word").count().where("count > 1").limit(1).count():
         raise RuntimeError("two words of one language share a hash of 64 bits; change the multipliers in words.py")
-    found = scored(phrases_with_counts(given, packed, words, phrases, least, longest), longest)
-    found = without_inner(common.checkpointed(found), longest, inside_of)
+    found = without_inner(phrases_with_counts(given, packed, words, phrases, least, longest), longest, inside_of)
+    # words are joined to those alone that may be among the first: by score and count, ties included
+    found = found.withColumn("at_best", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("at_best") <= first)
     for k in range(1, longest + 1):
-        own = names.select((F.col("word") + 0).alias(f"w{k}"), F.col("text").alias(f"t{k}"), *([F.col("lang").alias("lang")] if k == 1 else []))
-        found = found.join(own, f"w{k}", "left")
+        found = found.join(names.select((F.col("word") + 0).alias(f"w{k}"), F.col("text").alias(f"t{k}")), f"w{k}", "left")
     phrase = F.array_join(F.array_compact(F.array(*[F.col(f"t{k}").cast("string") for k in range(1, longest + 1)])), " ")
     n = total_words(given)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase"))
