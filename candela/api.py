@@ -184,7 +184,7 @@ class Market:
     @tool
     def order_block_screener_scan(self, symbols: list[str] | None = None, atr_period: int = 14, impulse_atr_mult: float = 1.0, max_zone_age_bars: int = 20) -> dict:
         rows, lacking = self._many(symbols)
-        found, failed = screener.order_block_scan(rows, atr_period, impulse_atr_mult, max_zone_age_bars)
+        found, failed = screener.order_block_scan(rows, atr_period, impulse_atr_mult, max_zone_age_bars, fetched=True)
         horizons = [{**f, "timeframe": t, "window_days": d} for f in lacking for t, d, _ in screener.HORIZONS]
         return self._outcome(records(found), sorted(horizons + records(failed), key=lambda f: (f["symbol"], f["timeframe"], f["window_days"], f["reason"])))
 

@@ -259,3 +259,13 @@ def test_texts_for_display(spark):
     assert got == [("1.2346", "1.23%", "1.2", "a@\u200bb ...", "bullish"), ("N/A", "N/A", "N/A", None, "neutral"), ("N/A", "N/A", "N/A", "x", "bearish"), ("N/A", "N/A", "N/A", "abc", "neutral")]
     scores = spark.createDataFrame([(0.75,), (55.0,), (0.1,), (140.0,), (None,)], "s double").select(display.hundredths(c("s")).alias("h")).select("h", display.score_mark(c("h"))).collect()
     assert [tuple(r) for r in scores] == [(75.0, "good"), (55.0, "fair"), (10.0, "poor"), (100.0, "good"), (None, "")]
+
+
+def test_order_block_scan_measures_impulses_over_the_whole_history(spark):
+    wild, flat = [(100, 150, 50, 100, 1)] * 20, (102, 102.5, 101.5, 102, 1)
+    calm = [(100, 101, 99, 100, 1), (100, 101, 99, 100, 1), (100, 100.5, 98, 99, 1), (99, 103, 99, 102, 1), *[flat] * 20]
+    bars = make(spark, wild + calm)
+    found, failed = screener.order_block_scan(bars)
+    assert found.where("timeframe = '1h'").count() == 0 and failed.where("timeframe = '1h'").count() == 1
+    # the tool sees 24 bars, in whose first no average is known
+    assert screener.order_block_scan(bars, fetched=True)[0].where("timeframe = '1h'").first().zone_low == 98
