@@ -1,7 +1,7 @@
 """Backtest engine, metrics, walk-forward evaluation and ranking of strategies.
 
 A signal of one bar is filled at the open of the next. The engine is one pass over a key's bars; the keys (symbol, or
-symbol and strategy, or symbol and split) are independent groups of one Arrow group-map.
+symbol and strategy, or symbol and split) are independent groups of one exchange.
 """
 
 from __future__ import annotations
@@ -11,17 +11,18 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import COMMISSION, SLIPPAGE_BPS, commission, slipped
 from ..session import checkpointed
+from .groups import map_groups
 
 CAPITAL = 100_000.0
 
 # Whole-number signals of older callers.
 NUMBERED = {1: "long_entry", -1: "long_exit", 0: "hold"}
+KINDS = ("trade", "equity", "error")
 ACTIONS = ("long_entry", "long_exit", "short_entry", "short_exit", "hold")
 
 
@@ -94,29 +95,30 @@ class Engine:
         return out
 
 
-def simulate(signalled: DataFrame, keys: tuple[str, ...] = ("symbol",), capital: float = CAPITAL, rate: float = COMMISSION, bps: float = SLIPPAGE_BPS) -> DataFrame:
-    """keys, kind (trade, equity or error) and the fields of each; a group with an impossible order gives its error."""
-    keyed = ", ".join(f"{k} {t}" for k, t in signalled.select(*keys).dtypes)
+def simulate(signalled: DataFrame, keys: tuple[str, ...] = ("symbol",), capital: float = CAPITAL, rate: float = COMMISSION, bps: float = SLIPPAGE_BPS, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """keys, kind (trade, equity or error; those of `kinds`) and the fields of each; a group with an impossible order gives its error."""
     trade = {"i": "long", "ts": "timestamp_ntz", "equity": "double", "side": "string", "entry_ts": "timestamp_ntz", "exit_ts": "timestamp_ntz", "entry_price": "double", "exit_price": "double", "size": "double", "gross_pnl": "double", "net_pnl": "double", "commission": "double", "bars_held": "long", "error": "string"}
 
-    pandas_types = {"long": "Int64", "double": "float64", "string": object, "timestamp_ntz": "datetime64[us]"}
+    def run(ts: np.ndarray, open: np.ndarray, close: np.ndarray, signal: np.ndarray) -> dict[str, list]:  # noqa: A002
+        engine, ts = Engine(capital, rate, bps), ts.tolist()
+        out: dict[str, list] = {n: [] for n in ("kind", *trade)}
+
+        def tell(kind: str, rows: int, **found: Sequence) -> None:
+            if kind in kinds:
+                for n, held in out.items():
+                    held.extend([kind] * rows if n == "kind" else found.get(n, [None] * rows))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        engine, ts = Engine(capital, rate, bps), list(pdf["ts"])
         try:
-            curve = engine.run(list(pdf["signal"]), list(pdf["open"]), list(pdf["close"]), ts)
-            rows = [{"kind": "equity", "i": i, "ts": t, "equity": e, "side": side} for i, (t, e, side) in enumerate(zip(ts[1:], curve, engine.sides, strict=True), 1)]
-            rows += [{"kind": "trade", "i": i, **t} for i, t in enumerate(engine.trades, 1)]
+            curve = engine.run(signal.tolist(), open.tolist(), close.tolist(), ts)
+            tell("equity", len(curve), i=range(1, len(ts)), ts=ts[1:], equity=curve, side=engine.sides)
+            done = engine.trades
+            tell("trade", len(done), i=range(1, len(done) + 1), **{n: [t[n] for t in done] for n in (done[0] if done else ())})
         except ValueError as e:
-            rows = [{"kind": "error", "error": str(e)}]
-        columns = {k: pd.Series([pdf[k].iloc[0]] * len(rows), dtype=object) for k in keys} | {"kind": pd.Series([r["kind"] for r in rows], dtype=object)}
-        for name, type_ in trade.items():
-            columns[name] = pd.Series([r.get(name) for r in rows], dtype=pandas_types[type_])
-        return pd.DataFrame(columns)
-
-    given = signalled.select(*keys, "ts", "open", "close", "signal")
-    out = given.groupBy(*keys).applyInPandas(run, f"{keyed}, kind string, " + ", ".join(f"{n} {t}" for n, t in trade.items()))
+            tell("error", 1, error=[str(e)])
+        return out
+
+    given = signalled.select(*keys, "ts", F.col("open").cast("double"), F.col("close").cast("double"), "signal")
+    out = map_groups(given, keys, "ts", run, "kind string, " + ", ".join(f"{n} {t}" for n, t in trade.items()))
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n, t in trade.items() if t == "double"})
 
 

@@ -1,4 +1,4 @@
-"""Indicators in which each row follows from the one before: one Arrow group-map on the symbol, linear in its rows.
+"""Indicators in which each row follows from the one before: one exchange on the symbol, linear in its rows.
 
 The kernels take and give arrays, so they can be tested and used apart from Spark. Two families of seeds live side by
 side: those of the plain recurrences, and those seeded by a simple mean (names ending in `_sma_seed`).
@@ -13,22 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import map_groups
+
 
 def by_symbol(bars: DataFrame, columns: tuple[str, ...], kernel: Callable[..., dict[str, np.ndarray]], out: str, least: int = 1) -> DataFrame:
     """symbol, ts and what the kernel makes of the columns' arrays in order of ts; no rows for shorter symbols."""
-    schema = "symbol string, ts timestamp_ntz, " + out
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        names = [p.split()[0] for p in out.split(",")]
-        if len(pdf) < least:
-            return pd.DataFrame({c: pd.Series(dtype="object") for c in ("symbol", "ts", *names)}).iloc[:0]
-        found = kernel(*(pdf[c].to_numpy(dtype=float) for c in columns))
-        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "ts": pdf["ts"].to_numpy(), **{n: found[n] for n in names}})
-
-    given = bars.dropna(subset=list(columns)).select("symbol", "ts", *columns)
-    result = given.groupBy("symbol").applyInPandas(run, schema)
     names = [p.split()[0] for p in out.split(",")]
+
+    def run(ts: np.ndarray, **given: np.ndarray) -> dict[str, np.ndarray]:
+        if len(ts) < least:
+            return dict.fromkeys(("ts", *names), ts[:0])
+        return {"ts": ts, **kernel(*(given[c] for c in columns))}
+
+    given = bars.dropna(subset=list(columns)).select("symbol", "ts", *[F.col(c).cast("double") for c in columns])
+    result = map_groups(given, ("symbol",), "ts", run, "ts timestamp_ntz, " + out)
     return result.select("symbol", "ts", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
 
 
@@ -52,8 +50,8 @@ def wilder(x: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
         return out
     y = float(np.mean(x[skip : skip + n]))
     out[skip + n - 1] = y
-    for i in range(skip + n, len(x)):
-        y = (y * (n - 1) + x[i]) / n
+    for i, v in enumerate(x[skip + n :].tolist(), skip + n):
+        y = (y * (n - 1) + v) / n
         out[i] = y
     return out
 
@@ -65,9 +63,9 @@ def smma(x: np.ndarray, n: int) -> np.ndarray:
         return out
     y = float(np.mean(x[:n]))
     out[n - 1] = y
-    for i in range(n, len(x)):
-        if not np.isnan(x[i]):
-            y = y * (1 - 1 / n) + x[i] / n
+    for i, v in enumerate(x[n:].tolist(), n):
+        if v == v:
+            y = y * (1 - 1 / n) + v / n
         out[i] = y
     return out
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import recurrence as rec
 from . import windows as win
+from .groups import map_groups
 from .levels import in_session
 
 HOLD = "hold"
@@ -128,10 +130,13 @@ def last_extremes(close: np.ndarray, look: int = 10) -> tuple[np.ndarray, np.nda
     return low, high
 
 
-def rsi_machine(pdf: pd.DataFrame, oversold: float = 30.0, overbought: float = 70.0, confirm: bool = False, atr_mult: float = 1.5, reward: float = 2.0, look: int = 10) -> Iterator[str]:
+_RsiRow = namedtuple("_RsiRow", ("open", "high", "low", "close", "rsi", "atr", "cross", "divergence"))
+
+
+def rsi_actions(given: dict[str, np.ndarray], oversold: float = 30.0, overbought: float = 70.0, confirm: bool = False, atr_mult: float = 1.5, reward: float = 2.0, look: int = 10) -> Iterator[str]:
     held: Position | None = None
-    lows, highs = last_extremes(pdf["close"].to_numpy(dtype=float), look)
-    for i, r in enumerate(pdf.itertuples()):
+    lows, highs = last_extremes(given["close"], look)
+    for i, r in enumerate(map(_RsiRow._make, zip(*(given[c].tolist() for c in _RsiRow._fields), strict=True))):
         action = HOLD
         if held is not None:
             if held.hit(r) or r.cross == ("bullish" if held.side == "long" else "bearish"):
@@ -142,20 +147,53 @@ def rsi_machine(pdf: pd.DataFrame, oversold: float = 30.0, overbought: float = 7
                 side = None
             if side:
                 sign = 1 if side == "long" else -1
-                swing, width = (lows if sign > 0 else highs)[i], atr_mult * r.atr
+                swing, width = float((lows if sign > 0 else highs)[i]), atr_mult * r.atr
                 stop = swing - sign * width if swing == swing and width == width else r.close - sign * width if width == width else r.close * (1 - sign * 0.05)
                 action, held = f"{side}_entry", Position(side, stop, r.close + sign * reward * abs(r.close - stop))
         yield action
 
 
+def rsi_machine(pdf: pd.DataFrame, oversold: float = 30.0, overbought: float = 70.0, confirm: bool = False, atr_mult: float = 1.5, reward: float = 2.0, look: int = 10) -> Iterator[str]:
+    words = ("cross", "divergence")
+    given = {c: pdf[c].to_numpy(dtype=object if c in words else float) if c in pdf else np.full(len(pdf), None if c in words else np.nan, dtype=object if c in words else float) for c in _RsiRow._fields}
+    return rsi_actions(given, oversold, overbought, confirm, atr_mult, reward, look)
+
+
+def _where(good: np.ndarray, least: int, kernel: Callable[..., np.ndarray], *columns: np.ndarray) -> np.ndarray:
+    """What the kernel makes of the good rows, in their places; nan elsewhere and where they are too few."""
+    out = np.full(len(good), np.nan)
+    if np.count_nonzero(good) >= least:
+        out[good] = kernel(*(c[good] for c in columns))
+    return out
+
+
+def crosses(rsi: np.ndarray, threshold: float = 50.0) -> np.ndarray:
+    """bullish or bearish where rsi passes the threshold, as `windows.rsi_cross` gives it; None elsewhere."""
+    out, at = np.full(len(rsi), None, dtype=object), np.flatnonzero(~np.isnan(rsi))
+    above = rsi[at] >= threshold
+    turned = np.flatnonzero(above[1:] != above[:-1]) + 1
+    out[at[turned]] = np.where(above[turned], "bullish", "bearish")
+    return out
+
+
 def rsi_reversion(bars: DataFrame, period: int = 14, oversold: float = 30.0, overbought: float = 70.0, confirm: bool = False, atr_mult: float = 1.5, reward: float = 2.0) -> DataFrame:
-    """Entries at extremes of rsi, with `confirm` only together with a divergence."""
-    strength = rec.rsi_frame(bars, period)
-    cross = win.rsi_cross(strength).select("symbol", "ts", F.col("direction").alias("cross"))
-    divergence = win.rsi_divergence(strength).select("symbol", "ts", "divergence")
-    rows = bars.join(strength.select("symbol", "ts", "rsi"), ["symbol", "ts"], "left").join(rec.atr_frame(bars, 14), ["symbol", "ts"], "left")
-    rows = rows.join(cross, ["symbol", "ts"], "left").join(divergence, ["symbol", "ts"], "left")
-    return _run(rows, lambda pdf: rsi_machine(pdf, oversold, overbought, confirm, atr_mult, reward))
+    """Entries at extremes of rsi, with `confirm` only together with a divergence.
+
+    Strength, range and crosses are made where the machine runs, so bars are dealt once and joined with nothing; only divergences are.
+    """
+    rows = bars.withColumn("divergence", F.lit(None).cast("string"))
+    if confirm:
+        rows = bars.join(win.rsi_divergence(rec.rsi_frame(bars, period)).select("symbol", "ts", "divergence"), ["symbol", "ts"], "left")
+
+    def run(ts, open, high, low, close, divergence):  # noqa: A002
+        known = ~np.isnan(close)
+        rsi = _where(known, period + 1, lambda c: rec.rsi(c, period), close)
+        atr = _where(known & ~np.isnan(high) & ~np.isnan(low), 14, rec.atr, high, low, close)
+        given = {"open": open, "high": high, "low": low, "close": close, "rsi": rsi, "atr": atr, "cross": crosses(rsi), "divergence": divergence}
+        return {"ts": ts, "signal": list(rsi_actions(given, oversold, overbought, confirm, atr_mult, reward))}
+
+    rows = rows.select("symbol", "ts", *[F.col(c).cast("double") for c in ("open", "high", "low", "close")], "divergence")
+    return map_groups(rows, ("symbol",), "ts", run, "ts timestamp_ntz, signal string")
 
 
 def breakout_machine(pdf: pd.DataFrame, atr_mult: float = 1.5, reward: float = 2.0) -> Iterator[str]:

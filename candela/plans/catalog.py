@@ -158,7 +158,7 @@ on_bars(
     signals_pdh=strat.pdh_session,
     signals_order_blocks=strat.order_blocks,
     signals_elliott=strat.elliott_simplified,
-    backtest_trades=lambda b: bt.trades_of(_simulated(b, strat.rsi_reversion)),
+    backtest_trades=lambda b: bt.trades_of(_simulated(b, strat.rsi_reversion, ("trade",))),
     backtest_equity=lambda b: bt.equity_of(_simulated(b, strat.rsi_reversion)),
     backtest_metrics=lambda b: bt.metrics(_simulated(b, strat.rsi_reversion)),
     compare_strategies=lambda b: bt.compare(b, strat.STRATEGIES),
@@ -188,7 +188,7 @@ on_bars(
     by_user,
     session_scan_failures_by_user=lambda b: scr.session_scan(b, "ny")[1],
     order_block_scan_by_user=lambda b: scr.order_block_scan(b)[0],
-    backtest_trades_by_user=lambda b: bt.trades_of(_simulated(b, strat.rsi_reversion)),
+    backtest_trades_by_user=lambda b: bt.trades_of(_simulated(b, strat.rsi_reversion, ("trade",))),
     rsi_extremes_by_user=lambda b: win.rsi_extremes(rec.rsi_frame(b)),
 )
 on_bars(
@@ -208,8 +208,8 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumn("filters_matched", F.array_join("filters_matched", ","))
 
 
-def _simulated(bars: DataFrame, strategy: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return bt.simulate(bt.normalize_signals(bars, strategy(bars)))
+def _simulated(bars: DataFrame, strategy: Callable[[DataFrame], DataFrame], kinds: tuple[str, ...] = bt.KINDS) -> DataFrame:
+    return bt.simulate(bt.normalize_signals(bars, strategy(bars)), kinds=kinds)
 
 
 def _by_hour(bars: DataFrame) -> DataFrame:

@@ -128,3 +128,34 @@ def test_machines_take_time_in_proportion_to_the_bars(machine):
         assert sum(1 for _ in machine(pdf)) == n
         took[n] = time.process_time() - began
     assert took[50_000] < 30 * max(took[5_000], 0.05)
+
+
+def test_groups_are_whole_whatever_the_batches(spark):
+    """Many small groups and one that passes through several batches, each seen once and whole, in order; no pandas frame a group."""
+    from pyspark.sql import functions as F
+
+    from candela.operators.groups import map_groups
+
+    rows = spark.range(30_000).select(F.when(F.col("id") < 25_000, "long").otherwise(F.concat(F.lit("s"), F.floor(F.col("id") / 2))).alias("symbol"), F.timestamp_micros(-F.col("id")).cast("timestamp_ntz").alias("ts"), F.col("id").cast("double").alias("x"))
+    rows = rows.unionByName(spark.sql("select cast(null as string) as symbol, timestamp_ntz '2024-01-01' as ts, 1.0D as x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        got = map_groups(rows, ("symbol",), "ts", lambda ts, x: {"n": [len(x)], "sorted": [bool((ts[1:] > ts[:-1]).all())], "last": x[-1:]}, "n long, sorted boolean, last double").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 2502 and all(r.sorted for r in got)
+    assert {r.symbol: (r.n, r.last) for r in got if r.symbol in ("long", None)} == {"long": (25_000, 0.0), None: (1, 1.0)}
+    assert {r.n for r in got if r.symbol not in ("long", None)} == {2}
+
+
+def test_simulation_of_many_symbols_takes_no_milliseconds_a_symbol(spark):
+    """20,000 symbols of two bars; with a pandas frame for each this did not end within 100 s."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    bars = spark.range(40_000).select(F.floor(F.col("id") / 2).cast("string").alias("symbol"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"), *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    began = time.monotonic()
+    done = backtest.simulate(backtest.normalize_signals(bars, strategies.rsi_reversion(bars)))
+    assert done.where("kind = 'equity'").count() == 20_000
+    assert time.monotonic() - began < 25
