@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -14,6 +15,8 @@ from ..functions.symbols import FEED_QUOTES, POST_QUOTES, base_token
 # Boosts of keywords in the order in which they claim their place; names of tokens; weights and bounds.
 BOOSTS = (("to the moon", 0.15), ("alts are up", 0.15), ("bullish", 0.15), ("moon", 0.15), ("pump", 0.15), ("rugpull", -0.15), ("bearish", -0.15), ("dump", -0.15), ("crash", -0.15), ("rug", -0.15), ("bear", -0.15))
 ALIASES = {"BTC": ("bitcoin",), "ETH": ("ethereum",), "DOGE": ("dogecoin",), "SOL": ("solana",), "ADA": ("cardano",), "XRP": ("ripple",), "LTC": ("litecoin",), "BNB": ("binance coin",)}
+#: So many of the first boosts are of terms that hold a later one.
+_CLAIMING = 1
 POST_WEIGHT, FEED_WEIGHT = 0.4, 0.6
 BOUND = 0.05
 
@@ -22,16 +25,28 @@ def keyword_boost(text: Column) -> Column:
     """Sum of the boosts of the terms found as whole words, within -1 and 1.
 
     A term counts once, at its first place that no earlier term has claimed. Terms only overlap where one is a word of
-    another, so the claimed places are blanked before the next term is looked for.
+    another, so the claimed places are blanked before the next term is looked for. Expressions are tried on texts alone that
+    hold the letters of a term, and the text is lower-cased once.
     """
-    rest, total = F.lower(F.coalesce(text, F.lit(""))), F.lit(0.0)
-    for term, boost in BOOSTS:
-        pattern = rf"(?U)\b{term}\b"
-        total = total + F.when(rest.rlike(pattern), F.lit(boost)).otherwise(0.0)
-        rest = _blank_first(rest, pattern, term) if any(term != t and t in term.split() for t, _ in BOOSTS) else rest
+
+    def boosted(lower: Column) -> Column:
+        total = _boosts(lower, BOOSTS[:_CLAIMING], F.lit(0.0))
+        rest = reduce(lambda t, term: F.when(F.contains(t, F.lit(term)), _blank_first(t, rf"(?U)\b{term}\b", term)).otherwise(t), [t for t, _ in BOOSTS[:_CLAIMING]], lower)
+        return _bound(rest, lambda t: _boosts(t, BOOSTS[_CLAIMING:], total))
+
+    total = _bound(F.lower(F.coalesce(text, F.lit(""))), boosted)
     return F.greatest(F.least(total, F.lit(1.0)), F.lit(-1.0))
 
 
+def _boosts(lower: Column, boosts: tuple[tuple[str, float], ...], total: Column) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(F.contains(lower, F.lit(term)) & lower.rlike(rf"(?U)\b{term}\b"), F.lit(boost)).otherwise(0.0) for term, boost in boosts], total)
+
+
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """A column of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _blank_first(text: Column, pattern: str, term: str) -> Column:
     """text with its first match replaced by signs that are no part of a word."""
     return F.regexp_replace(text, rf"(?s)^(.*?){pattern}", "$1" + "#" * len(term))
@@ -146,9 +161,9 @@ def lexicon_scores(texts: DataFrame, lexicon: DataFrame, keys: list[str] | None
 def score_texts(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", method: str = "rules") -> DataFrame:
     """Lexicon scores, keyword boost, and their sum within -1 and 1."""
     found = lexicon_scores(texts, lexicon, keys, text, method)
-    boost = keyword_boost(F.col(text))
+    boost = F.col("_boost")
     final = F.greatest(F.least(F.col("compound") + boost, F.lit(1.0)), F.lit(-1.0))
-    return found.withColumns({"keyword_boost": F.round(boost, 4), "final_score": F.round(final, 4)})
+    return found.withColumn("_boost", keyword_boost(F.col(text))).withColumns({"keyword_boost": F.round(boost, 4), "final_score": F.round(final, 4)}).drop("_boost")
 
 
 def summarize(scored: DataFrame, by: list[str], score: str = "final_score") -> DataFrame:

@@ -159,3 +159,22 @@ def test_simulation_of_many_symbols_takes_no_milliseconds_a_symbol(spark):
     done = backtest.simulate(backtest.normalize_signals(bars, strategies.rsi_reversion(bars)))
     assert done.where("kind = 'equity'").count() == 20_000
     assert time.monotonic() - began < 25
+
+
+def test_rules_look_each_plain_word_up_once():
+    """The words near are only judged where one of them is of account to a rule."""
+    from candela.functions import valence
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, word):
+            self.asked += 1
+            return super().__contains__(word)
+
+    lexicon = Counted({"good": 1.9, "awful": -2.5})
+    text = "a good day and a dull, awful day " * 500
+    found = valence.ruled(text, lexicon)
+    assert lexicon.asked <= 4000 and found["neu"] == pytest.approx(3000 / (3000 + 500 * 2.9 + 500 * 3.5))
+    for near in ("not good", "GOOD but awful", "very good", "isn't so good", "no good or awful", "kind of good"):
+        assert valence.ruled(near, lexicon) != valence.ruled("good", lexicon)
