@@ -2,18 +2,18 @@
 
 A word of a language is a 64-bit hash of both; that no two candidate words share one is checked before anything is
 counted by it. Two passes over the texts find candidates by Apriori, two count them:
-1. hashed counters of words, kept sparse: of 2^32 slots in each bucket only those that were met. A slot's count is at least that
+1. hashed counters of words, kept sparse: of 2^26 slots in each bucket only those that were met. A slot's count is at least that
    of each of its words, so a word in a light slot is no part of any candidate.
-2. the same for phrases all of whose words may be frequent.
+2. the same for phrases all of whose words may be frequent; those words are told with it, and numbered.
 3. candidates: phrases whose own slot, whose words and whose shorter phrases are all heavy. Each task tells each
-   candidate once, as the hashes of its words.
+   candidate once, as the numbers of its words (as their hashes, where a word has no number).
 4. a minimal perfect hash over a slice of the candidates gives each a slot, where its words are stored. Tasks look up
    their phrases, check them against the stored words, and count by slot in one array (`np.bincount`); the arrays are
    summed in a tree. With more candidates than one slice holds, slices are counted one after another.
 Counts of parts are then read by slot, and cuts are scored with Python's integers.
 
 Tables that go to all tasks are bounded: bit tables of heavy slots by `TABLE_BITS` (when they are full, more candidates pass, and no
-frequent one is lost), a slice by `SLICE` candidates.
+frequent one is lost), numbered words by `WORDS` (those beyond travel as hashes), a slice by `SLICE` candidates.
 
 Cases: null text counts as empty, null language as `und`; empty pieces have no words; texts are read whole, words may be of any length;
 repeated rows count each; an empty table, or one without frequent phrases, gives an empty result; extra columns are ignored.
@@ -27,12 +27,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .simhash import mix
-from .words import group_starts, inside, runs, words_of
+from .words import among, group_starts, inside, runs, words_of
 
 LEAST, LONGEST, FIRST, INSIDE = 10, 3, 2000, 50
 #: Bytes as they count: A-Z lower-cased, ends of pieces as line ends.
@@ -42,13 +43,16 @@ _KEPT = inside(b" \t\n")
 _SPACES = bytes(97 if _KEPT[_BYTES[b]] else 32 for b in range(256))
 #: Bits of a table of heavy slots at most, and for each of them; candidates of a slice.
 TABLE_BITS, BITS_EACH, SLICE = 1 << 30, 16, 2_000_000
+#: Words that have a number at most; as many bits as three numbers in 64.
+WORDS = (1 << 21) - 1
 #: Bytes of text whose phrases share a bucket; hashes and candidates that a task gathers before it tells them; slots of a block of counts.
 SHARE, GATHER, TUPLES, BLOCK = 8 << 20, 3_000_000, 1_000_000, 1 << 16
 #: Bytes of texts that are taken apart at a time.
 PART = 2 << 20
 #: Slices whose counts are read at a time.
 TOGETHER = 4
-_LOW = np.uint64(0xFFFFFFFF)
+#: Slots of a bucket: 24 for each phrase of a bucket's text, if words are of six bytes.
+_LOW = np.uint64((1 << 26) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,46 +175,156 @@ def frequent_runs(part: Part, words: BitTable | None, phrases: BitTable | None,
         shorter = fit
 
 
+def names_told(names: list[tuple[np.ndarray, np.ndarray, list[bytes]]], langs: list[str], buckets: int) -> dict[str, list]:
+    """Words in the columns of slots, in buckets below 0: hashes, lengths, texts."""
+    values, code, texts = np.concatenate([n[0] for n in names]), np.concatenate([n[1] for n in names]), np.array([t for n in names for t in n[2]], dtype=object)
+    bucket = (values % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((values, code, bucket))
+    values, code, texts, bucket = values[order], code[order], texts[order], bucket[order]
+    at = group_starts(bucket * len(langs) + code)
+    out: dict[str, list] = {"bucket": (-1 - bucket[at]).tolist(), "lang": [langs[c] for c in code[at].tolist()], "single": [], "slots": [], "counts": []}
+    for v, t in zip(np.split(values, at[1:]), np.split(texts, at[1:]), strict=True):
+        out["single"].append(squeezed_steps(v))
+        out["slots"].append(squeezed(np.array([len(x) for x in t], dtype=np.uint32)))
+        out["counts"].append(squeezed(np.frombuffer(b"".join(t), np.uint8)))
+    return out
+
+
+def different_names(rows: pa.Table) -> pa.Table:
+    """word, lang, text of what `names_told` gave for a bucket."""
+    parts = []
+    for lang, single, slots_, counts in zip(*[rows[n].to_pylist() for n in ("lang", "single", "slots", "counts")], strict=True):
+        sizes = opened(slots_, np.uint32)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(opened(counts, np.uint8))]).cast(pa.binary())
+        parts.append(pa.table({"word": opened_steps(single, np.uint64).view(np.int64), "lang": pa.array([lang] * len(sizes), pa.string()), "text": texts}))
+    return pa.concat_tables(parts).group_by(["word", "lang", "text"], use_threads=False).aggregate([])
+
+
 def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: BitTable | None, buckets: int, least: int) -> DataFrame:
-    """One row for each bucket: the slots whose counters reach `least`, packed."""
+    """One row for each bucket: the slots whose counters reach `least`, packed. With a table of words also a row for each that it lets through."""
     shared = df.sparkSession.sparkContext.broadcast(words)
 
     def make():
         known = shared.value
         held: list[np.ndarray] = []
+        names: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        codes: dict[str, int] = {}  # languages of the task
+        told = np.empty(0, dtype=np.uint64)
 
         def tell() -> dict[str, list]:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            bucket, slot = slots(keys, buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, slot, counts = bucket[order].astype(np.int64), slot[order].astype(np.uint32), counts[order].astype(np.uint32)
             out: dict[str, list] = {n: [] for n in ("bucket", "single", "slots", "counts")}
-            for s, c, b in zip(np.split(slot, group_starts(bucket)[1:]), np.split(counts, group_starts(bucket)[1:]), bucket[group_starts(bucket)].tolist(), strict=True):
-                several = c > 1
-                for n, v in zip(out, (b, squeezed_steps(s[~several]), squeezed_steps(s[several]), squeezed(c[several])), strict=True):
-                    out[n].append(v)
+            if held:
+                bucket, slot = slots(np.concatenate(held), buckets)
+                held.clear()
+                # by bucket and slot, so that a bucket's slots ascend
+                place, counts = np.unique((bucket << np.uint64(32)) | slot, return_counts=True)
+                bucket, slot, counts = (place >> np.uint64(32)).astype(np.int64), place.astype(np.uint32), counts.astype(np.uint32)
+                for s, c, b in zip(np.split(slot, group_starts(bucket)[1:]), np.split(counts, group_starts(bucket)[1:]), bucket[group_starts(bucket)].tolist(), strict=True):
+                    several = c > 1
+                    for n, v in zip(out, (b, squeezed_steps(s[~several]), squeezed_steps(s[several]), squeezed(c[several])), strict=True):
+                        out[n].append(v)
+            out["lang"] = [None] * len(out["bucket"])
+            if names:
+                more = names_told(names, list(codes), buckets)
+                names.clear()
+                out = {n: out[n] + more[n] for n in out}
             return out
 
+        def name(part: Part, langs: list[str], at: np.ndarray) -> None:
+            nonlocal told
+            values, first = np.unique(part.hashes[at], return_index=True)
+            fresh = ~among(values, told)
+            if fresh.any():
+                told, i = np.sort(np.concatenate([told, values[fresh]])), at[first[fresh]]
+                code_of = np.array([codes.setdefault(x, len(codes)) for x in langs], dtype=np.int64)
+                names.append((values[fresh], code_of[part.text[i]], [part.data[b:e] for b, e in zip(part.starts[i].tolist(), part.ends[i].tolist(), strict=True)]))
+
         def work(rows):
             if rows is None:
-                return tell() if held else None
-            for part, _ in parts_of(rows):
-                held.extend(keys for width, _, keys in frequent_runs(part, known, None, max(widths)) if width in widths and len(keys))
+                return tell() if held or names else None
+            for part, langs in parts_of(rows):
+                for width, at, keys in frequent_runs(part, known, None, max(widths)):
+                    if width == 1 and known is not None:
+                        name(part, langs, at)
+                    if width in widths and len(keys):
+                        held.append(keys)
             return tell() if sum(map(len, held)) >= GATHER else None
 
         return work
 
+    schema = pa.schema({"bucket": pa.int64(), "slots": pa.binary(), "word": pa.int64(), "lang": pa.string(), "text": pa.binary()})
+
     def total(rows: pa.Table) -> pa.Table:
+        if rows["bucket"][0].as_py() < 0:
+            found = different_names(rows)
+            return pa.table({n: found[n] if n in found.column_names else pa.nulls(len(found), schema.field(n).type) for n in schema.names}, schema=schema)
         arrays = {n: np.concatenate([back(x, np.uint32) for x in rows[n].to_pylist()]) for n, back in (("single", opened_steps), ("slots", opened_steps), ("counts", opened))}
         slot, count = np.concatenate([arrays["single"], arrays["slots"]]), np.concatenate([np.ones(len(arrays["single"]), np.int64), arrays["counts"].astype(np.int64)])
         order = np.argsort(slot, kind="stable")
         at = group_starts(slot[order])
         heavy = slot[order][at][np.add.reduceat(count[order], at) >= least] if len(at) else slot
-        return pa.table({"bucket": rows["bucket"][:1], "slots": pa.array([heavy.tobytes()], pa.binary())})
+        return pa.table({"bucket": rows["bucket"][:1], "slots": pa.array([heavy.tobytes()], pa.binary()), "word": pa.nulls(1, pa.int64()), "lang": pa.nulls(1, pa.string()), "text": pa.nulls(1, pa.binary())}, schema=schema)
+
+    told = common.map_rows(df, make, "bucket long, lang string, single binary, slots binary, counts binary", finish=True)
+    return told.groupBy("bucket").applyInArrow(total, "bucket long, slots binary, word long, lang string, text binary")
+
+
+class Vocabulary:
+    """Numbers of words, from 1 on, and the languages of those words. Phrases of words that all have a number are one whole number each."""
 
-    told = common.map_rows(df, make, "bucket long, single binary, slots binary, counts binary", finish=True)
-    return told.groupBy("bucket").applyInArrow(total, "bucket long, slots binary")
+    def __init__(self, hashes: np.ndarray, langs: np.ndarray, names: list[str], longest: int):
+        self.hashes, self.langs, self.names, self.longest, self.bits = hashes, langs, names, longest, np.uint64(64 // longest)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, or 0."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=np.uint64)
+        values, back = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == values, at + 1, 0).astype(np.uint64)[back]
+
+    def coded(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Phrases by the numbers of their first word, second word, and so on."""
+        out = np.zeros(len(columns[0]), dtype=np.uint64)
+        for k, c in enumerate(columns):
+            out |= c << (self.bits * np.uint64(self.longest - 1 - k))
+        return out
+
+    def columns(self, coded: np.ndarray) -> list[np.ndarray]:
+        low = (np.uint64(1) << self.bits) - np.uint64(1)
+        return [(coded >> (self.bits * np.uint64(self.longest - 1 - k))) & low for k in range(self.longest)]
+
+    def rows(self, coded: np.ndarray) -> np.ndarray:
+        """The hashes of the words, one row for each phrase, filled up with zeros."""
+        of = np.concatenate([np.zeros(1, np.uint64), self.hashes])
+        return np.column_stack([of[c.astype(np.int64)] for c in self.columns(coded)])
+
+    def packed(self, coded: np.ndarray) -> bytes:
+        """Ascending phrases by columns, the first by its steps."""
+        first, *others = self.columns(coded)
+        kind = np.uint32 if self.bits <= 32 else np.uint64
+        return squeezed(np.concatenate([np.diff(first, prepend=np.uint64(0)), *others]).astype(kind))
+
+    def opened(self, packed: list[bytes | None]) -> np.ndarray:
+        out = [np.empty(0, dtype=np.uint64)]
+        for p in packed:
+            if p is not None:
+                first, *others = opened(p, np.uint32 if self.bits <= 32 else np.uint64).astype(np.uint64).reshape(self.longest, -1)
+                out.append(self.coded([np.cumsum(first, dtype=np.uint64), *others]))
+        return np.concatenate(out)
+
+
+def vocabulary(names: DataFrame, longest: int) -> Vocabulary:
+    """The words of `names`, or WORDS of them."""
+    n, most = names.count(), min(WORDS, (1 << min(62, 64 // longest)) - 1)
+    own = names.select("word", "lang")
+    if n > most:
+        own = own.where(F.pmod(F.col("word"), F.lit(-(-n // max(1, most)))) == 0)
+    found = own.toArrow()
+    words, first = np.unique(found["word"].to_numpy().view(np.uint64), return_index=True)
+    langs = found["lang"].combine_chunks().dictionary_encode()
+    return Vocabulary(words[:most], langs.indices.to_numpy()[first][:most].astype(np.int32), langs.dictionary.to_pylist(), longest)
 
 
 def tuples_of(part: Part, width: int, at: np.ndarray, longest: int) -> np.ndarray:
@@ -251,65 +365,90 @@ def packed_rows(tuples: np.ndarray) -> bytes:
     return squeezed(np.ascontiguousarray(tuples[np.lexsort(tuples.T[::-1])].T).reshape(-1))
 
 
-def opened_rows(packed: list[bytes], longest: int) -> np.ndarray:
-    return np.concatenate([opened(p, np.uint64).reshape(longest, -1).T for p in packed] or [np.empty((0, longest), np.uint64)])
+def opened_rows(packed: list[bytes | None], longest: int) -> np.ndarray:
+    return np.concatenate([np.empty((0, longest), np.uint64), *[opened(p, np.uint64).reshape(longest, -1).T for p in packed if p is not None]])
+
+
+def every_row(rows: dict[str, list], numbered: Vocabulary) -> np.ndarray:
+    """The candidates of rows with `coded` and `plain`, by hashes."""
+    return np.concatenate([numbered.rows(numbered.opened(rows["coded"])), opened_rows(rows["plain"], numbered.longest)])
 
 
-def candidates(df: DataFrame, words: BitTable, phrases: BitTable, longest: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, lang, n, packed): the different candidates; (word, lang, text): the words that may be frequent."""
+def candidates(df: DataFrame, words: BitTable, phrases: BitTable, numbered: Broadcast, longest: int, buckets: int) -> DataFrame:
+    """bucket, lang, n, coded, plain: the different candidates, those of numbered words and the others."""
     shared = df.sparkSession.sparkContext.broadcast((words, phrases))
 
     def make():
-        tables = shared.value
+        tables, own = shared.value, numbered.value
+        coded: list[np.ndarray] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        told: set[int] = set()
         codes: dict[str, int] = {}  # languages of the task
-        empty = {n: [] for n in ("bucket", "packed", "word", "lang", "text")}
 
-        def tell() -> dict[str, list]:
-            _, rows = fewer(*map(np.concatenate, zip(*held, strict=True)))
-            held.clear()
-            rows, code = rows[:, :longest], rows[:, longest].astype(np.int64)
-            place = (keys_of(rows, 0) % np.uint64(buckets)).astype(np.int64) + code * buckets
+        def dealt(rows: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """The order of rows by bucket and language, where each group begins in it, and the groups' buckets and languages."""
+            place = (keys_of(rows, 0) % np.uint64(buckets)).astype(np.int64) + lang * buckets
             order = np.argsort(place, kind="stable")
             at = group_starts(place[order])
-            n, names = len(at), list(codes)
-            bucket, lang = (place[order][at] % buckets).tolist(), [names[c] for c in (place[order][at] // buckets).tolist()]
-            return {"bucket": bucket, "packed": [packed_rows(x) for x in np.split(rows[order], at[1:])], "word": [None] * n, "lang": lang, "text": [None] * n}
+            return order, at, place[order][at] % buckets, place[order][at] // buckets
+
+        def tell() -> dict[str, list]:
+            out: dict[str, list] = {n: [] for n in ("bucket", "lang", "coded", "plain")}
+            if coded:
+                keys = np.unique(np.concatenate(coded))
+                coded.clear()
+                order, at, bucket, lang = dealt(own.rows(keys), own.langs[own.columns(keys)[0].astype(np.int64) - 1].astype(np.int64))
+                out["bucket"] += bucket.tolist()
+                out["lang"] += [own.names[c] for c in lang.tolist()]
+                out["coded"] += [own.packed(x) for x in np.split(keys[order], at[1:])]
+                out["plain"] += [None] * len(at)
+            if held:
+                _, rows = fewer(*map(np.concatenate, zip(*held, strict=True)))
+                held.clear()
+                rows, lang, names = rows[:, :longest], rows[:, longest].astype(np.int64), list(codes)
+                order, at, bucket, lang = dealt(rows, lang)
+                out["bucket"] += bucket.tolist()
+                out["lang"] += [names[c] for c in lang.tolist()]
+                out["coded"] += [None] * len(at)
+                out["plain"] += [packed_rows(x) for x in np.split(rows[order], at[1:])]
+            return out
+
+        def many() -> int:
+            return sum(map(len, coded)) + 2 * sum(len(k) for k, _ in held)
 
         def work(rows):
             if rows is None:
-                return tell() if held else None
-            out = {n: list(v) for n, v in empty.items()}
+                return tell() if coded or held else None
+            out = None
             for part, langs in parts_of(rows):
                 code_of = np.array([codes.setdefault(x, len(codes)) for x in langs], dtype=np.uint64)
+                number = own.numbers(part.hashes)
                 for width, at, keys in frequent_runs(part, *tables, longest):
-                    if not len(at):
-                        continue
-                    held.append(fewer(keys, np.column_stack([tuples_of(part, width, at, longest), code_of[part.text[at]]])))
-                    if width == 1:
-                        values, first = np.unique(part.hashes[at], return_index=True)
-                        for v, i in zip(values.view(np.int64).tolist(), at[first].tolist(), strict=True):
-                            if v not in told:
-                                told.add(v)
-                                for n, x in zip(out, (None, None, v, langs[part.text[i]], part.data[part.starts[i] : part.ends[i]]), strict=True):
-                                    out[n].append(x)
-                if sum(len(k) for k, _ in held) >= TUPLES:
-                    held[:] = [fewer(*map(np.concatenate, zip(*held, strict=True)))]
-                    if len(held[0][0]) >= TUPLES // 2:
-                        out = {n: out[n] + v for n, v in tell().items()}
+                    columns = [number[at + k] for k in range(width)]
+                    every = np.logical_and.reduce([c > 0 for c in columns])
+                    if every.any():
+                        coded.append(np.unique(own.coded([c[every] for c in columns])))
+                    if not every.all():
+                        at, keys = at[~every], keys[~every]
+                        held.append(fewer(keys, np.column_stack([tuples_of(part, width, at, longest), code_of[part.text[at]]])))
+                if many() >= TUPLES:
+                    if coded:
+                        coded[:] = [np.unique(np.concatenate(coded))]
+                    if held:
+                        held[:] = [fewer(*map(np.concatenate, zip(*held, strict=True)))]
+                    if many() >= TUPLES // 2:
+                        more = tell()
+                        out = more if out is None else {n: out[n] + v for n, v in more.items()}
             return out
 
         return work
 
-    found = common.checkpointed(common.map_rows(df, make, "bucket long, packed binary, word long, lang string, text binary", finish=True))
-
     def differing(rows: pa.Table) -> pa.Table:
-        tuples = once(opened_rows(rows["packed"].to_pylist(), longest))
-        return pa.table({"bucket": rows["bucket"][:1], "lang": rows["lang"][:1], "n": pa.array([len(tuples)], pa.int64()), "packed": pa.array([packed_rows(tuples)], pa.binary())})
+        own = numbered.value
+        coded, plain = np.unique(own.opened(rows["coded"].to_pylist())), once(opened_rows(rows["plain"].to_pylist(), longest))
+        return pa.table({"bucket": rows["bucket"][:1], "lang": rows["lang"][:1], "n": pa.array([len(coded) + len(plain)], pa.int64()), "coded": pa.array([own.packed(coded)], pa.binary()), "plain": pa.array([packed_rows(plain)], pa.binary())})
 
-    packed = found.where("bucket is not null").select("bucket", "lang", "packed").groupBy("bucket", "lang").applyInArrow(differing, "bucket long, lang string, n long, packed binary")
-    return common.checkpointed(packed), found.where("word is not null").select("word", "lang", "text").distinct()
+    told = common.map_rows(df, make, "bucket long, lang string, coded binary, plain binary", finish=True)
+    return common.checkpointed(told.groupBy("bucket", "lang").applyInArrow(differing, "bucket long, lang string, n long, coded binary, plain binary"))
 
 
 class PerfectHash:
@@ -362,10 +501,10 @@ class PerfectHash:
         return real, at[real]
 
 
-def perfect_hash(packed: DataFrame, which: int, slices: int, longest: int) -> PerfectHash:
+def perfect_hash(packed: DataFrame, which: int, slices: int, numbered: Vocabulary) -> PerfectHash:
     """The hash of a slice, of a bounded number of candidates."""
-    own = packed.where(F.col("bucket") % slices == which).select("packed").toArrow()
-    return PerfectHash(opened_rows(own["packed"].to_pylist(), longest))
+    own = packed.where(F.col("bucket") % slices == which).select("coded", "plain").toArrow()
+    return PerfectHash(every_row(own.to_pydict(), numbered))
 
 
 def smallest(counts: np.ndarray) -> np.ndarray:
@@ -438,7 +577,7 @@ def lowest_cuts(a: list[int], parts: np.ndarray) -> dict[str, list]:
     return out
 
 
-def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phrases: BitTable, least: int, longest: int) -> DataFrame:
+def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phrases: BitTable, numbered: Broadcast, least: int, longest: int) -> DataFrame:
     """lang, w1, w2 and so on, a, l, r, score: phrases of two words or more with their lowest-scoring cuts.
 
     The counts of a phrase's parts may stand in any slice, so slices are read in groups of TOGETHER, in one stage for each group.
@@ -450,7 +589,7 @@ def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phras
     plain = "lang string, " + ", ".join(f"{n} long" for n in names) + ", a long"
     tables = []
     for s in range(slices):
-        table = perfect_hash(packed, s, slices, longest)
+        table = perfect_hash(packed, s, slices, numbered.value)
         tables.append(spark.sparkContext.broadcast((table, counted(df, table, words, phrases, longest))))
     groups = [tables[i : i + TOGETHER] for i in range(0, slices, TOGETHER)]
 
@@ -465,8 +604,8 @@ def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phras
             def work(rows):
                 out: dict[str, list] = {n: [] for n in ("lang", *names, "a")}
                 every = []
-                for lang, p in zip(rows["lang"], rows["packed"], strict=True):
-                    tuples = opened_rows([p], longest)
+                for lang, coded, plain in zip(rows["lang"], rows["coded"], rows["plain"], strict=True):
+                    tuples = every_row({"coded": [coded], "plain": [plain]}, numbered.value)
                     a = counts[table.find(tuples)[1]]  # all of them are keys
                     use = (a >= least) & (tuples[:, 1] > 0)
                     every.append(tuples[use])
@@ -499,7 +638,7 @@ def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phras
     schema = lambda last: plain + (", l long, r long, score long" if last else ", parts binary")
     found = None
     for s, own in enumerate(tables):
-        rows = common.map_rows(packed.where(F.col("bucket") % slices == s).select("lang", "packed"), first(own), schema(len(groups) == 1))
+        rows = common.map_rows(packed.where(F.col("bucket") % slices == s).select("lang", "coded", "plain"), first(own), schema(len(groups) == 1))
         found = rows if found is None else found.unionByName(rows)
     for g, group in enumerate(groups[1:], 2):
         found = common.map_rows(common.checkpointed(found), further(group, g == len(groups)), schema(g == len(groups)))
@@ -526,12 +665,13 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // SHARE))
     words = bit_table(common.checkpointed(heavy_slots(given, (1,), None, buckets, least)), buckets)
-    phrases = bit_table(common.checkpointed(heavy_slots(given, tuple(range(2, longest + 1)), words, buckets, least)), buckets)
-    packed, names = candidates(given, words, phrases, longest, buckets)
-    names = common.checkpointed(names)
+    told = common.checkpointed(heavy_slots(given, tuple(range(2, longest + 1)), words, buckets, least))
+    phrases, names = bit_table(told.where("slots is not null"), buckets), told.where("word is not null").select("word", "lang", "text")
+    numbered = given.sparkSession.sparkContext.broadcast(vocabulary(names, longest))
+    packed = candidates(given, words, phrases, numbered, longest, buckets)
     if names.groupBy("word").count().where("count > 1").limit(1).count():
         raise RuntimeError("two words of one language share a hash of 64 bits; change the multipliers in words.py")
-    found = without_inner(phrases_with_counts(given, packed, words, phrases, least, longest), longest, inside_of)
+    found = without_inner(phrases_with_counts(given, packed, words, phrases, numbered, least, longest), longest, inside_of)
     # words are joined to those alone that may be among the first: by score and count, ties included
     found = found.withColumn("at_best", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("at_best") <= first)
     for k in range(1, longest + 1):

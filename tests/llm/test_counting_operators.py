@@ -141,6 +141,39 @@ def test_full_bit_tables_lose_no_phrase(spark, monkeypatch):
     assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()) == plain_collocations(rows)
 
 
+@pytest.mark.parametrize("most", [0, 5])
+def test_collocations_of_words_without_a_number(spark, monkeypatch, most):
+    monkeypatch.setattr(collocations, "WORDS", most)
+    monkeypatch.setattr(collocations, "SHARE", 2000)
+    rows = phrases(random.Random(5), 200)
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()) == plain_collocations(rows)
+
+
+def test_what_tasks_tell_of_phrases_is_small(spark, monkeypatch):
+    """Slots travel by small steps and candidates by the numbers of their words; random ones took 4 and about 20 bytes each."""
+    told = []
+    real = collocations.common.map_rows
+
+    def watched(df, make, schema, finish=False):
+        out = real(df, make, schema, finish)
+        if "binary" in str(schema) and finish:
+            told.append(collocations.common.checkpointed(out))
+            return told[-1]
+        return out
+
+    monkeypatch.setattr(collocations.common, "map_rows", watched)
+    rng = random.Random(6)
+    words_ = [f"w{i}" for i in range(2000)]
+    lines = [" ".join(rng.choice(words_) for _ in range(40)) for _ in range(250)]
+    collocations.collocations(spark.createDataFrame([(" ".join(x + "." for x in lines[i::50]), "en") for i in range(50)] * 10, "text string, lang string").coalesce(1)).count()
+    size = lambda df, cols: sum(len(v) for r in df.select(*cols).collect() for v in r if v is not None)
+    slots_ = next(x for x in told if {"single", "slots"} <= set(x.columns) and x.where("bucket < 0").count())
+    assert size(slots_.where("bucket >= 0"), ("single", "slots")) < 3.5 * 19_250  # different phrases of two and three words
+    candidates_ = next(x for x in told if {"coded", "plain"} <= set(x.columns))
+    assert size(candidates_, ("coded", "plain")) < 8 * 21_250
+
+
 def test_perfect_hash_is_minimal_and_tells_strangers():
     rng = np.random.default_rng(1)
     keys = collocations.once(rng.integers(1, 1 << 63, (20_000, 3)).astype(np.uint64))
