@@ -86,8 +86,8 @@ def _holds(kind: str, x: Column) -> Column:
 def base_spans(df: DataFrame, text: str) -> DataFrame:
     """Adds __base, an array of (kind, start, end, value) in the order of kinds and starts."""
     t = F.col(text)
-    # a text without the sign that the expression needs has no match
-    may = {"email": F.contains(t, F.lit("@")), "ip": F.contains(t, F.lit(".")), "card": t.rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": F.contains(t, F.lit("+"))}
+    # a text without the signs that the expression needs has no match
+    may = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "card": t.rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": F.contains(t, F.lit("+"))}
     none = F.array().cast("array<string>")
     df = df.withColumns({f"__m_{k}": F.when(may[k], F.regexp_extract_all(t, F.lit(e), F.lit(0))).otherwise(none) for k, e in EXPRESSIONS.items()})
     some = lambda k: F.exists(f"__m_{k}", lambda x: _holds(k, x))
@@ -127,15 +127,35 @@ def _index(lengths: Column, prefix: Column, position: Column) -> Column:
     return k * _BLOCK + F.aggregate(F.slice(lengths, k * _BLOCK + 1, F.lit(_BLOCK)), start, step, lambda a: a["n"])
 
 
+def near_pieces(df: DataFrame, text: str) -> DataFrame:
+    """Adds __pieces, words with the white space after them, and __lengths, theirs; none if no word has a digit or an at sign.
+
+    Of the words between two that have such a mark, the first two and the last two are pieces. What stands between those is one empty piece
+    with its length, as no span and no pattern needs it: so the work follows the marked words.
+    """
+    t, mark = F.col(text), r"[0-9@]\S*+\s*+"
+    none = F.array().cast("array<string>")
+    # a gap begins with a word, and ends with the letters before a mark
+    df = df.withColumn("__marks", F.regexp_extract_all(t, F.lit(mark), F.lit(0)))
+    df = df.withColumn("__gaps", F.when(F.size("__marks") > 0, F.split(t, mark, -1)).otherwise(none))
+    first = lambda g: F.regexp_extract(g, r"^\s*+(?:\S++\s++){0,2}", 0)
+    last = lambda g: F.reverse(F.regexp_extract(F.reverse(g), r"^\S*+(?:\s++\S++){0,2}", 0))
+    ends = F.transform(F.arrays_zip(F.col("__gaps").alias("g"), F.col("__marks").alias("m")), lambda z: F.struct(z["g"].alias("gap"), F.coalesce(z["m"], F.lit("")).alias("mark"), first(z["g"]).alias("first"), last(z["g"]).alias("last")))
+    df = df.withColumn("__ends", ends)
+    far = lambda z: F.length(z["gap"]) - F.length(z["first"]) - F.length(z["last"])
+    cut = lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"^\s++|\S++\s*+"), F.lit(0)), lambda p: F.struct(p.alias("piece"), F.length(p).alias("n")))
+    cells = F.transform("__ends", lambda z: F.when(far(z) > 0, F.concat(cut(z["first"]), F.array(F.struct(F.lit("").alias("piece"), far(z).alias("n"))), cut(F.concat(z["last"], z["mark"])))).otherwise(cut(F.concat(z["gap"], z["mark"]))))
+    df = df.withColumn("__cells", F.flatten(cells))
+    return df.withColumns({"__pieces": F.col("__cells.piece"), "__lengths": F.col("__cells.n")}).drop("__marks", "__gaps", "__ends", "__cells")
+
+
 def with_instances(based: DataFrame, text: str) -> DataFrame:
     """Adds __found, the seeds of __base and the other instances: an array of start, end, value, kind (null: no seed), patterns.
 
     Pieces are words with the white space after them; a pattern is a side (L, R), the number of its words, and the words.
     A side where no white space stands next to the span has no patterns.
     """
-    t = F.col(text)
-    pieces = F.when(t.rlike("[0-9@]"), F.split(t, r"(?<=\s)(?=\S)", -1)).otherwise(F.array().cast("array<string>"))
-    rows = based.withColumn("__pieces", pieces).withColumn("__lengths", F.transform("__pieces", F.length)).withColumn("__blocks", _blocks(F.col("__lengths")))
+    rows = near_pieces(based, text).withColumn("__blocks", _blocks(F.col("__lengths")))
     rows = rows.withColumn("__prefix", F.transform(F.sequence(F.lit(1), F.size("__blocks")), lambda i: _sum(F.slice("__blocks", F.lit(1), i - 1))))
     lengths, prefix = F.col("__lengths"), F.col("__prefix")
     marked = F.filter(F.transform("__pieces", lambda x, i: F.struct(x.alias("piece"), i.alias("i"))), lambda c: c["piece"].rlike("[0-9@]"))
@@ -170,17 +190,21 @@ def pattern_totals(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     A table of BITS bits, of one size for any input, lets through the words that may be patterns; the join decides.
     """
     sought = patterns.select("pattern", F.expr("substr(pattern, 2)").alias("words"))
-    bits = {r.at: r.value for r in sought.select(_bit(F.col("words")).alias("b")).groupBy((F.col("b") / 32).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 32).cast("int"))).alias("value")).collect()}
+    # bits of the words of patterns, and bits of their last words
+    marks = sought.select(F.explode(F.array(F.struct(F.lit(0).alias("of"), _bit(F.col("words")).alias("b")), F.struct(F.lit(1).alias("of"), _bit(F.substring_index("words", " ", -1)).alias("b")))).alias("m")).select("m.*")
+    shifted = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 32).cast("int"))
+    bits = {(r.of, r.at): r.value for r in marks.groupBy("of", (F.col("b") / 32).cast("int").alias("at")).agg(F.bit_or(shifted).alias("value")).collect()}
     if not bits:
         return patterns.select("pattern", F.lit(0).cast("long").alias("total"))
-    table = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(BITS // 32))), ",").cast("array<bigint>")
-    may = lambda p: F.call_function("shiftright", F.get(table, (_bit(p) / 32).cast("int")), (_bit(p) % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
-    plain = F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"\s+"), lambda w: w != "")
-    # each word with the one before, as rows, so that what follows is compiled
+    tables = [F.split(F.lit(",".join(str(bits.get((of, i), 0)) for i in range(BITS // 32))), ",").cast("array<bigint>") for of in (0, 1)]
+    may = lambda of, p: F.call_function("shiftright", F.get(tables[of], (_bit(p) / 32).cast("int")), (_bit(p) % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
+    # the first and the last word may be empty; as an outer explode, since for another Spark would split each text twice, once to see whether it has words
+    plain = df.select(F.split(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"\s+").alias("w"))
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", F.lit(1), F.size("w") - 1))
-    pairs = df.select(plain.alias("w")).where(F.size("w") > 0).select(F.explode(F.arrays_zip(before.alias("first"), F.col("w").alias("last"))).alias("p"))
-    one, two = F.concat(F.lit("1 "), F.col("p.last")), F.concat(F.lit("2 "), F.col("p.first"), F.lit(" "), F.col("p.last"))
-    grams = pairs.select(F.when(may(one), one).alias("one"), F.when(may(two), two).alias("two")).where(F.col("one").isNotNull() | F.col("two").isNotNull())
+    each = plain.select(F.explode_outer(F.arrays_zip(before.alias("first"), F.col("w").alias("last"))).alias("p"))
+    pairs = each.where((F.col("p.last") != "") & may(1, F.col("p.last"))).select("p.last", F.nullif(F.col("p.first"), F.lit("")).alias("first"))
+    one, two = F.concat(F.lit("1 "), F.col("last")), F.concat(F.lit("2 "), F.col("first"), F.lit(" "), F.col("last"))
+    grams = pairs.select(F.when(may(0, one), one).alias("one"), F.when(may(0, two), two).alias("two")).where(F.col("one").isNotNull() | F.col("two").isNotNull())
     counted = grams.select(F.explode(F.filter(F.array("one", "two"), lambda p: p.isNotNull())).alias("words")).groupBy("words").agg(F.count("*").alias("total"))
     return sought.join(counted, "words").select("pattern", "total")
 

@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from candela.llm import common, language, packing, quality, token_counts, toxicity
+from candela.llm import common, language, packing, pii, quality, token_counts, toxicity
 
 from .conftest import odd_rows, prose
 
@@ -285,3 +287,30 @@ def _walked(decoder, path, cost, emitted):
             cost += decoder.table[((path[-3] * 28 + path[-2]) * 28 + path[-1]) * 28 + k]
             path = (*path, k)
     return path, cost
+
+
+def test_words_far_from_numbers_are_one_piece(spark):
+    """Pieces near marked words stand where they stood when the whole text was taken apart, and no more of them are made."""
+    rng = random.Random(3)
+    some = lambda: rng.choice(["a", "été", "x1", "@", "7", "日本", "𝒳y", "b2c", "(3)"] + ["word"] * 12) + rng.choice([" ", "  ", "\n", "\t "])
+    texts = [rng.choice(["", " ", "\n "]) + "".join(some() for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", " ", "1", " 1", "w " * 5000 + "card 12" + " w" * 5000]
+    got = pii.near_pieces(spark.createDataFrame([(t,) for t in texts], "t string"), "t").select("t", "__pieces", "__lengths").collect()
+    assert [r.t for r in got] == texts
+    for r in got:
+        whole = re.split(r"(?<=\s)(?=\S)", r.t) if re.search("[0-9@]", r.t) else []
+        starts = [sum(len(p) for p in whole[:i]) for i in range(len(whole))] if len(whole) < 200 else list(np.cumsum([0] + [len(p) for p in whole])[:-1])
+        near = {i + k for i, p in enumerate(whole) if re.search("[0-9@]", p) for k in range(-2, 3) if 0 <= i + k < len(whole)}
+        at, seen = 0, {}
+        for p, n in zip(r["__pieces"], r["__lengths"], strict=True):
+            assert not p or len(p) == n
+            seen |= {at: p} if p else {}
+            at += n
+        assert at == sum(map(len, whole)) and all(seen.get(starts[i]) == whole[i] for i in near)
+    assert len(got[-1]["__pieces"]) == 12
+
+
+def test_pattern_totals_take_texts_apart_once(spark):
+    texts = spark.createDataFrame([("Pay card 12 now",), (" card  99\tpay card x ",), ("",), (None,)], "t string").select(F.coalesce("t", F.lit("")).alias("t"))
+    totals = pii.pattern_totals(texts, "t", spark.createDataFrame([("L1 card",), ("L2 pay card",), ("R2 card 00",), ("R1 none",)], "pattern string"))
+    assert totals._jdf.queryExecution().optimizedPlan().toString().count("split(regexp_replace(lower(") == 1
+    assert {r.pattern: r.total for r in totals.collect()} == {"L1 card": 3, "L2 pay card": 2, "R2 card 00": 2}
