@@ -2,18 +2,20 @@
 
 A word of a language is a 64-bit hash of both; that no two candidate words share one is checked before anything is
 counted by it. Two passes over the texts find candidates by Apriori, two count them:
-1. hashed counters of words, kept sparse: of 2^26 slots in each bucket only those that were met. A slot's count is at least that
+1. hashed counters of words, kept sparse: of 2^22 slots in each bucket only those that were met. A slot's count is at least that
    of each of its words, so a word in a light slot is no part of any candidate.
 2. the same for phrases all of whose words may be frequent; those words are told with it, and numbered.
 3. candidates: phrases whose own slot, whose words and whose shorter phrases are all heavy. Each task tells each
-   candidate once, as the numbers of its words (as their hashes, where a word has no number).
+   candidate once, as the numbers of its words (as their hashes, where a word has no number). An eighth of the texts goes
+   first; what it told most often is then known to all tasks, and not told again. Numbered words are candidates untold.
 4. a minimal perfect hash over a slice of the candidates gives each a slot, where its words are stored. Tasks look up
    their phrases, check them against the stored words, and count by slot in one array (`np.bincount`); the arrays are
    summed in a tree. With more candidates than one slice holds, slices are counted one after another.
 Counts of parts are then read by slot, and cuts are scored with Python's integers.
 
 Tables that go to all tasks are bounded: bit tables of heavy slots by `TABLE_BITS` (when they are full, more candidates pass, and no
-frequent one is lost), numbered words by `WORDS` (those beyond travel as hashes), a slice by `SLICE` candidates.
+frequent one is lost), numbered words by `WORDS` (those beyond travel as hashes), known candidates by `KNOWN` (others are told by
+each task that meets them), a slice by `SLICE` candidates.
 
 Cases: null text counts as empty, null language as `und`; empty pieces have no words; texts are read whole, words may be of any length;
 repeated rows count each; an empty table, or one without frequent phrases, gives an empty result; extra columns are ignored.
@@ -51,8 +53,15 @@ SHARE, GATHER, TUPLES, BLOCK = 8 << 20, 3_000_000, 1_000_000, 1 << 16
 PART = 2 << 20
 #: Slices whose counts are read at a time.
 TOGETHER = 4
-#: Slots of a bucket: 24 for each phrase of a bucket's text, if words are of six bytes.
-_LOW = np.uint64((1 << 26) - 1)
+#: Of how many texts one goes first for candidates, bytes of texts of a task then, and candidates that are known to all tasks afterwards.
+FIRST_OF, FIRST_SHARE, KNOWN = 8, 32 << 20, 2_000_000
+#: Buckets of slots for each bucket of words, which are told together.
+NAMES = 8
+#: Slots of a bucket: 1.5 for each phrase of a bucket's text, if words are of six bytes. With more of them the steps between slots take
+#: more bits; here about 0.6 others share a slot with a phrase, which makes few rare phrases candidates.
+_LOW = np.uint64((1 << 22) - 1)
+#: Bits that a heavy slot sets in its word of a bit table.
+SET = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,15 +76,24 @@ class Part(NamedTuple):
     text: np.ndarray
 
 
+def language(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang))
+
+
+def of_language(found: np.ndarray, langs: np.ndarray | np.uint64) -> np.ndarray:
+    """Hashes of words with those of their languages."""
+    hashes = mix(found + langs)
+    return np.where(hashes == 0, _GOLD, hashes)  # 0 fills up short phrases
+
+
 def part_of(rows: dict[str, list]) -> Part:
     data = b"\n".join(rows["text"]).translate(_BYTES)
     starts, ends, (found,) = words_of(data, _KEPT)
     begins = np.cumsum([0] + [len(t) + 1 for t in rows["text"]])
     text = np.searchsorted(begins, starts, side="right") - 1
-    langs = {lang: xxhash.xxh3_64_intdigest(lang) for lang in set(rows["lang"])}
+    langs = {lang: language(lang) for lang in set(rows["lang"])}
     of_text = np.array([langs[lang] for lang in rows["lang"]], dtype=np.uint64)
-    hashes = mix(found + of_text[text]) if len(found) else found
-    hashes = np.where(hashes == 0, _GOLD, hashes)  # 0 fills up short phrases
+    hashes = of_language(found, of_text[text]) if len(found) else found
     piece = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
     return Part(data, starts, ends, hashes, piece, text)
 
@@ -108,27 +126,39 @@ def opened(packed: bytes, kind: type) -> np.ndarray:
 
 
 def squeezed_steps(ordered: np.ndarray) -> bytes:
-    """Ascending numbers by their steps, which are small."""
-    return squeezed(np.diff(ordered, prepend=ordered.dtype.type(0)))
+    """Ascending numbers of 32 bits by their steps: the low bits, which are random, as they are, the rest, which is small, compressed."""
+    steps = np.diff(ordered, prepend=np.uint32(0))
+    bits = max(0, int(steps.mean()).bit_length() - 3) if len(steps) else 0
+    low = np.packbits(np.unpackbits(steps.view(np.uint8), bitorder="little").reshape(-1, 32)[:, :bits], bitorder="little").tobytes()
+    return bytes([bits]) + len(low).to_bytes(8, "little") + low + squeezed(steps >> np.uint32(bits))
 
 
-def opened_steps(packed: bytes, kind: type) -> np.ndarray:
-    return np.cumsum(opened(packed, kind), dtype=kind)
+def opened_steps(packed: bytes) -> np.ndarray:
+    bits, end = packed[0], 9 + int.from_bytes(packed[1:9], "little")
+    high = opened(packed[end:], np.uint32)
+    low = np.zeros((len(high), 32), dtype=np.uint8)
+    low[:, :bits] = np.unpackbits(np.frombuffer(packed[9:end], np.uint8), count=len(high) * bits, bitorder="little").reshape(-1, bits) if bits else 0
+    return np.cumsum((high << np.uint32(bits)) | np.packbits(low, bitorder="little").view(np.uint32), dtype=np.uint32)
 
 
 class BitTable:
-    """Heavy slots; it may hold others, and lacks none."""
+    """Heavy slots, each by some bits of one word of 64; it may hold others, and lacks none."""
 
     def __init__(self, words: np.ndarray, buckets: int):
-        self.words, self.mask, self.buckets = words, np.uint64(64 * len(words) - 1), buckets
+        self.words, self.buckets = words.view(np.uint64), buckets
 
     @staticmethod
-    def place(bucket: np.ndarray, slot: np.ndarray, mask: np.uint64) -> np.ndarray:
-        return (mix((bucket << np.uint64(32)) | slot) & mask).astype(np.int64)
+    def place(bucket: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The word of each slot, of `size` (a power of two, at most 2^40), and its bits there."""
+        key = mix((bucket << np.uint64(32)) | slot)
+        bits = np.zeros(len(key), dtype=np.uint64)
+        for k in range(SET):
+            bits |= np.uint64(1) << ((key >> np.uint64(58 - 6 * k)) & np.uint64(63))
+        return (key & np.uint64(size - 1)).astype(np.int64), bits
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = self.place(*slots(keys, self.buckets), self.mask)
-        return (self.words[at >> 6] >> (at & 63)) & 1 == 1
+        at, bits = self.place(*slots(keys, self.buckets), len(self.words))
+        return self.words[at] & bits == bits
 
 
 def bit_table(heavy: DataFrame, buckets: int) -> BitTable:
@@ -138,11 +168,12 @@ def bit_table(heavy: DataFrame, buckets: int) -> BitTable:
 
     def make():
         def work(rows):
-            at = np.concatenate([BitTable.place(np.full(len(s) // 4, b, np.uint64), np.frombuffer(s, np.uint32).astype(np.uint64), np.uint64(bits - 1)) for b, s in zip(rows["bucket"], rows["slots"], strict=True)] or [np.empty(0, np.int64)])
-            words, back = np.unique(at >> 6, return_inverse=True)
-            out = np.zeros(len(words), dtype=np.int64)
-            np.bitwise_or.at(out, back, np.left_shift(np.int64(1), at & 63))
-            return {"word": words, "bits": out}
+            each = [BitTable.place(np.full(len(s) // 4, b, np.uint64), np.frombuffer(s, np.uint32).astype(np.uint64), bits // 64) for b, s in zip(rows["bucket"], rows["slots"], strict=True)]
+            at, own = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.uint64)), *each, strict=True))
+            words, back = np.unique(at, return_inverse=True)
+            out = np.zeros(len(words), dtype=np.uint64)
+            np.bitwise_or.at(out, back, own)
+            return {"word": words, "bits": out.view(np.int64)}
 
         return work
 
@@ -176,37 +207,36 @@ def frequent_runs(part: Part, words: BitTable | None, phrases: BitTable | None,
 
 
 def names_told(names: list[tuple[np.ndarray, np.ndarray, list[bytes]]], langs: list[str], buckets: int) -> dict[str, list]:
-    """Words in the columns of slots, in buckets below 0: hashes, lengths, texts."""
+    """Words in the columns of slots, in buckets below 0: their texts in order, as neighbours begin alike. Hashes follow from them."""
     values, code, texts = np.concatenate([n[0] for n in names]), np.concatenate([n[1] for n in names]), np.array([t for n in names for t in n[2]], dtype=object)
-    bucket = (values % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((values, code, bucket))
-    values, code, texts, bucket = values[order], code[order], texts[order], bucket[order]
-    at = group_starts(bucket * len(langs) + code)
-    out: dict[str, list] = {"bucket": (-1 - bucket[at]).tolist(), "lang": [langs[c] for c in code[at].tolist()], "single": [], "slots": [], "counts": []}
-    for v, t in zip(np.split(values, at[1:]), np.split(texts, at[1:]), strict=True):
-        out["single"].append(squeezed_steps(v))
-        out["slots"].append(squeezed(np.array([len(x) for x in t], dtype=np.uint32)))
-        out["counts"].append(squeezed(np.frombuffer(b"".join(t), np.uint8)))
+    place = (values % np.uint64(buckets)).astype(np.int64) * len(langs) + code
+    order = np.argsort(place, kind="stable")
+    at = group_starts(place[order])
+    own = place[order][at]
+    out: dict[str, list] = {"bucket": (-1 - own // len(langs)).tolist(), "lang": [langs[c] for c in (own % len(langs)).tolist()], "single": [None] * len(own), "slots": [None] * len(own), "counts": []}
+    for t in np.split(texts[order], at[1:]):
+        out["counts"].append(squeezed(np.frombuffer(b"\n".join(sorted(t)), np.uint8)))
     return out
 
 
 def different_names(rows: pa.Table) -> pa.Table:
     """word, lang, text of what `names_told` gave for a bucket."""
     parts = []
-    for lang, single, slots_, counts in zip(*[rows[n].to_pylist() for n in ("lang", "single", "slots", "counts")], strict=True):
-        sizes = opened(slots_, np.uint32)
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(opened(counts, np.uint8))]).cast(pa.binary())
-        parts.append(pa.table({"word": opened_steps(single, np.uint64).view(np.int64), "lang": pa.array([lang] * len(sizes), pa.string()), "text": texts}))
-    return pa.concat_tables(parts).group_by(["word", "lang", "text"], use_threads=False).aggregate([])
+    for lang, counts in zip(*[rows[n].to_pylist() for n in ("lang", "counts")], strict=True):
+        texts = opened(counts, np.uint8).tobytes().split(b"\n")
+        parts.append(pa.table({"lang": pa.array([lang] * len(texts), pa.string()), "text": pa.array(texts, pa.binary())}))
+    found = pa.concat_tables(parts).group_by(["lang", "text"], use_threads=False).aggregate([])
+    hashes = words_of(b"\n".join(found["text"].to_pylist()), _KEPT)[2][0]
+    langs = found["lang"].combine_chunks().dictionary_encode()
+    of = np.array([language(x) for x in langs.dictionary.to_pylist()], dtype=np.uint64)
+    return found.append_column("word", pa.array(of_language(hashes, of[langs.indices.to_numpy()]).view(np.int64)))
 
 
-def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: BitTable | None, buckets: int, least: int) -> DataFrame:
+def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: Broadcast | None, buckets: int, least: int) -> DataFrame:
     """One row for each bucket: the slots whose counters reach `least`, packed. With a table of words also a row for each that it lets through."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
 
     def make():
-        known = shared.value
+        known = None if words is None else words.value
         held: list[np.ndarray] = []
         names: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
         codes: dict[str, int] = {}  # languages of the task
@@ -226,7 +256,7 @@ def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: BitTable | None,
                         out[n].append(v)
             out["lang"] = [None] * len(out["bucket"])
             if names:
-                more = names_told(names, list(codes), buckets)
+                more = names_told(names, list(codes), -(-buckets // NAMES))
                 names.clear()
                 out = {n: out[n] + more[n] for n in out}
             return out
@@ -259,7 +289,7 @@ def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: BitTable | None,
         if rows["bucket"][0].as_py() < 0:
             found = different_names(rows)
             return pa.table({n: found[n] if n in found.column_names else pa.nulls(len(found), schema.field(n).type) for n in schema.names}, schema=schema)
-        arrays = {n: np.concatenate([back(x, np.uint32) for x in rows[n].to_pylist()]) for n, back in (("single", opened_steps), ("slots", opened_steps), ("counts", opened))}
+        arrays = {n: np.concatenate([back(x) for x in rows[n].to_pylist()]) for n, back in (("single", opened_steps), ("slots", opened_steps), ("counts", lambda x: opened(x, np.uint32)))}
         slot, count = np.concatenate([arrays["single"], arrays["slots"]]), np.concatenate([np.ones(len(arrays["single"]), np.int64), arrays["counts"].astype(np.int64)])
         order = np.argsort(slot, kind="stable")
         at = group_starts(slot[order])
@@ -374,12 +404,11 @@ def every_row(rows: dict[str, list], numbered: Vocabulary) -> np.ndarray:
     return np.concatenate([numbered.rows(numbered.opened(rows["coded"])), opened_rows(rows["plain"], numbered.longest)])
 
 
-def candidates(df: DataFrame, words: BitTable, phrases: BitTable, numbered: Broadcast, longest: int, buckets: int) -> DataFrame:
-    """bucket, lang, n, coded, plain: the different candidates, those of numbered words and the others."""
-    shared = df.sparkSession.sparkContext.broadcast((words, phrases))
+def candidates_told(df: DataFrame, tables_: tuple[Broadcast, Broadcast], numbered: Broadcast, known_: Broadcast, longest: int, buckets: int) -> DataFrame:
+    """bucket, lang, coded, plain: the candidates of each task, of numbered words and others, but for numbered words and those that are known."""
 
     def make():
-        tables, own = shared.value, numbered.value
+        tables, own, known = [t.value for t in tables_], numbered.value, known_.value
         coded: list[np.ndarray] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
         codes: dict[str, int] = {}  # languages of the task
@@ -425,8 +454,10 @@ def candidates(df: DataFrame, words: BitTable, phrases: BitTable, numbered: Broa
                 for width, at, keys in frequent_runs(part, *tables, longest):
                     columns = [number[at + k] for k in range(width)]
                     every = np.logical_and.reduce([c > 0 for c in columns])
-                    if every.any():
-                        coded.append(np.unique(own.coded([c[every] for c in columns])))
+                    if width > 1 and every.any():
+                        found = np.unique(own.coded([c[every] for c in columns]))
+                        if not (old := among(found, known)).all():
+                            coded.append(found[~old])
                     if not every.all():
                         at, keys = at[~every], keys[~every]
                         held.append(fewer(keys, np.column_stack([tuples_of(part, width, at, longest), code_of[part.text[at]]])))
@@ -442,13 +473,64 @@ def candidates(df: DataFrame, words: BitTable, phrases: BitTable, numbered: Broa
 
         return work
 
+    return common.map_rows(df, make, "bucket long, lang string, coded binary, plain binary", finish=True)
+
+
+def different(told: DataFrame, numbered: Broadcast, longest: int, most: int = 0) -> DataFrame:
+    """bucket, lang, n, coded, plain: the different candidates of each bucket. often: so many of those with numbers at most, told by most tasks."""
+
     def differing(rows: pa.Table) -> pa.Table:
         own = numbered.value
-        coded, plain = np.unique(own.opened(rows["coded"].to_pylist())), once(opened_rows(rows["plain"].to_pylist(), longest))
-        return pa.table({"bucket": rows["bucket"][:1], "lang": rows["lang"][:1], "n": pa.array([len(coded) + len(plain)], pa.int64()), "coded": pa.array([own.packed(coded)], pa.binary()), "plain": pa.array([packed_rows(plain)], pa.binary())})
+        coded, times = np.unique(own.opened(rows["coded"].to_pylist()), return_counts=True)
+        plain = once(opened_rows(rows["plain"].to_pylist(), longest))
+        often = np.sort(coded[np.argsort(-times, kind="stable")[:most]])
+        columns = {"n": len(coded) + len(plain), "coded": own.packed(coded), "plain": packed_rows(plain), "often": own.packed(often)}
+        return pa.table({"bucket": rows["bucket"][:1], "lang": rows["lang"][:1]} | {n: pa.array([v], pa.int64() if n == "n" else pa.binary()) for n, v in columns.items()})
+
+    return common.checkpointed(told.groupBy("bucket", "lang").applyInArrow(differing, "bucket long, lang string, n long, coded binary, plain binary, often binary"))
+
 
-    told = common.map_rows(df, make, "bucket long, lang string, coded binary, plain binary", finish=True)
-    return common.checkpointed(told.groupBy("bucket", "lang").applyInArrow(differing, "bucket long, lang string, n long, coded binary, plain binary"))
+def numbered_words(spark: SparkSession, numbered: Broadcast, parts: int) -> DataFrame:
+    """The numbered words as rows of candidates, in so many buckets."""
+
+    def make():
+        own = numbered.value
+
+        def work(rows):
+            out: dict[str, list] = {n: [] for n in ("bucket", "lang", "n", "coded", "plain")}
+            for b in rows["id"]:
+                numbers = np.arange(b, len(own.hashes), parts)
+                langs = own.langs[numbers]
+                for code in np.unique(langs).tolist():
+                    which = (numbers[langs == code] + 1).astype(np.uint64)
+                    none = np.zeros(len(which), dtype=np.uint64)
+                    for n, v in zip(out, (b, own.names[code], len(which), own.packed(own.coded([which] + [none] * (own.longest - 1))), None), strict=True):
+                        out[n].append(v)
+            return out
+
+        return work
+
+    return common.map_rows(spark.range(parts), make, "bucket long, lang string, n long, coded binary, plain binary")
+
+
+def candidates(df: DataFrame, size: int, tables: tuple[Broadcast, Broadcast], numbered: Broadcast, longest: int, buckets: int) -> DataFrame:
+    """bucket, lang, n, coded, plain: the different candidates, those of numbered words and the others; size: bytes of the texts.
+
+    Most candidates occur in most tasks. So the texts of an eighth of all hashes, which are read by fewer tasks, tell theirs first.
+    """
+    spark = df.sparkSession
+    early = F.pmod(F.xxhash64("text"), F.lit(FIRST_OF)) == 0
+    none = spark.sparkContext.broadcast(np.empty(0, dtype=np.uint64))
+    few = df.where(early).coalesce(max(1, -(-size // (FIRST_OF * FIRST_SHARE))))
+    most = -(-KNOWN // buckets)
+    first = different(candidates_told(few, tables, numbered, none, longest, buckets), numbered, longest, most)
+    n = first.agg(F.sum(F.least("n", F.lit(most)))).first()[0] or 0  # more than KNOWN only with several languages
+    kept = first.where(F.col("bucket") % max(1, -(-n // KNOWN)) == 0)
+    known = spark.sparkContext.broadcast(np.sort(numbered.value.opened(kept.select("often").toArrow()["often"].to_pylist())))
+    told = candidates_told(df.where(~early), tables, numbered, known, longest, buckets)
+    names = ("bucket", "lang", "n", "coded", "plain")
+    every = different(told.unionByName(first.select("bucket", "lang", "coded", "plain")), numbered, longest).select(*names)
+    return common.checkpointed(every.unionByName(numbered_words(spark, numbered, buckets)))
 
 
 class PerfectHash:
@@ -512,13 +594,12 @@ def smallest(counts: np.ndarray) -> np.ndarray:
     return counts.astype(kind)
 
 
-def counted(df: DataFrame, table: PerfectHash, words: BitTable, phrases: BitTable, longest: int) -> np.ndarray:
+def counted(df: DataFrame, table: Broadcast, tables_: tuple[Broadcast, Broadcast], longest: int) -> np.ndarray:
     """How often each candidate of the slice occurs, by slot: arrays of the tasks, summed in two steps."""
-    size = len(table.stored)
-    shared = df.sparkSession.sparkContext.broadcast((table, words, phrases))
+    size = len(table.value.stored)
 
     def make():
-        own, *tables = shared.value
+        own, tables = table.value, [t.value for t in tables_]
         counts = np.zeros(size, dtype=np.int64)
 
         def work(rows):
@@ -577,7 +658,7 @@ def lowest_cuts(a: list[int], parts: np.ndarray) -> dict[str, list]:
     return out
 
 
-def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phrases: BitTable, numbered: Broadcast, least: int, longest: int) -> DataFrame:
+def phrases_with_counts(df: DataFrame, packed: DataFrame, tables_: tuple[Broadcast, Broadcast], numbered: Broadcast, least: int, longest: int) -> DataFrame:
     """lang, w1, w2 and so on, a, l, r, score: phrases of two words or more with their lowest-scoring cuts.
 
     The counts of a phrase's parts may stand in any slice, so slices are read in groups of TOGETHER, in one stage for each group.
@@ -589,8 +670,8 @@ def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phras
     plain = "lang string, " + ", ".join(f"{n} long" for n in names) + ", a long"
     tables = []
     for s in range(slices):
-        table = perfect_hash(packed, s, slices, numbered.value)
-        tables.append(spark.sparkContext.broadcast((table, counted(df, table, words, phrases, longest))))
+        table = spark.sparkContext.broadcast(perfect_hash(packed, s, slices, numbered.value))
+        tables.append((table, spark.sparkContext.broadcast(smallest(counted(df, table, tables_, longest)))))
     groups = [tables[i : i + TOGETHER] for i in range(0, slices, TOGETHER)]
 
     def finish(out: dict[str, list], parts: np.ndarray, last: bool) -> dict[str, list]:
@@ -598,15 +679,15 @@ def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phras
 
     def first(own) -> Callable:
         def make():
-            held = [t.value for t in groups[0]]
-            table, counts = own.value
+            held = [(t.value, c.value) for t, c in groups[0]]
+            table, counts = (x.value for x in own)
 
             def work(rows):
                 out: dict[str, list] = {n: [] for n in ("lang", *names, "a")}
                 every = []
                 for lang, coded, plain in zip(rows["lang"], rows["coded"], rows["plain"], strict=True):
                     tuples = every_row({"coded": [coded], "plain": [plain]}, numbered.value)
-                    a = counts[table.find(tuples)[1]]  # all of them are keys
+                    a = counts[table.find(tuples)[1]].astype(np.int64)  # all of them are keys
                     use = (a >= least) & (tuples[:, 1] > 0)
                     every.append(tuples[use])
                     for k, n in enumerate(names):
@@ -623,7 +704,7 @@ def phrases_with_counts(df: DataFrame, packed: DataFrame, words: BitTable, phras
 
     def further(group: list, last: bool) -> Callable:
         def make():
-            held = [t.value for t in group]
+            held = [(t.value, c.value) for t, c in group]
 
             def work(rows):
                 tuples = np.array([rows[n] for n in names], dtype=np.int64).view(np.uint64).T
@@ -664,14 +745,15 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     given = texts_of(df, text, lang)
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // SHARE))
-    words = bit_table(common.checkpointed(heavy_slots(given, (1,), None, buckets, least)), buckets)
+    share = given.sparkSession.sparkContext.broadcast
+    words = share(bit_table(common.checkpointed(heavy_slots(given, (1,), None, buckets, least)), buckets))
     told = common.checkpointed(heavy_slots(given, tuple(range(2, longest + 1)), words, buckets, least))
-    phrases, names = bit_table(told.where("slots is not null"), buckets), told.where("word is not null").select("word", "lang", "text")
-    numbered = given.sparkSession.sparkContext.broadcast(vocabulary(names, longest))
-    packed = candidates(given, words, phrases, numbered, longest, buckets)
+    tables, names = (words, share(bit_table(told.where("slots is not null"), buckets))), told.where("word is not null").select("word", "lang", "text")
+    numbered = share(vocabulary(names, longest))
+    packed = candidates(given, size, tables, numbered, longest, buckets)
     if names.groupBy("word").count().where("count > 1").limit(1).count():
         raise RuntimeError("two words of one language share a hash of 64 bits; change the multipliers in words.py")
-    found = without_inner(phrases_with_counts(given, packed, words, phrases, numbered, least, longest), longest, inside_of)
+    found = without_inner(phrases_with_counts(given, packed, tables, numbered, least, longest), longest, inside_of)
     # words are joined to those alone that may be among the first: by score and count, ties included
     found = found.withColumn("at_best", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("at_best") <= first)
     for k in range(1, longest + 1):

@@ -174,6 +174,51 @@ def test_what_tasks_tell_of_phrases_is_small(spark, monkeypatch):
     assert size(candidates_, ("coded", "plain")) < 8 * 21_250
 
 
+def test_more_tasks_tell_little_more_of_phrases(spark, monkeypatch):
+    """What one task has told is not told by all; it took as many times the bytes as there were tasks."""
+    told = []
+    real = collocations.common.map_rows
+
+    def watched(df, make, schema, finish=False):
+        out = real(df, make, schema, finish)
+        if "binary" in str(schema) and finish:
+            told.append(collocations.common.checkpointed(out))
+            return told[-1]
+        return out
+
+    monkeypatch.setattr(collocations.common, "map_rows", watched)
+    rng = random.Random(7)
+    words_ = [f"w{i}" for i in range(1500)]
+    lines = [" ".join(rng.choice(words_) for _ in range(12)) for _ in range(600)]
+    rows = [(". ".join([*rng.sample(lines, 200), f"x{i}"]), "en") for i in range(96)]
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(16))
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()) == plain_collocations(rows)
+    size = lambda df, cols: sum(len(v) for r in df.select(*cols).collect() for v in r if v is not None)
+    assert sum(size(x, ("coded", "plain")) for x in told if {"coded", "plain"} <= set(x.columns)) < 2.5 * 4 * 12_600  # phrases, of about 4 bytes
+    slots_ = next(x for x in told if {"single", "slots"} <= set(x.columns) and x.where("bucket < 0").count())
+    assert size(slots_.where("bucket < 0"), ("single", "slots", "counts")) < 16 * 5 * 1_500  # words, of 4.6 letters
+
+
+@pytest.mark.parametrize("known", [1, 40, 2_000_000])
+def test_collocations_with_few_known_candidates(spark, monkeypatch, known):
+    monkeypatch.setattr(collocations, "KNOWN", known)
+    monkeypatch.setattr(collocations, "SHARE", 2000)
+    rows = phrases(random.Random(8), 200)
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()) == plain_collocations(rows)
+
+
+@pytest.mark.parametrize("most", [3, 1000, 1 << 22, 1 << 32])
+def test_steps_of_slots_come_back(most):
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 30_000):
+        slots_ = np.unique(rng.integers(0, most, n).astype(np.uint32))
+        packed = collocations.squeezed_steps(slots_)
+        assert collocations.opened_steps(packed).tolist() == slots_.tolist()
+        if len(slots_) > 20_000:  # 1.44 bits above those of the mean step, and little more
+            assert 8 * len(packed) / len(slots_) < 2 + np.log2(most / len(slots_))
+
+
 def test_perfect_hash_is_minimal_and_tells_strangers():
     rng = np.random.default_rng(1)
     keys = collocations.once(rng.integers(1, 1 << 63, (20_000, 3)).astype(np.uint64))
