@@ -34,6 +34,64 @@ def test_counts_of_odd_rows(odd, none):
     assert token_counts.count_tokens(none).count() == 0
 
 
+class Asked:
+    """A vocabulary that counts the characters it is asked to encode."""
+
+    def __init__(self, library):
+        self.library, self.model, self.to_str, self.characters = library, self, library.to_str, 0
+
+    def encode(self, text, **more):
+        self.characters += len(text)
+        return self.library.encode(text, **more)
+
+    def encode_batch(self, texts, **more):
+        self.characters += sum(map(len, texts))
+        return self.library.encode_batch(texts, **more)
+
+    def tokenize(self, word):
+        self.characters += len(word)
+        return self.library.model.tokenize(word)
+
+
+def test_counts_of_parts_are_those_of_the_library():
+    library = common.load_tokenizer("byte_bpe_50k.json")
+    rng = random.Random(4)
+    signs = [*"ab'st’re 1.,!?ßéÀİ日\u0301\x1c\x85\xa0\u180e\u2003\u3000\t\n\r", " ", " ", "  ", "   ", "x" * 70, "the", " The ", "<|endoftext|>"]
+    texts = [*TEXTS, *("".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(4000)), *(prose(rng, 300) for _ in range(100))]
+    want = [len(library.encode(t, add_special_tokens=False)) for t in texts]
+    for bound in (1, 200, 400_000):
+        counts = token_counts.PartCounts(library, bound)
+        assert not counts.whole and counts(texts) == want and counts(texts[::-1]) == want[::-1]
+        assert all(token_counts.KEPT.fullmatch(w) for w in counts.known)
+
+
+def test_texts_of_other_vocabularies_are_counted_whole():
+    from tokenizers import AddedToken, Tokenizer
+
+    path = common.vocabulary_path("byte_bpe_50k.json")
+    made = [common.load_tokenizer("word_bpe_49k.json")]
+    for token in (AddedToken("a b", normalized=False), AddedToken("he", normalized=False), AddedToken("#", lstrip=True, normalized=False)):
+        made.append(Tokenizer.from_file(path))
+        made[-1].add_tokens([token])
+    texts = [t[:2000] for t in TEXTS] + ["a b a b # the", "  #a b", "she the he # #"]
+    for library in made:
+        counts = token_counts.PartCounts(library)
+        assert counts.whole and counts(texts) == [len(library.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_the_library_is_asked_once_for_a_chunk_and_for_a_part():
+    asked, rng = Asked(common.load_tokenizer("byte_bpe_50k.json")), random.Random(6)
+    text = prose(rng, 3000)
+    token_counts.encode_spliced(asked, text, 2000, 100)
+    assert asked.characters < 1.2 * len(text)
+    asked.characters, counts = 0, token_counts.PartCounts(asked)
+    texts = [prose(rng, 150) for _ in range(20)]
+    counts(texts)
+    first, asked.characters = asked.characters, 0
+    counts(texts)
+    assert first < 1.2 * sum(map(len, texts)) and asked.characters == 0
+
+
 def test_word_ids_are_those_of_the_library():
     library = common.load_tokenizer("word_bpe_49k.json")
     known = packing.WordIds(library, bound=200)
