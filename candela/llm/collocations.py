@@ -1,21 +1,18 @@
 """Collocations of two and three words for each language, with exact counts.
 
 A word of a language is a 64-bit hash of both; that no two candidate words share one is checked before anything is
-counted by it. Two passes over the texts find candidates by Apriori, two count them:
+counted by it. Three passes over the texts, however many candidates there are:
 1. hashed counters of words, kept sparse: of 2^22 slots in each bucket only those that were met. A slot's count is at least that
    of each of its words, so a word in a light slot is no part of any candidate.
 2. the same for phrases all of whose words may be frequent; those words are told with it, and numbered.
-3. candidates: phrases whose own slot, whose words and whose shorter phrases are all heavy. Each task tells each
-   candidate once, as the numbers of its words (as their hashes, where a word has no number). An eighth of the texts goes
-   first; what it told most often is then known to all tasks, and not told again. Numbered words are candidates untold.
-4. a minimal perfect hash over a slice of the candidates gives each a slot, where its words are stored. Tasks look up
-   their phrases, check them against the stored words, and count by slot in one array (`np.bincount`); the arrays are
-   summed in a tree. With more candidates than one slice holds, slices are counted one after another.
-Counts of parts are then read by slot, and cuts are scored with Python's integers.
+3. candidates: phrases whose own slot, whose words and whose shorter phrases are all heavy, as the numbers of their words (as their
+   hashes, where a word has no number), with their counts. An eighth of the texts goes first. A minimal perfect hash over those that
+   were most frequent there, with their keys stored, goes to all tasks, which count them by slot in one array, and words by number;
+   the arrays are summed in a tree. A task tells each other candidate once, with its count; these are dealt by hash and summed.
+Counts of parts are then joined to the frequent phrases, and of each task's phrases those go on that are among its first.
 
 Tables that go to all tasks are bounded: bit tables of heavy slots by `TABLE_BITS` (when they are full, more candidates pass, and no
-frequent one is lost), numbered words by `WORDS` (those beyond travel as hashes), known candidates by `KNOWN` (others are told by
-each task that meets them), a slice by `SLICE` candidates.
+frequent one is lost), numbered words by `WORDS` (those beyond travel as hashes), the perfect hash by `SLICE` and `KNOWN` candidates.
 
 Cases: null text counts as empty, null language as `und`; empty pieces have no words; texts are read whole, words may be of any length;
 repeated rows count each; an empty table, or one without frequent phrases, gives an empty result; extra columns are ignored.
@@ -23,7 +20,8 @@ repeated rows count each; an empty table, or one without frequent phrases, gives
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -35,34 +33,39 @@ from pyspark.sql import functions as F
 
 from . import common
 from .simhash import mix
-from .words import among, group_starts, inside, runs, words_of
+from .words import among, group_starts, inside
 
 LEAST, LONGEST, FIRST, INSIDE = 10, 3, 2000, 50
 #: Bytes as they count: A-Z lower-cased, ends of pieces as line ends.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 _KEPT = inside(b" \t\n")
-#: For counting alone: a letter for every byte of a word, a space for the rest.
-_SPACES = bytes(97 if _KEPT[_BYTES[b]] else 32 for b in range(256))
-#: Bits of a table of heavy slots at most, and for each of them; candidates of a slice.
+#: Bits of a table of heavy slots at most, and for each of them; candidates of the perfect hash at most.
 TABLE_BITS, BITS_EACH, SLICE = 1 << 30, 16, 2_000_000
 #: Words that have a number at most; as many bits as three numbers in 64.
 WORDS = (1 << 21) - 1
-#: Bytes of text whose phrases share a bucket; hashes and candidates that a task gathers before it tells them; slots of a block of counts.
+#: Bytes of text whose phrases share a bucket of slots (half of a bucket of candidates); phrases that a task gathers before it sums them up;
+#: candidates of which it tells what it has; counts of a block of the array.
 SHARE, GATHER, TUPLES, BLOCK = 8 << 20, 3_000_000, 1_000_000, 1 << 16
 #: Bytes of texts that are taken apart at a time.
 PART = 2 << 20
-#: Slices whose counts are read at a time.
-TOGETHER = 4
-#: Of how many texts one goes first for candidates, bytes of texts of a task then, and candidates that are known to all tasks afterwards.
+#: Of how many texts one goes first for candidates, bytes of texts of a task then, and candidates that are known to all tasks afterwards at most.
 FIRST_OF, FIRST_SHARE, KNOWN = 8, 32 << 20, 2_000_000
 #: Buckets of slots for each bucket of words, which are told together.
 NAMES = 8
 #: Slots of a bucket: 1.5 for each phrase of a bucket's text, if words are of six bytes. With more of them the steps between slots take
 #: more bits; here about 0.6 others share a slot with a phrase, which makes few rare phrases candidates.
 _LOW = np.uint64((1 << 22) - 1)
+#: Counts by their bytes.
+_KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+#: Set in the hash of a word where it stands beside numbers of words.
+_TOP = np.uint64(1 << 63)
 #: Bits that a heavy slot sets in its word of a bit table.
 SET = 4
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_GOLD, _OVER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xE7037ED1A0B428DB)
+#: The first so many bytes of eight.
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+#: Bytes from which a word is hashed by itself.
+LONG = 256
 
 
 class Part(NamedTuple):
@@ -86,9 +89,29 @@ def of_language(found: np.ndarray, langs: np.ndarray | np.uint64) -> np.ndarray:
     return np.where(hashes == 0, _GOLD, hashes)  # 0 fills up short phrases
 
 
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, and a 64-bit hash of each, eight bytes at a time."""
+    held = np.empty(len(data) + 2, dtype=bool)
+    held[0] = held[-1] = False
+    np.take(_KEPT, np.frombuffer(data, np.uint8), out=held[1:-1])
+    edge = np.flatnonzero(held[1:] != held[:-1])
+    starts, ends = edge[0::2], edge[1::2]
+    sizes = ends - starts
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), data + bytes(8), 0, (1,))  # what begins at each byte
+    hashes = mix((eight[starts] & _FIRST_BYTES[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * _GOLD)
+    at, more = 8, np.flatnonzero(sizes > 8)
+    while len(more) and at < LONG:
+        hashes[more] = mix(hashes[more] * _OVER + (eight[starts[more] + at] & _FIRST_BYTES[np.minimum(sizes[more] - at, 8)]))
+        at += 8
+        more = more[sizes[more] > at]
+    for i in more.tolist():
+        hashes[i] = np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]]))
+    return starts, ends, hashes
+
+
 def part_of(rows: dict[str, list]) -> Part:
     data = b"\n".join(rows["text"]).translate(_BYTES)
-    starts, ends, (found,) = words_of(data, _KEPT)
+    starts, ends, found = hashed_words(data)
     begins = np.cumsum([0] + [len(t) + 1 for t in rows["text"]])
     text = np.searchsorted(begins, starts, side="right") - 1
     langs = {lang: language(lang) for lang in set(rows["lang"])}
@@ -111,7 +134,7 @@ def parts_of(rows: dict[str, list]) -> Iterator[tuple[Part, list[str]]]:
 
 def slots(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each key, and its counter there."""
-    return (keys >> np.uint64(32)) % np.uint64(buckets), keys & _LOW
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), keys & _LOW
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -142,66 +165,79 @@ def opened_steps(packed: bytes) -> np.ndarray:
 
 
 class BitTable:
-    """Heavy slots, each by some bits of one word of 64; it may hold others, and lacks none."""
+    """Heavy slots, each by some bits of one word of 64 in its bucket's part of the table; it may hold others, and lacks none."""
 
     def __init__(self, words: np.ndarray, buckets: int):
         self.words, self.buckets = words.view(np.uint64), buckets
 
     @staticmethod
-    def place(bucket: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The word of each slot, of `size` (a power of two, at most 2^40), and its bits there."""
-        key = mix((bucket << np.uint64(32)) | slot)
-        bits = np.zeros(len(key), dtype=np.uint64)
-        for k in range(SET):
+    def place(bucket: np.ndarray | int, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The word of each slot among the `size` of its bucket, and its bits there."""
+        key = mix((np.uint64(bucket) << np.uint64(32)) | slot)
+        bits = np.uint64(1) << (key >> np.uint64(58))
+        for k in range(1, SET):
             bits |= np.uint64(1) << ((key >> np.uint64(58 - 6 * k)) & np.uint64(63))
-        return (key & np.uint64(size - 1)).astype(np.int64), bits
+        return (((key & np.uint64(0xFFFFFFFF)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64), bits
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at, bits = self.place(*slots(keys, self.buckets), len(self.words))
-        return self.words[at] & bits == bits
+        bucket, slot = slots(keys, self.buckets)
+        size = len(self.words) // self.buckets
+        at, bits = self.place(bucket, slot, size)
+        return self.words[bucket.astype(np.int64) * size + at] & bits == bits
 
 
 def bit_table(heavy: DataFrame, buckets: int) -> BitTable:
     """The table of heavy (bucket, slots); heavy: one row for each bucket, slots packed."""
     n = heavy.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
-    bits = max(1 << 10, min(TABLE_BITS, 1 << (n // 4 * BITS_EACH).bit_length()))
+    size = max(1, min(TABLE_BITS, max(1 << 10, n // 4 * BITS_EACH)) // 64 // buckets)
 
     def make():
         def work(rows):
-            each = [BitTable.place(np.full(len(s) // 4, b, np.uint64), np.frombuffer(s, np.uint32).astype(np.uint64), bits // 64) for b, s in zip(rows["bucket"], rows["slots"], strict=True)]
-            at, own = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.uint64)), *each, strict=True))
-            words, back = np.unique(at, return_inverse=True)
-            out = np.zeros(len(words), dtype=np.uint64)
-            np.bitwise_or.at(out, back, own)
-            return {"word": words, "bits": out.view(np.int64)}
+            tables = []
+            for b, s in zip(rows["bucket"], rows["slots"], strict=True):
+                own = np.zeros(size, dtype=np.uint64)
+                np.bitwise_or.at(own, *BitTable.place(b, np.frombuffer(s, np.uint32).astype(np.uint64), size))
+                tables.append(own.tobytes())
+            return {"bucket": rows["bucket"], "words": tables}
 
         return work
 
-    found = common.map_rows(heavy.select("bucket", "slots"), make, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(bits // 64, dtype=np.int64)
-    words[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return BitTable(words, buckets)
+    found = common.map_rows(heavy.select("bucket", "slots"), make, "bucket long, words binary").toArrow()
+    words = np.zeros((buckets, size), dtype=np.uint64)
+    for b, own in zip(found["bucket"].to_pylist(), found["words"], strict=True):
+        words[b] = np.frombuffer(own.as_buffer(), np.uint64)
+    return BitTable(words.reshape(-1), buckets)
 
 
 def texts_of(df: DataFrame, text: str, lang: str) -> DataFrame:
     return df.select(common.text_of(text).cast("binary").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
 
 
-def frequent_runs(part: Part, words: BitTable | None, phrases: BitTable | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each width, where phrases begin that may be candidates by the tables, and their keys."""
-    usable = np.ones(len(part.hashes), dtype=bool) if words is None else words.has(runs(part.hashes, 1))
+def keys_at(hashes: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the phrases that begin there."""
+    out = np.full(len(at), width, dtype=np.uint64)
+    for k in range(width):
+        out = out * _OVER + hashes[at + k]
+    return mix(out)
+
+
+def frequent_runs(part: Part, words: BitTable | np.ndarray | None, phrases: BitTable | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """For each width, where phrases begin that may be candidates by the tables (or by what is known of the words), and their keys; none for known words."""
+    every = np.arange(len(part.hashes))
+    if words is None:
+        usable = np.ones(len(every), dtype=bool)
+    else:
+        usable = words if isinstance(words, np.ndarray) else words.has(keys_at(part.hashes, 1, every))
     shorter = usable
     for width in range(1, longest + 1):
-        n = max(0, len(part.hashes) - width + 1)
-        fit = part.piece[:n] == part.piece[width - 1 : width - 1 + n]
-        fit &= usable if width == 1 else shorter[:n] & shorter[1 : n + 1]
+        n = max(0, len(every) - width + 1)
+        fit = usable.copy() if width == 1 else shorter[:n] & shorter[1 : n + 1] & (part.piece[:n] == part.piece[width - 1 : width - 1 + n])
         at = np.flatnonzero(fit)
-        keys = runs(part.hashes, width)[at]
+        keys = None if width == 1 and isinstance(words, np.ndarray) else keys_at(part.hashes, width, at)
         if width > 1 and phrases is not None:
             heavy = phrases.has(keys)
+            fit[at[~heavy]] = False
             at, keys = at[heavy], keys[heavy]
-            fit = np.zeros(n, dtype=bool)
-            fit[at] = True
         yield width, at, keys
         shorter = fit
 
@@ -226,20 +262,22 @@ def different_names(rows: pa.Table) -> pa.Table:
         texts = opened(counts, np.uint8).tobytes().split(b"\n")
         parts.append(pa.table({"lang": pa.array([lang] * len(texts), pa.string()), "text": pa.array(texts, pa.binary())}))
     found = pa.concat_tables(parts).group_by(["lang", "text"], use_threads=False).aggregate([])
-    hashes = words_of(b"\n".join(found["text"].to_pylist()), _KEPT)[2][0]
+    hashes = hashed_words(b"\n".join(found["text"].to_pylist()))[2]
     langs = found["lang"].combine_chunks().dictionary_encode()
     of = np.array([language(x) for x in langs.dictionary.to_pylist()], dtype=np.uint64)
     return found.append_column("word", pa.array(of_language(hashes, of[langs.indices.to_numpy()]).view(np.int64)))
 
 
 def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: Broadcast | None, buckets: int, least: int) -> DataFrame:
-    """One row for each bucket: the slots whose counters reach `least`, packed. With a table of words also a row for each that it lets through."""
+    """One row for each bucket: the slots whose counters reach `least`, packed. With a table of words also a row for each that it lets
+    through, without one a row for each language, with the number of all its words in `word`."""
 
     def make():
         known = None if words is None else words.value
         held: list[np.ndarray] = []
         names: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
         codes: dict[str, int] = {}  # languages of the task
+        totals: dict[str, int] = {}
         told = np.empty(0, dtype=np.uint64)
 
         def tell() -> dict[str, list]:
@@ -272,8 +310,15 @@ def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: Broadcast | None,
 
         def work(rows):
             if rows is None:
-                return tell() if held or names else None
+                out = tell()
+                for lang, n in totals.items():
+                    for column, v in (("bucket", -1 - xxhash.xxh3_64_intdigest(lang) % buckets), ("lang", lang), ("single", None), ("slots", None), ("counts", n.to_bytes(8, "little"))):
+                        out[column].append(v)
+                return out
             for part, langs in parts_of(rows):
+                if known is None:
+                    for lang, n in zip(langs, np.bincount(part.text, minlength=len(langs)).tolist(), strict=True):
+                        totals[lang] = totals.get(lang, 0) + n
                 for width, at, keys in frequent_runs(part, known, None, max(widths)):
                     if width == 1 and known is not None:
                         name(part, langs, at)
@@ -287,7 +332,10 @@ def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: Broadcast | None,
 
     def total(rows: pa.Table) -> pa.Table:
         if rows["bucket"][0].as_py() < 0:
-            found = different_names(rows)
+            if words is None:
+                found = pa.table({"lang": rows["lang"], "word": pa.array([int.from_bytes(x, "little") for x in rows["counts"].to_pylist()], pa.int64())}).group_by("lang", use_threads=False).aggregate([("word", "sum")]).rename_columns({"word_sum": "word"})
+            else:
+                found = different_names(rows)
             return pa.table({n: found[n] if n in found.column_names else pa.nulls(len(found), schema.field(n).type) for n in schema.names}, schema=schema)
         arrays = {n: np.concatenate([back(x) for x in rows[n].to_pylist()]) for n, back in (("single", opened_steps), ("slots", opened_steps), ("counts", lambda x: opened(x, np.uint32)))}
         slot, count = np.concatenate([arrays["single"], arrays["slots"]]), np.concatenate([np.ones(len(arrays["single"]), np.int64), arrays["counts"].astype(np.int64)])
@@ -301,18 +349,29 @@ def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: Broadcast | None,
 
 
 class Vocabulary:
-    """Numbers of words, from 1 on, and the languages of those words. Phrases of words that all have a number are one whole number each."""
+    """Numbers of words, from 1 on, and the languages of those words; complete: all that may be frequent have one. Phrases of words that
+    all have a number are one whole number each."""
+
+    def __init__(self, hashes: np.ndarray, langs: np.ndarray, names: list[str], longest: int, complete: bool):
+        self.ordered = np.append(hashes, np.uint64(2**64 - 1))
+        self.langs, self.names, self.longest, self.bits, self.complete = langs, names, longest, np.uint64(64 // longest), complete
+        # where the hashes with given upper bits begin, of which there are few
+        self.upper = np.uint64(64 - (2 * len(hashes) + 2).bit_length())
+        self.begins = np.searchsorted(hashes, np.arange(1 << (64 - int(self.upper)), dtype=np.uint64) << self.upper).astype(np.int32)
 
-    def __init__(self, hashes: np.ndarray, langs: np.ndarray, names: list[str], longest: int):
-        self.hashes, self.langs, self.names, self.longest, self.bits = hashes, langs, names, longest, np.uint64(64 // longest)
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.ordered[:-1]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, or 0."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), dtype=np.uint64)
-        values, back = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == values, at + 1, 0).astype(np.uint64)[back]
+        ordered = self.ordered
+        at = self.begins[(hashes >> self.upper).astype(np.int64)].astype(np.int64)
+        more = np.flatnonzero(ordered[at] < hashes)
+        while len(more):
+            at[more] += 1
+            more = more[ordered[at[more]] < hashes[more]]
+        return np.where((ordered[at] == hashes) & (at < len(self.hashes)), at + 1, 0).astype(np.uint64)
 
     def coded(self, columns: list[np.ndarray]) -> np.ndarray:
         """Phrases by the numbers of their first word, second word, and so on."""
@@ -325,11 +384,6 @@ class Vocabulary:
         low = (np.uint64(1) << self.bits) - np.uint64(1)
         return [(coded >> (self.bits * np.uint64(self.longest - 1 - k))) & low for k in range(self.longest)]
 
-    def rows(self, coded: np.ndarray) -> np.ndarray:
-        """The hashes of the words, one row for each phrase, filled up with zeros."""
-        of = np.concatenate([np.zeros(1, np.uint64), self.hashes])
-        return np.column_stack([of[c.astype(np.int64)] for c in self.columns(coded)])
-
     def packed(self, coded: np.ndarray) -> bytes:
         """Ascending phrases by columns, the first by its steps."""
         first, *others = self.columns(coded)
@@ -354,7 +408,7 @@ def vocabulary(names: DataFrame, longest: int) -> Vocabulary:
     found = own.toArrow()
     words, first = np.unique(found["word"].to_numpy().view(np.uint64), return_index=True)
     langs = found["lang"].combine_chunks().dictionary_encode()
-    return Vocabulary(words[:most], langs.indices.to_numpy()[first][:most].astype(np.int32), langs.dictionary.to_pylist(), longest)
+    return Vocabulary(words[:most], langs.indices.to_numpy()[first][:most].astype(np.int32), langs.dictionary.to_pylist(), longest, n <= most)
 
 
 def tuples_of(part: Part, width: int, at: np.ndarray, longest: int) -> np.ndarray:
@@ -375,162 +429,175 @@ def keys_of(tuples: np.ndarray, which: int) -> np.ndarray:
 
 def once(tuples: np.ndarray) -> np.ndarray:
     """The different rows."""
-    tuples = tuples[np.lexsort(tuples.T[::-1])]
-    change = np.ones(len(tuples), dtype=bool)
-    change[1:] = (tuples[1:] != tuples[:-1]).any(axis=1)
-    return tuples[change]
+    return tallied(tuples, np.ones(len(tuples), dtype=np.int64))[0]
 
 
-def fewer(keys: np.ndarray, tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows without most repeats, in the order of their keys; no row is lost, and rows of one key may stay twice."""
-    order = np.argsort(keys, kind="stable")
-    keys, tuples = keys[order], tuples[order]
+def tallied(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, or rows of words, in order, and the sums of their counts."""
+    order = np.argsort(keys) if keys.ndim == 1 else np.lexsort(keys.T[::-1])
+    keys, counts = keys[order], counts[order]
     change = np.ones(len(keys), dtype=bool)
-    change[1:] = (keys[1:] != keys[:-1]) | (tuples[1:] != tuples[:-1]).any(axis=1)
-    return keys[change], tuples[change]
+    change[1:] = keys[1:] != keys[:-1] if keys.ndim == 1 else (keys[1:] != keys[:-1]).any(axis=1)
+    at = np.flatnonzero(change)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    kind = next(k for k in _KINDS.values() if counts.max(initial=0) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + squeezed(counts.astype(kind))
+
+
+def opened_counts(packed: list[bytes]) -> list[np.ndarray]:
+    return [opened(p[1:], _KINDS[p[0]]).astype(np.int64) for p in packed]
 
 
 def packed_rows(tuples: np.ndarray) -> bytes:
-    """Rows by columns, as neighbours in a column are more alike."""
-    return squeezed(np.ascontiguousarray(tuples[np.lexsort(tuples.T[::-1])].T).reshape(-1))
+    """Rows in order, by columns, as neighbours in a column are more alike."""
+    return squeezed(np.ascontiguousarray(tuples.T).reshape(-1))
 
 
 def opened_rows(packed: list[bytes | None], longest: int) -> np.ndarray:
     return np.concatenate([np.empty((0, longest), np.uint64), *[opened(p, np.uint64).reshape(longest, -1).T for p in packed if p is not None]])
 
 
-def every_row(rows: dict[str, list], numbered: Vocabulary) -> np.ndarray:
-    """The candidates of rows with `coded` and `plain`, by hashes."""
-    return np.concatenate([numbered.rows(numbered.opened(rows["coded"])), opened_rows(rows["plain"], numbered.longest)])
-
-
-def candidates_told(df: DataFrame, tables_: tuple[Broadcast, Broadcast], numbered: Broadcast, known_: Broadcast, longest: int, buckets: int) -> DataFrame:
-    """bucket, lang, coded, plain: the candidates of each task, of numbered words and others, but for numbered words and those that are known."""
+def counts_told(df: DataFrame, tables_: tuple[Broadcast, Broadcast], numbered: Broadcast, known_: Broadcast, longest: int, buckets: int) -> DataFrame:
+    """bucket, lang, coded, plain, counts, branch: how often each task met each candidate. Those of numbered words (coded) have no
+    language, others (plain) have one. Numbered words and known candidates are counted in one array, told in blocks, in buckets below 0."""
 
     def make():
         tables, own, known = [t.value for t in tables_], numbered.value, known_.value
-        coded: list[np.ndarray] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        counts = np.zeros(1 + len(own.hashes) + len(known.stored), dtype=np.int64)
+        coded: list[np.ndarray] = []  # as they were met
+        kept: list[tuple[np.ndarray, np.ndarray]] = []  # those that are not known
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of words, with their language last
         codes: dict[str, int] = {}  # languages of the task
+        none: dict[str, list] = {n: [] for n in ("bucket", "lang", "coded", "plain", "counts")}
 
-        def dealt(rows: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            """The order of rows by bucket and language, where each group begins in it, and the groups' buckets and languages."""
-            place = (keys_of(rows, 0) % np.uint64(buckets)).astype(np.int64) + lang * buckets
-            order = np.argsort(place, kind="stable")
-            at = group_starts(place[order])
-            return order, at, place[order][at] % buckets, place[order][at] // buckets
-
-        def tell() -> dict[str, list]:
-            out: dict[str, list] = {n: [] for n in ("bucket", "lang", "coded", "plain")}
+        def settle() -> None:
             if coded:
-                keys = np.unique(np.concatenate(coded))
+                keys, n = np.unique(np.concatenate(coded), return_counts=True)
                 coded.clear()
-                order, at, bucket, lang = dealt(own.rows(keys), own.langs[own.columns(keys)[0].astype(np.int64) - 1].astype(np.int64))
-                out["bucket"] += bucket.tolist()
-                out["lang"] += [own.names[c] for c in lang.tolist()]
-                out["coded"] += [own.packed(x) for x in np.split(keys[order], at[1:])]
-                out["plain"] += [None] * len(at)
+                real, at = known.find(keys[:, None])
+                counts[1 + len(own.hashes) + at] += n[real]
+                kept.append((keys[~real], n[~real]))
+            for some in (kept, held):
+                if len(some) > 1 and sum(len(k) for k, _ in some) >= TUPLES // 2:
+                    some[:] = [tallied(*map(np.concatenate, zip(*some, strict=True)))]
+
+        def dealt(rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The order of rows by place, where each place begins in it, and the places."""
+            order = np.argsort(places.astype(np.min_scalar_type(int(places.max(initial=0)))), kind="stable")
+            at = group_starts(places[order])
+            return order, at, places[order][at]
+
+        def tell() -> dict[str, list]:
+            out = {n: list(v) for n, v in none.items()}
+            if kept:
+                keys, n = tallied(*map(np.concatenate, zip(*kept, strict=True)))
+                kept.clear()
+                order, at, place = dealt(keys, (mix(keys) % np.uint64(buckets)).astype(np.int64))
+                for b, k, c in zip(place.tolist(), np.split(keys[order], at[1:]), np.split(n[order], at[1:]), strict=False):
+                    for column, v in zip(out, (b, None, own.packed(k), None, packed_counts(c)), strict=True):
+                        out[column].append(v)
             if held:
-                _, rows = fewer(*map(np.concatenate, zip(*held, strict=True)))
+                rows, n = tallied(*map(np.concatenate, zip(*held, strict=True)))
                 held.clear()
-                rows, lang, names = rows[:, :longest], rows[:, longest].astype(np.int64), list(codes)
-                order, at, bucket, lang = dealt(rows, lang)
-                out["bucket"] += bucket.tolist()
-                out["lang"] += [names[c] for c in lang.tolist()]
-                out["coded"] += [None] * len(at)
-                out["plain"] += [packed_rows(x) for x in np.split(rows[order], at[1:])]
+                names = list(codes)
+                order, at, place = dealt(rows, (keys_of(rows[:, :longest], 0) % np.uint64(buckets)).astype(np.int64) + rows[:, longest].astype(np.int64) * buckets)
+                for b, k, c in zip(place.tolist(), np.split(rows[order], at[1:]), np.split(n[order], at[1:]), strict=False):
+                    for column, v in zip(out, (b % buckets, names[b // buckets], None, packed_rows(k[:, :longest]), packed_counts(c)), strict=True):
+                        out[column].append(v)
             return out
 
-        def many() -> int:
-            return sum(map(len, coded)) + 2 * sum(len(k) for k, _ in held)
-
         def work(rows):
             if rows is None:
-                return tell() if coded or held else None
+                settle()
+                out = tell()
+                for b in range(-(-len(counts) // BLOCK)):
+                    if (part := counts[b * BLOCK : (b + 1) * BLOCK]).any():
+                        for column, v in zip(out, (-1 - b, None, None, None, packed_counts(part)), strict=True):
+                            out[column].append(v)
+                return out
             out = None
             for part, langs in parts_of(rows):
                 code_of = np.array([codes.setdefault(x, len(codes)) for x in langs], dtype=np.uint64)
                 number = own.numbers(part.hashes)
-                for width, at, keys in frequent_runs(part, *tables, longest):
-                    columns = [number[at + k] for k in range(width)]
-                    every = np.logical_and.reduce([c > 0 for c in columns])
-                    if width > 1 and every.any():
-                        found = np.unique(own.coded([c[every] for c in columns]))
-                        if not (old := among(found, known)).all():
-                            coded.append(found[~old])
-                    if not every.all():
-                        at, keys = at[~every], keys[~every]
-                        held.append(fewer(keys, np.column_stack([tuples_of(part, width, at, longest), code_of[part.text[at]]])))
-                if many() >= TUPLES:
-                    if coded:
-                        coded[:] = [np.unique(np.concatenate(coded))]
-                    if held:
-                        held[:] = [fewer(*map(np.concatenate, zip(*held, strict=True)))]
-                    if many() >= TUPLES // 2:
+                usable = number > 0
+                if not own.complete:
+                    others = np.flatnonzero(~usable)
+                    usable[others] = tables[0].has(keys_at(part.hashes, 1, others))
+                for width, at, _ in frequent_runs(part, usable, tables[1], longest):
+                    if not own.complete:
+                        every = np.logical_and.reduce([number[at + k] > 0 for k in range(width)])
+                        tuples = np.column_stack([tuples_of(part, width, at[~every], longest), code_of[part.text[at[~every]]]])
+                        held.append(tallied(tuples, np.ones(len(tuples), dtype=np.int64)))
+                        at = at[every]
+                    if width == 1:
+                        np.add.at(counts, number[at].astype(np.int64), 1)
+                    else:
+                        coded.append(own.coded([number[at + k] for k in range(width)]))
+                if sum(map(len, coded)) + 2 * sum(len(k) for k, _ in held) >= GATHER:
+                    settle()
+                    if sum(len(k) for k, _ in kept + held) >= TUPLES:
                         more = tell()
                         out = more if out is None else {n: out[n] + v for n, v in more.items()}
             return out
 
         return work
 
-    return common.map_rows(df, make, "bucket long, lang string, coded binary, plain binary", finish=True)
-
-
-def different(told: DataFrame, numbered: Broadcast, longest: int, most: int = 0) -> DataFrame:
-    """bucket, lang, n, coded, plain: the different candidates of each bucket. often: so many of those with numbers at most, told by most tasks."""
-
-    def differing(rows: pa.Table) -> pa.Table:
-        own = numbered.value
-        coded, times = np.unique(own.opened(rows["coded"].to_pylist()), return_counts=True)
-        plain = once(opened_rows(rows["plain"].to_pylist(), longest))
-        often = np.sort(coded[np.argsort(-times, kind="stable")[:most]])
-        columns = {"n": len(coded) + len(plain), "coded": own.packed(coded), "plain": packed_rows(plain), "often": own.packed(often)}
-        return pa.table({"bucket": rows["bucket"][:1], "lang": rows["lang"][:1]} | {n: pa.array([v], pa.int64() if n == "n" else pa.binary()) for n, v in columns.items()})
-
-    return common.checkpointed(told.groupBy("bucket", "lang").applyInArrow(differing, "bucket long, lang string, n long, coded binary, plain binary, often binary"))
-
-
-def numbered_words(spark: SparkSession, numbered: Broadcast, parts: int) -> DataFrame:
-    """The numbered words as rows of candidates, in so many buckets."""
-
-    def make():
-        own = numbered.value
-
-        def work(rows):
-            out: dict[str, list] = {n: [] for n in ("bucket", "lang", "n", "coded", "plain")}
-            for b in rows["id"]:
-                numbers = np.arange(b, len(own.hashes), parts)
-                langs = own.langs[numbers]
-                for code in np.unique(langs).tolist():
-                    which = (numbers[langs == code] + 1).astype(np.uint64)
-                    none = np.zeros(len(which), dtype=np.uint64)
-                    for n, v in zip(out, (b, own.names[code], len(which), own.packed(own.coded([which] + [none] * (own.longest - 1))), None), strict=True):
-                        out[n].append(v)
-            return out
-
-        return work
-
-    return common.map_rows(spark.range(parts), make, "bucket long, lang string, n long, coded binary, plain binary")
+    told = common.map_rows(df, make, "bucket long, lang string, coded binary, plain binary, counts binary", finish=True)
+    return told.withColumn("branch", F.when(F.col("bucket") < 0, F.pmod(F.spark_partition_id(), F.lit(16))).otherwise(0))
 
 
-def candidates(df: DataFrame, size: int, tables: tuple[Broadcast, Broadcast], numbered: Broadcast, longest: int, buckets: int) -> DataFrame:
-    """bucket, lang, n, coded, plain: the different candidates, those of numbered words and the others; size: bytes of the texts.
+def summed(told: DataFrame, numbered: Broadcast, known: Broadcast, longest: int, least: int, most: int = 0) -> DataFrame:
+    """The same columns with the sums of the counts, without the candidates that are not known and do not reach `least`.
+    often, n: of those with numbers the most frequent, at most so many, and how many those are."""
 
-    Most candidates occur in most tasks. So the texts of an eighth of all hashes, which are read by fewer tasks, tell theirs first.
+    def add(rows: pa.Table) -> pa.Table:
+        own, coded, plain, often, n = numbered.value, None, None, None, 0
+        counts = opened_counts(rows["counts"].to_pylist())
+        if rows["bucket"][0].as_py() < 0:
+            total = np.zeros(max(map(len, counts)), dtype=np.int64)  # the last block of the first texts is shorter
+            for c in counts:
+                total[: len(c)] += c
+        elif rows["coded"][0].as_py() is None:
+            tuples, total = tallied(opened_rows(rows["plain"].to_pylist(), longest), np.concatenate(counts))
+            plain, total = packed_rows(tuples[total >= least]), total[total >= least]
+        else:
+            keys, total = tallied(own.opened(rows["coded"].to_pylist()), np.concatenate(counts))
+            use = (total >= least) | known.value.find(keys[:, None])[0]
+            keys, total = keys[use], total[use]
+            coded, n = own.packed(keys), min(most, len(keys))
+            often = own.packed(np.sort(keys[np.argsort(-total, kind="stable")[:most]]))
+        return pa.table({n: rows[n][:1] for n in ("bucket", "lang")} | {n: pa.array([v], pa.binary()) for n, v in (("coded", coded), ("plain", plain), ("counts", packed_counts(total)))} | {"branch": rows["branch"][:1], "often": pa.array([often], pa.binary()), "n": pa.array([n], pa.int64())})
+
+    return told.groupBy("bucket", "lang", "branch").applyInArrow(add, "bucket long, lang string, coded binary, plain binary, counts binary, branch int, often binary, n long")
+
+
+def counted(df: DataFrame, size: int, tables: tuple[Broadcast, Broadcast], numbered: Broadcast, longest: int, buckets: int, least: int) -> tuple[DataFrame, Broadcast, np.ndarray]:
+    """What `summed` gives for all texts, the perfect hash of the known candidates, and the counts of what stands in the array; size: bytes of the texts.
+
+    Most candidates occur in most tasks. So the texts of an eighth of all hashes, which are read by fewer tasks, tell theirs first. Those
+    that are frequent in them get slots, in which all tasks count them, and what else they meet they tell with its count.
     """
     spark = df.sparkSession
     early = F.pmod(F.xxhash64("text"), F.lit(FIRST_OF)) == 0
-    none = spark.sparkContext.broadcast(np.empty(0, dtype=np.uint64))
+    none = spark.sparkContext.broadcast(PerfectHash(np.empty((0, 1), dtype=np.uint64)))
     few = df.where(early).coalesce(max(1, -(-size // (FIRST_OF * FIRST_SHARE))))
-    most = -(-KNOWN // buckets)
-    first = different(candidates_told(few, tables, numbered, none, longest, buckets), numbered, longest, most)
-    n = first.agg(F.sum(F.least("n", F.lit(most)))).first()[0] or 0  # more than KNOWN only with several languages
-    kept = first.where(F.col("bucket") % max(1, -(-n // KNOWN)) == 0)
-    known = spark.sparkContext.broadcast(np.sort(numbered.value.opened(kept.select("often").toArrow()["often"].to_pylist())))
-    told = candidates_told(df.where(~early), tables, numbered, known, longest, buckets)
-    names = ("bucket", "lang", "n", "coded", "plain")
-    every = different(told.unionByName(first.select("bucket", "lang", "coded", "plain")), numbered, longest).select(*names)
-    return common.checkpointed(every.unionByName(numbered_words(spark, numbered, buckets)))
+    limit = min(KNOWN, SLICE)
+    most = -(-limit // buckets)
+    first = common.checkpointed(summed(counts_told(few, tables, numbered, none, longest, buckets), numbered, none, longest, 0, most))
+    n = first.agg(F.sum("n")).first()[0] or 0
+    kept = first.where((F.col("bucket") >= 0) & (F.col("bucket") % max(1, -(-n // limit)) == 0))
+    often = numbered.value.opened(kept.select("often").toArrow()["often"].to_pylist())
+    known = spark.sparkContext.broadcast(PerfectHash(np.sort(often)[:, None]))
+    told = counts_told(df.where(~early), tables, numbered, known, longest, buckets)
+    found = common.checkpointed(summed(told.unionByName(first.drop("often", "n")), numbered, known, longest, least))
+    blocks = summed(found.where("bucket < 0").withColumn("branch", F.lit(0)), numbered, known, longest, least).select("bucket", "counts").toArrow()
+    counts = np.zeros(1 + len(numbered.value.hashes) + len(known.value.stored), dtype=np.int64)
+    for b, part in zip(blocks["bucket"].to_pylist(), opened_counts(blocks["counts"].to_pylist()), strict=True):
+        counts[(-1 - b) * BLOCK : (-1 - b) * BLOCK + len(part)] += part
+    return found.where("bucket >= 0"), known, counts
 
 
 class PerfectHash:
@@ -583,161 +650,110 @@ class PerfectHash:
         return real, at[real]
 
 
-def perfect_hash(packed: DataFrame, which: int, slices: int, numbered: Vocabulary) -> PerfectHash:
-    """The hash of a slice, of a bounded number of candidates."""
-    own = packed.where(F.col("bucket") % slices == which).select("coded", "plain").toArrow()
-    return PerfectHash(every_row(own.to_pydict(), numbered))
+def frequent(found: DataFrame, known_: Broadcast, counts_: Broadcast, numbered: Broadcast, least: int, longest: int) -> DataFrame:
+    """lang, w1, w2 and so on, a, head, tail: frequent phrases by the numbers of their words (by their hashes and _TOP, where a word has
+    none), filled up with zeros, and the counts of their first and their last words, if numbered. Words alone only without a number."""
+    names = [f"w{k + 1}" for k in range(longest)]
+    schema = "lang string, " + ", ".join(f"{n} long" for n in names) + ", a long, head long, tail long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known, counts = numbered.value, known_.value, counts_.value
+        texts = np.array(own.names, dtype=object)
+        for batch in batches:
+            for row in batch.to_pylist():  # a bucket
+                (a,) = opened_counts([row["counts"]])
+                if row["coded"] is not None:
+                    keys = own.opened([row["coded"]])
+                    real, at = known.find(keys[:, None])
+                    a[real] += counts[1 + len(own.hashes) + at]
+                    a, numbers = a[a >= least], np.column_stack(own.columns(keys[a >= least]))
+                    words, lang = numbers, texts[own.langs[numbers[:, 0].astype(np.int64) - 1]] if len(numbers) else texts[:0]
+                else:
+                    tuples = opened_rows([row["plain"]], longest)
+                    numbers = np.column_stack([own.numbers(tuples[:, k]) for k in range(longest)])
+                    words, lang = np.where(numbers > 0, numbers, np.where(tuples > 0, tuples | _TOP, 0)), np.full(len(tuples), row["lang"], dtype=object)
+                ends = numbers[np.arange(len(words)), (words > 0).sum(axis=1) - 1]
+                parts = [pa.array(counts[n.astype(np.int64)], pa.int64(), mask=n == 0) for n in (numbers[:, 0], ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), *[pa.array(words[:, k].view(np.int64)) for k in range(longest)], pa.array(a), *parts], names=["lang", *names, "a", "head", "tail"])
+
+    return found.select("lang", "coded", "plain", "counts").mapInArrow(run, schema)
+
+
+def scored(rows: DataFrame, longest: int, inside_of: int, complete: bool) -> list[DataFrame]:
+    """For each width from 2 on lang, w1, w2 and so on, a, l, r, score: phrases with their lowest-scoring cuts, without those that lie in a
+    longer phrase with inside_of hundredths of their count or more. A longest such phrase has one word more, and its parts are known."""
+    names = [f"w{k + 1}" for k in range(longest)]
+    if not complete:
+        singles = rows.where(F.col(names[1]) == 0)
+        rows = rows.where(F.col(names[1]) != 0)
+        for part, word in (("head", F.col(names[0])), ("tail", F.coalesce(*[F.nullif(F.col(n), F.lit(0)) for n in reversed(names)]))):
+            rows = rows.withColumn("at_end", word).join(singles.select((F.col(names[0]) + 0).alias("at_end"), (F.col("a") + 0).alias("n")), "at_end", "left")
+            rows = rows.withColumn(part, F.coalesce(part, "n")).drop("at_end", "n")
+        rows = common.checkpointed(rows)
+    of_width = lambda m: rows.where((F.col(names[m - 1]) != 0) & (F.col(names[m]) == 0 if m < longest else F.lit(True)))
+    out: list[DataFrame] = []
+    for m in range(2, longest + 1):
+        own = of_width(m).withColumnsRenamed({"head": "l1", "tail": "r1"})
+        for j in range(2, m):
+            for side, words in (("l", names[:j]), ("r", names[m - j : m])):
+                parts = of_width(j).select(*[(F.col(n) + 0).alias(w) for n, w in zip(names, words, strict=False)], (F.col("a") + 0).alias(f"{side}{j}"))
+                own = own.join(parts, words)
+        small = (F.col("a") < 3_000_000) & F.greatest(*[F.col(f"{x}{j}") for x in "lr" for j in range(1, m)], F.lit(0)).between(0, 3_000_000_000)
+        cuts = []
+        for k in range(1, m):
+            score = F.when(small, F.expr(f"(1000000 * a * a) div (l{k} * r{m - k})")).otherwise(F.expr(f"(cast(a as decimal(18, 0)) * a * 1000000) div (cast(l{k} as decimal(18, 0)) * r{m - k})"))
+            cuts.append(F.struct(score.alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{m - k}").alias("r")))
+        own = own.withColumn("cut", F.least(*cuts) if len(cuts) > 1 else cuts[0])
+        own = own.select("lang", *names, "a", *[F.col(f"cut.{n}").alias(n) for n in ("l", "r", "score")], *[f"{x}{m - 1}" for x in "lr" if m > 2])
+        if m > 2:
+            own = common.checkpointed(own)
+            inner = [own.where(100 * F.col("a") >= inside_of * F.col(part)).select(*[(F.col(w) + 0).alias(n) for n, w in zip(names, words, strict=False)]) for part, words in ((f"l{m - 1}", names[: m - 1]), (f"r{m - 1}", names[1:m]))]
+            out[-1] = out[-1].join(inner[0].unionByName(inner[1]), names[: m - 1], "left_anti")
+        out.append(own.select("lang", *names, "a", "l", "r", "score"))
+    return out
 
 
-def smallest(counts: np.ndarray) -> np.ndarray:
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if counts.max(initial=0) <= np.iinfo(k).max)
-    return counts.astype(kind)
+def best_of_tasks(df: DataFrame, first: int) -> DataFrame:
+    """The rows of each language that are among the first of their task by score and count, ties included."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, np.ndarray] = {}
+        held: list[pa.RecordBatch] = []
 
-def counted(df: DataFrame, table: Broadcast, tables_: tuple[Broadcast, Broadcast], longest: int) -> np.ndarray:
-    """How often each candidate of the slice occurs, by slot: arrays of the tasks, summed in two steps."""
-    size = len(table.value.stored)
+        def left(batch: pa.RecordBatch, fresh: bool) -> pa.RecordBatch:
+            rank = (batch["score"].to_numpy() << 43) + np.minimum(batch["a"].to_numpy(), (1 << 43) - 1)  # a score has 20 bits
+            langs = batch["lang"].dictionary_encode()
+            code, use = langs.indices.to_numpy(), np.zeros(len(rank), dtype=bool)
+            for c, lang in enumerate(langs.dictionary.to_pylist()):
+                own = code == c
+                if fresh:
+                    ranks = np.concatenate([best.get(lang, rank[:0]), rank[own]])
+                    best[lang] = np.partition(ranks, -first)[-first:] if len(ranks) > first else ranks
+                use |= own & ((len(best[lang]) < first) | (rank >= best[lang].min()))
+            return batch.filter(pa.array(use))
 
-    def make():
-        own, tables = table.value, [t.value for t in tables_]
-        counts = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            held.append(left(batch, True))
+            if sum(b.num_rows for b in held) > 100_000:
+                held[:] = [left(b, False) for b in held]
+                if sum(b.num_rows for b in held) > 50_000:
+                    yield from held
+                    held.clear()
+        yield from (left(b, False) for b in held)
 
-        def work(rows):
-            if rows is None:
-                blocks = [(b, smallest(part)) for b in range(-(-size // BLOCK)) if (part := counts[b * BLOCK : (b + 1) * BLOCK]).any()]
-                return {"block": [b for b, _ in blocks], "width": [c.itemsize for _, c in blocks], "counts": [squeezed(c) for _, c in blocks]}
-            for part, _ in parts_of(rows):
-                found = [own.find(tuples_of(part, width, at, longest))[1] for width, at, _ in frequent_runs(part, *tables, longest)]
-                np.add(counts, np.bincount(np.concatenate(found), minlength=size), out=counts)
-            return None
+    return df.mapInArrow(run, df.schema)
 
-        return work
-
-    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
-
-    def add(rows: pa.Table) -> pa.Table:
-        total: np.ndarray | int = 0
-        for w, c in zip(rows["width"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-            total = total + opened(c, kinds[w]).astype(np.int64)
-        return pa.table({"block": rows["block"][:1], "width": pa.array([8], pa.int32()), "counts": pa.array([squeezed(total)], pa.binary())})
-
-    schema = "block long, width int, counts binary"
-    told = common.map_rows(df, make, schema, finish=True).withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(16)))
-    summed = told.groupBy("block", "branch").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    out = np.zeros(size, dtype=np.int64)
-    for row in summed.toArrow().to_pylist():
-        part = opened(row["counts"], np.int64)
-        out[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
-    return out
-
-
-def read_parts(tuples: np.ndarray, parts: np.ndarray, tables: list[tuple[PerfectHash, np.ndarray]]) -> None:
-    """Fill in the counts of the two parts of each cut, by slot, where the tables hold them."""
-    longest = tuples.shape[1]
-    width = (tuples > 0).sum(axis=1)
-    for k in range(1, longest):
-        here = np.flatnonzero(width > k)
-        for side in (0, 1):
-            asked = np.zeros((len(here), longest), dtype=np.uint64)
-            if side == 0:
-                asked[:, :k] = tuples[here, :k]
-            else:
-                asked[:, : longest - k] = tuples[here, k:]
-            for table, counts in tables:
-                real, at = table.find(asked)
-                parts[here[real], 2 * (k - 1) + side] = counts[at]
-
-
-def lowest_cuts(a: list[int], parts: np.ndarray) -> dict[str, list]:
-    """The lowest-scoring cut of each phrase, the first of equal ones: l, r, score in Python's integers."""
-    out: dict[str, list] = {n: [] for n in ("l", "r", "score")}
-    for x, cuts in zip(a, parts.tolist(), strict=True):
-        score, _, left, right = min((1_000_000 * x * x // (cuts[i] * cuts[i + 1]), i, cuts[i], cuts[i + 1]) for i in range(0, len(cuts), 2) if cuts[i] and cuts[i + 1])
-        for n, v in zip(out, (left, right, score), strict=True):
-            out[n].append(v)
-    return out
 
+def with_hashes(df: DataFrame, numbered: Broadcast, longest: int) -> DataFrame:
+    """Words of phrases by their hashes and _TOP, all of them."""
+    names = [f"w{k + 1}" for k in range(longest)]
 
-def phrases_with_counts(df: DataFrame, packed: DataFrame, tables_: tuple[Broadcast, Broadcast], numbered: Broadcast, least: int, longest: int) -> DataFrame:
-    """lang, w1, w2 and so on, a, l, r, score: phrases of two words or more with their lowest-scoring cuts.
+    def make():
+        hashes = (np.concatenate([np.zeros(1, np.uint64), numbered.value.hashes]) | _TOP).view(np.int64)
+        hashes[0] = 0
+        return lambda rows: rows | {n: np.where((w := np.array(rows[n], dtype=np.int64)) >= 0, hashes[np.maximum(w, 0)], w) for n in names}
 
-    The counts of a phrase's parts may stand in any slice, so slices are read in groups of TOGETHER, in one stage for each group.
-    """
-    spark = df.sparkSession
-    total = packed.agg(F.sum("n")).first()[0] or 0
-    slices = max(1, -(-total // SLICE))
-    names = [f"w{k + 1}" for k in range(longest)]
-    plain = "lang string, " + ", ".join(f"{n} long" for n in names) + ", a long"
-    tables = []
-    for s in range(slices):
-        table = spark.sparkContext.broadcast(perfect_hash(packed, s, slices, numbered.value))
-        tables.append((table, spark.sparkContext.broadcast(smallest(counted(df, table, tables_, longest)))))
-    groups = [tables[i : i + TOGETHER] for i in range(0, slices, TOGETHER)]
-
-    def finish(out: dict[str, list], parts: np.ndarray, last: bool) -> dict[str, list]:
-        return out | (lowest_cuts(out["a"], parts) if last else {"parts": [p.tobytes() for p in parts]})
-
-    def first(own) -> Callable:
-        def make():
-            held = [(t.value, c.value) for t, c in groups[0]]
-            table, counts = (x.value for x in own)
-
-            def work(rows):
-                out: dict[str, list] = {n: [] for n in ("lang", *names, "a")}
-                every = []
-                for lang, coded, plain in zip(rows["lang"], rows["coded"], rows["plain"], strict=True):
-                    tuples = every_row({"coded": [coded], "plain": [plain]}, numbered.value)
-                    a = counts[table.find(tuples)[1]].astype(np.int64)  # all of them are keys
-                    use = (a >= least) & (tuples[:, 1] > 0)
-                    every.append(tuples[use])
-                    for k, n in enumerate(names):
-                        out[n] += tuples[use, k].copy().view(np.int64).tolist()
-                    out["a"] += a[use].tolist()
-                    out["lang"] += [lang] * int(use.sum())
-                parts = np.zeros((len(out["a"]), 2 * (longest - 1)), dtype=np.int64)
-                read_parts(np.concatenate(every), parts, held)
-                return finish(out, parts, len(groups) == 1)
-
-            return work
-
-        return make
-
-    def further(group: list, last: bool) -> Callable:
-        def make():
-            held = [(t.value, c.value) for t, c in group]
-
-            def work(rows):
-                tuples = np.array([rows[n] for n in names], dtype=np.int64).view(np.uint64).T
-                parts = np.frombuffer(b"".join(rows.pop("parts")), np.int64).reshape(len(tuples), -1).copy()
-                read_parts(tuples, parts, held)
-                return finish(rows, parts, last)
-
-            return work
-
-        return make
-
-    schema = lambda last: plain + (", l long, r long, score long" if last else ", parts binary")
-    found = None
-    for s, own in enumerate(tables):
-        rows = common.map_rows(packed.where(F.col("bucket") % slices == s).select("lang", "coded", "plain"), first(own), schema(len(groups) == 1))
-        found = rows if found is None else found.unionByName(rows)
-    for g, group in enumerate(groups[1:], 2):
-        found = common.map_rows(common.checkpointed(found), further(group, g == len(groups)), schema(g == len(groups)))
-    return common.checkpointed(found)
-
-
-def without_inner(rows: DataFrame, longest: int, inside_of: int) -> DataFrame:
-    """Rows that lie in no longer phrase with inside_of hundredths of their count or more."""
-    names = [f"w{k + 1}" for k in range(longest)]
-    out = rows.where(F.col(names[-1]) != 0)
-    for width in range(2, longest):
-        within = [F.struct(*[F.col(n).alias(f"x{k}") for k, n in enumerate(names[i : i + width])]) for i in range(longest - width + 1)]
-        longer = rows.where(F.col(names[width]) != 0).select("a", F.explode(F.array(*within)).alias("run"))
-        longer = longer.where(F.col(f"run.x{width - 1}") != 0).groupBy("run").agg(F.max("a").alias("most"))
-        longer = longer.select(*[(F.col(f"run.x{k}") + 0).alias(n) for k, n in enumerate(names[:width])], "most")
-        own = rows.where((F.col(names[width - 1]) != 0) & (F.col(names[width]) == 0)).join(longer, names[:width], "left")
-        out = out.unionByName(own.where(F.col("most").isNull() | (100 * F.col("most") < inside_of * F.col("a"))).drop("most"))
-    return out
+    return common.map_rows(df, make, df.schema)
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, first: int = FIRST, inside_of: int = INSIDE) -> DataFrame:
@@ -746,42 +762,28 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // SHARE))
     share = given.sparkSession.sparkContext.broadcast
-    words = share(bit_table(common.checkpointed(heavy_slots(given, (1,), None, buckets, least)), buckets))
+    one = common.checkpointed(heavy_slots(given, (1,), None, buckets, least))
+    words, n = share(bit_table(one.where("slots is not null"), buckets)), one.where("slots is null").select("lang", F.col("word").alias("n"))
     told = common.checkpointed(heavy_slots(given, tuple(range(2, longest + 1)), words, buckets, least))
-    tables, names = (words, share(bit_table(told.where("slots is not null"), buckets))), told.where("word is not null").select("word", "lang", "text")
-    numbered = share(vocabulary(names, longest))
-    packed = candidates(given, size, tables, numbered, longest, buckets)
+    tables, names = (words, share(bit_table(told.where("slots is not null"), buckets))), told.where("word is not null").select(F.col("word").bitwiseOR(F.lit(-(1 << 63))).alias("word"), "lang", "text")
+    numbered = share(vocabulary(told.where("word is not null"), longest))
     if names.groupBy("word").count().where("count > 1").limit(1).count():
-        raise RuntimeError("two words of one language share a hash of 64 bits; change the multipliers in words.py")
-    found = without_inner(phrases_with_counts(given, packed, tables, numbered, least, longest), longest, inside_of)
+        raise RuntimeError("two words of one language share a hash of 63 bits; change the multipliers of hashed_words")
+    found, known, counts = counted(given, size, tables, numbered, longest, -(-buckets // 2), least)
+    rows = frequent(found, known, share(counts), numbered, least, longest)
+    best = [best_of_tasks(x, first) for x in scored(rows, longest, inside_of, numbered.value.complete)]
     # words are joined to those alone that may be among the first: by score and count, ties included
-    found = found.withColumn("at_best", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("at_best") <= first)
+    found = functools.reduce(DataFrame.unionByName, best)
+    for part in ([F.pmod(F.xxhash64("w1", "w2"), F.lit(16))], []):
+        found = found.withColumn("at_best", F.rank().over(Window.partitionBy("lang", *part).orderBy(F.desc("score"), F.desc("a")))).where(F.col("at_best") <= first)
+    found = with_hashes(found, numbered, longest)
     for k in range(1, longest + 1):
         found = found.join(names.select((F.col("word") + 0).alias(f"w{k}"), F.col("text").alias(f"t{k}")), f"w{k}", "left")
     phrase = F.array_join(F.array_compact(F.array(*[F.col(f"t{k}").cast("string") for k in range(1, longest + 1)])), " ")
-    n = total_words(given)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase"))
     ranked = found.withColumn("phrase", phrase).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def total_words(given: DataFrame) -> DataFrame:
-    """n, the number of all words of each language."""
-
-    def make():
-        held: dict[str, int] = {}
-
-        def work(rows):
-            if rows is None:
-                return {"lang": list(held), "n": list(held.values())}
-            for t, lang in zip(rows["text"], rows["lang"], strict=True):
-                held[lang] = held.get(lang, 0) + len(t.translate(_SPACES).split())
-            return None
-
-        return work
-
-    return common.map_rows(given, make, "lang string, n long", finish=True).groupBy("lang").agg(F.sum("n").alias("n"))
-
-
 def op12_perfect_hash_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(common.table(spark, sf_dir, "documents"))

@@ -34,14 +34,14 @@ def plain_search(docs, items, k=50):
     return out
 
 
-def plain_collocations(rows, least=10, first=2000):
+def plain_collocations(rows, least=10, first=2000, longest=3):
     counts, n = defaultdict(Counter), Counter()
     for text, lang in rows:
         lang = "und" if lang is None else lang
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
             w = [x for x in re.split("[ \t]", piece) if x]
             n[lang] += len(w)
-            for k in (1, 2, 3):
+            for k in range(1, longest + 1):
                 counts[lang].update(zip(*[w[i:] for i in range(k)], strict=False))
     out = []
     for lang, c in counts.items():
@@ -208,6 +208,41 @@ def test_collocations_with_few_known_candidates(spark, monkeypatch, known):
     assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()) == plain_collocations(rows)
 
 
+@pytest.mark.parametrize("slice_, numbers", [(2_000_000, 1 << 20), (50, 1 << 20), (50, 3)])
+def test_more_candidates_take_no_more_passes(spark, monkeypatch, slice_, numbers):
+    """Candidates beyond one perfect hash took one more pass over the texts for each slice of them: here 30 and more."""
+    passes = []
+    real = collocations.common.map_rows
+
+    def watched(df, *args, **more):
+        passes.extend([df] if df.columns == ["text", "lang"] else [])
+        return real(df, *args, **more)
+
+    monkeypatch.setattr(collocations.common, "map_rows", watched)
+    monkeypatch.setattr(collocations, "SLICE", slice_)
+    monkeypatch.setattr(collocations, "WORDS", numbers)
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice(["a", "b", "c", "d", "e", "été", "fghijklmnop", "q" * 300]) for _ in range(6)) for _ in range(300)]
+    rows = [(". ".join(rng.sample(lines, 40)), rng.choice(["en", None])) for _ in range(120)]
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()) == plain_collocations(rows)
+    assert len(passes) == 4  # words, phrases, candidates of the first texts and of the others
+
+
+def test_collocations_of_four_words(spark):
+    rows = phrases(random.Random(10), 200)
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(2), longest=4)
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()) == plain_collocations(rows, longest=4)
+
+
+def test_words_of_any_length_have_their_own_hashes():
+    texts = [b"a" * n + x for n in (0, 1, 6, 7, 8, 9, 15, 16, 17, 100, 255, 256, 257, 70_000) for x in (b"", b"b", b"c")][1:]
+    starts, ends, hashes = collocations.hashed_words(b" ".join([*texts, *texts]))
+    assert [b" ".join([*texts, *texts])[b:e] for b, e in zip(starts, ends, strict=True)] == [*texts, *texts]
+    assert len(set(hashes.tolist())) == len(set(texts)) and hashes[: len(texts)].tolist() == hashes[len(texts) :].tolist()
+    assert all(len(x) == 0 for x in collocations.hashed_words(b"")) and all(len(x) == 0 for x in collocations.hashed_words(b" \n"))
+
+
 @pytest.mark.parametrize("most", [3, 1000, 1 << 22, 1 << 32])
 def test_steps_of_slots_come_back(most):
     rng = np.random.default_rng(2)
