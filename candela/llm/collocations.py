@@ -113,11 +113,12 @@ def part_of(rows: dict[str, list]) -> Part:
     data = b"\n".join(rows["text"]).translate(_BYTES)
     starts, ends, found = hashed_words(data)
     begins = np.cumsum([0] + [len(t) + 1 for t in rows["text"]])
-    text = np.searchsorted(begins, starts, side="right") - 1
+    text = np.repeat(np.arange(len(rows["text"])), np.diff(np.searchsorted(starts, begins)))
     langs = {lang: language(lang) for lang in set(rows["lang"])}
     of_text = np.array([langs[lang] for lang in rows["lang"]], dtype=np.uint64)
     hashes = of_language(found, of_text[text]) if len(found) else found
-    piece = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
+    ends_of_pieces = np.searchsorted(starts, np.flatnonzero(np.frombuffer(data, np.uint8) == 10))
+    piece = np.repeat(np.arange(len(ends_of_pieces) + 1), np.diff(ends_of_pieces, prepend=0, append=len(starts)))
     return Part(data, starts, ends, hashes, piece, text)
 
 
@@ -139,7 +140,7 @@ def slots(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def squeezed(values: np.ndarray) -> bytes:
     """Whole numbers as bytes of equal rank together, compressed; with `opened` as the way back."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    planes = b"".join((values >> values.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(values.itemsize))
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
@@ -152,16 +153,17 @@ def squeezed_steps(ordered: np.ndarray) -> bytes:
     """Ascending numbers of 32 bits by their steps: the low bits, which are random, as they are, the rest, which is small, compressed."""
     steps = np.diff(ordered, prepend=np.uint32(0))
     bits = max(0, int(steps.mean()).bit_length() - 3) if len(steps) else 0
-    low = np.packbits(np.unpackbits(steps.view(np.uint8), bitorder="little").reshape(-1, 32)[:, :bits], bitorder="little").tobytes()
+    low = b"".join(np.packbits((steps >> np.uint32(k)).astype(np.uint8) & np.uint8(1)).tobytes() for k in range(bits))
     return bytes([bits]) + len(low).to_bytes(8, "little") + low + squeezed(steps >> np.uint32(bits))
 
 
 def opened_steps(packed: bytes) -> np.ndarray:
     bits, end = packed[0], 9 + int.from_bytes(packed[1:9], "little")
     high = opened(packed[end:], np.uint32)
-    low = np.zeros((len(high), 32), dtype=np.uint8)
-    low[:, :bits] = np.unpackbits(np.frombuffer(packed[9:end], np.uint8), count=len(high) * bits, bitorder="little").reshape(-1, bits) if bits else 0
-    return np.cumsum((high << np.uint32(bits)) | np.packbits(low, bitorder="little").view(np.uint32), dtype=np.uint32)
+    low = np.zeros(len(high), dtype=np.uint32)
+    for k, plane in enumerate(np.frombuffer(packed[9:end], np.uint8).reshape(bits, -1) if bits else ()):
+        low |= np.unpackbits(plane, count=len(high)).astype(np.uint32) << np.uint32(k)
+    return np.cumsum((high << np.uint32(bits)) | low, dtype=np.uint32)
 
 
 class BitTable:
@@ -279,6 +281,7 @@ def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: Broadcast | None,
         codes: dict[str, int] = {}  # languages of the task
         totals: dict[str, int] = {}
         told = np.empty(0, dtype=np.uint64)
+        late = np.zeros(1 << 20, dtype=np.uint64)  # the last word of each place, to leave out most repeats
 
         def tell() -> dict[str, list]:
             out: dict[str, list] = {n: [] for n in ("bucket", "single", "slots", "counts")}
@@ -301,6 +304,10 @@ def heavy_slots(df: DataFrame, widths: tuple[int, ...], words: Broadcast | None,
 
         def name(part: Part, langs: list[str], at: np.ndarray) -> None:
             nonlocal told
+            values = part.hashes[at]
+            places = (values >> np.uint64(44)).astype(np.int64)
+            at = at[late[places] != values]
+            late[places] = values
             values, first = np.unique(part.hashes[at], return_index=True)
             fresh = ~among(values, told)
             if fresh.any():
